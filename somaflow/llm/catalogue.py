@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from somaflow.llm import op1_mixing, op2_tokens
+from somaflow.llm import op1_mixing, op2_tokens, op3_decontamination
 
 
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing.query,
         "op2_tokens": op2_tokens.query,
+        "op3_decontamination": op3_decontamination.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": op1_mixing.ORACLE}
+    return {
+        "op1_mixing": op1_mixing.ORACLE,
+        "op3_decontamination": op3_decontamination.ORACLE,
+    }
