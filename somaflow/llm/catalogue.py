@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from somaflow.llm import op1_mixing, op2_tokens, op3_decontamination
+from somaflow.llm import op1_mixing, op2_tokens, op3_decontamination, op4_simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": op1_mixing.query,
         "op2_tokens": op2_tokens.query,
         "op3_decontamination": op3_decontamination.query,
+        "op4_simhash": op4_simhash.query,
     }
 
 
