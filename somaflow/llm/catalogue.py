@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from somaflow.llm import op1_mixing, op2_tokens, op3_decontamination, op4_simhash
+import corpus_pipeline
+from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash
 
 
 def queries() -> dict:
@@ -11,6 +12,8 @@ def queries() -> dict:
         "op2_tokens": op2_tokens.query,
         "op3_decontamination": op3_decontamination.query,
         "op4_simhash": op4_simhash.query,
+        "op10_toxicity": op10_toxicity.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
