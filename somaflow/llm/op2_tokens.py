@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from somaflow.llm.shared import commit_file, filesystem, new_folder, written
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces that a worker remembers; those met later are encoded anew each time, which changes speed only.
-MEMORY_PIECES = 700_000
+MEMORY_PIECES = 300_000
 BATCH_CHARS = 1 << 20
 
 
@@ -48,7 +51,6 @@ class PieceEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.bad: set[str] = set()
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
         #: Ids whose text starts with a space ("\u0120" in a byte-level vocabulary): each starts a piece.
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -57,44 +59,38 @@ class PieceEncoder:
 
     def _fresh(self, words: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are not known, many pieces to a call; remembered while there is room."""
-        self.bad.update(w for w in words if not w or w[-1].isspace())
-        good = [w for w in words if w not in self.bad]
-        coded = self.whole.encode_batch_fast([" " + " ".join(good[i : i + 64]) for i in range(0, len(good), 64)], add_special_tokens=False)
-        out: list[bytes] = []
-        for e in coded:
+        coded = self.whole.encode_batch_fast([" " + " ".join(words[i : i + 64]) for i in range(0, len(words), 64)], add_special_tokens=False)
+        fresh: dict[str, bytes] = {}
+        for i, e in enumerate(coded):
             ids = np.array(e.ids, "<u4")
             raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
-            out += [raw[x:y] for x, y in zip(cuts, [*cuts[1:], len(raw)])]
-        fresh = dict(zip(good, out, strict=True))
+            ends = cuts[1:]
+            ends.append(len(raw))
+            fresh.update(zip(words[64 * i : 64 * i + 64], map(raw.__getitem__, map(slice, cuts, ends)), strict=True))
         if len(self.known) < MEMORY_PIECES:
             self.known.update(fresh)
         return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        get, middles, found, missing = self.known.get, [], [], set()
-        for t in texts:
-            words = t.split(" ")
-            middle = words[1:-1]
-            got = list(map(get, middle))
-            if None in got:
-                missing.update([w for w, g in zip(middle, got) if g is None])
-            middles.append(middle)
-            found.append(got)
-        fresh = self._fresh(list(missing)) if missing else {}
-        out: list[bytes | None] = []
-        single: list[str] = []
-        for t, middle, got in zip(texts, middles, found):
-            head, _, _ = t.partition(" ")
-            if not head or len(head) == len(t) or head[-1].isspace() or not self.bad.isdisjoint(middle):
-                out.append(None)
-                single.append(t)
-                continue
-            out.append(b"".join(got) if None not in got else b"".join([fresh[w] if g is None else g for w, g in zip(middle, got)]))
-            single += [head, t[t.rindex(" ") :]]
-        rest = iter(self.whole.encode_batch_fast(single, add_special_tokens=False))
-        ids = lambda: np.array(next(rest).ids, "<u4").tobytes()
-        return [ids() if body is None else ids() + body + ids() for body in out]
+        words = " ".join(texts).split(" ")
+        sizes = [t.count(" ") + 1 for t in texts]
+        ids = list(map(self.known.get, words))
+        unknown = list(compress(range(len(words)), map(is_, ids, repeat(None))))
+        missing = {words[i] for i in unknown}
+        bad = {w for w in missing if not w or w[-1].isspace()}
+        fresh = self._fresh(list(missing - bad))
+        cannot = set()
+        for i in unknown:
+            if words[i] in bad:
+                cannot.add(i)
+            else:
+                ids[i] = fresh[words[i]]
+        ends = list(accumulate(sizes))
+        whole = {bisect_right(ends, i) for i in cannot} if cannot else set()
+        single = [t if n == 1 or k in whole else words[e - n] for k, (t, n, e) in enumerate(zip(texts, sizes, ends))]
+        heads = [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(single, add_special_tokens=False)]
+        return [h if n == 1 or k in whole else h + b"".join(ids[e - n + 1 : e]) for k, (h, n, e) in enumerate(zip(heads, sizes, ends))]
 
 
 #: One encoder for all tasks of a Python worker.
