@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash
+from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_tokens": op2_tokens.query,
         "op3_decontamination": op3_decontamination.query,
         "op4_simhash": op4_simhash.query,
+        "op5_warc": op5_warc.query,
         "op10_toxicity": op10_toxicity.query,
         "pipeline": corpus_pipeline.run,
     }
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": op1_mixing.ORACLE,
         "op3_decontamination": op3_decontamination.ORACLE,
+        "op5_warc": op5_warc.ORACLE,
     }
