@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc
+from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc, op7_licenses, op9_pii
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op3_decontamination": op3_decontamination.query,
         "op4_simhash": op4_simhash.query,
         "op5_warc": op5_warc.query,
+        "op7_licenses": op7_licenses.query,
+        "op9_pii": op9_pii.query,
         "op10_toxicity": op10_toxicity.query,
         "pipeline": corpus_pipeline.run,
     }
