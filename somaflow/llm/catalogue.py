@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc, op7_licenses, op9_pii
+from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc, op7_licenses, op8_repeats, op9_pii
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_simhash": op4_simhash.query,
         "op5_warc": op5_warc.query,
         "op7_licenses": op7_licenses.query,
+        "op8_repeats": op8_repeats.query,
         "op9_pii": op9_pii.query,
         "op10_toxicity": op10_toxicity.query,
         "pipeline": corpus_pipeline.run,
