@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc, op7_licenses, op8_repeats, op9_pii
+from somaflow.llm import op10_toxicity, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc, op6_neighbours, op7_licenses, op8_repeats, op9_pii
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_decontamination": op3_decontamination.query,
         "op4_simhash": op4_simhash.query,
         "op5_warc": op5_warc.query,
+        "op6_neighbours": op6_neighbours.query,
         "op7_licenses": op7_licenses.query,
         "op8_repeats": op8_repeats.query,
         "op9_pii": op9_pii.query,
