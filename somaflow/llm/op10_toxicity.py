@@ -25,15 +25,17 @@ WINDOW = 12
 THRESHOLD = 0.7
 #: Buckets of fewer training documents are not used.
 LEAST_DOCUMENTS = 4
-RATE, DECAY, EPSILON = 0.05, 0.02, 1e-3
+RATE, DECAY, EPSILON, SCALE = 0.05, 0.02, 1e-3, 40
+#: Windows of a document that a round of training looks at.
+ROUND_WINDOWS = 6
 #: The sample that the model is fitted on: at most so many rows of each class, and so many bytes of text.
 CLASS_ROWS = 1200
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 8 << 20
 HELD_OUT = 1
 _STEP = np.uint64(0x100000001B3)
 
 
-def subwords(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: Words, which: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, first bucket of each word and the end) of the words numbered ``which``."""
     starts, size = words.starts[which], words.ends[which] - words.starts[which]
     # "<word>" of all words in one buffer
@@ -54,7 +56,7 @@ def subwords(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             inside = np.flatnonzero(left >= n)
             keys.append(rolled[inside] * _STEP + np.uint64(n))
             owners.append(owner[inside])
-    keys.append(words.hashes()[which] if len(which) else np.zeros(0, np.uint64))
+    keys.append(hashes[which])
     owners.append(np.arange(len(which)))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
@@ -62,6 +64,36 @@ def subwords(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.searchsorted(owner[order], np.arange(len(which) + 1))
 
 
+def _distinct_subwords(texts: list[bytes], part: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each word, first word of each text and the end, buckets of the distinct words, first bucket of each and the end).
+
+    Texts are looked at about ``part`` bytes at a time.
+    """
+    hashes, counts, known, sizes, buckets = [], [], np.zeros(0, np.uint64), [], []
+    at = 0
+    while at < len(texts):
+        stop, held = at + 1, len(texts[at])
+        while stop < len(texts) and held < part:
+            held += len(texts[stop])
+            stop += 1
+        words = Words(texts[at:stop], ALNUM)
+        hashes.append(words.hashes())
+        counts.append(np.diff(words.first))
+        kinds, example = np.unique(hashes[-1], return_index=True)
+        new = ~np.isin(kinds, known)
+        bucket, first = subwords(words, example[new], hashes[-1])
+        known = np.concatenate((known, kinds[new]))
+        sizes.append(np.diff(first))
+        buckets.append(bucket.astype(np.int32))
+        at = stop
+    number = np.zeros(0, np.int32)
+    if len(known):
+        order = np.argsort(known)
+        number = order[np.searchsorted(known, np.concatenate(hashes), sorter=order)].astype(np.int32)
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return number, np.concatenate(([0], np.cumsum(join(counts)))), join(buckets).astype(np.int32), np.concatenate(([0], np.cumsum(join(sizes))))
+
+
 class Model:
     """What scoring needs: a number for each bucket, and the calibration of the worst window's logit."""
 
@@ -70,22 +102,20 @@ class Model:
 
     def worst(self, texts: list[bytes]) -> np.ndarray:
         """Logit of each text's worst window of WINDOW words (shorter texts: padded with nothing)."""
-        words = Words(texts, ALNUM)
-        count = np.diff(words.first)
+        kind, at, bucket, first = _distinct_subwords(texts, 1 << 23)
+        count = np.diff(at)
         out = np.full(len(texts), self.bias)
-        if not len(words.starts):
+        if not len(kind):
             return out
-        _, example, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        bucket, first = subwords(words, example)
         mean = np.add.reduceat(self.weight[bucket], first[:-1], dtype=np.float64) / np.diff(first)
         sums = np.concatenate(([0.0], np.cumsum(mean[kind])))
         # windows start at each word and end within the text; a text shorter than a window is one
-        last = np.repeat(words.first[1:], count)
+        last = np.repeat(at[1:], count)
         start = np.arange(len(last))
-        start = np.maximum(np.minimum(start, last - WINDOW), np.repeat(words.first[:-1], count))
+        start = np.maximum(np.minimum(start, last - WINDOW), np.repeat(at[:-1], count))
         logit = (sums[np.minimum(start + WINDOW, last)] - sums[start]) / WINDOW
         some = np.flatnonzero(count)
-        out[some] += np.maximum.reduceat(logit, words.first[:-1][some])
+        out[some] += np.maximum.reduceat(logit, at[:-1][some])
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -105,80 +135,118 @@ def _platt(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[fl
     return max(float(w[0] / scale), 0.0), float(w[1])
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed: int = 7, all_steps: int = 20, worst_steps: int = 20) -> Model:
+class _Bags:
+    """Some windows of words, laid out for forward and backward sums over the vectors of their subwords."""
+
+    def __init__(self, kind: np.ndarray, window_first: np.ndarray, bucket: np.ndarray, first: np.ndarray):
+        self.windows = window_first
+        kinds, self.kind = np.unique(kind, return_inverse=True)
+        sizes = np.diff(first)[kinds]
+        self.first = np.cumsum(sizes) - sizes
+        self.bucket = bucket[np.repeat(first[kinds] - self.first, sizes) + np.arange(sizes.sum())]
+        self.per_word = sizes.astype(np.float32)
+        by_bucket = np.argsort(self.bucket, kind="stable").astype(np.int32)
+        sorted_buckets = self.bucket[by_bucket]
+        self.bucket_first = np.flatnonzero(np.diff(sorted_buckets, prepend=-1))
+        self.used = sorted_buckets[self.bucket_first]
+        self.owner = np.repeat(np.arange(len(kinds), dtype=np.int32), sizes)[by_bucket]
+        self.by_word = np.argsort(self.kind, kind="stable").astype(np.int32)
+        self.word_first = np.searchsorted(self.kind[self.by_word], np.arange(len(kinds)))
+        self.window = np.repeat(np.arange(len(window_first), dtype=np.int32), np.diff(np.append(window_first, len(kind))))
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """Mean vector of each window; windows that are not full are padded with nothing."""
+        vector = np.empty((len(self.first), WIDTH), np.float32)
+        for a in range(0, len(self.first), 1 << 14):
+            first = self.first[a : a + (1 << 14)]
+            stop = self.first[a + (1 << 14)] if a + (1 << 14) < len(self.first) else len(self.bucket)
+            vector[a : a + len(first)] = np.add.reduceat(table[self.bucket[first[0] : stop]], first - first[0], axis=0)
+        vector /= self.per_word[:, None]
+        return np.add.reduceat(vector[self.kind], self.windows, axis=0) / np.float32(WINDOW)
+
+    def pull(self, error: np.ndarray) -> np.ndarray:
+        """What each bucket's vector is pulled by, given the windows' errors."""
+        per_kind = np.add.reduceat((error / np.float32(WINDOW))[self.window][self.by_word], self.word_first) / self.per_word
+        out = np.zeros(BUCKETS, np.float32)
+        out[self.used] = np.add.reduceat(per_kind[self.owner], self.bucket_first)
+        return out
+
+
+def train(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed: int = 7, all_steps: int = 10, rounds: int = 8, round_steps: int = 30) -> Model:
     """Fits the model; one class or no rows give a model that says the labels' share for every text.
 
-    Three quarters of the rows train embeddings and softmax; the others calibrate,
-    weighted so that ``share`` of them (default: as many as are) have label 1.
+    Three quarters of the rows train embeddings and softmax: some steps over all
+    windows, then rounds over each document's worst windows as the model then
+    sees them.  The other rows calibrate, weighted so that ``share`` of them
+    (default: as many as are) have label 1.
     """
     labels = np.asarray(labels, np.float64)
     if len(set(labels.tolist())) < 2:
-        share = np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99)
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+        mean = np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.99)
+        return Model(np.zeros(BUCKETS), float(np.log(mean / (1 - mean))))
     rng = np.random.default_rng(seed)
     fold = np.arange(len(texts)) % 4 == 3
     kept = [t for t, f in zip(texts, fold) if not f]
     y = labels[~fold]
-    words = Words(kept, ALNUM)
-    doc = words.text_of()
-    _, example, kind = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    bucket, first = subwords(words, example)
-    per_word = np.diff(first)
-    number = np.repeat(np.arange(len(example)), per_word)
-    by_bucket = np.argsort(bucket, kind="stable")
-    bucket_first = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS))
-    has_bucket = np.diff(np.append(bucket_first, len(bucket))) > 0
+    kind, text_first, bucket, first = _distinct_subwords(kept)
+    doc = np.repeat(np.arange(len(kept), dtype=np.int32), np.diff(text_first))
     # buckets of few documents would only be learned by heart
-    in_doc = np.unique(kind * np.int64(len(kept)) + doc)
-    of_kind, of_doc = in_doc // len(kept), in_doc % len(kept)
-    sizes = per_word[of_kind]
-    spread = np.repeat(first[of_kind] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    documents = np.bincount(np.unique(bucket[spread] * np.int64(len(kept)) + np.repeat(of_doc, sizes)) // len(kept), minlength=BUCKETS)
+    documents, per_word = np.zeros(BUCKETS, np.int32), np.diff(first)
+    for a, b in zip(text_first[:-1], text_first[1:]):
+        mine = np.unique(kind[a:b])
+        sizes = per_word[mine]
+        seen = np.repeat(first[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        documents[np.unique(bucket[seen])] += 1
     common = (documents >= LEAST_DOCUMENTS).astype(np.float32)[:, None]
     # windows that follow one another inside each document
-    inside = np.arange(len(doc)) - words.first[doc]
-    opens = np.flatnonzero(inside % WINDOW == 0)
+    opens = np.flatnonzero((np.arange(len(doc)) - text_first[doc]) % WINDOW == 0)
+    size = np.diff(np.append(opens, len(doc)))
     window_doc = doc[opens]
-    window = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(doc))))
-    doc_first = np.searchsorted(window_doc, np.arange(len(kept)))
-    with_words = np.diff(words.first) > 0
-    by_word = np.argsort(kind, kind="stable")
-    word_first = np.searchsorted(kind[by_word], np.arange(len(example)))
+    windows_of = np.bincount(window_doc, minlength=len(kept))
+    even = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
 
     table = (rng.standard_normal((BUCKETS, WIDTH)) * 0.02).astype(np.float32) * common
     out = rng.standard_normal(WIDTH).astype(np.float32)
-    bias, params = np.zeros(1, np.float32), {}
-    weight_of = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    windows_of = np.bincount(window_doc, minlength=len(kept))
+    bias, moments, time = np.zeros(1, np.float32), {}, 0
 
-    def adam(name, value, grad, rate, t):
-        m, v = params.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
+    def adam(name, value, grad, rate):
+        m, v = moments.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
         m += 0.1 * (grad - m)
         v += 0.01 * (grad * grad - v)
-        value -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + EPSILON)
-
-    for t in range(1, all_steps + worst_steps + 1):
-        vector = np.add.reduceat(table[bucket], first[:-1], axis=0) / per_word[:, None].astype(np.float32)
-        mean = np.add.reduceat(vector[kind], opens, axis=0) / np.float32(WINDOW)
-        logit = mean @ out * 40 + bias[0]
-        if t <= all_steps:
-            weight = weight_of[window_doc] / windows_of[window_doc]
-        else:  # the worst window of each document carries its weight
-            top = np.maximum.reduceat(logit, doc_first[with_words])
-            best = logit >= np.repeat(top, windows_of[with_words])
-            weight = np.where(best, weight_of[window_doc], 0.02 * weight_of[window_doc] / windows_of[window_doc] * (y[window_doc] == 0))
-        error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[window_doc]) * weight).astype(np.float32)
-        pull = error[window] * np.float32(40 / WINDOW)
-        per_kind = np.add.reduceat(pull[by_word], word_first) / per_word.astype(np.float32)
-        grad_out = error @ mean * 40
-        pulled = np.zeros(BUCKETS, np.float32)
-        pulled[has_bucket] = np.add.reduceat(per_kind[number[by_bucket]], bucket_first[has_bucket])
-        grad_table = pulled[:, None] * out * common
+        value -= rate * (m / (1 - 0.9**time)) / (np.sqrt(v / (1 - 0.99**time)) + EPSILON)
+
+    def step(bags, of, worst):
+        nonlocal table, time
+        time += 1
+        mean = bags.means(table)
+        logit = mean @ out * SCALE + bias[0]
+        weight = even[of] / windows_of[of]
+        if worst:  # the worst window of each document carries its weight, a clean document's others a little
+            here, begin = np.unique(of, return_index=True)
+            top = np.maximum.reduceat(logit, begin)
+            best = logit >= np.repeat(top, np.diff(np.append(begin, len(of))))
+            weight = np.where(best, even[of], 0.02 * weight * (y[of] == 0))
+        error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[of]) * weight).astype(np.float32)
+        pulled = bags.pull(error * np.float32(SCALE))
         table *= 1 - DECAY
-        adam("table", table, grad_table, RATE, t)
-        adam("out", out, grad_out, 0.02, t)
-        adam("bias", bias, np.array([error.sum()], np.float32), 0.1, t)
-    model = Model(table @ out * 40, float(bias[0]))
+        grad = error @ mean * np.float32(SCALE)
+        adam("table", table, pulled[:, None] * out * common, RATE)
+        adam("out", out, grad, 0.4 * RATE)
+        adam("bias", bias, np.array([error.sum()], np.float32), 2 * RATE)
+
+    every = _Bags(kind, opens, bucket, first)
+    for _ in range(all_steps):
+        step(every, window_doc, False)
+    for _ in range(rounds):
+        logit = every.means(table) @ out
+        order = np.lexsort((-logit, window_doc))
+        place = np.arange(len(order)) - np.searchsorted(window_doc[order], window_doc[order])
+        chosen = np.sort(order[place < ROUND_WINDOWS])
+        at = np.cumsum(size[chosen]) - size[chosen]
+        some = _Bags(kind[np.repeat(opens[chosen] - at, size[chosen]) + np.arange(size[chosen].sum())], at, bucket, first)
+        for _ in range(round_steps):
+            step(some, window_doc[chosen], True)
+    model = Model(table @ out * SCALE, float(bias[0]))
     rest = [x for x, f in zip(texts, fold) if f]
     own = min(max(labels[fold].mean(), 1e-3), 1 - 1e-3)
     share = own if share is None else share
@@ -202,22 +270,29 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, sample
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.md5(_text_id(F.col("doc_id"))), F.col("doc_id")]
     chosen = [marks.where(F.col("toxic") == c).orderBy(*order).limit(class_rows) for c in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("_d"), "toxic")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_d"))  # at most 2 class_rows rows
-    rows, size = [], 0
-    for r in texts.select("doc_id", F.octet_length("text").alias("n"), "toxic").orderBy(*order).limit(4 * class_rows).collect():
-        size += r.n or 0
-        if size > sample_bytes:
-            break
-        rows.append(r.doc_id)
-    if not rows:
+    chosen = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int").alias("toxic"))
+    # calibrated half-way, in odds, between the labels' share and even classes: a miss costs more than a false alarm
+    share = min(max(marks.agg(F.avg("toxic")).first()[0] or 0.0, 1e-4), 1 - 1e-4)
+    share = share**0.5 / (share**0.5 + (1 - share) ** 0.5)
+
+    def task(batches):
+        texts, marked, size = [], [], 0
+        for batch in batches:
+            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = (text or "").encode()
+                size += len(text)
+                if size <= sample_bytes:
+                    texts.append(text)
+                    marked.append(mark)
+        m = train(texts, np.array(marked, float), share)
+        yield pa.RecordBatch.from_pylist([{"weight": m.weight.astype("<f4").tobytes(), "bias": m.bias, "slope": m.slope, "off": m.offset}])
+
+    # at most 2 class_rows ids, and so few rows that one task trains on them, away from the driver
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).repartition(1).sortWithinPartitions(*order, "text")
+    row = sample.select(F.col("text").cast("string").alias("text"), "toxic").mapInArrow(task, "weight binary, bias double, slope double, off double").first()
+    if row is None:
         return train([], np.zeros(0))
-    share = marks.agg(F.avg("toxic")).first()[0]
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in set(rows)], "_d long"))
-    taken = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_d")).join(F.broadcast(chosen.withColumnRenamed("_d", "_e")), F.col("doc_id") == F.col("_e"))
-    sample = sorted({(str(r.doc_id), r.text or "", r.toxic) for r in taken.select("doc_id", "text", "toxic").collect()})
-    order = np.random.default_rng(3).permutation(len(sample))
-    return train([sample[i][1].encode() for i in order], np.array([sample[i][2] for i in order]), share)
+    return Model(np.frombuffer(row.weight, "<f4"), row.bias, row.slope, row.off)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
