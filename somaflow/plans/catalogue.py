@@ -135,11 +135,11 @@ def correlation_info(spark, sf):
     return stats.correlation_info(movie(spark, sf), H, W, "mean").select("y", "x", r6(F.col("cn")).alias("cn"), r6(F.col("pnr"), 5).alias("pnr"))
 
 
-SEED = f"{INFO}, seed AS (SELECT y, x, CASE WHEN cn < 0.0 OR pnr < 0.3 OR y < 1 OR y >= 7 OR x < 1 OR x >= 7 THEN 0 ELSE round(cn * pnr, 6) END AS score FROM info)"
+SEED = f"{INFO}, seed AS (SELECT y, x, CASE WHEN cn < 0.0 OR pnr < 0.17 OR y < 1 OR y >= 7 OR x < 1 OR x >= 7 THEN 0 ELSE round(cn * pnr, 6) END AS score FROM info)"
 
 
 def _seeds(spark, sf):
-    return stats.seed_mask(stats.correlation_info(movie(spark, sf), H, W, "mean"), H, W, 0.0, 0.3, 1).select("y", "x", r6(F.col("score")).alias("score"))
+    return stats.seed_mask(stats.correlation_info(movie(spark, sf), H, W, "mean"), H, W, 0.0, 0.17, 1).select("y", "x", r6(F.col("score")).alias("score"))
 
 
 @query(f"WITH {SEED} SELECT y, x, score::DOUBLE AS score FROM seed")

@@ -1,7 +1,145 @@
-"""Queries of operators that SQL can't express; their tests compare with closed forms."""
+"""Queries of operators that SQL can't express; their tests compare with closed forms.
+
+Iterative ones write their rounds below the folder named by ``spark.checkpoint.dir``.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from somaflow.functions import extraction as fx
+from somaflow.operators import extraction, geometry, layout, motion, traces
+from somaflow.params import ExtractionParams, InitParams, PatchParams, TemporalParams
+from somaflow.plans import catalogue as base
+
+H, W = base.H, base.W
+
+
+def _save(spark: SparkSession):
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='somaflow-')}"
+    return motion.session_save(spark, f"{root}/run-{uuid.uuid4().hex}")
+
+
+def oasis_constrained(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise-constrained deconvolution of every trace, all parameters estimated: (k, t, c, s, bl, g, sn, lam)."""
+    r = traces.foopsi(base.event_traces(spark, sf))
+    return r.select("k", F.posexplode(F.arrays_zip("c", "s")).alias("t", "z"), "bl", "g", "sn", "lam").select("k", "t", "z.c", "z.s", "bl", "g", "sn", "lam")
+
+
+def trace_parameters(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, bl, g, sn, lam) of every trace."""
+    return traces.foopsi(base.event_traces(spark, sf)).drop("c", "s")
+
+
+def spatial_lasso(spark: SparkSession, sf: str) -> DataFrame:
+    """(p, k, a): every pixel's series regressed on ten traces, one pixel at a time."""
+    px = layout.pixels(base.movie(spark, sf))
+    c = base.linear.product(px, base.mean_footprints(spark, sf), "p", "t", "k", "v", "a")
+    rows = geometry.checked(layout.series(c, "k"), "traces of one patch")
+    rows = sorted(rows, key=lambda r: r["k"])
+    names, c = [r["k"] for r in rows], np.array([r["y"] for r in rows]).T
+    centred, n = c - c.mean(axis=0), len(c)
+    gram, energy = centred.T @ centred / n, (c**2).sum(axis=0)
+
+    def task(batches):
+        from somaflow.operators.stats import spectrum_noise
+
+        for batch in batches:
+            out = []
+            for p, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                y = np.asarray(y)
+                alpha = 0.5 * spectrum_noise(y, "mean") * np.sqrt(energy.max()) / n
+                out += [{"p": p, "k": k, "a": v} for k, v in zip(names, fx.nonneg_lasso(gram, centred.T @ (y - y.mean()) / n, float(alpha)).tolist())]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("p", pa.int32()), ("k", pa.int64()), ("a", pa.float64())]))
+
+    return layout.series(px, "p").mapInArrow(task, "p int, k long, a double")
+
+
+def _patch_map(spark: SparkSession, sf: str, schema: str, kernel) -> DataFrame:
+    """``kernel(movie, where)`` rows for each of two patches, each fitted in one task."""
+    import pandas as pd
+
+    patches = geometry.analysis_patches(H, W, (1, 2), 4)
+    bounds = {p[0]: p[1:] for p in patches}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, y1, x0, x1 = bounds[int(key[0])]
+        movie = np.stack([np.frombuffer(b, "<f4") for b in pdf.sort_values("t")["px"]]).astype(float).reshape(len(pdf), y1 - y0, x1 - x0)
+        return pd.DataFrame([(int(key[0]), *r) for r in kernel(movie)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return extraction.patch_movies(base.movie(spark, sf), W, patches).groupBy("patch").applyInPandas(run, schema)
+
+
+def ring_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """(patch, i, j, w): pixel i of a patch explained by the ring pixels j around it."""
+
+    def kernel(movie):
+        y = movie.reshape(len(movie), -1)
+        near, weights = fx.ring_weights(y - y.mean(axis=0), movie.shape[1:], 2)
+        return [(i, int(near[i, k]), float(weights[i, k])) for i in range(len(near)) for k in range(near.shape[1]) if near[i, k] >= 0]
+
+    return _patch_map(spark, sf, "patch int, i int, j int, w double", kernel)
+
+
+def nmf_background(spark: SparkSession, sf: str) -> DataFrame:
+    """(patch, component, px, b): low-rank background of each patch."""
+
+    def kernel(movie):
+        b, _ = fx.low_rank_background(movie.reshape(len(movie), -1), 2)
+        return [(k, p, float(v)) for k, row in enumerate(b) for p, v in enumerate(row)]
+
+    return _patch_map(spark, sf, "patch int, component int, px int, b double", kernel)
+
+
+def threshold_components(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, p, a): footprints after median, energy threshold, closing and choice of the largest region."""
+    from somaflow.operators.frames import map_frames
+
+    clean = lambda b: np.stack([fx.threshold_component(np.maximum(f, 0).ravel(), (H, W), nrgthr=0.95).reshape(H, W) for f in b])
+    long = layout.pixels(map_frames(base.movie(spark, sf), H, W, clean))
+    return long.where("v > 0").select(F.col("t").alias("k"), "p", F.col("v").alias("a"))
+
+
+def motion_correct(spark: SparkSession, sf: str) -> DataFrame:
+    """(t, px): the movie corrected in blocks against a template that follows it."""
+    params = motion.MotionParams(strides=(4, 4), overlaps=(2, 2), max_deviation_rigid=1, max_shifts=(1, 1), nb_round=1, filter_size=2, filter_size_patch=1, block_size=500)
+    return motion.motion_correct(base.movie(spark, sf), H, W, params, _save(spark))
+
+
+_SMALL = ExtractionParams(
+    patch_params=PatchParams((1, 2), 4),
+    init_params=InitParams(gSig=(1, 1), gSiz=(2, 2), ssub=1, tsub=1, min_corr=-1, min_pnr=0.01, thresh_init=-100, bd=0, min_pixel=1),
+    temporal_params=TemporalParams(nb=2),
+)
+
+
+def patch_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """(patch, kind, px, a): what each patch's fit finds, components (kind 0) and background (kind 1)."""
+    return extraction.fit_patches(base.movie(spark, sf), H, W, _SMALL).select("patch", "kind", "px", "a")
+
+
+def extract(spark: SparkSession, sf: str) -> DataFrame:
+    """(kind, k, p, a) of the whole extraction: footprints (kind 0) and background parts (kind 1)."""
+    r = extraction.extract(base.movie(spark, sf), H, W, _SMALL, _save(spark))
+    back = r.background.select(F.lit(1).alias("kind"), F.col("component").cast("bigint").alias("k"), F.posexplode("b").alias("p", "a"))
+    return r.footprints().select(F.lit(0).alias("kind"), "k", "p", "a").unionByName(back)
+
+
+def merge_components(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, px, a): footprints with mean traces, merged within each label's patch."""
+    f = base.mean_footprints(spark, sf)
+    c = layout.series(base.linear.product(layout.pixels(base.movie(spark, sf)), f, "p", "t", "k", "v", "a"), "k")
+    sparse = f.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "a"))).alias("z"))
+    parts = sparse.join(c, "k").select("k", F.lit(0).alias("patch"), F.transform("z", lambda e: e["p"]).alias("px"), F.transform("z", lambda e: e["a"]).alias("a"), F.col("y").alias("c"), F.col("y").alias("s"), F.col("y").alias("yra"))
+    return extraction.merge_components(parts, _SMALL, _save(spark)).select("k", "px", "a")
+
 
 def queries() -> dict:
-    return {}
+    every = (oasis_constrained, trace_parameters, spatial_lasso, ring_weights, nmf_background, threshold_components, motion_correct, patch_fit, extract, merge_components)
+    return {f.__name__: f for f in every}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def listed(spark: SparkSession, folder: str, pattern: str = "*.avi") -> DataFrame:
     """(path, length) of the files of a folder; their content isn't read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length")
 
 
 def ordinal(path: Column) -> Column:
