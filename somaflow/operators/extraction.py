@@ -144,17 +144,84 @@ def compress_background(background: DataFrame, h: int, w: int, params: Extractio
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b = np.zeros((len(pdf), h * w))
+        cover = np.zeros(h * w)
+        for p in pdf.drop_duplicates("patch")["px"]:
+            cover[p] += 1
         for i, (p, v) in enumerate(zip(pdf["px"], pdf["b"])):
-            b[i, p] = v
+            b[i, p] = v / cover[p]  # where patches overlap, each says its share
         s, g = fx.compressed_background(b, np.stack(list(pdf["f"]), axis=1), rank, seed)
         return pd.DataFrame({"component": range(len(s)), "b": list(s), "f": list(g.T)})
 
     return background.groupBy().applyInPandas(run, "component int, b array<double>, f array<double>")
 
 
-def extract(frames: DataFrame, h: int, w: int, params: ExtractionParams, save: Callable[[DataFrame, str], DataFrame]) -> Result:
-    """The whole extraction: patches, assembly, merging, background."""
+def evaluate(frames: DataFrame, components: DataFrame, background: DataFrame, h: int, w: int, params: ExtractionParams) -> DataFrame:
+    """Components updated once more at full size: traces, footprints, traces, unit length.
+
+    Every patch updates its own components; the others that reach into it are
+    subtracted as they are, and so is the background.  The background is nb rows
+    of image and trace, which go to every patch's task.
+    """
+    patches = geometry.analysis_patches(h, w, params.patch_params.nb_patch, params.patch_params.overlaps)
+    bounds = {p[0]: p[1:] for p in patches}
+    parts = geometry.checked(background.select("b", "f"), "background components", 1000)
+    b, f = (np.array([r[c] for r in parts]) for c in ("b", "f"))
+    touched = components.withColumn("at", F.explode(F.array(*(F.struct(*(F.lit(int(v)).alias(c) for v, c in zip(p, ("n", "y0", "y1", "x0", "x1")))) for p in patches))))
+    inside = F.exists("px", lambda p: (F.floor(p / w) >= F.col("at.y0")) & (F.floor(p / w) < F.col("at.y1")) & (p % w >= F.col("at.x0")) & (p % w < F.col("at.x1")))
+    touched = touched.where(inside).select(F.col("at.n").alias("here"), "k", "patch", "px", "a", "c", "s", "yra")
+
+    def run(key: tuple, movie: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        names = ["k", "patch", "px", "a", "c", "s", "yra"]
+        if not len(movie) or not len(found):
+            return pd.DataFrame([], columns=names)
+        y0, y1, x0, x1 = bounds[int(key[0])]
+        where = (np.arange(y0, y1)[:, None] * w + np.arange(x0, x1)).ravel()
+        y = np.stack([np.frombuffer(r, "<f4") for r in movie.sort_values("t")["px"]]).astype(float)
+        y = y - f.T @ b[:, where] if len(b) else y
+        place = {p: i for i, p in enumerate(where.tolist())}
+        own, a, c = [], [], []
+        for k, patch, px, weight, trace in zip(found["k"], found["patch"], found["px"], found["a"], found["c"]):
+            row = np.zeros(len(where))
+            for p, v in zip(px, weight):
+                if p in place:
+                    row[place[p]] = v
+            if patch == key[0]:
+                own.append(k)
+                a.append(row)
+                c.append(np.asarray(trace))
+            else:
+                y = y - np.outer(trace, row)
+        if not own:
+            return pd.DataFrame([], columns=names)
+        sn = fx.spectrum_noise(y.T, params.preprocess_params.noise_method)
+        a, c = np.array(a), np.array(c).T
+        ids = np.array(own)
+        # components that an update empties are told by their footprints' sums
+        a, c, _ = fx.update_temporal(y, a, c, params.temporal_params)
+        if not len(a):
+            return pd.DataFrame([], columns=names)
+        shape = a.copy()
+        a, c = fx.update_spatial(y, a, c, sn, (y1 - y0, x1 - x0), params.spatial_params)
+        a, c, s = fx.update_temporal(y, a, c, params.temporal_params)
+        if not len(a):
+            return pd.DataFrame([], columns=names)
+        a, c, s = fx.normalised(a, c, s)
+        # an updated footprint keeps the id of the old one that it shares most with
+        like = (a @ shape.T / np.maximum(np.linalg.norm(shape, axis=1), 1e-12)).argmax(axis=1)
+        rest = fx.residual_traces(y, a, c)
+        rows = [(int(ids[like[i]]), int(key[0]), where[a[i] > 0].astype(np.int32), a[i][a[i] > 0], c[:, i], s[:, i], rest[:, i]) for i in range(len(a))]
+        return pd.DataFrame(rows, columns=names).drop_duplicates("k")
+
+    movies = patch_movies(frames, w, patches).groupBy("patch")
+    return movies.cogroup(touched.groupBy("here")).applyInPandas(run, f"k long, {COMPONENT}")
+
+
+def extract(frames: DataFrame, h: int, w: int, params: ExtractionParams, save: Callable[[DataFrame, str], DataFrame], final: bool = True) -> Result:
+    """The whole extraction: patches, assembly, merging, background, and the final update unless ``final`` is off."""
     fitted = save(fit_patches(frames, h, w, params), "fitted")
     components, background = assemble(fitted, h, w, params)
     components = merge_components(save(components, "assembled"), params, save)
-    return Result(components, save(compress_background(background, h, w, params), "background"), h, w)
+    background = save(compress_background(background, h, w, params), "background")
+    if final:
+        components = save(evaluate(frames, components, background, h, w, params), "evaluated")
+    return Result(components, background, h, w)

@@ -21,6 +21,14 @@ def template(frames: DataFrame) -> DataFrame:
     return pixels(frames).where(~F.isnan("v")).groupBy("p").agg(F.median("v").alias("template"))
 
 
+def finite(frames: DataFrame) -> DataFrame:
+    """(t, px): NaN, null and infinite values replaced by the mean of their frame's finite ones; 0 in a frame without any."""
+    good = F.filter("px", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    mean = F.when(F.size(good) > 0, F.aggregate(good, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size(good)).otherwise(0.0)
+    ok = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return frames.withColumn("m", mean).select("t", F.transform("px", lambda v: F.when(ok(v), v.cast("double")).otherwise(F.col("m"))).alias("px"))
+
+
 def pixel_stats(frames: DataFrame) -> DataFrame:
     """(p, vmax, vmean, vstd): population standard deviation, as partial aggregates of the scan."""
     return pixels(frames).groupBy("p").agg(F.max("v").alias("vmax"), F.avg("v").alias("vmean"), F.stddev_pop("v").alias("vstd"))

@@ -206,3 +206,23 @@ def test_streaming_deconvolution_equals_batch(spark, tmp_path):
         assert np.allclose([seen[k, t][0] for t in range(60)], p.c())
         assert np.allclose([seen[k, t][1] for t in range(60)], p.s(), atol=1e-9)
     assert max(v[2] for v in seen.values()) >= 1
+
+
+def test_movie_api(spark, tmp_path):
+    from somaflow import api
+    from somaflow.functions.simulate import head_direction
+    from somaflow.operators.decoding import angular_error, decoded
+
+    m = api.Movie.of(spark, np.random.default_rng(0).random((40, 8, 8)), frame_rate=20, attrs={"animal_name": "a1"})
+    m.save(f"{tmp_path}/movie")
+    back = api.Movie.load(spark, f"{tmp_path}/movie")
+    assert (back.h, back.w, back.duration, back.frame_rate, back.attrs) == (8, 8, 40, 20, {"animal_name": "a1"})
+    assert api.correlation_info(back, 1).count() == 64
+    np.savez(f"{tmp_path}/t.npz", 3 + np.random.default_rng(1).random((200, 4)))
+    assert api.dff(api.load_traces(spark, f"{tmp_path}/t.npz"), 20, 1).count() == 800
+    angle, spikes = head_direction(600, 12, peak=3)
+    rate = simulate.decay(spikes, 0.1, 100)
+    rows_ = spark.createDataFrame([(t, float(a), r.tolist()) for t, (a, r) in enumerate(zip(angle, rate))], "t long, angle double, features array<double>")
+    out = decoded(rows_, classes=12, folds=2, trees=10, depth=5)
+    assert out.count() == 600
+    assert out.select(angular_error(out.angle, out.decoded).alias("e")).approxQuantile("e", [0.5], 0.01)[0] < 0.8
