@@ -34,9 +34,11 @@ from somaflow.llm.textbytes import Hasher, chunks, mix
 
 LENGTH = 200
 GRAM = 64
-#: Classes of a group that are compared inside one task; larger groups are compared by shuffling their windows.
-CLASSES = 2000
-PIECE = 1 << 20
+#: Classes of a group that are compared inside one task (336 bytes each); larger groups are compared by shuffling their windows.
+CLASSES = 50_000
+#: Windows that are hashed at once when classes are compared.
+AT_ONCE = 1 << 18
+PIECE = 1 << 18
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -121,27 +123,35 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _windows(around: list[bytes], left: np.ndarray, length: int = LENGTH):
-    """(class, first byte from the anchor, hash) of every window of some surroundings."""
+def _windows(around: list[bytes], left: np.ndarray, low: int = -LENGTH, high: int = 1, length: int = LENGTH):
+    """(class, first byte from the anchor, hash) of the windows of some surroundings that start from ``low`` to ``high`` - 1."""
     sizes = np.fromiter(map(len, around), np.int64, len(around))
     data = np.frombuffer(b"".join(around), np.uint8)
     hasher, at = Hasher(data), np.cumsum(sizes) - sizes
-    count = np.maximum(sizes - length + 1, 0)
+    start, stop = np.maximum(-left, low), np.minimum(sizes - length - left + 1, high)
+    count = np.maximum(stop - start, 0)
     owner = np.repeat(np.arange(len(around)), count)
-    begin = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = at[owner] + begin
-    return owner, begin - left[owner], hasher.ranges(start, start + length)
+    first = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + start[owner]
+    begin = at[owner] + left[owner] + first
+    return owner, first, hasher.ranges(begin, begin + length)
 
 
 def _compared(groups: list[tuple]) -> list[tuple]:
     """(g, c, spans from the anchor) of the classes (g, c, l, around), whole groups, that share windows within their groups."""
-    g = np.array([x[0] for x in groups], np.int64)
+    g = np.array([x[0] for x in groups], np.int64).view(np.uint64)
     left = np.array([x[2] for x in groups], np.int64)
-    owner, first, h = _windows([x[3] for x in groups], left)
-    key = mix(mix(h + first.astype(np.uint64)) + g.view(np.uint64)[owner])
-    _, kind, times = np.unique(key, return_inverse=True, return_counts=True)
-    again = times[kind] > 1
-    owner, first = owner[again], first[again]
+    around = [x[3] for x in groups]
+    step = max(1, AT_ONCE // len(groups))
+    owners, firsts = [], []
+    for low in range(-LENGTH, 1, step):
+        owner, first, h = _windows(around, left, low, min(low + step, 1))
+        _, kind, times = np.unique(mix(mix(h + first.astype(np.uint64)) + g[owner]), return_inverse=True, return_counts=True)
+        again = times[kind] > 1
+        owners.append(owner[again])
+        firsts.append(first[again])
+    owner, first = np.concatenate(owners), np.concatenate(firsts)
+    order = np.argsort(owner, kind="stable")
+    owner, first = owner[order], first[order]
     out = []
     cuts = np.flatnonzero(np.diff(owner)) + 1
     for o, f in zip(np.split(owner, cuts), np.split(first, cuts)):
@@ -158,10 +168,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     anchors = written(_anchors(docs), "anchors")
     again = anchors.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("gg"))
+    again = written(again, "anchors-again")  # read back, a join with it can split a hot group
     shared = written(anchors.join(again, F.col("g") == F.col("gg")).drop("gg"), "anchors-shared")
     classes = shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("rep"), F.first("l").alias("l"), F.first("r").alias("r"))
     classes = written(classes, "classes")
     kinds = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("gg"), "k")
+    kinds = written(kinds, "kinds")
     # a class of two or more repeats all its windows; only single ones have to find partners
     copies = classes.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= LENGTH))
     full = copies.select("g", "c", F.array(F.struct((-F.col("l")).cast("int").alias("s"), F.col("r").cast("int").alias("e"))).alias("spans"))
@@ -170,15 +182,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs).join(want, F.col("key") == F.col("k_key")).select("key", "packed", "want").dropDuplicates(["key"])
 
     def around(batches):
+        names, kinds = ("g", "c", "k", "l", "around"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        held: list[tuple] = []
+
+        def flush():
+            columns = zip(*held) if held else [()] * len(names)
+            done = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names))
+            held.clear()
+            return done
+
         for batch in batches:
-            for k in range(len(batch)):
-                one = batch.slice(k, 1)
-                text, wanted = _unpacked(one.column(1))[0], one.column(2).to_pylist()[0]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([w[f] for w in wanted], t) for f, t in (("g", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("l", pa.int32()))),
-                     pa.array([text[w["place"] - w["l"] : w["place"] + w["r"]] for w in wanted], pa.binary())],
-                    ["g", "c", "k", "l", "around"],
-                )
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                for text, wanted in zip(_unpacked(part.column(1)), part.column(2).to_pylist()):
+                    for w in wanted:
+                        held.append((w["g"], w["c"], w["k"], w["l"], text[w["place"] - w["l"] : w["place"] + w["r"]]))
+                    if len(held) >= 8192:
+                        yield flush()
+        yield flush()
 
     surroundings = written(texts.mapInArrow(around, "g long, c long, k long, l int, around binary"), "surroundings")
 
@@ -190,10 +211,10 @@ def repeats(docs: DataFrame) -> DataFrame:
             found = _compared(rows) if rows else []
             return pa.RecordBatch.from_pylist([{"g": g, "c": c, "spans": [{"s": a, "e": b} for a, b in spans]} for g, c, spans in found], kind)
 
-        for batch in batches:
+        for batch in (b.slice(a, 1024) for b in batches for a in range(0, len(b), 1024)):
             columns = [batch.column(n).to_pylist() for n in ("g", "c", "l", "around")]
             for row in zip(*columns):
-                if len(held) >= 4096 and row[0] != held[-1][0]:
+                if len(held) >= 2048 and row[0] != held[-1][0]:
                     yield done(held)
                     held = []
                 held.append(row)
@@ -204,15 +225,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     paired = small.mapInArrow(compare, f"g long, c long, spans {_SPANS}")
 
     def windows(batches):
-        for batch in batches:
+        for batch in (b.slice(a, 2048) for b in batches for a in range(0, len(b), 2048)):
             columns = [batch.column(n) for n in ("g", "c", "l", "around")]
             owner, first, h = _windows(columns[3].to_pylist(), np.asarray(columns[2]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(columns[0])[owner]), pa.array(np.asarray(columns[1])[owner]), pa.array(first.astype(np.int32)), pa.array(h.view(np.int64))], ["g", "c", "first", "h"])
 
+    def unite(batches):
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        for batch in batches:
+            spans = [[{"s": a, "e": b} for a, b in _united([(f, f + LENGTH) for f in x])] for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["g", "c", "spans"])
+
     large = surroundings.where(F.col("k") > CLASSES).mapInArrow(windows, "g long, c long, first int, h long")
     met = large.groupBy("g", "first", "h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("g").alias("gg"), F.col("first").alias("ff"), F.col("h").alias("hh"))
     large = large.join(met, (F.col("g") == F.col("gg")) & (F.col("first") == F.col("ff")) & (F.col("h") == F.col("hh"))).groupBy("g", "c").agg(F.collect_set("first").alias("x"))
-    large = large.select("g", "c", F.transform("x", lambda f: F.struct(f.alias("s"), (f + LENGTH).cast("int").alias("e"))).alias("spans"))
+    large = large.mapInArrow(unite, f"g long, c long, spans {_SPANS}")
     verdicts = written(full.unionByName(paired).unionByName(large), "verdicts").select(F.col("g").alias("gg"), F.col("c").alias("cc"), "spans")
     members = shared.join(verdicts, (F.col("g") == F.col("gg")) & (F.col("c") == F.col("cc"))).select("key", "place", F.explode("spans").alias("x"))
     spans = F.struct((F.col("place") + F.col("x.s")).alias("s"), (F.col("place") + F.col("x.e")).alias("e"))
@@ -235,7 +262,7 @@ def trimmed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     schema = COLUMNS + (", kept binary" if with_text else "")
 
     def task(batches):
-        for batch in batches:
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, len(b), 512)):
             size, removed, runs, digests, kept = [], [], [], [], []
             for text, found in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist()):
                 cut = _united([(x["s"], x["e"]) for x in found or ()])

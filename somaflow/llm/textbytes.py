@@ -45,7 +45,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least n of each."""
     if len(_powers[0]) < n:
-        n = max(n, CHUNK + (CHUNK >> 1))
+        n = -(-n >> 18) << 18 if n > 1 << 19 else 1 << 19
         for k, b in enumerate((_BASE, _INVERSE)):
             x = np.full(n, b, np.uint64)
             x[0] = 1
@@ -90,13 +90,16 @@ class Words:
 
 def chunks(batch: pa.RecordBatch, column: str | int, limit: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
     """(first row, last row + 1, UTF-8 texts; null: empty) in runs of about ``limit`` bytes."""
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= limit or k + 1 == len(texts):
-            yield start, k + 1, [x or b"" for x in texts[start : k + 1]]
-            start, size = k + 1, 0
+    texts, start, size, held = batch.column(column), 0, 0, []
+    for at in range(0, len(batch), 128):
+        for t in texts.slice(at, 128).cast(pa.binary()).to_pylist():
+            held.append(t or b"")
+            size += len(held[-1])
+            if size >= limit:
+                yield start, start + len(held), held
+                start, size, held = start + len(held), 0, []
+    if held:
+        yield start, start + len(held), held
 
 
 class Lookup:
