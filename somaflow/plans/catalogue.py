@@ -573,6 +573,18 @@ def oasis_ar1(spark, sf):
     return traces.deconvolve(t, 0.8, 2.0).select("k", F.posexplode("c").alias("t", "c")).select("k", F.col("t").cast("bigint").alias("t"), r6(F.col("c"), 4).alias("c"))
 
 
+@query(f"""WITH {TR}, y AS (SELECT k, t, v - 50 AS y FROM tr),
+seg AS (SELECT a.k, a.t AS i, b.t AS j, sum(b.y * power(0.8, b.t - a.t)) OVER w / sum(power(0.64, b.t - a.t)) OVER w AS m FROM y a JOIN y b ON a.k = b.k AND b.t >= a.t WINDOW w AS (PARTITION BY a.k, a.t ORDER BY b.t)),
+low AS (SELECT k, i, j, min(m) OVER (PARTITION BY k, i ORDER BY j DESC) AS m FROM seg)
+SELECT k, j AS t, round(greatest(max(m * power(0.8, j - i)), 0), 4) + 0.0 AS c FROM low GROUP BY k, j""")
+def oasis_stream(spark, sf):
+    """The online operator over a stream of trace files, the last word on each frame."""
+    from somaflow.streaming.oasis_stream import run_to_end
+
+    out = run_to_end(event_traces(spark, sf).withColumn("v", F.col("v") - 50), 0.8)
+    return out.select("k", "t", r6(F.col("c"), 4).alias("c"))
+
+
 @query(f"""WITH {TR}, m AS (SELECT k, t, CASE WHEN (t * 7 + k) % 5 = 0 THEN NULL ELSE v END AS v FROM tr),
 q AS (SELECT k, t, v, max(CASE WHEN v IS NOT NULL THEN t END) OVER (PARTITION BY k ORDER BY t) AS b, min(CASE WHEN v IS NOT NULL THEN t END) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM m)
 SELECT q.k, q.t, round(CASE WHEN b IS NULL THEN fv.v WHEN f IS NULL OR f = b THEN bv.v ELSE bv.v + (q.t - b)::DOUBLE / (f - b) * (fv.v - bv.v) END, 6) AS v

@@ -9,13 +9,19 @@ was taken, are counted as late and dropped.
 
 from __future__ import annotations
 
+import sys
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from somaflow.functions import oasis
 from somaflow.functions.oasis import Pools
 
 OUTPUT = StructType([StructField("k", LongType()), StructField("t", LongType()), StructField("c", DoubleType()), StructField("s", DoubleType()), StructField("late", LongType())])
@@ -80,6 +86,46 @@ class OnlineDeconvolution(StatefulProcessor):
 
 
 def deconvolve_stream(frames: DataFrame, g: float, lam: float = 0.0, s_min: float = 0.0, b: float = 0.0) -> DataFrame:
-    """(k, t, c, s, late) of a stream (k, t, v); needs the RocksDB state store."""
+    """(k, t, c, s, late) of a stream (k, t, v); needs the RocksDB state store.
+
+    The state runner doesn't see packages sent by ``addPyFile``, so that the
+    code it needs travels with the processor.
+    """
+    for module in (sys.modules[__name__], oasis):
+        cloudpickle.register_pickle_by_value(module)
     processor = OnlineDeconvolution(g, lam, s_min, b)
     return frames.groupBy("k").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_to_end(traces: DataFrame, g: float, lam: float = 0.0, s_min: float = 0.0, b: float = 0.0, files: int = 4) -> DataFrame:
+    """(k, t, c, s, late) of traces (k, t, v) that are written as ``files`` files and streamed until all are read.
+
+    Every batch's rows are kept with the batch's number below the folder of
+    ``spark.checkpoint.dir``; of each frame the last batch's row holds.
+    """
+    spark = traces.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='somaflow-')}"
+    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    frames = traces.select("k", "t", "v")
+    frames.repartitionByRange(files, "t").write.parquet(f"{folder}/in")
+    old = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(f"{folder}/in")
+
+        def keep(df: DataFrame, epoch: int) -> None:
+            df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
+
+        q = deconvolve_stream(stream, g, lam, s_min, b).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if old is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, old)
+    rows = spark.read.parquet(f"{folder}/out")
+    last = rows.groupBy("k", "t").agg(F.max(F.struct("epoch", "c", "s", "late")).alias("r"))
+    return last.select("k", "t", "r.c", "r.s", "r.late")
