@@ -8,6 +8,11 @@ traces      (k BIGINT, t BIGINT, v DOUBLE)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +45,39 @@ def series(long: DataFrame, key: str) -> DataFrame:
     return long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s")).select(key, F.transform("s", lambda e: e["v"]).alias("y"))
 
 
+STRIP = 1024
+
+
+def by_strips(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], schema: str, strip: int = STRIP) -> DataFrame:
+    """The corner turn in blocks: ``kernel`` of the movie (frames, pixels) of each strip of pixels.
+
+    Each Arrow batch of frames is cut into one block per strip, so that what is
+    shuffled is blocks and not values; a task then holds frames x ``strip``
+    values.  ``kernel`` returns one row of columns after p for each pixel.
+    """
+    kind = "<f8" if "double" in frames.schema["px"].dataType.simpleString() else "<f4"
+
+    def cut(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = np.asarray(batch.column(0)).astype("<i8")
+            block = np.asarray(batch.column(1).flatten()).astype(kind).reshape(len(batch), -1)
+            starts = list(range(0, block.shape[1], strip))
+            parts = [np.ascontiguousarray(block[:, a : a + strip]).tobytes() for a in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(starts), dtype=np.int32)), pa.array([t.tobytes()] * len(starts), pa.binary()), pa.array(parts, pa.binary())], ["strip", "t", "block"])
+
+    def turn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        times = [np.frombuffer(b, "<i8") for b in pdf["t"]]
+        blocks = [np.frombuffer(b, kind).reshape(len(t), -1) for t, b in zip(times, pdf["block"])]
+        movie = np.concatenate(blocks)[np.argsort(np.concatenate(times), kind="stable")].astype(float)
+        out = np.asarray(kernel(movie)).reshape(movie.shape[1], -1)
+        columns = [c.split()[0] for c in schema.split(", ")]
+        return pd.DataFrame({"p": (int(key[0]) * strip + np.arange(len(out))).astype(np.int32), **{c: out[:, i] for i, c in enumerate(columns[1:])}})
+
+    return frames.select("t", "px").mapInArrow(cut, "strip int, t binary, block binary").groupBy("strip").applyInPandas(turn, schema)
+
+
 def ordered_traces(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Traces from time-stamped values: t counts each key's rows in order."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -66,3 +104,15 @@ def frame_sample(duration: int, most: int = 3072) -> list[tuple[int, int]]:
         return [(0, duration)]
     third, sixth = most // 3, most // 6
     return [(0, third), (duration // 2 - sixth, duration // 2 + sixth), (duration - third, duration)]
+
+
+def sampled(frames: DataFrame, most: int = 3072) -> DataFrame:
+    """The frames of :func:`frame_sample`; one aggregate asks for the duration."""
+    n = frames.agg(F.max("t")).first()[0]
+    if n is None or n + 1 <= most:
+        return frames
+    chosen = None
+    for a, b in frame_sample(n + 1, most):
+        inside = (F.col("t") >= a) & (F.col("t") < b)
+        chosen = inside if chosen is None else chosen | inside
+    return frames.where(chosen)

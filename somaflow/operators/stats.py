@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from somaflow.operators.layout import pixels, series, with_place
+from somaflow.operators.layout import by_strips, pixels, sampled, with_place
 
 #: Neighbours after a pixel in reading order; each pair of neighbours is met once.
 FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
@@ -17,8 +16,17 @@ AROUND = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 
 
 def template(frames: DataFrame) -> DataFrame:
-    """Median of each pixel over the frames, NaN left out: (p, template)."""
-    return pixels(frames).where(~F.isnan("v")).groupBy("p").agg(F.median("v").alias("template"))
+    """Median of each pixel over the frames, NaN left out: (p, template); pixels without a value have no row.
+
+    Frames are those of a block or of the movie's start, so that a strip of them fits a task.
+    """
+
+    def median(movie: np.ndarray) -> np.ndarray:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # pixels that are NaN throughout
+            return np.nanmedian(movie, axis=0)
+
+    return by_strips(frames, median, "p int, template double").where(~F.isnan("template"))
 
 
 def finite(frames: DataFrame) -> DataFrame:
@@ -54,15 +62,9 @@ def spectrum_noise(y: np.ndarray, method: str = "logmexp", low: float = 0.25, hi
     raise ValueError(f"unknown noise method {method!r}")
 
 
-def noise(long: DataFrame, key: str, method: str = "logmexp") -> DataFrame:
-    """(key, sn) of the series of (key, t, v)."""
-
-    @F.pandas_udf("double")
-    def sn(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for y in parts:
-            yield pd.Series([float(spectrum_noise(np.asarray(row, float), method)) for row in y])
-
-    return series(long, key).select(key, sn("y").alias("sn"))
+def noise_image(frames: DataFrame, method: str = "logmexp", most: int = 3072) -> DataFrame:
+    """(p, sn): noise of each pixel, from at most ``most`` frames of the start, middle and end."""
+    return by_strips(sampled(frames, most), lambda movie: spectrum_noise(movie.T, method), "p int, sn double")
 
 
 def pnr_image(frames: DataFrame, method: str = "logmexp") -> DataFrame:
@@ -70,9 +72,8 @@ def pnr_image(frames: DataFrame, method: str = "logmexp") -> DataFrame:
 
     The noise band leaves out frequency 0, so centring changes the peak alone.
     """
-    long = pixels(frames)
-    peak = long.groupBy("p").agg((F.max("v") - F.avg("v")).alias("peak"))
-    return peak.join(noise(long, "p", method), "p").select("p", "sn", (F.col("peak") / F.col("sn")).alias("pnr"))
+    peak = pixels(frames).groupBy("p").agg((F.max("v") - F.avg("v")).alias("peak"))
+    return peak.join(noise_image(frames, method), "p").select("p", "sn", (F.col("peak") / F.col("sn")).alias("pnr"))
 
 
 def correlation_image(frames: DataFrame, h: int, w: int) -> DataFrame:

@@ -116,7 +116,7 @@ def finite_values(spark, sf):
 
 def _noise(method: str):
     def f(spark, sf):
-        return layout.with_place(stats.noise(layout.pixels(movie(spark, sf)), "p", method), W).select("y", "x", r6(F.col("sn")).alias("sn"))
+        return layout.with_place(stats.noise_image(movie(spark, sf), method), W).select("y", "x", r6(F.col("sn")).alias("sn"))
 
     f.__name__ = f"noise_fft_{method}"
     return query(f"WITH {PX}, {DFT} SELECT y, x, round({NOISE[method]}, 6) AS sn FROM psd GROUP BY y, x")(f)
@@ -494,7 +494,7 @@ def projection_image(spark, sf):
 def pixel_threshold(spark, sf):
     """Values under a multiple of the pixel's noise count as zero."""
     long = layout.pixels(movie(spark, sf))
-    sn = stats.noise(long, "p", "mean").select("p", F.round("sn", 6).alias("sn"))
+    sn = stats.noise_image(movie(spark, sf), "mean").select("p", F.round("sn", 6).alias("sn"))
     return long.join(sn, "p").groupBy("p").agg(F.count(F.when(F.col("v") >= 0.5 * F.col("sn"), 1)).alias("kept"))
 
 
