@@ -348,7 +348,7 @@ def fit_patch(movie: np.ndarray, p) -> dict:
     m, hs, ws = small.shape
     from dataclasses import replace
 
-    shrunk = replace(p.init_params, gSig=tuple(max(1, v // s) for v in p.init_params.gSig), gSiz=tuple(max(2, v // s) for v in p.init_params.gSiz))
+    shrunk = replace(p.init_params, gSig=tuple(max(1, round(v / s)) for v in p.init_params.gSig), gSiz=tuple(max(2, round(v / s)) for v in p.init_params.gSiz))
     found, c, _ = seed_neurons(small, shrunk)
     a, ys = found.reshape(len(found), hs * ws), small.reshape(m, -1)
     radius = max(1, round(shrunk.gSiz[0] * p.init_params.ring_size_factor))
@@ -362,6 +362,9 @@ def fit_patch(movie: np.ndarray, p) -> dict:
     rows, cols = np.minimum(np.arange(h) // s, hs - 1), np.minimum(np.arange(w) // s, ws - 1)
     frames = np.minimum(np.arange(n) // t, m - 1)
     grow = lambda x: x.reshape(len(x), hs, ws)[:, rows][:, :, cols].reshape(len(x), h * w)
+    # the low-rank background is found on the small movie, its images resized smoothly
+    b, f = low_rank_background(back, p.temporal_params.nb, p.seed)
+    b, f = images.linear_up(b.reshape(len(b), hs, ws), h, w).reshape(len(b), -1), f[frames]
     a, c, back = grow(a), c[frames], grow(back)[frames]
     spikes = np.zeros_like(c)
     if len(a):
@@ -369,7 +372,6 @@ def fit_patch(movie: np.ndarray, p) -> dict:
         a, c = update_spatial(y - back, a, c, sn, (h, w), p.spatial_params)
         a, c, spikes = update_temporal(y - back, a, c, p.temporal_params)
         a, c, spikes = normalised(a, c, spikes)
-    b, f = low_rank_background(back, p.temporal_params.nb, p.seed)
     rest = residual_traces(y - f @ b, a, c)
     return {"a": a, "c": c, "s": spikes, "yra": rest, "b": b, "f": f, "sn": sn}
 

@@ -109,6 +109,18 @@ def area_down(block: np.ndarray, s: int, t: int) -> np.ndarray:
     return block[: n * t, : h * s, : w * s].reshape(n, t, h, s, w, s).mean(axis=(1, 3, 5))
 
 
+def linear_up(block: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Images resized by linear interpolation between pixel centres, the edge repeated."""
+    out = block
+    for axis, n in ((1, h), (2, w)):
+        size = block.shape[axis]
+        at = np.clip((np.arange(n) + 0.5) * size / n - 0.5, 0, size - 1)
+        low = np.floor(at).astype(int)
+        part = (at - low).reshape((-1, 1) if axis == 1 else (-1,))
+        out = np.take(out, low, axis) * (1 - part) + np.take(out, np.minimum(low + 1, size - 1), axis) * part
+    return out
+
+
 def center_of_mass(image: np.ndarray) -> np.ndarray:
     total = image.sum()
     return np.array([(image * i).sum() / total for i in np.indices(image.shape)])

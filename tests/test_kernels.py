@@ -144,6 +144,25 @@ def test_area_down_and_center():
     assert np.allclose(images.center_of_mass(dot), [3, 1])
 
 
+def test_linear_up():
+    ramp = np.add.outer(np.arange(4.0), np.arange(5.0))[None]
+    assert np.allclose(images.linear_up(ramp, 4, 5), ramp)
+    big = images.linear_up(ramp, 8, 10)
+    assert big.shape == (1, 8, 10) and np.allclose(np.diff(big[0, 1:-1, 1:-1], axis=1), 0.5)
+
+
+def test_patch_fit_on_a_smaller_movie(simulated):
+    y, truth = simulated
+    from somaflow.params import ExtractionParams
+
+    p = ExtractionParams(init_params=InitParams(gSig=(3, 3), gSiz=(8, 8), ssub=2, tsub=2, min_corr=0.5, min_pnr=1, thresh_init=0.5), temporal_params=TemporalParams(nb=3))
+    r = fx.fit_patch(y, p)
+    n, d = len(y), y[0].size
+    assert r["a"].shape == (len(r["a"]), d) and r["c"].shape == (n, len(r["a"])) and r["b"].shape == (3, d) and r["f"].shape == (n, 3)
+    best = [max((np.corrcoef(r["c"][:, k], truth["c"][:, j])[0, 1] for k in range(len(r["a"]))), default=0) for j in range(6)]
+    assert np.mean(np.array(best) > 0.7) >= 0.5
+
+
 def test_circular_constraint_keeps_one_blob():
     y, x = np.mgrid[:21, :21]
     a = np.exp(-((y - 6) ** 2 + (x - 6) ** 2) / 8) + 0.4 * np.exp(-((y - 15) ** 2 + (x - 15) ** 2) / 8)
