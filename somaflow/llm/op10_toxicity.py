@@ -29,8 +29,8 @@ RATE, DECAY, EPSILON, SCALE = 0.05, 0.02, 1e-3, 40
 #: Windows of a document that a round of training looks at.
 ROUND_WINDOWS = 6
 #: The sample that the model is fitted on: at most so many rows of each class, and so many bytes of text.
-CLASS_ROWS = 1200
-SAMPLE_BYTES = 8 << 20
+CLASS_ROWS = 2000
+SAMPLE_BYTES = 12 << 20
 HELD_OUT = 1
 _STEP = np.uint64(0x100000001B3)
 
@@ -143,7 +143,10 @@ class _Bags:
         kinds, self.kind = np.unique(kind, return_inverse=True)
         sizes = np.diff(first)[kinds]
         self.first = np.cumsum(sizes) - sizes
-        self.bucket = bucket[np.repeat(first[kinds] - self.first, sizes) + np.arange(sizes.sum())]
+        if len(kinds) + 1 == len(first):  # all words, so the layout is as it was
+            self.bucket = bucket
+        else:
+            self.bucket = bucket[np.repeat(first[kinds] - self.first, sizes) + np.arange(sizes.sum())]
         self.per_word = sizes.astype(np.float32)
         by_bucket = np.argsort(self.bucket, kind="stable").astype(np.int32)
         sorted_buckets = self.bucket[by_bucket]
@@ -172,7 +175,7 @@ class _Bags:
         return out
 
 
-def train(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed: int = 7, all_steps: int = 10, rounds: int = 8, round_steps: int = 30) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed: int = 7, all_steps: int = 10, rounds: int = 10, round_steps: int = 30) -> Model:
     """Fits the model; one class or no rows give a model that says the labels' share for every text.
 
     Three quarters of the rows train embeddings and softmax: some steps over all
