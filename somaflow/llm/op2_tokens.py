@@ -121,17 +121,17 @@ def _text_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_CHARS):
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encodes every whole text into files below ``folder``; returns their manifest.
 
-    Manifest: file, first (smallest place in the order), n_docs, n_tokens,
-    base (ids in all files before).  Order: ascending doc_id, null first, ties
-    by a hash of the text, which also spreads a repeated id over several files.
+    Manifest: part, file, n_docs, n_tokens, base (ids in all files before).
+    Order: ascending doc_id, null first, ties by a hash of the text, then by
+    place in the input, so that neither one id nor equal rows have to share a file.
     A null text is an empty one: its document holds the end id alone.  An empty
     table gives an empty manifest.
     """
     path = path or tokenizer_path()
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
-    ranged = ranged.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ranged = ranged.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
 
     def task(batches):
         from pyspark import TaskContext
