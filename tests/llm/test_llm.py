@@ -313,6 +313,34 @@ def test_few_vectors(spark):
     assert op6_neighbours.nearest(df.limit(0)).count() == 0
 
 
+def scores_of(spark, x):
+    """nearest() of vectors numbered from 0, as {query: [(vec_id, score)]}."""
+    got = collections.defaultdict(list)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    for r in op6_neighbours.nearest(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got
+
+
+@pytest.mark.parametrize("skew", ["outlier", "lognormal", "ranges", "narrow"])
+def test_neighbours_of_unequal_norms(spark, skew, monkeypatch):
+    if skew == "ranges":  # all but the outermost are hashed
+        monkeypatch.setattr(op6_neighbours, "WHOLE", 500)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if skew == "outlier":
+        x[77] *= 100
+    else:
+        x *= np.exp({"lognormal": 1, "ranges": 0.5, "narrow": 0.1}[skew] * rng.standard_normal((len(x), 1)))
+    got, ids = scores_of(spark, x), np.arange(0, len(x), 20)
+    score = x[ids] @ x.T
+    score[np.arange(len(ids)), ids] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    recall = np.array([len(set(w) & {v for v, _ in got[q]}) / 20 for q, w in zip(ids.tolist(), want.tolist())])
+    assert recall.mean() > 0.95 and recall.min() >= 0.5
+
+
 def test_two_axes_probe_their_own_bucket():
     h = op6_neighbours.CrossPolytope(20, 1.0, False, axes=2, tables=3)
     x = np.random.default_rng(4).standard_normal((50, 20))
