@@ -341,6 +341,28 @@ def test_neighbours_of_unequal_norms(spark, skew, monkeypatch):
     assert recall.mean() > 0.95 and recall.min() >= 0.5
 
 
+@pytest.mark.parametrize("n, dim", [(15, 64), (3, 2)])
+def test_few_vectors_meet_every_other(spark, n, dim):
+    x = np.random.default_rng(9).standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = scores_of(spark, x)
+    assert {q: {v for v, _ in found} for q, found in got.items()} == {0: set(range(1, n))}
+
+
+def test_queries_with_short_buckets_are_ranked_whole(spark):
+    rng = np.random.default_rng(10)
+    x = 0.02 * rng.standard_normal((5000, 64)) + np.eye(64)[0]
+    alone = np.arange(0, 200, 20)
+    x[alone] = 0.02 * rng.standard_normal((10, 64)) - np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = scores_of(spark, x)
+    assert {len(found) for found in got.values()} == {20} and len(got) == 250
+    for q in alone.tolist():
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [v for v, _ in got[q]] == np.argsort(-score, kind="stable")[:20].tolist()
+
+
 def test_two_axes_probe_their_own_bucket():
     h = op6_neighbours.CrossPolytope(20, 1.0, False, axes=2, tables=3)
     x = np.random.default_rng(4).standard_normal((50, 20))
