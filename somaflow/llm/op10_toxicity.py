@@ -11,6 +11,9 @@ all windows and then on each document's worst ones.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -267,9 +270,34 @@ def is_held_out():
     return F.pmod(F.crc32(_text_id(F.col("doc_id"))), F.lit(3)) == HELD_OUT
 
 
+def fitting(rows: Iterable[tuple[bytes, int]], most: int) -> tuple[list[bytes], list[int]]:
+    """The texts, and their labels, that fit in ``most`` bytes, in their order.
+
+    Half of the bytes are for each class; what the classes leave goes to the texts that found
+    no room, the shortest first.  A text that doesn't fit leaves itself out alone.
+    """
+    taken, later, used, held = [], [], [0, 0], 0
+    for i, (text, mark) in enumerate(rows):
+        if used[mark] + len(text) <= most // 2:
+            used[mark] += len(text)
+            taken.append((i, text, mark))
+            continue
+        heapq.heappush(later, (-len(text), -i, text, mark))
+        held += len(text)
+        while held > most:  # the longest can't find room any more
+            held -= len(heapq.heappop(later)[2])
+    room = most - sum(used)
+    for size, i, text, mark in sorted(later, reverse=True):
+        if -size <= room:
+            room += size
+            taken.append((-i, text, mark))
+    taken.sort(key=lambda row: row[0])
+    return [text for _, text, _ in taken], [mark for _, _, mark in taken]
+
+
 def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model fitted on a bounded sample: of each class the ``class_rows`` labelled ids that
-    hash lowest, as far as their whole texts fit in ``sample_bytes``; held-out ids never."""
+    hash lowest, those whose whole texts fit in ``sample_bytes`` (see ``fitting``); held-out ids never."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.md5(_text_id(F.col("doc_id"))), F.col("doc_id")]
     chosen = [marks.where(F.col("toxic") == c).orderBy(*order).limit(class_rows) for c in (0, 1)]
@@ -279,14 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, sample
     share = share**0.5 / (share**0.5 + (1 - share) ** 0.5)
 
     def task(batches):
-        texts, marked, size = [], [], 0
-        for batch in batches:
-            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = (text or "").encode()
-                size += len(text)
-                if size <= sample_bytes:
-                    texts.append(text)
-                    marked.append(mark)
+        rows = ((text or "", mark) for batch in batches for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        texts, marked = fitting(((text.encode(), mark) for text, mark in rows), sample_bytes)
         m = train(texts, np.array(marked, float), share)
         yield pa.RecordBatch.from_pylist([{"weight": m.weight.astype("<f4").tobytes(), "bias": m.bias, "slope": m.slope, "off": m.offset}])
 

@@ -514,6 +514,22 @@ def test_toxicity_on_held_out_rows(spark, toxic, docs, empty):
     assert op10_toxicity.scored(empty, none).count() == 0
 
 
+def test_a_text_too_long_to_learn_from_leaves_itself_out_alone(spark, toxic):
+    texts, labels = toxic
+    first = min((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1)[1]
+    long = spark.createDataFrame([(first, "word1 word2 " * (13 << 20 >> 3) + "end", "en", "s", 0)], SCHEMA)
+    model = op10_toxicity.fit(texts.where(f"doc_id <> {first}").unionByName(long), labels)
+    held = [r for r in op10_toxicity.scored(texts, model).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in held]) > 0.95
+
+
+def test_each_class_has_its_share_of_the_sample():
+    rows = [(b"x" * 9, 0), (b"c" * 3, 0), (b"d" * 3, 0), (b"t" * 4, 1), (b"u", 0)]
+    assert op10_toxicity.fitting(rows, 8) == ([b"c" * 3, b"t" * 4, b"u"], [0, 1, 0])
+    assert op10_toxicity.fitting(rows, 11) == ([b"c" * 3, b"d" * 3, b"t" * 4, b"u"], [0, 0, 1, 0])
+    assert op10_toxicity.fitting(rows, 20) == ([r for r, _ in rows], [m for _, m in rows])
+
+
 # -- pipeline
 
 
