@@ -75,9 +75,9 @@ class SuffixArray:
         rank = text + 1
         reach = 1
         while reach < depth and len(text):
-            ahead = np.zeros(len(text), np.int64)
-            ahead[:-reach] = rank[reach:]
-            key = rank * (int(rank.max()) + 1) + ahead
+            ahead = np.zeros(len(text), np.int64)  # 0: past the end, before all ranks
+            ahead[:-reach] = rank[reach:] + 1
+            key = rank * (int(rank.max()) + 2) + ahead
             kinds, rank = np.unique(key, return_inverse=True)
             reach *= 2
             if len(kinds) == len(text):

@@ -186,6 +186,19 @@ def test_longest_matches(docs, spark):
     assert best[1]["n_words"] == 25 and best[1]["doc_word"] == 5 and best[1]["doc_id"] == 3 and 0 not in best
 
 
+def test_suffixes_of_one_run_with_a_passage_standing_twice():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        passage = rng.integers(0, 12, rng.integers(20, 51))
+        ids = np.concatenate((passage, passage))
+        array = op3_decontamination.SuffixArray(ids, 13)
+        windows = np.lib.stride_tricks.sliding_window_view(ids, 13)
+        low, high = array.bounds(windows, np.full(len(windows), 13))
+        assert (high - low).tolist() == [(windows == w).all(axis=1).sum() for w in windows]
+        padded = [tuple(array.text[i : i + 13]) for i in array.order]
+        assert padded == sorted(padded)
+
+
 # -- 4 simhash
 
 
