@@ -62,18 +62,18 @@ def spectrum_noise(y: np.ndarray, method: str = "logmexp", low: float = 0.25, hi
     raise ValueError(f"unknown noise method {method!r}")
 
 
-def noise_image(frames: DataFrame, method: str = "logmexp", most: int = 3072) -> DataFrame:
-    """(p, sn): noise of each pixel, from at most ``most`` frames of the start, middle and end."""
-    return by_strips(sampled(frames, most), lambda movie: spectrum_noise(movie.T, method), "p int, sn double")
+def noise_image(frames: DataFrame, method: str = "logmexp", most: int | None = 3072) -> DataFrame:
+    """(p, sn): noise of each pixel, from at most ``most`` frames of the start, middle and end; None: from all."""
+    return by_strips(frames if most is None else sampled(frames, most), lambda movie: spectrum_noise(movie.T, method), "p int, sn double")
 
 
-def pnr_image(frames: DataFrame, method: str = "logmexp") -> DataFrame:
+def pnr_image(frames: DataFrame, method: str = "logmexp", most: int | None = 3072) -> DataFrame:
     """(p, sn, pnr): peak of the mean-centred pixel over its noise.
 
     The noise band leaves out frequency 0, so centring changes the peak alone.
     """
     peak = pixels(frames).groupBy("p").agg((F.max("v") - F.avg("v")).alias("peak"))
-    return peak.join(noise_image(frames, method), "p").select("p", "sn", (F.col("peak") / F.col("sn")).alias("pnr"))
+    return peak.join(noise_image(frames, method, most), "p").select("p", "sn", (F.col("peak") / F.col("sn")).alias("pnr"))
 
 
 def correlation_image(frames: DataFrame, h: int, w: int) -> DataFrame:
@@ -108,9 +108,9 @@ def correlation_image(frames: DataFrame, h: int, w: int) -> DataFrame:
     return both.unionByName(both.select(F.col("q").alias("p"), F.col("p").alias("q"), "r")).groupBy("p").agg(F.avg("r").alias("cn"))
 
 
-def correlation_info(frames: DataFrame, h: int, w: int, method: str = "logmexp") -> DataFrame:
+def correlation_info(frames: DataFrame, h: int, w: int, method: str = "logmexp", most: int | None = 3072) -> DataFrame:
     """(y, x, cn, pnr): the two images by which seeds are chosen."""
-    return with_place(correlation_image(frames, h, w).join(pnr_image(frames, method), "p"), w).select("y", "x", "cn", "pnr")
+    return with_place(correlation_image(frames, h, w).join(pnr_image(frames, method, most), "p"), w).select("y", "x", "cn", "pnr")
 
 
 def seed_mask(info: DataFrame, h: int, w: int, min_corr: float, min_pnr: float, border: int) -> DataFrame:

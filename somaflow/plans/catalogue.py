@@ -116,7 +116,7 @@ def finite_values(spark, sf):
 
 def _noise(method: str):
     def f(spark, sf):
-        return layout.with_place(stats.noise_image(movie(spark, sf), method), W).select("y", "x", r6(F.col("sn")).alias("sn"))
+        return layout.with_place(stats.noise_image(movie(spark, sf), method, None), W).select("y", "x", r6(F.col("sn")).alias("sn"))
 
     f.__name__ = f"noise_fft_{method}"
     return query(f"WITH {PX}, {DFT} SELECT y, x, round({NOISE[method]}, 6) AS sn FROM psd GROUP BY y, x")(f)
@@ -128,7 +128,7 @@ for _method in NOISE:
 
 @query(f"WITH {PX}, {DFT}, {PNR.format(noise=NOISE['logmexp'])} SELECT y, x, round(pnr, 5) AS pnr FROM pnr")
 def pnr_image(spark, sf):
-    return layout.with_place(stats.pnr_image(movie(spark, sf)), W).select("y", "x", r6(F.col("pnr"), 5).alias("pnr"))
+    return layout.with_place(stats.pnr_image(movie(spark, sf), most=None), W).select("y", "x", r6(F.col("pnr"), 5).alias("pnr"))
 
 
 @query(f"WITH {PX}, {CORR} SELECT y, x, round(cn, 6) + 0.0 AS cn FROM cn")
@@ -141,14 +141,14 @@ INFO = f"{PX}, {DFT}, {PNR.format(noise=NOISE['mean'])}, {CORR}, info AS (SELECT
 
 @query(f"WITH {INFO} SELECT y, x, round(cn, 6) + 0.0 AS cn, round(pnr, 5) AS pnr FROM info")
 def correlation_info(spark, sf):
-    return stats.correlation_info(movie(spark, sf), H, W, "mean").select("y", "x", r6(F.col("cn")).alias("cn"), r6(F.col("pnr"), 5).alias("pnr"))
+    return stats.correlation_info(movie(spark, sf), H, W, "mean", None).select("y", "x", r6(F.col("cn")).alias("cn"), r6(F.col("pnr"), 5).alias("pnr"))
 
 
 SEED = f"{INFO}, seed AS (SELECT y, x, CASE WHEN cn < 0.0 OR pnr < 0.17 OR y < 1 OR y >= 7 OR x < 1 OR x >= 7 THEN 0 ELSE round(cn * pnr, 6) END AS score FROM info)"
 
 
 def _seeds(spark, sf):
-    return stats.seed_mask(stats.correlation_info(movie(spark, sf), H, W, "mean"), H, W, 0.0, 0.17, 1).select("y", "x", r6(F.col("score")).alias("score"))
+    return stats.seed_mask(stats.correlation_info(movie(spark, sf), H, W, "mean", None), H, W, 0.0, 0.17, 1).select("y", "x", r6(F.col("score")).alias("score"))
 
 
 @query(f"WITH {SEED} SELECT y, x, score::DOUBLE AS score FROM seed")
@@ -494,7 +494,7 @@ def projection_image(spark, sf):
 def pixel_threshold(spark, sf):
     """Values under a multiple of the pixel's noise count as zero."""
     long = layout.pixels(movie(spark, sf))
-    sn = stats.noise_image(movie(spark, sf), "mean").select("p", F.round("sn", 6).alias("sn"))
+    sn = stats.noise_image(movie(spark, sf), "mean", None).select("p", F.round("sn", 6).alias("sn"))
     return long.join(sn, "p").groupBy("p").agg(F.count(F.when(F.col("v") >= 0.5 * F.col("sn"), 1)).alias("kept"))
 
 

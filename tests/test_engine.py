@@ -48,6 +48,19 @@ def test_kernel_query_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["noise_fft_mean", "noise_fft_median", "noise_fft_logmexp", "pnr_image", "correlation_info", "seed_mask", "seed_rank", "pixel_threshold"])
+def test_noise_of_a_long_movie_equals_sql(spark, save, tmp_path, name):
+    rng = np.random.default_rng(6)
+    m = (rng.standard_normal((3100, 64)) * np.linspace(0.1, 1, 3100)[:, None] + rng.random(3100)[:, None]).astype(np.float32)
+    save(spark.createDataFrame([(t, f.tolist(), t % 10) for t, f in enumerate(m)], "vec_id long, embedding array<float>, label int"), "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df, rel = catalogue.queries()[name](spark, f"file://{tmp_path}"), con.execute(catalogue.oracle_sql()[name])
+    cols = [c[0] for c in rel.description]
+    want = rel.fetchall()
+    assert want and rows([tuple(r[c] for c in cols) for r in df.collect()]) == rows(want)
+
+
 def frames(spark, movie):
     return spark.createDataFrame([(t, f.ravel().tolist()) for t, f in enumerate(movie)], "t long, px array<double>").repartition(4)
 
