@@ -382,6 +382,21 @@ def test_two_axes_probe_their_own_bucket():
     assert all(c in p for code, probe in zip(h.codes(x), h.probes(x)) for c, p in zip(code.tolist(), probe.tolist()))
 
 
+@pytest.mark.parametrize("low, high", [(1.0, 1.0), (0.9, 1.1)])
+def test_hash_of_a_million_vectors(low, high):
+    """Recall of the hash that a range of a million vectors gets, on a part of them."""
+    hashers, _ = op6_neighbours._ranges([{"step": 0, "low": low, "high": high, "n": 1_000_000}], 64)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((100_000, 64))
+    x *= rng.uniform(low, high, (len(x), 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    score = x[:40] @ x.T
+    score[np.arange(40), np.arange(40)] = -np.inf
+    probes, found = hashers[0].probes(x[:40]), 0
+    for p, near in zip(probes, np.argpartition(-score, 20, axis=1)[:, :20]):
+        found += (hashers[0].codes(x[near])[:, :, None] == p[None]).any(axis=(1, 2)).sum()
+    assert found > 0.9 * 20 * 40
+
+
 # -- 7 licences
 
 
