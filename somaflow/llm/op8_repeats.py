@@ -13,11 +13,15 @@ operator sorts a sample of the suffixes instead and induces the rest from it.
    windows that hold the anchor) are one class, so copies are compared once.
 3. Induce.  A class of two members or more repeats all its windows.  Otherwise
    the surroundings of the group's classes are compared window by window, each
-   class's surroundings read once.
+   class's surroundings read once.  A group of many classes is cut first: by
+   ranges of window starts, and by the bytes that all windows of a range hold.
+   What differs outside a range is one class there, so the parts shrink.
 4. The repeated windows of each class go back to its members, and each
    document's windows are united.
 
-Equality is that of two or three independent 64-bit hashes of the bytes.
+The rolling hashes only propose.  Windows that meet in a task count as equal if
+their bytes are; across tasks, and for classes and documents, the 128-bit
+BLAKE2b or MD5 digest of the bytes decides.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from somaflow.llm.shared import written
@@ -34,22 +38,30 @@ from somaflow.llm.textbytes import Hasher, chunks, mix
 
 LENGTH = 200
 GRAM = 64
-#: Classes of a group that are compared inside one task (336 bytes each); larger groups are compared by shuffling their windows.
-CLASSES = 50_000
+#: Classes of a group that are compared inside one task (336 bytes each); larger groups are cut, and what is still larger is compared by shuffling windows.
+CLASSES = 1024
+#: Window starts to a range of a cut group.
+STEP = 18
 #: Windows that are hashed at once when classes are compared.
 AT_ONCE = 1 << 18
 PIECE = 1 << 18
 _PLACE = np.uint64((1 << 31) - 1)
 
 
+def _digest(data, mark: int) -> bytes:
+    """128 bits that tell apart the bytes, and the place ``mark`` in them."""
+    return hashlib.blake2b(data, digest_size=16, salt=mark.to_bytes(8, "little", signed=True)).digest()
+
+
 def anchors_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Anchors of some texts: text, place, hash of the anchor (g), hash (c), bytes before (l) and from (r) it of its surroundings."""
+    """Anchors of some texts: text, place, hash of the anchor (g), digest (c), bytes before (l) and from (r) it of its surroundings."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.concatenate(([0], np.cumsum(sizes)))
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     none = np.zeros(0, np.int64)
     if not (sizes >= length).any():
-        return {"text": none, "place": none, "g": none.astype(np.uint64), "c": none.astype(np.uint64), "l": none, "r": none}
+        return {"text": none, "place": none, "g": none.astype(np.uint64), "c": [], "l": none, "r": none}
     hasher = Hasher(data)
     grams = len(data) - gram + 1
     g = mix((hasher.sums[gram:] - hasher.sums[:-gram]) * hasher.down[:grams])
@@ -68,11 +80,16 @@ def anchors_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> di
     place = place[np.concatenate(([True], place[1:] != place[:-1]))]
     text = np.searchsorted(at, place, side="right") - 1
     begin, end = np.maximum(at[text], place - (length - gram)), np.minimum(at[text + 1], place + length)
-    left = place - begin
-    c = mix(hasher.ranges(begin, end) + left.astype(np.uint64))
+    left, view = place - begin, memoryview(joined)
+    c = [_digest(view[a:b], n) for a, b, n in zip(begin.tolist(), end.tolist(), left.tolist())]
     return {"text": text, "place": place - at[text], "g": g[place], "c": c, "l": left, "r": end - place}
 
 
+def _key() -> Column:
+    """A digest of id and text, which equal rows share."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(key, doc_id, packed): the whole text as Zstandard bytes, and a key that equal rows share."""
 
@@ -85,24 +102,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([packer.compress(t) for t in texts], pa.binary())], ["key", "doc_id", "packed"])
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "key long, doc_id long, packed binary")
+    rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(task, "key binary, doc_id long, packed binary")
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
     def task(batches):
         for batch in batches:
-            keys = np.asarray(batch.column(0))
             for a, _, texts in chunks(batch, "text", PIECE):
                 x = anchors_of(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a + x["text"]]), pa.array(x["place"].astype(np.int32)), pa.array(x["g"].view(np.int64)), pa.array(x["c"].view(np.int64)),
+                    [batch.column(0).take(pa.array(a + x["text"])), pa.array(x["place"].astype(np.int32)), pa.array(x["g"].view(np.int64)), pa.array(x["c"], pa.binary()),
                      pa.array(x["l"].astype(np.int16)), pa.array(x["r"].astype(np.int16))],
                     ["key", "place", "g", "c", "l", "r"],
                 )
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "key long, place int, g long, c long, l short, r short")
+    rows = docs.select(_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(task, "key binary, place int, g long, c binary, l short, r short")
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
@@ -123,49 +139,157 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _windows(around: list[bytes], left: np.ndarray, low: int = -LENGTH, high: int = 1, length: int = LENGTH):
-    """(class, first byte from the anchor, hash) of the windows of some surroundings that start from ``low`` to ``high`` - 1."""
-    sizes = np.fromiter(map(len, around), np.int64, len(around))
-    data = np.frombuffer(b"".join(around), np.uint8)
-    hasher, at = Hasher(data), np.cumsum(sizes) - sizes
+def _windows(sizes: np.ndarray, left: np.ndarray, low: int = -LENGTH, high: int = 1, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, first byte from the anchor, first byte of all) of the windows of joined surroundings that start from ``low`` to ``high`` - 1."""
+    at = np.cumsum(sizes) - sizes
     start, stop = np.maximum(-left, low), np.minimum(sizes - length - left + 1, high)
     count = np.maximum(stop - start, 0)
-    owner = np.repeat(np.arange(len(around)), count)
+    owner = np.repeat(np.arange(len(sizes)), count)
     first = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + start[owner]
-    begin = at[owner] + left[owner] + first
-    return owner, first, hasher.ranges(begin, begin + length)
+    return owner, first, at[owner] + left[owner] + first
+
+
+def _equal(data: np.ndarray, name: np.ndarray, first: np.ndarray, begin: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which windows have another one of their name, first byte and bytes."""
+    words = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    out, rest = np.zeros(len(name), bool), np.arange(len(name))
+    while len(rest):
+        _, at, kind = np.unique(name[rest], return_index=True, return_inverse=True)
+        model = rest[at][kind]
+        same = first[rest] == first[model]
+        for k in [*range(0, length - 8, 8), length - 8]:
+            same &= words[begin[rest] + k] == words[begin[model] + k]
+        out[rest] = same & (np.bincount(kind, same) > 1)[kind]
+        rest = rest[~same]  # equal hashes of different bytes: compared among themselves
+    return out
 
 
-def _compared(groups: list[tuple]) -> list[tuple]:
-    """(g, c, spans from the anchor) of the classes (g, c, l, around), whole groups, that share windows within their groups."""
-    g = np.array([x[0] for x in groups], np.int64).view(np.uint64)
-    left = np.array([x[2] for x in groups], np.int64)
-    around = [x[3] for x in groups]
-    step = max(1, AT_ONCE // len(groups))
+def _compared(left: np.ndarray, group: np.ndarray, around: list[bytes]):
+    """(class, its repeated windows' first bytes from the anchor) of whole groups of classes, by class."""
+    sizes = np.fromiter(map(len, around), np.int64, len(around))
+    data = np.frombuffer(b"".join(around), np.uint8)
+    hasher = Hasher(data)
+    step = max(1, AT_ONCE // len(around))
     owners, firsts = [], []
     for low in range(-LENGTH, 1, step):
-        owner, first, h = _windows(around, left, low, min(low + step, 1))
-        _, kind, times = np.unique(mix(mix(h + first.astype(np.uint64)) + g[owner]), return_inverse=True, return_counts=True)
-        again = times[kind] > 1
-        owners.append(owner[again])
-        firsts.append(first[again])
+        owner, first, begin = _windows(sizes, left, low, min(low + step, 1))
+        name = mix(mix(hasher.ranges(begin, begin + LENGTH) + first.astype(np.uint64)) + group[owner].astype(np.uint64))
+        _, kind, times = np.unique(name, return_inverse=True, return_counts=True)
+        met = np.flatnonzero(times[kind] > 1)
+        met = met[_equal(data, kind[met], first[met], begin[met])]
+        owners.append(owner[met])
+        firsts.append(first[met])
     owner, first = np.concatenate(owners), np.concatenate(firsts)
     order = np.argsort(owner, kind="stable")
     owner, first = owner[order], first[order]
-    out = []
     cuts = np.flatnonzero(np.diff(owner)) + 1
-    for o, f in zip(np.split(owner, cuts), np.split(first, cuts)):
-        if len(o):
-            out.append((groups[o[0]][0], groups[o[0]][1], _united([(x, x + LENGTH) for x in f.tolist()])))
-    return out
+    return [(int(o[0]), f.tolist()) for o, f in zip(np.split(owner, cuts), np.split(first, cuts)) if len(o)]
 
 
+_SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _SPANS = "array<struct<s:int,e:int>>"
 
 
+def _as_spans(starts: list[list[int]]) -> pa.Array:
+    return pa.array([[{"s": a, "e": b} for a, b in _united([(f, f + LENGTH) for f in x])] for x in starts], _SPAN)
+
+
+def _whole(classes: DataFrame) -> DataFrame:
+    """(g, c, spans) of classes (g, c, l, r) all of whose windows are repeated."""
+    return classes.select("g", "c", F.array(F.struct((-F.col("l")).cast("int").alias("s"), F.col("r").cast("int").alias("e"))).alias("spans"))
+
+
+def _in_tasks(surroundings: DataFrame) -> DataFrame:
+    """(g, c, spans): classes (g, c, l, around) compared within groups of at most CLASSES, a group in one task."""
+    spark = surroundings.sparkSession
+    kind = dict(surroundings.dtypes)["g"]
+
+    def compare(batches):
+        columns: list[list] = [[], [], [], []]
+
+        def done():
+            g, c, left, around = columns
+            group = np.cumsum([0, *(x != y for x, y in zip(g[1:], g))])
+            found = _compared(np.array(left, np.int64), group, around)
+            kinds = (pa.binary() if kind == "binary" else pa.int64(), pa.binary())
+            made = [pa.array([x[o] for o, _ in found], t) for x, t in zip((g, c), kinds)]
+            return pa.RecordBatch.from_arrays([*made, _as_spans([f for _, f in found])], ["g", "c", "spans"])
+
+        for batch in (b.slice(a, 256) for b in batches for a in range(0, len(b), 256)):
+            for row in zip(*(batch.column(n).to_pylist() for n in ("g", "c", "l", "around"))):
+                if len(columns[0]) >= 2048 and row[0] != columns[0][-1]:
+                    yield done()
+                    columns = [[], [], [], []]
+                for x, v in zip(columns, row):
+                    x.append(v)
+        if columns[0]:
+            yield done()
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = surroundings.select("g", "c", "l", "around").repartition(parts, "g").sortWithinPartitions("g")
+    return dealt.mapInArrow(compare, f"g {kind}, c binary, spans {_SPANS}")
+
+
+def _by_windows(surroundings: DataFrame) -> DataFrame:
+    """(g, c, spans): classes (g, c, l, around) of groups of any size, compared by shuffling their windows' digests."""
+    kind = dict(surroundings.dtypes)["g"]
+
+    def windows(batches):
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, len(b), 512)):
+            around = batch.column("around").to_pylist()
+            owner, first, begin = _windows(np.fromiter(map(len, around), np.int64, len(around)), np.asarray(batch.column("l")).astype(np.int64))
+            view, of = memoryview(b"".join(around)), pa.array(owner)
+            h = [_digest(view[a : a + LENGTH], f) for a, f in zip(begin.tolist(), first.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(of), batch.column("c").take(of), pa.array(first.astype(np.int32)), pa.array(h, pa.binary())], ["g", "c", "first", "h"])
+
+    def unite(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("c"), _as_spans(batch.column("x").to_pylist())], ["g", "c", "spans"])
+
+    each = written(surroundings.mapInArrow(windows, f"g {kind}, c binary, first int, h binary"), "windows")
+    met = each.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("gg"), F.col("h").alias("hh"))
+    met = written(met, "windows-met")
+    found = each.join(met, (F.col("g") == F.col("gg")) & (F.col("h") == F.col("hh"))).groupBy("g", "c").agg(F.collect_set("first").alias("x"))
+    return found.mapInArrow(unite, f"g {kind}, c binary, spans {_SPANS}")
+
+
+def _in_parts(surroundings: DataFrame) -> DataFrame:
+    """(g, c, spans): classes (g, c, l, around) of large groups, cut by ranges of window starts and the bytes common to a range.
+
+    Equal windows start in the same range and hold the same common bytes, so
+    they meet in one part.  The parts are groups of classes like those before.
+    """
+
+    def cut(batches):
+        names = ("of_g", "of_c", "g", "c", "l", "r", "around")
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, len(b), 512)):
+            rows = []
+            for g, c, left, around in zip(*(batch.column(n).to_pylist() for n in ("g", "c", "l", "around"))):
+                for low in range(GRAM - LENGTH, 1, STEP):
+                    last = min(low + STEP - 1, 0)
+                    a, b = max(-left, low), min(len(around) - left - LENGTH, last)
+                    if a <= b:
+                        part = around[left + a : left + b + LENGTH]
+                        rows.append((g, c, _digest(around[left + last : left + low + LENGTH], low), _digest(part, a), -a, b + LENGTH, part))
+            columns = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names))
+
+    parts = written(surroundings.mapInArrow(cut, "of_g long, of_c binary, g binary, c binary, l int, r int, around binary"), "parts")
+    classes = parts.groupBy("g", "c").agg(F.count("*").alias("n"), F.first("l").alias("l"), F.first("r").alias("r"), F.first("around").alias("around"))
+    classes = written(classes, "part-classes")
+    kinds = written(classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("gg"), "k"), "part-kinds")
+    mixed = classes.join(kinds, F.col("g") == F.col("gg")).select("g", "c", "k", "l", "around")
+    found = _whole(classes.where("n > 1")).unionByName(_in_tasks(mixed.where(F.col("k") <= CLASSES)))
+    if not (large := mixed.where(F.col("k") > CLASSES)).isEmpty():
+        found = found.unionByName(_by_windows(large))
+    found = written(found, "part-verdicts").select(F.col("g").alias("gg"), F.col("c").alias("cc"), "spans")
+    back = parts.join(found, (F.col("g") == F.col("gg")) & (F.col("c") == F.col("cc"))).select(F.col("of_g").alias("g"), F.col("of_c").alias("c"), "spans")
+    return back.groupBy("g", "c").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, spans): the repeated bytes of each document that has any, as spans that may overlap."""
-    spark = docs.sparkSession
     anchors = written(_anchors(docs), "anchors")
     again = anchors.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("gg"))
     again = written(again, "anchors-again")  # read back, a join with it can split a hot group
@@ -175,14 +299,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     kinds = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("gg"), "k")
     kinds = written(kinds, "kinds")
     # a class of two or more repeats all its windows; only single ones have to find partners
-    copies = classes.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= LENGTH))
-    full = copies.select("g", "c", F.array(F.struct((-F.col("l")).cast("int").alias("s"), F.col("r").cast("int").alias("e"))).alias("spans"))
+    full = _whole(classes.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= LENGTH)))
     mixed = classes.join(kinds, F.col("g") == F.col("gg")).where(F.col("l") + F.col("r") >= LENGTH)
     want = mixed.groupBy(F.col("rep.key").alias("k_key")).agg(F.collect_list(F.struct("g", "c", "k", "l", "r", F.col("rep.place").alias("place"))).alias("want"))
     texts = _keyed(docs).join(want, F.col("key") == F.col("k_key")).select("key", "packed", "want").dropDuplicates(["key"])
 
     def around(batches):
-        names, kinds = ("g", "c", "k", "l", "around"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        names, kinds = ("g", "c", "k", "l", "around"), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
         held: list[tuple] = []
 
         def flush():
@@ -197,50 +320,15 @@ def repeats(docs: DataFrame) -> DataFrame:
                 for text, wanted in zip(_unpacked(part.column(1)), part.column(2).to_pylist()):
                     for w in wanted:
                         held.append((w["g"], w["c"], w["k"], w["l"], text[w["place"] - w["l"] : w["place"] + w["r"]]))
-                    if len(held) >= 8192:
-                        yield flush()
+                        if len(held) >= 8192:
+                            yield flush()
         yield flush()
 
-    surroundings = written(texts.mapInArrow(around, "g long, c long, k long, l int, around binary"), "surroundings")
-
-    def compare(batches):
-        held: list[tuple] = []
-        kind = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
-
-        def done(rows):
-            found = _compared(rows) if rows else []
-            return pa.RecordBatch.from_pylist([{"g": g, "c": c, "spans": [{"s": a, "e": b} for a, b in spans]} for g, c, spans in found], kind)
-
-        for batch in (b.slice(a, 1024) for b in batches for a in range(0, len(b), 1024)):
-            columns = [batch.column(n).to_pylist() for n in ("g", "c", "l", "around")]
-            for row in zip(*columns):
-                if len(held) >= 2048 and row[0] != held[-1][0]:
-                    yield done(held)
-                    held = []
-                held.append(row)
-        yield done(held)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = surroundings.where(F.col("k") <= CLASSES).repartition(max(parts, 2 * spark.sparkContext.defaultParallelism), "g").sortWithinPartitions("g")
-    paired = small.mapInArrow(compare, f"g long, c long, spans {_SPANS}")
-
-    def windows(batches):
-        for batch in (b.slice(a, 2048) for b in batches for a in range(0, len(b), 2048)):
-            columns = [batch.column(n) for n in ("g", "c", "l", "around")]
-            owner, first, h = _windows(columns[3].to_pylist(), np.asarray(columns[2]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(columns[0])[owner]), pa.array(np.asarray(columns[1])[owner]), pa.array(first.astype(np.int32)), pa.array(h.view(np.int64))], ["g", "c", "first", "h"])
-
-    def unite(batches):
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        for batch in batches:
-            spans = [[{"s": a, "e": b} for a, b in _united([(f, f + LENGTH) for f in x])] for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)], ["g", "c", "spans"])
-
-    large = surroundings.where(F.col("k") > CLASSES).mapInArrow(windows, "g long, c long, first int, h long")
-    met = large.groupBy("g", "first", "h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select(F.col("g").alias("gg"), F.col("first").alias("ff"), F.col("h").alias("hh"))
-    large = large.join(met, (F.col("g") == F.col("gg")) & (F.col("first") == F.col("ff")) & (F.col("h") == F.col("hh"))).groupBy("g", "c").agg(F.collect_set("first").alias("x"))
-    large = large.mapInArrow(unite, f"g long, c long, spans {_SPANS}")
-    verdicts = written(full.unionByName(paired).unionByName(large), "verdicts").select(F.col("g").alias("gg"), F.col("c").alias("cc"), "spans")
+    surroundings = written(texts.mapInArrow(around, "g long, c binary, k long, l int, around binary"), "surroundings")
+    verdicts = full.unionByName(_in_tasks(surroundings.where(F.col("k") <= CLASSES)))
+    if not (large := surroundings.where(F.col("k") > CLASSES)).isEmpty():
+        verdicts = verdicts.unionByName(_in_parts(large))
+    verdicts = written(verdicts, "verdicts").select(F.col("g").alias("gg"), F.col("c").alias("cc"), "spans")
     members = shared.join(verdicts, (F.col("g") == F.col("gg")) & (F.col("c") == F.col("cc"))).select("key", "place", F.explode("spans").alias("x"))
     spans = F.struct((F.col("place") + F.col("x.s")).alias("s"), (F.col("place") + F.col("x.e")).alias("e"))
     return members.groupBy("key").agg(F.collect_set(spans).alias("spans"))

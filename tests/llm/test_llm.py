@@ -430,7 +430,47 @@ def removed(texts):
         yield len(t), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("classes", [50_000, 3])
+def colliding():
+    """Two texts of 200 bytes, equal in their first 64, whose rolling hashes are equal: blocks of alternating bytes, met in the middle."""
+    from somaflow.llm import textbytes
+
+    rng = np.random.default_rng(13)
+    starts = rng.integers(97, 123, (20_000, 64), dtype=np.uint8)
+    g = [int(textbytes.mix(textbytes.Hasher(x).sums[-1:])[0]) for x in starts]
+    start = starts[int(np.argmin(g))]  # the anchor of both texts
+    swap = np.array([bin(i).count("1") % 2 for i in range(32)], bool)
+    power = textbytes.powers(200)[0]
+    turn = int((np.where(swap, -1, 1).astype(np.int64).view(np.uint64) * power[:32]).sum(dtype=np.uint64))
+    free = 64 - (turn & -turn).bit_length() + 1  # bits of a difference that can differ from zero
+    letters = np.arange(33, 127)
+    x, y = (k.reshape(-1) for k in np.meshgrid(letters, letters))
+    x, y = x[x != y], y[x != y]
+    d, mask = textbytes._VALUE[x] - textbytes._VALUE[y], np.uint64((1 << free) - 1)
+    pick = rng.integers(0, len(d), (4, 1 << 24))
+    sums = [d[p] * power[32 * j] for j, p in enumerate(pick)]
+    one, two = (sums[0] + sums[1]) & mask, (np.uint64(0) - sums[2] - sums[3]) & mask
+    order = np.argsort(two)
+    at = np.minimum(np.searchsorted(two[order], one), len(two) - 1)
+    i = int(np.flatnonzero(two[order][at] == one)[0])
+    found = [pick[0, i], pick[1, i], pick[2, order[at[i]]], pick[3, order[at[i]]]]
+    texts = [bytes(start) + b"".join(np.where(swap == k, x[p], y[p]).astype(np.uint8).tobytes() for p in found) + b"the same" for k in (False, True)]
+    hashes = [textbytes.Hasher(np.frombuffer(t, np.uint8)).ranges(np.array([0]), np.array([200]))[0] for t in texts]
+    assert hashes[0] == hashes[1] and texts[0] != texts[1]
+    return [t.decode() for t in texts]
+
+
+def test_equal_hashes_are_no_repeats(spark):
+    one, two = colliding()
+    x = op8_repeats.anchors_of([one.encode(), two.encode()])
+    assert x["place"].tolist() == [0, 0] and x["g"][0] == x["g"][1]
+    rows = [(1, one), (2, two), (3, "q" * 40 + one), (4, one[:150])]
+    got = {r["doc_id"]: r["n_removed"] for r in op8_repeats.trimmed(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0}
+    got = {r["doc_id"]: r["n_removed"] for r in op8_repeats.trimmed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 200, 2: 0, 3: 200, 4: 0}
+
+
+@pytest.mark.parametrize("classes", [50_000, 20, 3])
 def test_repeats(docs, spark, empty, classes):
     rng = np.random.default_rng(5)
     base = [r["text"] for r in docs.where("length(text) > 700").limit(12).collect()]
