@@ -1,10 +1,11 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each document gets a 36-bit hash of its id.  Tokens are summed by source and
-hash bucket (12 bits at a time); the bucket in which a source's budget runs out
-is refined by the next 12 bits, and only that bucket's documents are read
-again.  After three levels the threshold has full resolution and one comparison
-per document decides, without any sort of documents.
+Each document gets a 36-bit hash of its id, its text's digest and its rank among
+equal rows.  Tokens are summed by source and hash bucket (12 bits at a time);
+the bucket in which a source's budget runs out is refined by the next 12 bits,
+and only that bucket's documents are read again.  After three levels the
+threshold has full resolution and one comparison per document decides, without
+any sort of documents.
 
 Everything here is DataFrame and SQL functions.
 """
@@ -25,21 +26,47 @@ LEVEL_BITS = 12
 LEVELS = 3
 #: A table of sources up to this many rows (a long, a string and four numbers each) is broadcast.
 BROADCAST_SOURCES = 50_000
+#: A table of the keys of repeated rows up to this many (a string of 32 bytes each) is broadcast.
+BROADCAST_KEYS = 100_000
 
 
-def position_hash(doc_id: Column) -> Column:
-    """36 bits of md5 over the id as text; a null id hashes like an empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 9), 16, 10).cast("long")
+def row_key(doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Column:
+    """A digest of id, source and whole text, nulls apart from empty ones; equal rows share it."""
+    part = lambda c: F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.md5(F.concat(part(F.col(doc_id)), part(F.col(source)), part(F.col(text))))
 
 
-def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns with ``_size`` (words of the whole text, null: 0) and ``_hash``."""
-    return docs.select(
-        *columns,
-        F.col("source").alias("_source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        position_hash(F.col("doc_id")).alias("_hash"),
-    )
+def position_hash(key: Column, rank: Column) -> Column:
+    """36 bits of md5 over a row's key and its rank among the rows of that key."""
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit("/"), rank.cast("string"))), 1, 9), 16, 10).cast("long")
+
+
+def _named(docs: DataFrame, columns: list[str], size: Column | None = None) -> DataFrame:
+    """_row (the columns, so that none of their names can clash), _source, _key, and _size if given."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))
+    return docs.select(row.alias("_row"), F.col("source").alias("_source"), row_key().alias("_key"), *([] if size is None else [size.alias("_size")]))
+
+
+def _ranked(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """``rows`` with _hash; rows of one of the ``n`` repeated keys are numbered, in an order that is left open.
+
+    Only those rows are moved.  They are counted by the file that they are read
+    from, so that no task gets all rows of a key: a row's rank is its place in
+    its file after the rows of all files before.
+    """
+    if not n:
+        return rows.withColumn("_hash", position_hash(F.col("_key"), F.lit(0)))
+    small = F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+    here = F.col("_key") == F.col("_k")
+    single = rows.join(small, here, "left_anti").withColumn("_rank", F.lit(0).cast("long"))
+    again = written(rows.join(small, here, "left_semi"), "mix-again").withColumn("_part", F.input_file_name())
+    parts = written(again.groupBy("_key", "_part").agg(F.count("*").alias("_n")), "mix-parts")
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_n")
+    parts = parts.select(F.col("_key").alias("_k"), F.col("_part").alias("_p"), before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_key", "_part").orderBy(F.lit(0)))
+    again = again.withColumn("_place", place).join(parts, (F.col("_key") == F.col("_k")) & (F.col("_part") == F.col("_p")))
+    both = single.unionByName(again.withColumn("_rank", F.col("_before") + F.col("_place") - 1).select(*single.columns))
+    return both.withColumn("_hash", position_hash(F.col("_key"), F.col("_rank"))).drop("_rank")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -76,24 +103,14 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, keep: list[str] | None = None) -> DataFrame:
-    """How often each document is taken so that sources reach their targets.
-
-    Returns the columns ``keep`` (default: doc_id) plus _size, _source_size,
-    _target and _copies, one row per input row.  Defined results: a null text
-    has size 0; documents of size 0 are taken as their hash says and add
-    nothing; a null source is a source of its own; rows with one id share one
-    fate; a source without words has target 0; an empty table gives no rows.
-    """
-    keep = ["doc_id"] if keep is None else keep
-    rows = written(sized(docs, keep), "mix-sizes")
+def _plan(rows: DataFrame, weights: tuple[int, ...], repeats: int):
+    """From rows with _source, _size and _hash, a function that joins each source's numbers and _copies to rows with _source and _hash."""
     shift = LEVEL_BITS * (LEVELS - 1)
     histogram = written(
         rows.groupBy("_source", F.shiftright("_hash", shift).alias("_bucket")).agg(F.sum("_size").alias("_words")), "mix-histogram"
     )
     sizes = histogram.groupBy("_source").agg(F.sum("_words").alias("_source_size"))
-    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda df: df)
+    small = F.broadcast if sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else (lambda df: df)
 
     plan = source_targets(sizes, weights, repeats)
     whole = F.when(F.col("_source_size") > 0, F.least(F.floor(F.col("_target") / F.col("_source_size")), F.lit(repeats))).otherwise(0).cast("long")
@@ -127,20 +144,48 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
 
     final = small(plan.select(F.col("_source").alias("_s"), "_source_size", "_target", "_whole", "_cut"))
     copies = F.least(F.col("_whole") + (F.col("_hash") < F.col("_cut")).cast("long"), F.lit(repeats).cast("long"))
-    return rows.join(final, _same(F.col("_source"), F.col("_s"))).select(*keep, "_size", "_source_size", "_target", copies.alias("_copies"))
+    return lambda rows: rows.join(final, _same(F.col("_source"), F.col("_s"))).withColumn("_copies", copies)
+
+
+def _decided(docs: DataFrame, weights: tuple[int, ...], repeats: int, keep: list[str]):
+    """(rows with _row, _source, _size and _hash; the function of their plan; the repeated keys; how many)."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = written(_named(docs, keep, words), "mix-sizes")
+    keys = rows.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_k"))
+    keys = written(keys, "mix-repeated")
+    n = keys.count()
+    rows = _ranked(rows, keys, n)
+    rows = written(rows, "mix-ranked") if n else rows
+    return rows, _plan(rows, weights, repeats), keys, n
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, keep: list[str] | None = None) -> DataFrame:
+    """How often each document is taken so that sources reach their targets.
+
+    Returns the columns ``keep`` (default: doc_id) plus _size, _source_size,
+    _target and _copies, one row per input row; clashing names of ``keep`` are
+    replaced.  Defined results: a null text has size 0; documents of size 0 are
+    taken as their hash says and add nothing; a null source is a source of its
+    own; rows that are equal in id, source and text are numbered and may be
+    taken differently often, any of them more often; a source without words
+    has target 0; an empty table gives no rows.
+    """
+    names = ["_size", "_source_size", "_target", "_copies"]
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in names]
+    rows, plan, _, _ = _decided(docs, weights, repeats, keep)
+    return plan(rows).select("_row.*", *names)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix itself: every document as many times as it is taken, all its columns kept.
+    """The mix itself: every document as many times as it is taken, all its columns kept, whatever their names.
 
-    Documents are matched to their decisions by (doc_id, source), which share
-    one fate, so that texts are read once more but never shuffled for a sort.
+    A document's own hash and the small table of sources decide, so that no
+    text is moved but those of rows that stand more than once.  Defined results
+    are those of ``mix``.
     """
-    decided = mix(docs, weights, repeats, keep=["doc_id", "source"])
-    fates = decided.groupBy("doc_id", "source").agg(F.max("_copies").alias("_copies")).where("_copies > 0")
-    fates = fates.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_copies")
-    taken = docs.join(fates, _same(F.col("doc_id"), F.col("_d")) & _same(F.col("source"), F.col("_s")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
+    _, plan, keys, n = _decided(docs, weights, repeats, [])
+    taken = plan(_ranked(_named(docs, docs.columns), keys, n)).where("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +202,12 @@ def _capped_rounds(rounds: int) -> str:
     return reduce(lambda text, n: text + step.format(n=n, m=n - 1, full="nfull" if n > 1 else "full0"), range(1, rounds + 1), "")
 
 
+_PARTS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "text"))
 #: The rounds are at most the sources that can be full; the test tables have 20 sources.
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source AS s, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h
+         ('0x' || substr(md5(md5({_PARTS}) || '/' || (row_number() OVER (PARTITION BY doc_id, source, text) - 1)), 1, 9))::BIGINT AS h
   FROM documents),
 z AS (SELECT s, sum(size)::BIGINT AS ss FROM d GROUP BY s),
 r0 AS (

@@ -102,6 +102,32 @@ def test_mixing_takes_a_hot_source_and_nothing(spark, empty):
     assert mixed.count() == got.selectExpr("sum(_copies) AS n").first()["n"]
 
 
+def test_mixing_splits_rows_of_one_id(spark):
+    """Sources of one repeated id, of no id, of equal rows, and of rows apart: each comes near its target."""
+    rows = [(7, f"w{i} " * 10, "en", "a", i) for i in range(200)] + [(None, f"w{i} " * 10, "en", "b", i) for i in range(200)]
+    rows += [(9, "same " * 10, "en", "c", 5)] * 200 + [(None, None, None, None, None)] * 30 + [(i, "x " * 10, "en", "d", i) for i in range(100, 300)]
+    names = {"_copies": "a", "_key": "b", "_hash": "c", "_row": "d", "_s": "e", "_k": "f", "_rank": "g", "_size": "h", "a.b": "i"}
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    clashing = df
+    for c, v in names.items():
+        clashing = clashing.withColumn(c, op1_mixing.F.lit(v))
+    results = []
+    for part in (df, df.repartition(3), clashing):
+        got = op1_mixing.mix(part, keep=["doc_id", "source", "text"]).collect()
+        assert len(got) == len(rows)
+        for s in "abcd":
+            mine = [r for r in got if r["source"] == s]
+            assert abs(sum(r["_size"] * r["_copies"] for r in mine) - mine[0]["_target"]) <= 10
+        results.append(sorted(map(repr, got)))
+        mixed = op1_mixing.mixed_documents(part)
+        assert mixed.columns == part.columns
+        taken = collections.Counter()
+        for r in got:
+            taken[r["doc_id"], r["source"], r["text"]] += r["_copies"]
+        assert collections.Counter((r["doc_id"], r["source"], r["text"]) for r in mixed.collect()) == +taken
+    assert results[0] == results[1] == results[2]
+
+
 # -- 2 tokens
 
 
