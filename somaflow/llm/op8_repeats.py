@@ -20,8 +20,8 @@ operator sorts a sample of the suffixes instead and induces the rest from it.
    document's windows are united.
 
 The rolling hashes only propose.  Windows that meet in a task count as equal if
-their bytes are; across tasks, and for classes and documents, the 128-bit
-BLAKE2b or MD5 digest of the bytes decides.
+their bytes are; across tasks, and for classes, 128-bit BLAKE2b digests of the
+bytes decide.  Documents are numbered as they are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -48,20 +48,23 @@ PIECE = 1 << 18
 _PLACE = np.uint64((1 << 31) - 1)
 
 
-def _digest(data, mark: int) -> bytes:
-    """128 bits that tell apart the bytes, and the place ``mark`` in them."""
-    return hashlib.blake2b(data, digest_size=16, salt=mark.to_bytes(8, "little", signed=True)).digest()
+def _digests(data, ranges, marks: list[int]) -> np.ndarray:
+    """(ranges, 2): 128 bits as two longs that tell apart the bytes of each range of ``data``, and its mark."""
+    salts = {m: m.to_bytes(8, "little", signed=True) for m in set(marks)}
+    view = memoryview(data)
+    made = [hashlib.blake2b(view[a:b], digest_size=16, salt=salts[m]).digest() for (a, b), m in zip(ranges, marks)]
+    return np.frombuffer(b"".join(made), "<i8").reshape(-1, 2)
 
 
 def anchors_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Anchors of some texts: text, place, hash of the anchor (g), digest (c), bytes before (l) and from (r) it of its surroundings."""
+    """Anchors of some texts: text, place, hash of the anchor (g), digest (c, d), bytes before (l) and from (r) it of its surroundings."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.concatenate(([0], np.cumsum(sizes)))
     joined = b"".join(texts)
     data = np.frombuffer(joined, np.uint8)
     none = np.zeros(0, np.int64)
     if not (sizes >= length).any():
-        return {"text": none, "place": none, "g": none.astype(np.uint64), "c": [], "l": none, "r": none}
+        return {"text": none, "place": none, "g": none.astype(np.uint64), "c": none, "d": none, "l": none, "r": none}
     hasher = Hasher(data)
     grams = len(data) - gram + 1
     g = mix((hasher.sums[gram:] - hasher.sums[:-gram]) * hasher.down[:grams])
@@ -80,18 +83,13 @@ def anchors_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> di
     place = place[np.concatenate(([True], place[1:] != place[:-1]))]
     text = np.searchsorted(at, place, side="right") - 1
     begin, end = np.maximum(at[text], place - (length - gram)), np.minimum(at[text + 1], place + length)
-    left, view = place - begin, memoryview(joined)
-    c = [_digest(view[a:b], n) for a, b, n in zip(begin.tolist(), end.tolist(), left.tolist())]
-    return {"text": text, "place": place - at[text], "g": g[place], "c": c, "l": left, "r": end - place}
+    left = place - begin
+    c = _digests(joined, zip(begin.tolist(), end.tolist()), left.tolist())
+    return {"text": text, "place": place - at[text], "g": g[place], "c": c[:, 0], "d": c[:, 1], "l": left, "r": end - place}
 
 
-def _key() -> Column:
-    """A digest of id and text, which equal rows share."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit("")))))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, packed): the whole text as Zstandard bytes, and a key that equal rows share."""
+def _stored(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, packed), written: a number of each row, its id, and the whole text as Zstandard bytes."""
 
     def task(batches):
         import zstandard
@@ -102,23 +100,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([packer.compress(t) for t in texts], pa.binary())], ["key", "doc_id", "packed"])
 
-    rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "key binary, doc_id long, packed binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(rows.mapInArrow(task, "key long, doc_id long, packed binary"), "texts", "none")
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
+def _anchors(texts: DataFrame) -> DataFrame:
     def task(batches):
         for batch in batches:
-            for a, _, texts in chunks(batch, "text", PIECE):
-                x = anchors_of(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(a + x["text"])), pa.array(x["place"].astype(np.int32)), pa.array(x["g"].view(np.int64)), pa.array(x["c"], pa.binary()),
-                     pa.array(x["l"].astype(np.int16)), pa.array(x["r"].astype(np.int16))],
-                    ["key", "place", "g", "c", "l", "r"],
-                )
+            keys = np.asarray(batch.column(0))
+            for a, held in _pieces(batch.column(1)):
+                x = anchors_of(held)
+                columns = [keys[a + x["text"]], x["place"].astype(np.int32), x["g"].view(np.int64), x["c"], x["d"], x["l"].astype(np.int16), x["r"].astype(np.int16)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "place", "g", "c", "d", "l", "r"])
+
+    return texts.select("key", "packed").mapInArrow(task, "key long, place int, g long, c long, d long, l short, r short")
 
-    rows = docs.select(_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, "key binary, place int, g long, c binary, l short, r short")
+
+def _pieces(packed: pa.Array):
+    """(first row, texts) of packed texts, in runs of about PIECE bytes."""
+    start, size, held = 0, 0, []
+    for at in range(0, len(packed), 64):
+        for text in _unpacked(packed.slice(at, 64)):
+            held.append(text)
+            size += len(text)
+            if size >= PIECE:
+                yield start, held
+                start, size, held = start + len(held), 0, []
+    if held:
+        yield start, held
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
@@ -188,6 +197,8 @@ def _compared(left: np.ndarray, group: np.ndarray, around: list[bytes]):
 
 _SPAN = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _SPANS = "array<struct<s:int,e:int>>"
+#: What names a class: its group, and its digest.
+_CLASS = ["g", "c", "d"]
 
 
 def _as_spans(starts: list[list[int]]) -> pa.Array:
@@ -195,117 +206,130 @@ def _as_spans(starts: list[list[int]]) -> pa.Array:
 
 
 def _whole(classes: DataFrame) -> DataFrame:
-    """(g, c, spans) of classes (g, c, l, r) all of whose windows are repeated."""
-    return classes.select("g", "c", F.array(F.struct((-F.col("l")).cast("int").alias("s"), F.col("r").cast("int").alias("e"))).alias("spans"))
+    """(g, c, d, spans) of classes with l and r all of whose windows are repeated."""
+    return classes.select(*_CLASS, F.array(F.struct((-F.col("l")).cast("int").alias("s"), F.col("r").cast("int").alias("e"))).alias("spans"))
+
+
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    """A side of a join by class: _g, _c, _d and the columns."""
+    return df.select(*(F.col(c).alias(f"_{c}") for c in _CLASS), *columns)
+
+
+def _same_class() -> Column:
+    return (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")) & (F.col("d") == F.col("_d"))
 
 
 def _in_tasks(surroundings: DataFrame) -> DataFrame:
-    """(g, c, spans): classes (g, c, l, around) compared within groups of at most CLASSES, a group in one task."""
+    """(g, c, d, spans): classes (g, c, d, l, around) compared within groups of at most CLASSES, a group in one task."""
     spark = surroundings.sparkSession
-    kind = dict(surroundings.dtypes)["g"]
 
     def compare(batches):
-        columns: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
 
         def done():
-            g, c, left, around = columns
+            g, c, d, left, around = held
             group = np.cumsum([0, *(x != y for x, y in zip(g[1:], g))])
             found = _compared(np.array(left, np.int64), group, around)
-            kinds = (pa.binary() if kind == "binary" else pa.int64(), pa.binary())
-            made = [pa.array([x[o] for o, _ in found], t) for x, t in zip((g, c), kinds)]
-            return pa.RecordBatch.from_arrays([*made, _as_spans([f for _, f in found])], ["g", "c", "spans"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x[o] for o, _ in found], pa.int64()) for x in (g, c, d)), _as_spans([f for _, f in found])], [*_CLASS, "spans"])
 
         for batch in (b.slice(a, 256) for b in batches for a in range(0, len(b), 256)):
-            for row in zip(*(batch.column(n).to_pylist() for n in ("g", "c", "l", "around"))):
-                if len(columns[0]) >= 2048 and row[0] != columns[0][-1]:
+            for row in zip(*(batch.column(n).to_pylist() for n in (*_CLASS, "l", "around"))):
+                if len(held[0]) >= 2048 and row[0] != held[0][-1]:
                     yield done()
-                    columns = [[], [], [], []]
-                for x, v in zip(columns, row):
+                    held = [[], [], [], [], []]
+                for x, v in zip(held, row):
                     x.append(v)
-        if columns[0]:
+        if held[0]:
             yield done()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    dealt = surroundings.select("g", "c", "l", "around").repartition(parts, "g").sortWithinPartitions("g")
-    return dealt.mapInArrow(compare, f"g {kind}, c binary, spans {_SPANS}")
+    dealt = surroundings.select(*_CLASS, "l", "around").repartition(parts, "g").sortWithinPartitions("g")
+    return dealt.mapInArrow(compare, f"g long, c long, d long, spans {_SPANS}")
 
 
 def _by_windows(surroundings: DataFrame) -> DataFrame:
-    """(g, c, spans): classes (g, c, l, around) of groups of any size, compared by shuffling their windows' digests."""
-    kind = dict(surroundings.dtypes)["g"]
+    """(g, c, d, spans): classes (g, c, d, l, around) of groups of any size, compared by shuffling their windows' digests."""
 
     def windows(batches):
         for batch in (b.slice(a, 512) for b in batches for a in range(0, len(b), 512)):
             around = batch.column("around").to_pylist()
             owner, first, begin = _windows(np.fromiter(map(len, around), np.int64, len(around)), np.asarray(batch.column("l")).astype(np.int64))
-            view, of = memoryview(b"".join(around)), pa.array(owner)
-            h = [_digest(view[a : a + LENGTH], f) for a, f in zip(begin.tolist(), first.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("g").take(of), batch.column("c").take(of), pa.array(first.astype(np.int32)), pa.array(h, pa.binary())], ["g", "c", "first", "h"])
+            h = _digests(b"".join(around), ((a, a + LENGTH) for a in begin.tolist()), first.tolist())
+            names = [batch.column(n).take(pa.array(owner)) for n in _CLASS]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(first.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], [*_CLASS, "first", "h", "i"])
 
     def unite(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("c"), _as_spans(batch.column("x").to_pylist())], ["g", "c", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in _CLASS), _as_spans(batch.column("x").to_pylist())], [*_CLASS, "spans"])
 
-    each = written(surroundings.mapInArrow(windows, f"g {kind}, c binary, first int, h binary"), "windows")
-    met = each.groupBy("g", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("gg"), F.col("h").alias("hh"))
+    each = written(surroundings.mapInArrow(windows, "g long, c long, d long, first int, h long, i long"), "windows")
+    met = each.groupBy("h", "i").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("hh"), F.col("i").alias("ii"))
     met = written(met, "windows-met")
-    found = each.join(met, (F.col("g") == F.col("gg")) & (F.col("h") == F.col("hh"))).groupBy("g", "c").agg(F.collect_set("first").alias("x"))
-    return found.mapInArrow(unite, f"g {kind}, c binary, spans {_SPANS}")
+    found = each.join(met, (F.col("h") == F.col("hh")) & (F.col("i") == F.col("ii"))).groupBy(*_CLASS).agg(F.collect_set("first").alias("x"))
+    return found.mapInArrow(unite, f"g long, c long, d long, spans {_SPANS}")
 
 
 def _in_parts(surroundings: DataFrame) -> DataFrame:
-    """(g, c, spans): classes (g, c, l, around) of large groups, cut by ranges of window starts and the bytes common to a range.
+    """(g, c, d, spans): classes (g, c, d, l, around) of large groups, cut by ranges of window starts and the bytes common to a range.
 
     Equal windows start in the same range and hold the same common bytes, so
     they meet in one part.  The parts are groups of classes like those before.
     """
 
     def cut(batches):
-        names = ("of_g", "of_c", "g", "c", "l", "r", "around")
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
         for batch in (b.slice(a, 512) for b in batches for a in range(0, len(b), 512)):
-            rows = []
-            for g, c, left, around in zip(*(batch.column(n).to_pylist() for n in ("g", "c", "l", "around"))):
+            arounds = batch.column("around").to_pylist()
+            owner, marks, common, whole, ends = [], [], [], [], []
+            at = 0
+            for k, (left, around) in enumerate(zip(batch.column("l").to_pylist(), arounds)):
                 for low in range(GRAM - LENGTH, 1, STEP):
                     last = min(low + STEP - 1, 0)
                     a, b = max(-left, low), min(len(around) - left - LENGTH, last)
                     if a <= b:
-                        part = around[left + a : left + b + LENGTH]
-                        rows.append((g, c, _digest(around[left + last : left + low + LENGTH], low), _digest(part, a), -a, b + LENGTH, part))
-            columns = zip(*rows) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], list(names))
-
-    parts = written(surroundings.mapInArrow(cut, "of_g long, of_c binary, g binary, c binary, l int, r int, around binary"), "parts")
-    classes = parts.groupBy("g", "c").agg(F.count("*").alias("n"), F.first("l").alias("l"), F.first("r").alias("r"), F.first("around").alias("around"))
+                        owner.append(k)
+                        marks.append((low, a))
+                        common.append((at + left + last, at + left + low + LENGTH))
+                        whole.append((at + left + a, at + left + b + LENGTH))
+                        ends.append(b + LENGTH)
+                at += len(around)
+            data = b"".join(arounds)
+            g, c = _digests(data, common, [m for m, _ in marks]), _digests(data, whole, [a for _, a in marks])
+            names = [batch.column(n).take(pa.array(owner, pa.int64())) for n in _CLASS]
+            parts = [pa.array(g[:, 0]), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array([-a for _, a in marks], pa.int32()), pa.array(ends, pa.int32()), pa.array([data[a:b] for a, b in whole], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*names, *parts], ["of_g", "of_c", "of_d", *_CLASS, "l", "r", "around"])
+
+    parts = written(surroundings.mapInArrow(cut, "of_g long, of_c long, of_d long, g long, c long, d long, l int, r int, around binary"), "parts")
+    classes = parts.groupBy(*_CLASS).agg(F.count("*").alias("n"), F.first("l").alias("l"), F.first("r").alias("r"), F.first("around").alias("around"))
     classes = written(classes, "part-classes")
     kinds = written(classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("gg"), "k"), "part-kinds")
-    mixed = classes.join(kinds, F.col("g") == F.col("gg")).select("g", "c", "k", "l", "around")
+    mixed = classes.join(kinds, F.col("g") == F.col("gg")).select(*_CLASS, "k", "l", "around")
     found = _whole(classes.where("n > 1")).unionByName(_in_tasks(mixed.where(F.col("k") <= CLASSES)))
     if not (large := mixed.where(F.col("k") > CLASSES)).isEmpty():
         found = found.unionByName(_by_windows(large))
-    found = written(found, "part-verdicts").select(F.col("g").alias("gg"), F.col("c").alias("cc"), "spans")
-    back = parts.join(found, (F.col("g") == F.col("gg")) & (F.col("c") == F.col("cc"))).select(F.col("of_g").alias("g"), F.col("of_c").alias("c"), "spans")
-    return back.groupBy("g", "c").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    found = written(found, "part-verdicts")
+    back = parts.select("of_g", "of_c", "of_d", *_CLASS).join(_named(found, "spans"), _same_class())
+    return back.select(F.col("of_g").alias("g"), F.col("of_c").alias("c"), F.col("of_d").alias("d"), "spans")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(key, spans): the repeated bytes of each document that has any, as spans that may overlap."""
-    anchors = written(_anchors(docs), "anchors")
+def repeats(texts: DataFrame) -> DataFrame:
+    """(key, spans): the repeated bytes of each of the stored texts that has any, as spans that may overlap."""
+    anchors = written(_anchors(texts), "anchors")
     again = anchors.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("gg"))
     again = written(again, "anchors-again")  # read back, a join with it can split a hot group
     shared = written(anchors.join(again, F.col("g") == F.col("gg")).drop("gg"), "anchors-shared")
-    classes = shared.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("rep"), F.first("l").alias("l"), F.first("r").alias("r"))
-    classes = written(classes, "classes")
+    # any member can stand for its class; of those in the text of smallest key, any
+    member = [F.min("key").alias("key"), F.min_by("place", "key").alias("place"), F.first("l").alias("l"), F.first("r").alias("r")]
+    classes = written(shared.groupBy(*_CLASS).agg(F.count("*").alias("n"), *member), "classes")
     kinds = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("gg"), "k")
     kinds = written(kinds, "kinds")
     # a class of two or more repeats all its windows; only single ones have to find partners
     full = _whole(classes.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= LENGTH)))
     mixed = classes.join(kinds, F.col("g") == F.col("gg")).where(F.col("l") + F.col("r") >= LENGTH)
-    want = mixed.groupBy(F.col("rep.key").alias("k_key")).agg(F.collect_list(F.struct("g", "c", "k", "l", "r", F.col("rep.place").alias("place"))).alias("want"))
-    texts = _keyed(docs).join(want, F.col("key") == F.col("k_key")).select("key", "packed", "want").dropDuplicates(["key"])
+    want = mixed.groupBy(F.col("key").alias("k_key")).agg(F.collect_list(F.struct(*_CLASS, "k", "l", "r", "place")).alias("want"))
+    holding = texts.join(want, F.col("key") == F.col("k_key")).select("packed", "want")
 
     def around(batches):
-        names, kinds = ("g", "c", "k", "l", "around"), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+        names, kinds = (*_CLASS, "k", "l", "around"), (pa.int64(),) * 4 + (pa.int32(), pa.binary())
         held: list[tuple] = []
 
         def flush():
@@ -317,19 +341,19 @@ def repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                for text, wanted in zip(_unpacked(part.column(1)), part.column(2).to_pylist()):
+                for text, wanted in zip(_unpacked(part.column(0)), part.column(1).to_pylist()):
                     for w in wanted:
-                        held.append((w["g"], w["c"], w["k"], w["l"], text[w["place"] - w["l"] : w["place"] + w["r"]]))
+                        held.append((w["g"], w["c"], w["d"], w["k"], w["l"], text[w["place"] - w["l"] : w["place"] + w["r"]]))
                         if len(held) >= 8192:
                             yield flush()
         yield flush()
 
-    surroundings = written(texts.mapInArrow(around, "g long, c binary, k long, l int, around binary"), "surroundings")
+    surroundings = written(holding.mapInArrow(around, "g long, c long, d long, k long, l int, around binary"), "surroundings")
     verdicts = full.unionByName(_in_tasks(surroundings.where(F.col("k") <= CLASSES)))
     if not (large := surroundings.where(F.col("k") > CLASSES)).isEmpty():
         verdicts = verdicts.unionByName(_in_parts(large))
-    verdicts = written(verdicts, "verdicts").select(F.col("g").alias("gg"), F.col("c").alias("cc"), "spans")
-    members = shared.join(verdicts, (F.col("g") == F.col("gg")) & (F.col("c") == F.col("cc"))).select("key", "place", F.explode("spans").alias("x"))
+    verdicts = written(verdicts, "verdicts")
+    members = shared.select("key", "place", *_CLASS).join(_named(verdicts, "spans"), _same_class()).select("key", "place", F.explode("spans").alias("x"))
     spans = F.struct((F.col("place") + F.col("x.s")).alias("s"), (F.col("place") + F.col("x.e")).alias("e"))
     return members.groupBy("key").agg(F.collect_set(spans).alias("spans"))
 
@@ -345,8 +369,9 @@ def trimmed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     documents of their own and repeat each other; an empty table gives no rows.
     Kept bytes may cut a character, and so are binary.
     """
-    spans = written(repeats(docs), "repeats").select(F.col("key").alias("k_key"), "spans")
-    rows = _keyed(docs).join(spans, F.col("key") == F.col("k_key"), "left").select("doc_id", "packed", "spans")
+    texts = _stored(docs)
+    spans = written(repeats(texts), "repeats").select(F.col("key").alias("k_key"), "spans")
+    rows = texts.join(spans, F.col("key") == F.col("k_key"), "left").select("doc_id", "packed", "spans")
     schema = COLUMNS + (", kept binary" if with_text else "")
 
     def task(batches):
