@@ -26,6 +26,8 @@ RADIUS = 4
 SEED = 42
 #: Nodes of a tile at most, about; a tile is 8 bytes a node.
 TILE = 1 << 17
+#: A table of the keys of rows (two longs) up to this many is broadcast.
+BROADCAST_KEYS = 200_000
 #: Elements of a comparison matrix.
 MATRIX = 1 << 21
 
@@ -216,17 +218,33 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group: the one of smallest id (no id first), then text hash."""
+    """``docs`` with one document of each group: the one of smallest id (no id first), then text hash.
+
+    What goes is decided on ids and text hashes alone.  The keys of rows that go
+    are broadcast up to BROADCAST_KEYS of them, and then no text moves; beyond
+    that texts are shuffled once.  Of rows equal in id and text any one stays,
+    and only such rows are compared again.  Columns may have any names.
+    """
     groups = near_groups(docs, radius)
-    stays = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     # a component without ids is one group as far as component_id tells; its fingerprints keep such groups apart
-    stays = groups.where("component_id IS NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k").unionByName(
-        stays.where("component_id IS NOT NULL").select("k")
-    )
-    keys = stays.select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_h"))
-    named = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = named.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    groups = groups.withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp")))
+    keys = groups.groupBy("component_id", "alone", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keys = written(keys, "simhash-keys")
+    first = keys.groupBy("component_id", "alone").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_h"))
+    key = lambda d, h: d.eqNullSafe(F.col("_d")) & (h == F.col("_h"))
+    same = key(F.col("doc_id"), F.col("text_hash"))
+    renamed = lambda df: df.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    twice = keys.where("n > 1").join(first, same, "left_semi")
+    gone = written(renamed(keys.join(first, same, "left_anti").unionByName(twice)), "simhash-gone")
+    twice = written(renamed(twice), "simhash-twice")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"))
+    here = key(F.col("d"), F.col("h"))
+    kept = named.join(small(gone), here, "left_anti")
+    if not twice.isEmpty():
+        kept = kept.unionByName(named.join(small(twice), here, "left_semi").dropDuplicates(["d", "h"]))
+    return kept.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
