@@ -25,6 +25,8 @@ REVISIT_BYTES = 1000
 #: Raw bytes after which an archive is closed, and of the records that its dictionary is built from.
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 4 << 20
+#: A table of revisits (two longs and two texts of a record's head) up to this many rows is broadcast.
+BROADCAST_ROWS = 50_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 READ_BYTES = 32 << 10
@@ -38,22 +40,31 @@ DATE = "2024-01-01T00:00:00Z"
 def decided(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Pages with payload_bytes, digest (hex SHA-1), record_type, refers_to and the referred page's url.
 
-    Of equal payloads of at least ``least`` bytes the row of largest page_id is
-    the response (all rows of that id, should it repeat).
+    Of equal payloads (by SHA-256) of at least ``least`` bytes one row of the
+    largest page_id is the response, and the others revisit it; should that id
+    stand more than once, the first such row in the order of the scan.  Rows
+    without an id refer to one with an id, or are all responses.  The decision
+    is made on row numbers and digests; html moves in no shuffle while at most
+    BROADCAST_ROWS pages revisit.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
-        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("digest"),
+        F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
+        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("digest"), F.sha2(html.cast("binary"), 256).alias("equal"),
     )
-    copies = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
-    copies = copies.agg(F.count("*").alias("_n"), F.max(F.struct("page_id", "url")).alias("_top")).where("_n > 1")
-    joined = rows.join(copies, (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
-    again = F.col("_n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top.page_id"))
+    rows = written(rows, "warc-pages")
+    light = rows.where(F.col("payload_bytes") >= least).select("row", "page_id", "url", "equal")
+    top = F.max(F.struct("page_id", (-F.col("row")).alias("row"), "url")).alias("top")
+    copies = light.groupBy("equal").agg(F.count("*").alias("n"), top).where("n > 1 AND top.page_id IS NOT NULL").select(F.col("equal").alias("e"), "top")
+    copies = written(copies, "warc-copies")
+    again = light.select("row", "equal").join(copies, F.col("equal") == F.col("e")).where(F.col("row") != -F.col("top.row"))
+    again = written(again.select(F.col("row").alias("_row"), F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")), "warc-revisits")
+    few = again.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(again) if few else again, F.col("row") == F.col("_row"), "left")
+    revisit = F.col("_row").isNotNull()
     return joined.select(
-        "page_id", "url", F.when(~again, F.col("html")).alias("html"), "payload_bytes", "digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("_top.page_id")).alias("refers_to"), F.when(again, F.col("_top.url")).alias("refers_url"),
+        "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to", "refers_url",
     )
 
 
@@ -163,9 +174,9 @@ def write_pages(rows: DataFrame, folder: str) -> DataFrame:
             system.move(draft, final)
             return pa.RecordBatch.from_pylist([{"file": final, "n_records": len(held)}])
 
-        for batch in batches:
-            for k in range(len(batch)):
-                data = record(batch.slice(k, 1).to_pylist()[0])
+        for batch in (b.slice(a, 64) for b in batches for a in range(0, len(b), 64)):
+            for row in batch.to_pylist():
+                data = record(row)
                 held.append(data)
                 size += len(data)
                 if size >= ARCHIVE_BYTES:
@@ -233,10 +244,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
-g AS (SELECT html, max(page_id) AS top, count(*) AS copies FROM p WHERE n >= {REVISIT_BYTES} GROUP BY html)
-SELECT p.page_id, p.n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
-       CASE WHEN copies > 1 AND p.page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN copies > 1 AND p.page_id <> top THEN top END AS refers_to
-FROM p LEFT JOIN g ON p.html = g.html
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top,
+         row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS place FROM pages)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= {REVISIT_BYTES} AND place > 1 AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {REVISIT_BYTES} AND place > 1 THEN top END AS refers_to
+FROM p
 """
