@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaflow.llm.textbytes import ALNUM, Lookup, Words, chunks
+from somaflow.llm.textbytes import ALNUM, Vocabulary, Words, chunks
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -68,9 +68,9 @@ class Index:
             self.names.append(label)
             self.needs.append([phrases[k] for k in keys])
         self.vocabulary = sorted({w for t in self.texts for w in t})
-        hashes = Words([w.encode() for w in self.vocabulary], ALNUM).hashes()
-        self.lookup = Lookup(hashes)
-        place = {w: int(i) for w, i in zip(self.vocabulary, self.lookup.find(hashes))}
+        words = Words([w.encode() for w in self.vocabulary], ALNUM)
+        self.lookup = Vocabulary(words)
+        place = {w: int(i) for w, i in zip(self.vocabulary, self.lookup.find(words))}
         self.words = [np.array([place[w] for w in t]) for t in self.texts]
         self.idf = np.zeros(len(self.vocabulary))
         for w, i in place.items():
@@ -88,7 +88,7 @@ class Index:
     def scan(self, texts: list[bytes]) -> dict[str, list]:
         """Result columns of some files."""
         found = Words(texts, ALNUM)
-        ids, owner = self.lookup.find(found.hashes()), found.text_of()
+        ids, owner = self.lookup.find(found), found.text_of()
         n = len(ids)
         rows = len(texts)
         starts: dict[int, list[np.ndarray]] = {}
@@ -148,7 +148,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
         for batch in batches:
             for _, _, texts in chunks(batch, 0):
                 words = Words(texts, ALNUM)
-                ids, owner = index.lookup.find(words.hashes()), words.text_of()
+                ids, owner = index.lookup.find(words), words.text_of()
                 held = ids >= 0
                 pairs = np.unique(owner[held] * len(index.vocabulary) + ids[held])
                 counts[:-1] += np.bincount(pairs % len(index.vocabulary), minlength=len(index.vocabulary))
@@ -157,7 +157,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r.word: r.n for r in rows}
-    places = index.lookup.find(Words([w.encode() for w in index.vocabulary], ALNUM).hashes()).tolist()
+    places = index.lookup.find(Words([w.encode() for w in index.vocabulary], ALNUM)).tolist()
     return {w: counts.get(i, 0) for w, i in zip(index.vocabulary, places)}, counts.get(len(index.vocabulary), 0)
 
 

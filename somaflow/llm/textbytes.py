@@ -8,6 +8,7 @@ characters are exact on bytes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,20 +70,29 @@ class Words:
     """Words of a list of texts: lower-cased bytes, word ranges, and each text's first word."""
 
     def __init__(self, texts: list[bytes], inside: np.ndarray):
+        self.inside = inside
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_at = np.concatenate(([0], np.cumsum(sizes + 1)))
-        raw = np.frombuffer(b"\x20".join(texts) + b"\x20", np.uint8)
-        self.data = _LOWER[raw]
-        flags = np.zeros(len(raw) + 1, np.int8)
+        raw = np.frombuffer(b"\x20".join(texts) + b"\x20" + b"\x00" * 8, np.uint8)
+        self.padded = _LOWER[raw]
+        self.data = self.padded[:-8]
+        flags = np.zeros(len(self.data) + 1, np.int8)
         flags[1:] = inside[self.data]
         change = np.diff(flags)
         self.starts = np.flatnonzero(change == 1)
         self.ends = np.flatnonzero(change == -1)
         self.first = np.searchsorted(self.starts, self.text_at)
 
-    def hashes(self) -> np.ndarray:
+    @functools.cached_property
+    def _hashes(self) -> np.ndarray:
         return Hasher(self.data).ranges(self.starts, self.ends)
 
+    def hashes(self) -> np.ndarray:
+        return self._hashes
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.starts[k] : self.ends[k]].tobytes()
+
     def text_of(self) -> np.ndarray:
         """Each word's text."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -121,3 +131,46 @@ class Lookup:
         at = np.minimum(np.searchsorted(self.keys, x[maybe]), len(self.keys) - 1)
         out[maybe] = np.where(self.keys[at] == x[maybe], at, -1)
         return out
+
+
+_ENDS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether the i-th words of ``a`` are the j-th of ``b``, byte for byte."""
+    x, y = (np.ndarray(len(w.data) + 1, "<u8", w.padded, strides=(1,)) for w in (a, b))
+    size = a.ends[i] - a.starts[i]
+    same = size == b.ends[j] - b.starts[j]
+    at, rest = 0, np.flatnonzero(same & (size > 0))
+    while len(rest):
+        mask = _ENDS[np.minimum(size[rest] - at, 8)]
+        equal = (x[a.starts[i[rest]] + at] ^ y[b.starts[j[rest]] + at]) & mask == 0
+        same[rest[~equal]] = False
+        at += 8
+        rest = rest[equal & (size[rest] > at)]
+    return same
+
+
+class Vocabulary:
+    """Numbers of the distinct words of some texts; hashes propose a word, its bytes decide."""
+
+    def __init__(self, words: Words):
+        hashes = words.hashes()
+        self.lookup = Lookup(hashes)
+        model = np.zeros(len(self.lookup.keys), np.int64)
+        at = np.searchsorted(self.lookup.keys, hashes)
+        model[at[::-1]] = np.arange(len(hashes))[::-1]
+        # words whose hash is that of another one
+        self.more: dict[bytes, int] = {}
+        for k in np.flatnonzero(~same_words(words, np.arange(len(at)), words, model[at])).tolist():
+            self.more.setdefault(words.word(k), len(model) + len(self.more))
+        self.size = len(model) + len(self.more)
+        self.models = Words([b" ".join(words.word(k) for k in model.tolist())], words.inside)
+
+    def find(self, words: Words) -> np.ndarray:
+        """The number of each word, -1 for those that aren't here."""
+        out = self.lookup.find(words.hashes())
+        held = np.flatnonzero(out >= 0)
+        for k in held[~same_words(words, held, self.models, out[held])].tolist():
+            out[k] = self.more.get(words.word(k), -1)
+        return out
