@@ -35,11 +35,31 @@ def border_index(n: int, reach: int, border: str) -> np.ndarray:
     raise ValueError(border)
 
 
+#: Kernels of more places than this are applied by Fourier transforms.
+DIRECT = 144
+
+
+def fast_size(n: int) -> int:
+    """The least size from ``n`` on whose only prime factors are 2, 3 and 5."""
+    while True:
+        m = n
+        for p in (2, 3, 5):
+            while m % p == 0:
+                m //= p
+        if m == 1:
+            return n
+        n += 1
+
+
 def correlate(block: np.ndarray, kernel: np.ndarray, border: str) -> np.ndarray:
     """Each frame correlated with an odd-sized kernel."""
     ry, rx = kernel.shape[0] // 2, kernel.shape[1] // 2
     h, w = block.shape[1:]
     padded = block[:, border_index(h, ry, border)][:, :, border_index(w, rx, border)]
+    if kernel.size > DIRECT:
+        size = (fast_size(h + 2 * ry), fast_size(w + 2 * rx))
+        spectrum = np.conj(np.fft.rfft2(kernel, size))
+        return np.stack([np.fft.irfft2(np.fft.rfft2(f, size) * spectrum, size)[:h, :w] for f in padded]) if len(block) else np.zeros(block.shape)
     out = np.zeros(block.shape)
     for (i, j), weight in np.ndenumerate(kernel):
         if weight:

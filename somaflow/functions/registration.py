@@ -7,20 +7,39 @@ import numpy as np
 from somaflow.functions import images
 
 
+class Matcher:
+    """Pearson correlation of an image's inside with each shifted window of frames ``most`` wider on every side."""
+
+    def __init__(self, inner: np.ndarray, most: int):
+        self.most, self.size = most, inner.size
+        self.shape = tuple(n + 2 * most for n in inner.shape)
+        inner = inner - inner.mean()
+        self.norm = np.sqrt((inner**2).sum())
+        self.fast = tuple(map(images.fast_size, self.shape))
+        self.spectrum = np.conj(np.fft.rfft2(inner, self.fast))
+
+    def _sums(self, block: np.ndarray) -> np.ndarray:
+        """Sum over each window, from running sums."""
+        h, w = (n - 2 * self.most for n in self.shape)
+        s = np.zeros((len(block), block.shape[1] + 1, block.shape[2] + 1))
+        s[:, 1:, 1:] = block.cumsum(axis=1).cumsum(axis=2)
+        return s[:, h:, w:] - s[:, :-h, w:] - s[:, h:, :-w] + s[:, :-h, :-w]
+
+    def __call__(self, block: np.ndarray) -> np.ndarray:
+        block = block - block.mean(axis=(1, 2), keepdims=True)
+        k = 2 * self.most + 1
+        top = np.fft.irfft2(np.fft.rfft2(block, self.fast) * self.spectrum, self.fast)[:, :k, :k]
+        square = block**2
+        spread = self._sums(square) - self._sums(block) ** 2 / self.size
+        # a window whose spread drowns in the rounding of the sums is constant
+        known = (spread > 1e-12 * square.sum(axis=(1, 2))[:, None, None]) & (self.norm > 0)
+        return np.where(known, top / np.where(known, np.sqrt(np.where(known, spread, 1)) * (self.norm or 1), 1), 0)
+
+
 def ncc_maps(block: np.ndarray, template: np.ndarray, most: int) -> np.ndarray:
     """(frames, 2 most + 1, 2 most + 1): Pearson correlation of the template's inside with each shifted window."""
     h, w = template.shape
-    inner = template[most : h - most, most : w - most]
-    inner = inner - inner.mean()
-    norm = np.sqrt((inner**2).sum())
-    out = np.zeros((len(block), 2 * most + 1, 2 * most + 1))
-    for i in range(2 * most + 1):
-        for j in range(2 * most + 1):
-            win = block[:, i : i + h - 2 * most, j : j + w - 2 * most]
-            win = win - win.mean(axis=(1, 2), keepdims=True)
-            size = np.sqrt((win**2).sum(axis=(1, 2))) * norm
-            out[:, i, j] = np.where(size > 0, (win * inner).sum(axis=(1, 2)) / np.where(size > 0, size, 1), 0)
-    return out
+    return Matcher(template[most : h - most, most : w - most], most)(block)
 
 
 def _sub_pixel(lower: float, middle: float, upper: float) -> float:
@@ -32,10 +51,49 @@ def _sub_pixel(lower: float, middle: float, upper: float) -> float:
     return float((a - c) / bend) if bend else 0.0
 
 
-def rigid_shift(image: np.ndarray, template: np.ndarray, most: int, scale: int) -> tuple[float, float]:
-    """Sub-pixel shift that moves ``image`` onto ``template``, both band-pass filtered."""
-    a, b = images.band_pass(np.stack((image, template)), scale)
-    r = ncc_maps(a[None], b, most)[0]
+class Target:
+    """A template made ready for many frames: its inside, and each of its patches, are filtered and transformed once."""
+
+    def __init__(self, template: np.ndarray, params):
+        from somaflow.operators.geometry import motion_patches
+
+        self.template, self.params = template, params
+        self.shape = template.shape
+        self.rigid = rigid_matcher(template, params.max_deviation_rigid, params.filter_size)
+        self.patches = motion_patches(*template.shape, params.strides, params.overlaps)
+        #: By size of patch: their numbers, places and transforms; patches of a pixel's width aren't matched.
+        self.groups: dict[tuple[int, int], tuple[list[int], list[tuple], np.ndarray]] = {}
+        by_size: dict[tuple[int, int], list[int]] = {}
+        for n, (_, y0, y1, x0, x1) in enumerate(self.patches):
+            if y1 - y0 > 1 and x1 - x0 > 1:
+                by_size.setdefault((y1 - y0, x1 - x0), []).append(n)
+        for size, numbers in by_size.items():
+            boxes = [self.patches[n][1:] for n in numbers]
+            self.groups[size] = numbers, boxes, np.fft.fft2(self._cut(template, boxes))
+
+    def _cut(self, image: np.ndarray, boxes: list[tuple]) -> np.ndarray:
+        """The boxes of an image, each filtered by itself."""
+        return images.band_pass(np.stack([image[y0:y1, x0:x1] for y0, y1, x0, x1 in boxes]), self.params.filter_size_patch)
+
+    def shifts(self, image: np.ndarray) -> np.ndarray:
+        """(patches, 2): the shift by which each patch of an image has to move onto the template's."""
+        out = np.zeros((len(self.patches), 2))
+        for numbers, boxes, spectra in self.groups.values():
+            for n, part, spectrum in zip(numbers, np.fft.fft2(self._cut(image, boxes)), spectra):
+                out[n] = -_registered(part, spectrum, self.params.upsample_factor, self.params.max_shifts)[0]
+        return out
+
+
+def rigid_matcher(template: np.ndarray, most: int, scale: int) -> Matcher:
+    """Matches frames with the template's inside, which is cut first and band-pass filtered then."""
+    h, w = template.shape
+    return Matcher(images.band_pass(template[None, most : h - most, most : w - most], scale)[0], most)
+
+
+def rigid_shift(image: np.ndarray, matcher: Matcher, scale: int) -> tuple[float, float]:
+    """Sub-pixel shift that moves ``image``, band-pass filtered, onto the matcher's template."""
+    most = matcher.most
+    r = matcher(images.band_pass(image[None], scale))[0]
     y, x = np.unravel_index(r.argmax(), r.shape)
     dy = dx = 0.0
     if 0 < y < 2 * most - 1 and 0 < x < 2 * most - 1:
@@ -86,13 +144,16 @@ def translate(image: np.ndarray, shift: tuple[float, float], cubic: bool = True,
     return out
 
 
-def global_correct(image: np.ndarray, template: np.ndarray, most: int, scale: int) -> np.ndarray:
-    return translate(image, rigid_shift(image, template, most, scale), cubic=False)
+def global_correct(image: np.ndarray, target: Target) -> np.ndarray:
+    return translate(image, rigid_shift(image, target.rigid, target.params.filter_size), cubic=False)
 
 
 def cross_correlation(block: np.ndarray, template: np.ndarray, most: tuple[int, int] | None = None) -> np.ndarray:
     """Absolute circular cross-correlation by offset, zero beyond rows -m .. m - 1 and columns alike."""
-    r = np.abs(np.fft.ifft2(np.fft.fft2(block, axes=(-2, -1)) * np.conj(np.fft.fft2(template)), axes=(-2, -1)))
+    return _near(np.abs(np.fft.ifft2(np.fft.fft2(block, axes=(-2, -1)) * np.conj(np.fft.fft2(template)), axes=(-2, -1))), most)
+
+
+def _near(r: np.ndarray, most: tuple[int, int] | None) -> np.ndarray:
     if most is not None:
         for axis, m in ((-2, most[0]), (-1, most[1])):
             n = r.shape[axis]
@@ -118,40 +179,31 @@ def register(image: np.ndarray, template: np.ndarray, factor: int = 1, most: tup
 
     The error is the root of the normalised mismatch, the phase that of the peak.
     """
-    a, b = np.fft.fft2(image), np.fft.fft2(template)
+    return _registered(np.fft.fft2(image), np.fft.fft2(template), factor, most)
+
+
+def _registered(a: np.ndarray, b: np.ndarray, factor: int, most: tuple[int, int] | None) -> tuple[np.ndarray, float, float]:
+    """``register`` of two images' Fourier transforms."""
     product = a * np.conj(b)
     whole = np.fft.ifft2(product)
-    r = cross_correlation(image, template, most)
+    r = _near(np.abs(whole), most)
     peak = np.array(np.unravel_index(r.argmax(), r.shape))
-    shape = np.array(image.shape)
+    shape = np.array(a.shape)
     shift = np.where(peak > shape // 2, peak - shape, peak).astype(float)
-    top, energy = whole[tuple(peak)], np.sqrt((np.abs(a) ** 2).sum() * (np.abs(b) ** 2).sum()) / image.size
+    top, energy = whole[tuple(peak)], np.sqrt((np.abs(a) ** 2).sum() * (np.abs(b) ** 2).sum()) / a.size
     if factor > 1:
         shift = np.round(shift * factor) / factor
         size = int(np.ceil(1.5 * factor))
         middle = size // 2
         fine = _upsampled(np.conj(product), size, factor, tuple(middle - shift * factor)).conj()
         at = np.array(np.unravel_index(np.abs(fine).argmax(), fine.shape))
-        top = fine[tuple(at)] / image.size
+        top = fine[tuple(at)] / a.size
         shift = shift + (at - middle) / factor
     shift = np.where(shape == 1, 0, shift)
     error = float(np.sqrt(max(0.0, 1 - (np.abs(top) / energy) ** 2))) if energy else 0.0
     return shift, error, float(np.arctan2(top.imag, top.real))
 
 
-def patch_shifts(image: np.ndarray, template: np.ndarray, params) -> tuple[list, np.ndarray]:
-    """(patches, shifts) by which each patch has to move onto the template; patches of a pixel's width have none."""
-    from somaflow.operators.geometry import motion_patches
-
-    patches = motion_patches(*image.shape, params.strides, params.overlaps)
-    a, b = images.band_pass(np.stack((image, template)), params.filter_size_patch)
-    shifts = np.zeros((len(patches), 2))
-    for n, (_, y0, y1, x0, x1) in enumerate(patches):
-        if y1 - y0 > 1 and x1 - x0 > 1:
-            shifts[n] = -register(a[y0:y1, x0:x1], b[y0:y1, x0:x1], params.upsample_factor, params.max_shifts)[0]
-    return patches, shifts
-
-
 def resize_field(field: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """A shift field on a finer grid, cubic, the edge repeated."""
     out = field
@@ -178,14 +230,14 @@ def _ramp(n: int, overlap: int, first: bool, last: bool) -> np.ndarray:
     return out
 
 
-def piecewise_correct(image: np.ndarray, template: np.ndarray, params) -> np.ndarray:
-    """The image with every patch moved by its own shift.
+def piecewise_correct(image: np.ndarray, target: Target) -> np.ndarray:
+    """The image with every patch moved by its own shift; what comes into a patch from outside takes the mean of its rest.
 
     Gentle fields (largest steps between patches under half a pixel at their
     upper quartile) are blended over the overlaps, with the image itself as one
     more layer; others are pasted, each patch without half its overlaps.
     """
-    patches, shifts = patch_shifts(image, template, params)
+    params, patches, shifts = target.params, target.patches, target.shifts(image)
     if not shifts.any():
         return image.copy()
     h, w = image.shape
@@ -208,7 +260,7 @@ def piecewise_correct(image: np.ndarray, template: np.ndarray, params) -> np.nda
         i, j = divmod(n, cols)
         part = image[y0:y1, x0:x1]
         if field[i, j].any():
-            part = translate(part, tuple(field[i, j]))
+            part = translate(part, tuple(field[i, j]), border_nan=True)
         if gentle:
             ramp = np.outer(_ramp(y1 - y0, oy, i == 0, y1 == h), _ramp(x1 - x0, ox, j == 0, x1 == w))
             ok = np.isfinite(part)
@@ -222,7 +274,6 @@ def piecewise_correct(image: np.ndarray, template: np.ndarray, params) -> np.nda
     return np.where(bad, np.median(out[~bad]) if (~bad).any() else 0.0, out)
 
 
-def correct_frame(image: np.ndarray, template: np.ndarray, params) -> np.ndarray:
+def correct_frame(image: np.ndarray, target: Target) -> np.ndarray:
     """Rigid, then piecewise."""
-    moved = global_correct(image, template, params.max_deviation_rigid, params.filter_size)
-    return piecewise_correct(moved, template, params)
+    return piecewise_correct(global_correct(image, target), target)

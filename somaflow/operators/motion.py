@@ -8,6 +8,7 @@ of the movie before the next one reads its template.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,8 +83,12 @@ def corrected(frames: DataFrame, template: np.ndarray, params: MotionParams) ->
     """(t, px): each frame corrected as a whole, then by patches."""
     h, w = template.shape
 
+    ready: list[registration.Target] = []  # made once in each task
+
     def kernel(block):
-        out = np.stack([registration.correct_frame(f, template, params) for f in block]).reshape(len(block), -1)
+        if not ready:
+            ready.append(registration.Target(template, params))
+        out = np.stack([registration.correct_frame(f, ready[0]) for f in block]).reshape(len(block), -1)
         return [pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], out.ravel())]
 
     return _mapped(frames, h, w, "t long, px array<double>", kernel)
@@ -91,33 +96,40 @@ def corrected(frames: DataFrame, template: np.ndarray, params: MotionParams) ->
 
 def template_image(frames: DataFrame, h: int, w: int) -> np.ndarray:
     """The median image; one value per pixel reaches the driver."""
-    rows = geometry.checked(stats.template(frames), "pixels of one image", 1 << 22)
+    pixels = stats.template(frames).select("p", "template").limit((1 << 22) + 1).toArrow()
+    if len(pixels) > 1 << 22:
+        raise ValueError("more pixels than one image may have here")
     out = np.zeros(h * w)
-    for r in rows:
-        out[r["p"]] = r["template"]
+    out[np.asarray(pixels["p"])] = np.asarray(pixels["template"])
     return out.reshape(h, w)
 
 
+def _together(blocks: list[DataFrame]) -> DataFrame:
+    """The blocks as one table: one scan where all of them are read from files."""
+    files = [b.inputFiles() for b in blocks]
+    if all(files):
+        return blocks[0].sparkSession.read.schema(blocks[0].schema).parquet(*(f for x in files for f in x))
+    return functools.reduce(DataFrame.unionByName, blocks)
+
+
 def motion_correct(frames: DataFrame, h: int, w: int, params: MotionParams, save) -> DataFrame:
     """The corrected movie (t, px).
 
     ``save(df, name)`` writes a table that outlives its executors and returns
-    it read back; each block of each round is written once.
+    it read back; each block of each round is written once, and is all that the
+    same block of the next round reads.
     """
     stop = frames.agg(F.max("t")).first()[0]
     if stop is None:
         return frames.select("t", F.col("px").cast("array<double>").alias("px"))
     template = template_image(in_range(frames, 0, params.template_frames), h, w)
+    starts = range(0, stop + 1, params.block_size)
+    blocks = [in_range(frames, start, start + params.block_size) for start in starts]
     for turn in range(params.nb_round):
-        blocks = []
-        for start in range(0, stop + 1, params.block_size):
-            done = save(corrected(in_range(frames, start, start + params.block_size), template, params), f"motion-{turn}-{start}")
-            blocks.append(done)
-            template = template_image(done, h, w)
-        frames = blocks[0]
-        for b in blocks[1:]:
-            frames = frames.unionByName(b)
-    return frames
+        for n, start in enumerate(starts):
+            blocks[n] = save(corrected(blocks[n], template, params), f"motion-{turn}-{start}")
+            template = template_image(blocks[n], h, w)
+    return _together(blocks) if params.nb_round else frames
 
 
 def shift_demo(image: np.ndarray, box: int, shift: tuple[int, int], params: MotionParams) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +140,7 @@ def shift_demo(image: np.ndarray, box: int, shift: tuple[int, int], params: Moti
     part = image[y0 : y0 + box, x0 : x0 + box]
     moved = image.copy()
     moved[y0 : y0 + box, x0 : x0 + box] = np.roll(part, shift, axis=(0, 1))
-    return moved, registration.patch_shifts(moved, image, params)[1]
+    return moved, registration.Target(image, params).shifts(moved)
 
 
 def session_save(spark: SparkSession, folder: str):

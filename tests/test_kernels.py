@@ -193,7 +193,7 @@ def test_sub_pixel_shift():
 def test_rigid_shift_and_translate():
     scene = simulate.drifting(1, (60, 60), np.zeros((1, 2)))[0]
     moved = registration.translate(scene, (2, -1))
-    back = registration.rigid_shift(moved, scene, 5, 4)
+    back = registration.rigid_shift(moved, registration.rigid_matcher(scene, 5, 4), 4)
     assert np.allclose(back, (-2, 1), atol=0.2)
     assert np.allclose(registration.translate(moved, (-2, 1))[6:-6, 6:-6], scene[6:-6, 6:-6], atol=1.0)
     assert np.allclose(registration.translate(scene, (0, 0)), scene)
@@ -204,10 +204,43 @@ def test_piecewise_moves_towards_template():
     params = MotionParams(strides=(24, 24), overlaps=(6, 6), max_shifts=(4, 4), filter_size_patch=3, filter_size=5, max_deviation_rigid=4)
     scene = simulate.drifting(1, (60, 60), np.zeros((1, 2)))[0]
     moved = registration.translate(scene, (2, 1))
-    out = registration.correct_frame(moved, scene, params)
+    target = registration.Target(scene, params)
+    out = registration.correct_frame(moved, target)
     inner = slice(8, -8)
     assert np.abs(out - scene)[inner, inner].mean() < 0.3 * np.abs(moved - scene)[inner, inner].mean()
-    assert np.allclose(registration.piecewise_correct(scene, scene, params), scene)
+    assert np.allclose(registration.piecewise_correct(scene, target), scene)
+
+
+def test_patches_are_filtered_by_themselves():
+    """Each crop of image and template is filtered alone; moved patches are filled with their mean at the border."""
+    params = MotionParams(strides=(20, 20), overlaps=(4, 4), max_shifts=(4, 4), filter_size_patch=3, filter_size=5, max_deviation_rigid=4, upsample_factor=2)
+    a, b = simulate.drifting(2, (60, 50), np.array([(0, 0), (1.5, -2)]))
+    target = registration.Target(a, params)
+    for (_, y0, y1, x0, x1), shift in zip(target.patches, target.shifts(b)):
+        if min(y1 - y0, x1 - x0) > 1:
+            one, two = (images.band_pass(i[None, y0:y1, x0:x1], 3)[0] for i in (b, a))
+            assert np.allclose(shift, -registration.register(one, two, 2, (4, 4))[0])
+
+
+def test_maps_equal_windows_taken_one_by_one():
+    rng = np.random.default_rng(20)
+    block, template, most = rng.standard_normal((3, 30, 26)) + 5, rng.standard_normal((30, 26)), 4
+    block[2] = 7.5
+    maps = registration.ncc_maps(block, template, most)
+    inner = template[most:-most, most:-most]
+    for i in range(2 * most + 1):
+        for j in range(2 * most + 1):
+            for k in range(2):
+                assert np.isclose(maps[k, i, j], np.corrcoef(block[k, i : i + 22, j : j + 18].ravel(), inner.ravel())[0, 1])
+    assert (maps[2] == 0).all() and (registration.ncc_maps(block, np.ones((30, 26)), most) == 0).all()
+
+
+def test_large_kernels_equal_their_definition():
+    rng = np.random.default_rng(21)
+    x, kernel = rng.standard_normal((2, 40, 33)), rng.standard_normal((15, 13))
+    padded = np.pad(x, ((0, 0), (7, 7), (6, 6)), mode="symmetric")
+    want = sum(kernel[i, j] * padded[:, i : i + 40, j : j + 33] for i in range(15) for j in range(13))
+    assert np.allclose(images.correlate(x, kernel, "reflect"), want)
 
 
 def test_resize_field_keeps_constants():
