@@ -374,12 +374,13 @@ def gram_sparse(spark, sf):
 @query(f"""WITH {PX}, f AS (SELECT t, round(avg(v), 9) AS f FROM px GROUP BY t), b AS (SELECT p, round(avg(v), 9) AS b FROM px GROUP BY p)
 SELECT t, p, round(f * b * 1000, 6) + 0.0 AS v FROM f, b""")
 def outer_fb(spark, sf):
-    """Background f b': the pixels' weights are one array that every frame is multiplied with."""
+    """Background f b': the pixels' weights are one row, an array, that is broadcast to the frames."""
     long = layout.pixels(movie(spark, sf))
     f = long.groupBy("t").agg(F.round(F.avg("v"), 9).alias("f"))
     b = long.groupBy("p").agg(F.round(F.avg("v"), 9).alias("b"))
-    weights = [r["b"] for r in sorted(geometry.checked(b, "pixels of one image", 1 << 21), key=lambda r: r["p"])]
-    return f.select("t", F.posexplode(F.transform(F.array(*map(F.lit, weights)), lambda w: r6(F.col("f") * w * 1000))).alias("p", "v"))
+    weights = b.groupBy().agg(F.sort_array(F.collect_list(F.struct("p", "b"))).alias("b")).select(F.col("b.b").alias("weights"))  # as many as an image has pixels
+    both = f.join(F.broadcast(weights))
+    return both.select("t", F.posexplode(F.transform("weights", lambda w: r6(F.col("f") * w * 1000))).alias("p", "v"))
 
 
 @query(f"""WITH {PX}, {MF}, c AS (SELECT t, k, greatest(sum(v * a), 0) AS c FROM px JOIN mf USING (p) GROUP BY t, k), nn AS (SELECT k, sum(a * a) AS nn FROM mf GROUP BY k),
@@ -408,18 +409,30 @@ def ring_b0(spark, sf):
     return mean.join(explained, "p", "left").select("p", r6(F.col("m") - F.coalesce("s", F.lit(0.0))).alias("b0"))
 
 
-@query(f"WITH {FP}, s AS (SELECT k, p, a FROM fp WHERE k % 3 = 0 UNION ALL SELECT k + 1000000, p, a * 2 FROM fp WHERE k % 3 = 1) SELECT k, count(*) AS n, round(sum(a), 6) AS total FROM s GROUP BY k")
+#: Footprints that overlap another one of their patch by enough to be merged.
+_MERGED = f"{OV}, mg AS (SELECT i AS k FROM ov WHERE overlap > 0.4 UNION SELECT j FROM ov WHERE overlap > 0.4)"
+
+
+def _overlapping(spark, sf, least):
+    edges = geometry.overlap_graph(footprints(spark, sf), "patch").where(F.round("overlap", 6) > least)
+    return edges.select(F.explode(F.array("i", "j")).alias("k")).distinct()
+
+
+@query(f"""WITH {_MERGED}, s AS (SELECT k, p, a FROM fp WHERE k NOT IN (SELECT k FROM mg) UNION ALL SELECT k + 1000000, p, a * 2 FROM fp WHERE k IN (SELECT k FROM mg))
+SELECT k, count(*) AS n, round(sum(a), 6) AS total FROM s GROUP BY k""")
 def union_components(spark, sf):
-    f = footprints(spark, sf).select("k", "p", "a")
-    merged = f.where("k % 3 = 1").select((F.col("k") + 1000000).alias("k"), "p", (F.col("a") * 2).alias("a"))
-    return f.where("k % 3 = 0").unionByName(merged).groupBy("k").agg(F.count("*").alias("n"), r6(F.sum("a")).alias("total"))
+    """Components that overlap no other one by much, and those that do under new names: every one is on one side."""
+    f, merged = footprints(spark, sf).select("k", "p", "a"), _overlapping(spark, sf, 0.4)
+    new = f.join(merged, "k", "left_semi").select((F.col("k") + 1000000).alias("k"), "p", (F.col("a") * 2).alias("a"))
+    return f.join(merged, "k", "left_anti").unionByName(new).groupBy("k").agg(F.count("*").alias("n"), r6(F.sum("a")).alias("total"))
 
 
-@query(f"WITH {FP}, {OV.removeprefix(FP + ', ')} SELECT DISTINCT patch FROM fp WHERE k IN (SELECT i FROM ov) EXCEPT SELECT DISTINCT patch FROM fp WHERE k < 5")
+@query(f"WITH {_MERGED} SELECT DISTINCT patch FROM fp WHERE k IN (SELECT i FROM ov UNION SELECT j FROM ov) EXCEPT SELECT DISTINCT patch FROM fp WHERE k IN (SELECT k FROM mg)")
 def except_patches(spark, sf):
+    """Patches with overlapping components none of which overlap by much."""
     f = footprints(spark, sf)
-    overlapping = geometry.overlap_graph(f, "patch").select(F.col("i").alias("k"))
-    return f.join(overlapping, "k", "left_semi").select("patch").distinct().exceptAll(f.where("k < 5").select("patch").distinct())
+    within = lambda least: f.join(_overlapping(spark, sf, least), "k", "left_semi").select("patch")
+    return within(0).subtract(within(0.4))
 
 
 @query("SELECT l_partkey AS k, sum(l_quantity) AS total FROM lineitem GROUP BY l_partkey HAVING sum(l_quantity) > 600")
