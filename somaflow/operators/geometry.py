@@ -52,6 +52,10 @@ def ring_pairs(spark, h: int, w: int, radius: int) -> DataFrame:
     return out.where((F.col("ny") >= 0) & (F.col("ny") < h) & (F.col("nx") >= 0) & (F.col("nx") < w))
 
 
+#: Distances that are held at once.
+PAIRS = 1 << 20
+
+
 def checked(df: DataFrame, what: str, most: int = SMALL_SIDE) -> list:
     """The rows of a side that is small by nature; an error if it isn't."""
     rows = df.limit(most + 1).collect()
@@ -86,9 +90,10 @@ def nearest_center(points: DataFrame, centers: DataFrame, keys: list[str], coord
                 best = np.where((dl < dr) | ((dl == dr) & (a < b)), a, b)
                 dist = np.minimum(dl, dr)
             elif len(rows):
-                for k in range(0, len(x), 1024):
-                    d = ((x[k : k + 1024, None] - at) ** 2).sum(axis=2)
-                    best[k : k + 1024], dist[k : k + 1024] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
+                step = max(1, PAIRS // len(rows))
+                for k in range(0, len(x), step):
+                    d = sum((x[k : k + step, i, None] - at[:, i]) ** 2 for i in range(at.shape[1]))
+                    best[k : k + step], dist[k : k + step] = d.argmin(axis=1), np.sqrt(d.min(axis=1))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(names[best].astype(np.int64) if len(rows) else best), pa.array(dist)], [*batch.schema.names[: len(keys)], center_key, "distance"])
 
     return kept.mapInArrow(task, ", ".join(out))

@@ -6,6 +6,7 @@ task holds anyway when it deconvolves it.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,10 +81,15 @@ def trace_noise(traces: DataFrame, method: str = "logmexp") -> DataFrame:
 
 
 def ar1_filter(traces: DataFrame, gamma: float) -> DataFrame:
-    """(k, t, c): c_t = v_t + gamma c_{t-1}, one pass over each trace's array."""
-    rows = series(traces, "k")
-    folded = F.aggregate("y", F.array().cast("array<double>"), lambda acc, v: F.concat(acc, F.array(v + gamma * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
-    return rows.select("k", F.posexplode(folded).alias("t", "c")).withColumn("t", F.col("t").cast("bigint"))
+    """(k, t, c): c_t = v_t + gamma c_{t-1}, one pass over each trace; a null sample makes it and all after it null."""
+
+    @F.pandas_udf("array<double>")
+    def filtered(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for y in parts:
+            yield pd.Series([list(itertools.accumulate(map(float, np.asarray(r, float)), lambda c, v: v + gamma * c)) for r in y])
+
+    rows = series(traces, "k").select("k", F.posexplode(filtered("y")).alias("t", "c"))
+    return rows.select("k", F.col("t").cast("bigint").alias("t"), F.nanvl("c", F.lit(None).cast("double")).alias("c"))
 
 
 def _per_trace(traces: DataFrame, fields: str, solve) -> DataFrame:
