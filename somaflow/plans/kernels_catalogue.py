@@ -5,14 +5,12 @@ Iterative ones write their rounds below the folder named by ``spark.checkpoint.d
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somaflow.folders import new_folder
 from somaflow.functions import extraction as fx
 from somaflow.operators import extraction, geometry, layout, motion, traces
 from somaflow.params import ExtractionParams, InitParams, PatchParams, TemporalParams
@@ -22,8 +20,7 @@ H, W = base.H, base.W
 
 
 def _save(spark: SparkSession):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='somaflow-')}"
-    return motion.session_save(spark, f"{root}/run-{uuid.uuid4().hex}")
+    return motion.session_save(spark, new_folder(spark, "run"))
 
 
 def oasis_constrained(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Frames (k, t, v) may come out of order: they wait in the state until the
 frame before them has come.  Each batch gives the frames that are settled or may
-have changed, so the newest row of a (k, t) is the one that holds; the last pool
-alone can still change.  Frames that come twice, or before the first one that
-was taken, are counted as late and dropped.
+have changed, so the newest row of a (k, t) is the one that holds.  Frames that
+come twice, or before the first one that was taken, are counted as late and
+dropped.
+
+The state is bounded.  Pools that ended more than ``horizon`` frames ago are
+settled for good and leave it; results are those of the whole trace unless a
+later frame would merge pools further back.  Where more than ``patience`` frames
+wait for one that is missing at a batch's end, that one counts as lost: the trace decays over it.
 """
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,14 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from somaflow.folders import new_folder
 from somaflow.functions import oasis
 from somaflow.functions.oasis import Pools
 
+#: Frames that a neuron's state reaches back, and those that wait for a missing one.
+HORIZON = 3000
+PATIENCE = 3000
 OUTPUT = StructType([StructField("k", LongType()), StructField("t", LongType()), StructField("c", DoubleType()), StructField("s", DoubleType()), StructField("late", LongType())])
 _STATE = StructType(
     [
         StructField("t", LongType()),
         StructField("late", LongType()),
+        StructField("before", DoubleType()),
         StructField("v", ArrayType(DoubleType())),
         StructField("w", ArrayType(DoubleType())),
         StructField("at", ArrayType(LongType())),
@@ -40,18 +48,19 @@ _STATE = StructType(
 
 
 class OnlineDeconvolution(StatefulProcessor):
-    """Holds a neuron's open pools: those that a later frame may still reach, and the frames that wait."""
+    """Holds a neuron's pools of the last frames, the value before them, and the frames that wait."""
 
-    def __init__(self, g: float, lam: float = 0.0, s_min: float = 0.0, b: float = 0.0):
+    def __init__(self, g: float, lam: float = 0.0, s_min: float = 0.0, b: float = 0.0, horizon: int = HORIZON, patience: int = PATIENCE):
         self.options = (g, lam, s_min, b)
+        self.horizon, self.patience = horizon, patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("pools", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pools, late, waiting = Pools(*self.options), 0, {}
+        pools, late, before, waiting = Pools(*self.options), 0, 0.0, {}
         if self.state.exists():
-            t, late, v, w, at, n, wt, wv = self.state.get()
+            t, late, before, v, w, at, n, wt, wv = self.state.get()
             pools.t, pools.v, pools.w, pools.at, pools.l = t, list(v), list(w), list(at), list(n)
             waiting = dict(zip(wt, wv))
         settled = pools.at[-1] if pools.at else 0
@@ -61,15 +70,15 @@ class OnlineDeconvolution(StatefulProcessor):
                     late += 1
                 else:
                     waiting[t] = v
-        while pools.t in waiting:
-            pools.fit_next(waiting.pop(pools.t))
+        while pools.t in waiting or len(waiting) > self.patience:
+            if pools.t in waiting:
+                pools.fit_next(waiting.pop(pools.t))
+            else:
+                pools.append(pools.last_value() * pools.g)
             settled = min(settled, pools.at[-1])
         first = pools.at[0] if pools.at else 0
-        # values from the first pool that changed on; pools before the last two can't be reached any more
-        # unless a merge walks back, so all pools whose value is positive stay in the state
-        self.state.update((pools.t, late, pools.v, pools.w, pools.at, pools.l, list(waiting), list(waiting.values())))
+        start = before  # of the first pool that is held
         out = []
-        before = 0.0
         for v, at, n in zip(pools.v, pools.at, pools.l):
             value = max(0.0, v)
             if at + n > settled:
@@ -79,13 +88,18 @@ class OnlineDeconvolution(StatefulProcessor):
                         s = 0.0 if at + i == first and first == 0 else (c - pools.g * before if i == 0 else 0.0)
                         out.append((int(key[0]), at + i, c, s, late))
             before = value * pools.g ** (n - 1)
+        old = 0
+        while old < len(pools.at) - 1 and pools.at[old] + pools.l[old] <= pools.t - self.horizon:
+            start = max(0.0, pools.v[old]) * pools.g ** (pools.l[old] - 1)
+            old += 1
+        self.state.update((pools.t, late, start, *(x[old:] for x in (pools.v, pools.w, pools.at, pools.l)), list(waiting), list(waiting.values())))
         yield pd.DataFrame(out, columns=["k", "t", "c", "s", "late"])
 
     def close(self) -> None:
         pass
 
 
-def deconvolve_stream(frames: DataFrame, g: float, lam: float = 0.0, s_min: float = 0.0, b: float = 0.0) -> DataFrame:
+def deconvolve_stream(frames: DataFrame, g: float, lam: float = 0.0, s_min: float = 0.0, b: float = 0.0, horizon: int = HORIZON, patience: int = PATIENCE) -> DataFrame:
     """(k, t, c, s, late) of a stream (k, t, v); needs the RocksDB state store.
 
     The state runner doesn't see packages sent by ``addPyFile``, so that the
@@ -93,7 +107,7 @@ def deconvolve_stream(frames: DataFrame, g: float, lam: float = 0.0, s_min: floa
     """
     for module in (sys.modules[__name__], oasis):
         cloudpickle.register_pickle_by_value(module)
-    processor = OnlineDeconvolution(g, lam, s_min, b)
+    processor = OnlineDeconvolution(g, lam, s_min, b, horizon, patience)
     return frames.groupBy("k").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Update", timeMode="None")
 
 
@@ -107,8 +121,7 @@ def run_to_end(traces: DataFrame, g: float, lam: float = 0.0, s_min: float = 0.0
     ``spark.checkpoint.dir``; of each frame the last batch's row holds.
     """
     spark = traces.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='somaflow-')}"
-    folder = f"{root}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     frames = traces.select("k", "t", "v")
     frames.repartitionByRange(files, "t").write.parquet(f"{folder}/in")
     old = spark.conf.get(PROVIDER, None)

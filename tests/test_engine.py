@@ -239,3 +239,73 @@ def test_movie_api(spark, tmp_path):
     out = decoded(rows_, classes=12, folds=2, trees=10, depth=5)
     assert out.count() == 600
     assert out.select(angular_error(out.angle, out.decoded).alias("e")).approxQuantile("e", [0.5], 0.01)[0] < 0.8
+
+
+class HeldState:
+    """What a state store does for one key."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_the_online_state_is_bounded():
+    import pandas as pd
+
+    from somaflow.functions.oasis import oasis_ar1
+    from somaflow.streaming.oasis_stream import OnlineDeconvolution
+
+    rng = np.random.default_rng(15)
+    y, _ = traces_with_spikes(rng, 6000)
+    p = OnlineDeconvolution(0.9, horizon=200, patience=50)
+    p.state, rows, sizes = HeldState(), {}, []
+    for a in range(0, len(y), 100):
+        order = a + rng.permutation(100)
+        order = order[order != 1234]  # a frame that never comes
+        for pdf in p.handleInputRows((3,), iter([pd.DataFrame({"t": order, "v": y[order]})]), None):
+            rows |= {t: (c, s) for t, c, s in zip(pdf["t"], pdf["c"], pdf["s"])}
+        sizes.append(len(p.state.value[3]))
+    assert max(sizes[10:]) <= 200 and len(p.state.value[7]) == 0 and sorted(rows) == list(range(6000))
+    # the lost frame decays from the one before; all others are as in one batch over the trace filled so
+    filled = y.copy()
+    whole, _ = oasis_ar1(y[:1234], 0.9)
+    filled[1234] = whole[-1] * 0.9
+    c, s = oasis_ar1(filled, 0.9)
+    assert np.allclose([rows[t][0] for t in range(6000)], c) and np.allclose([rows[t][1] for t in range(6000)], s)
+
+
+def traces_with_spikes(rng, n):
+    s = rng.poisson(0.05, n).astype(float)
+    c = np.zeros(n)
+    for t in range(1, n):
+        c[t] = 0.9 * c[t - 1] + s[t]
+    return c + 0.2 * rng.standard_normal(n), s
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from somaflow import folders
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        folders.shared_root(cluster)
+    with folders.scratch(spark):
+        path = folders.new_folder(spark, "x")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_ar1_filter_by_definition(spark):
+    rows = [(0, t, v) for t, v in enumerate([1.0, 2.0, 0.0, -1.0])] + [(1, 0, 5.0)]
+    got = {(r["k"], r["t"]): r["c"] for r in traces.ar1_filter(spark.createDataFrame(rows, "k long, t long, v double"), 0.5).collect()}
+    assert got == {(0, 0): 1.0, (0, 1): 2.5, (0, 2): 1.25, (0, 3): -0.375, (1, 0): 5.0}
