@@ -1,33 +1,18 @@
 """Files that the driver and all executors can see.
 
 Everything that has to outlive a task or a stage goes below the folder named by
-``spark.checkpoint.dir``.  Where that setting is absent (tests, a notebook) a
-temporary local folder is used instead.
+``spark.checkpoint.dir`` (see ``somaflow.folders``); ``scratch`` deletes what was
+written inside it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder of this session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("somaflow.shared.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="somaflow-")
-        spark.conf.set("somaflow.shared.dir", root)
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """URI of a folder that nothing else uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+from somaflow.folders import new_folder, remove, scratch, shared_root  # noqa: F401
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
