@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from somaflow.llm import op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op10_toxicity
-from somaflow.llm.shared import new_folder
+from somaflow.llm.shared import new_folder, remove, scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = new_folder(spark, f"stage{k + 1}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """All stages over the documents table.
+
+    A stage's table, and what it wrote on the way, are deleted when the next
+    one's has been written; those of the last are left for the caller.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = new_folder(spark, f"stage{k + 1}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        remove(spark, before)
+        docs, before = spark.read.parquet(path), [path]
+    return STAGES[-1][1](spark, docs, sf_dir)
