@@ -654,10 +654,41 @@ def test_pii(docs, spark, empty):
         assert set(filter(None, line(want[0]).split(","))) <= set(filter(None, r["spans"].split(",")))
     more = op9_pii.found(extra, op9_pii.model())["spans"]
     assert "phone_local" in more[0] and "national" in more[1] and "email_text" in more[2] and "iban" in more[3]
+    trees = op9_pii.model()
+    assert all(trees[k].quality[0] >= 0.9 and trees[k].quality[1] >= 0.6 for k in op9_pii.MORE)  # on phrases that weren't learned
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    yes = [f'x token = "{key}" y', f"export API_KEY={key}", "passport 123456789 of the guest", "her social security number is 123-45-6789"]
+    no = [f"commit {key} fixes it", f"sha256 {key}", "Order 123-45-6789 shipped", "a population of 123456789", "https://example.com/a/b/2024-10-10-some-long-page.html", "on 9807915762804490 the"]
+    assert all(op9_pii.found(yes, trees)["n_spans"]) and not any(op9_pii.found(no, trees)["n_spans"])
     assert op9_pii.redact("x a@b.c y", [("email", 2, 7)]) == "x [email] y"
     assert op9_pii.detected(empty).count() == 0
 
 
+def test_added_spans_equal_every_candidate_judged_alone(docs):
+    """Candidates by a plain scan of each pattern, containment and distance by comparing all pairs."""
+    trees = op9_pii.model()
+    rng = random.Random(16)
+    bits = ["a.b@c.org", "4111111111111111", "123-45-6789", "(269) 555-3296", "token = \"" + "0a1" * 12 + "\"", "1.2.3.4", "DE89 3704 0044 0532 0130 00", "passport 123456789", "order", "joe at example dot com", "é", "and", "ssn:"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(150)] + [r["text"] or "" for r in docs.collect()]
+    got = op9_pii.found(texts, trees)
+    for t, line, n in zip(texts, got["spans"], got["n_spans"]):
+        base = base_spans(t)
+        held = []
+        for kind, pattern in op9_pii._LOOSE.items():
+            for m in pattern.finditer(t):
+                a, b = m.span()
+                if any(x <= a and b <= y for _, x, y in base):
+                    continue
+                near = min([op9_pii.NEAR, *(max(0, a - y, x - b) for _, x, y in base)])
+                if trees[kind].predict(np.array([op9_pii.features(t, kind, a, b, near)], float))[0] >= trees[kind].threshold:
+                    held.append((kind, a, b))
+        inner = lambda z: any(w[1] <= z[1] and z[2] <= w[2] and (w[2] - w[1], -op9_pii.MORE.index(w[0])) > (z[2] - z[1], -op9_pii.MORE.index(z[0])) for w in held)
+        want = base + sorted((z for z in held if not inner(z)), key=lambda z: (op9_pii.MORE.index(z[0]), z[1]))
+        assert line == ",".join(f"{k}:{a}:{b}" for k, a, b in want) and n == len(want)
+        redacted = op9_pii.redact(t, [(k, a, b) for k, a, b in want])
+        assert all(t[a:b] not in redacted or t.count(t[a:b]) > 1 for _, a, b in want)
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(7)
     x = rng.random((2000, 4))
