@@ -1,11 +1,13 @@
 """License scans by a positional rare-token index.
 
-Licence texts and key phrases are templates in one index: word -> (template,
-place in it).  Each template is looked up by its highest-IDF words, with IDF
-counted over all documents.  A file's places of such words give alignments
-(place in the file minus place in the template); alignments that enough rare
-words agree on are verified word by word, and a template counts only where its
-mandatory key phrases stand in the same file.
+Licence texts and key phrases are templates in one index: word -> places in
+each template.  IDF is counted over all documents.  A file's licence words are
+weighed by it: a template of which the file can't hold enough weight is left
+alone, and for each other one the file's own words of highest IDF are looked up.
+Their places in the file and in the template give alignments (place in the file
+minus place in the template); alignments that enough of the words agree on are
+verified word by word, and near ones together, as names may stand between.  A
+template counts only where its mandatory key phrases stand in the same file.
 """
 
 from __future__ import annotations
@@ -17,32 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somaflow.llm.licence_texts import TEXTS
 from somaflow.llm.textbytes import ALNUM, Vocabulary, Words, chunks
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label, words of the notice, key phrases of which all must stand in the file.
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["hereby granted free of charge"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms"]),
-    ("gpl", "this work is licensed under the gnu general public license", ["gnu general public license"]),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license"]),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ["lesser general public license"]),
-    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["affero general public license"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("epl", "made available under the terms of the eclipse public license", ["eclipse public license"]),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
-]
-#: Rare words that look a template up, the share of them that must agree, and the weighted share of words that must fit.
-RARE = 4
-AGREE = 0.5
+#: Rare words of a file that look a template up, and of them those that must agree on an alignment.
+RARE = 8
+AGREE = 2
+#: Weighted share of a template's words that must fit, and words by which alignments of one copy may differ.
 FIT = 0.7
+SLACK = 12
+#: Words of alignments that are verified at once.
+AT_ONCE = 1 << 20
 
 
 class Index:
@@ -50,90 +39,102 @@ class Index:
 
     def __init__(self, df: dict[str, int] | None = None, n: int = 0):
         df = df or {}
-        self.names: list[str] = []
-        self.texts: list[list[str]] = []
-        self.needs: list[list[int]] = []
-        phrases: dict[str, int] = {}
-        whole = [*BASE, *(p for _, _, keys in TEMPLATES for p in keys)]
-        for p in whole:
-            if p not in phrases:
-                phrases[p] = len(self.texts)
-                self.texts.append(p.split())
-                self.names.append(BASE.get(p, ""))
-                self.needs.append([])
-        self.base = [phrases[p] for p in BASE]
-        self.n_phrases = len(self.texts)
-        for label, text, keys in TEMPLATES:
-            self.texts.append(text.split())
-            self.names.append(label)
-            self.needs.append([phrases[k] for k in keys])
-        self.vocabulary = sorted({w for t in self.texts for w in t})
+        phrases = list(dict.fromkeys([*BASE, *(p for _, _, keys in TEXTS for p in keys)]))
+        found = Words([t.encode() for t in [*phrases, *(t for _, t, _ in TEXTS)]], ALNUM)
+        texts = [[found.word(k).decode() for k in range(a, b)] for a, b in zip(found.first[:-1], found.first[1:])]
+        self.n_phrases = len(phrases)
+        self.base = {i: BASE[p] for i, p in enumerate(phrases) if p in BASE}
+        self.labels = [label for label, _, _ in TEXTS]
+        self.needs = [[phrases.index(p) for p in keys] for _, _, keys in TEXTS]
+        self.vocabulary = sorted({w for t in texts for w in t})
         words = Words([w.encode() for w in self.vocabulary], ALNUM)
         self.lookup = Vocabulary(words)
         place = {w: int(i) for w, i in zip(self.vocabulary, self.lookup.find(words))}
-        self.words = [np.array([place[w] for w in t]) for t in self.texts]
+        self.words = [np.array([place[w] for w in t]) for t in texts]
         self.idf = np.zeros(len(self.vocabulary))
         for w, i in place.items():
             self.idf[i] = math.log((n + 1) / (df.get(w, 0) + 1)) + 1
-        # anchors: a phrase is looked up by its rarest word, a template by its RARE rarest places
-        self.anchors: dict[int, list[tuple[int, int]]] = {}
-        self.quorum = []
-        for t, words in enumerate(self.words):
-            order = sorted(range(len(words)), key=lambda k: (-self.idf[words[k]], k))
-            chosen = order[: 1 if t < self.n_phrases else RARE]
-            self.quorum.append(max(1, math.ceil(AGREE * len(chosen))))
-            for k in chosen:
-                self.anchors.setdefault(int(words[k]), []).append((t, k))
+        # (words, templates): the weight of a word's places; and a template's words from the rarest on
+        self.weight = np.zeros((len(self.vocabulary), len(TEXTS)))
+        for t, w in enumerate(self.words[self.n_phrases :]):
+            np.add.at(self.weight[:, t], w, self.idf[w])
+        self.total = self.weight.sum(axis=0)
+        self.rarest = [sorted(set(w.tolist()), key=lambda i: (-self.idf[i], i)) for w in self.words]
+
+    def _places(self, order: np.ndarray, first: np.ndarray, word: int, low: int, high: int) -> np.ndarray:
+        """Places of a word among those from ``low`` to ``high`` - 1."""
+        at = order[first[word] : first[word + 1]]
+        return at[np.searchsorted(at, low) : np.searchsorted(at, high)]
+
+    def _phrase(self, t: int, ids: np.ndarray, owner: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """All places where a phrase begins, looked up by its rarest word."""
+        words, n = self.words[t], len(ids)
+        k = int(np.flatnonzero(words == self.rarest[t][0])[0])
+        start = self._places(order, first, self.rarest[t][0], 0, n) - k
+        start = start[(start >= 0) & (start + len(words) <= n)]
+        for j, w in enumerate(words.tolist()):
+            start = start[(ids[start + j] == w) & (owner[start + j] == owner[start])]
+        return start
+
+    def _fit(self, t: int, low: int, high: int, present: set[int], ids: np.ndarray, order: np.ndarray, first: np.ndarray) -> float:
+        """The largest weighted share of a template's words that fits alignments with the file's words from ``low`` to ``high`` - 1."""
+        words = self.words[self.n_phrases + t]
+        rare = [w for w in self.rarest[self.n_phrases + t] if w in present][:RARE]
+        starts = [self._places(order, first, w, low, high)[:, None] - np.flatnonzero(words == w) for w in rare]
+        start, votes = np.unique(np.concatenate([np.unique(x) for x in starts]), return_counts=True)  # a word votes once
+        start = start[votes >= min(AGREE, len(rare))]
+        best, weight = 0.0, self.idf[words] / self.total[t]
+        held, last = np.zeros(len(words), bool), None
+        step = max(1, AT_ONCE // len(words))
+        for a in range(0, len(start), step):
+            at = start[a : a + step, None] + np.arange(len(words))
+            same = (at >= low) & (at < high) & (ids[np.clip(at, 0, len(ids) - 1)] == words)
+            # alignments that follow each other closely are one copy
+            part = start[a : a + step]
+            opens = np.append(True if last is None else part[0] - last > SLACK, np.diff(part) > SLACK)
+            groups = np.flatnonzero(opens)
+            if not opens[0]:
+                groups = np.append(0, groups)
+                same[0] |= held
+            whole = np.logical_or.reduceat(same, groups, axis=0)
+            best = max(best, float((whole @ weight).max()))
+            held, last = whole[-1], part[-1]
+        return best
 
     def scan(self, texts: list[bytes]) -> dict[str, list]:
         """Result columns of some files."""
         found = Words(texts, ALNUM)
         ids, owner = self.lookup.find(found), found.text_of()
-        n = len(ids)
-        rows = len(texts)
-        starts: dict[int, list[np.ndarray]] = {}
+        rows, size = len(texts), len(self.vocabulary)
         held = np.flatnonzero(ids >= 0)
         order = held[np.argsort(ids[held], kind="stable")]
-        first = np.searchsorted(ids[order], np.arange(len(self.vocabulary) + 1))
-        for w, uses in self.anchors.items():
-            at = order[first[w] : first[w + 1]]
-            if len(at):
-                for t, k in uses:
-                    starts.setdefault(t, []).append(at - k)
+        first = np.searchsorted(ids[order], np.arange(size + 1))
         out = {c: [0] * rows for c in ("n_words", "n_base")} | {"first_word": [None] * rows, "last_word": [None] * rows, "score": [0.0] * rows}
         out["n_words"] = np.diff(found.first).tolist()
         base_labels, labels = [set() for _ in texts], [set() for _ in texts]
-        holds: dict[int, set[int]] = {}
-        for t in range(len(self.texts)):
-            holds[t] = set()
-            if t not in starts or any(not holds[p] for p in self.needs[t]):
-                continue
-            place, votes = np.unique(np.concatenate(starts[t]), return_counts=True)
-            words = self.words[t]
-            place = place[votes >= self.quorum[t]]
-            steps = place[:, None] + np.arange(len(words))
-            inside = (steps >= 0) & (steps < n)
-            steps = np.clip(steps, 0, n - 1)
-            # an alignment belongs to the file of its first place that fits
-            same = inside & (ids[steps] == words)
-            file = owner[steps[np.arange(len(place)), same.argmax(axis=1)]]
-            same &= owner[steps] == file[:, None]
-            fit = (same * self.idf[words]).sum(axis=1) / self.idf[words].sum()
-            if t < self.n_phrases:
-                good = same.all(axis=1)
-                holds[t] = set(file[good].tolist())
-                if t in self.base:
-                    for d, p in zip(file[good].tolist(), (place[good] - found.first[file[good]]).tolist()):
-                        out["n_base"][d] += 1
-                        out["first_word"][d] = p if out["first_word"][d] is None else min(p, out["first_word"][d])
-                        out["last_word"][d] = p if out["last_word"][d] is None else max(p, out["last_word"][d])
-                        base_labels[d].add(self.names[t])
-                        out["score"][d] = 1.0
-                continue
-            for d, f in zip(file.tolist(), fit.tolist()):
-                if f >= FIT and all(d in holds[p] for p in self.needs[t]):
-                    labels[d].add(self.names[t])
-                    out["score"][d] = max(out["score"][d], f)
+        holds: list[set[int]] = []
+        for t in range(self.n_phrases):
+            place = self._phrase(t, ids, owner, order, first)
+            file = owner[place]
+            holds.append(set(file.tolist()))
+            if t in self.base:
+                for d, p in zip(file.tolist(), (place - found.first[file]).tolist()):
+                    out["n_base"][d] += 1
+                    out["first_word"][d] = p if out["first_word"][d] is None else min(p, out["first_word"][d])
+                    out["last_word"][d] = p if out["last_word"][d] is None else max(p, out["last_word"][d])
+                    base_labels[d].add(self.base[t])
+                    out["score"][d] = 1.0
+        needed = [set.intersection(*(holds[p] for p in keys)) for keys in self.needs]
+        for d in sorted(set.union(*needed)):
+            low, high = int(found.first[d]), int(found.first[d + 1])
+            present = np.unique(ids[low:high])
+            present = present[present >= 0]
+            able = self.weight[present].sum(axis=0) >= FIT * self.total * (1 - 1e-12)
+            known = set(present.tolist())
+            for t in np.flatnonzero(able).tolist():
+                if d in needed[t] and (f := self._fit(t, low, high, known, ids, order, first)) >= FIT:
+                    labels[d].add(self.labels[t])
+                    out["score"][d] = min(1.0, max(out["score"][d], f))
         out["base_labels"] = [",".join(sorted(x)) for x in base_labels]
         out["labels"] = [",".join(sorted(x | y)) for x, y in zip(base_labels, labels)]
         return out

@@ -540,6 +540,55 @@ def test_licences(docs, spark, empty):
     assert op7_licenses.scanned(empty).count() == 0
 
 
+def licence_labels(text, df, n):
+    """Labels and score by word lists: every alignment that two of the file's rarest words of a template agree on."""
+    w = words(text)
+    idf = lambda x: np.log((n + 1) / (df.get(x, 0) + 1)) + 1
+    holds = lambda p: any(w[k : k + len(p)] == p for k in range(len(w)))
+    found, score = {label for p, label in op7_licenses.BASE.items() if holds(p.split())}, 0.0
+    score = 1.0 if found else 0.0
+    places = op7_licenses.Index(df, n).lookup
+    number = lambda x: int(places.find(op7_licenses.Words([x.encode()], op7_licenses.ALNUM))[0])
+    for label, template, keys in op7_licenses.TEXTS:
+        t = words(template)
+        if not all(holds(k.split()) for k in keys) or sum(idf(x) for x in t if x in w) < op7_licenses.FIT * sum(map(idf, t)):
+            continue
+        rare = sorted({x for x in t if x in w}, key=lambda x: (-idf(x), number(x)))[: op7_licenses.RARE]
+        votes = collections.Counter(a for x in rare for a in {i - k for i, v in enumerate(w) if v == x for k, y in enumerate(t) if y == x})
+        groups = []
+        for a in sorted(a for a, v in votes.items() if v >= min(2, len(rare))):
+            if groups and a - groups[-1][-1] <= op7_licenses.SLACK:
+                groups[-1].append(a)
+            else:
+                groups.append([a])
+        fit = max((sum(idf(y) for k, y in enumerate(t) if any(0 <= a + k < len(w) and w[a + k] == y for a in g)) for g in groups), default=0) / sum(map(idf, t))
+        if fit >= op7_licenses.FIT:
+            found.add(label)
+            score = max(score, fit)
+    return ",".join(sorted(found)), score
+
+
+def test_licence_labels_equal_word_lists(docs, spark):
+    """Whole licence texts with names, changed words and cuts, in files with other words around."""
+    rng = random.Random(17)
+    texts = ["" if r["text"] is None else r["text"][:3000] for r in docs.collect()]
+    for _, t, _ in op7_licenses.TEXTS:
+        w = t.split()
+        for share in (0.0, 0.1, 0.4):
+            new = [rng.choice(["Example", "Corporation", "2024"]) if rng.random() < share else x for x in w]
+            at = rng.randrange(len(new))
+            texts.append("some words here and there " * 3 + " ".join(new[:at] + ["by", "Some", "Authors"] + new[at:]) + " the end of it")
+        texts.append(" ".join(w[: len(w) // 2]))
+    texts.append(" ".join(t for _, t, _ in op7_licenses.TEXTS[:6]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts, n = op7_licenses.document_frequencies(df)
+    for r in op7_licenses.scanned(df).collect():
+        label, score = licence_labels(texts[r["doc_id"]], counts, n)
+        assert r["labels"] == label and np.isclose(r["score"], score)
+    one = op7_licenses.scanned(spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(op7_licenses.TEXTS)], "doc_id long, text string")).collect()
+    assert all(op7_licenses.TEXTS[r["doc_id"]][0] in r["labels"].split(",") for r in one)
+
+
 # -- 8 repeats
 
 
