@@ -52,43 +52,37 @@ def jumps(traces: DataFrame, times: float = 3) -> DataFrame:
     return out.withColumn("keep", F.col("top") >= times * F.col("spread"))
 
 
+def _numbers(traces: DataFrame, kind: str, kernel) -> DataFrame:
+    """(k, r): what ``kernel`` makes of each trace's array."""
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for y in parts:
+            yield pd.Series([kernel(np.asarray(r, float)) for r in y])
+
+    return series(traces, "k").select("k", run("y").alias("r"))
+
+
 def autocovariance(traces: DataFrame, lags: int) -> DataFrame:
     """(k, lag, v) for lags 0 .. lags: mean removed, divided by the full length."""
-    whole = Window.partitionBy("k")
-    z = traces.select("k", "t", (F.col("v") - F.avg("v").over(whole)).alias("z"), F.count("*").over(whole).alias("n"))
-    ahead = z.select("k", "n", *((F.col("z") * (F.lead("z", i).over(_by_time("k")) if i else F.col("z"))).alias(f"x{i}") for i in range(lags + 1)))
-    sums = ahead.groupBy("k").agg(*((F.sum(f"x{i}") / F.max("n")).alias(f"x{i}") for i in range(lags + 1)))
-    return sums.select("k", F.posexplode(F.array(*(f"x{i}" for i in range(lags + 1)))).alias("lag", "v"))
+    return _numbers(traces, "array<double>", lambda y: oasis.autocovariance(y, lags).tolist()).select("k", F.posexplode("r").alias("lag", "v"))
 
 
-def ar1_coefficient(covariance: DataFrame, noise: DataFrame, lags: int = 5, fudge: float = 1.0) -> DataFrame:
-    """(k, g): least squares of lag i + 1 on lag i, noise variance taken from lag 0; kept in (0, 1]."""
-    a = covariance.where(F.col("lag") <= lags).join(noise, "k").select("k", "lag", F.when(F.col("lag") == 0, F.col("v") - F.col("sn") * F.col("sn")).otherwise(F.col("v")).alias("a"))
-    b = covariance.where(F.col("lag") >= 1).select("k", (F.col("lag") - 1).alias("lag"), F.col("v").alias("b"))
-    g = a.join(b, ["k", "lag"]).groupBy("k").agg((F.sum(F.col("a") * F.col("b")) / F.sum(F.col("a") * F.col("a"))).alias("g"))
-    return g.select("k", (F.when(F.col("g") > 1, 0.95).when(F.col("g") < 0, 0.15).otherwise(F.col("g")) * fudge).alias("g"))
+def ar1_coefficient(traces: DataFrame, lags: int = 5, fudge: float = 1.0) -> DataFrame:
+    """(k, g): decay of first order from the autocovariance, as the deconvolution estimates it."""
+    return _numbers(traces, "double", lambda y: float(oasis.time_constant(y, None, 1, lags, fudge)[0])).select("k", F.col("r").alias("g"))
 
 
 def trace_noise(traces: DataFrame, method: str = "logmexp") -> DataFrame:
     """(k, sn) by Welch's averaged periodogram over the open band (1/4, 1/2)."""
-
-    @F.pandas_udf("double")
-    def sn(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for y in parts:
-            yield pd.Series([oasis.welch_noise(np.asarray(r, float), method) for r in y])
-
-    return series(traces, "k").select("k", sn("y").alias("sn"))
+    return _numbers(traces, "double", lambda y: oasis.welch_noise(y, method)).select("k", F.col("r").alias("sn"))
 
 
 def ar1_filter(traces: DataFrame, gamma: float) -> DataFrame:
     """(k, t, c): c_t = v_t + gamma c_{t-1}, one pass over each trace; a null sample makes it and all after it null."""
 
-    @F.pandas_udf("array<double>")
-    def filtered(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for y in parts:
-            yield pd.Series([list(itertools.accumulate(map(float, np.asarray(r, float)), lambda c, v: v + gamma * c)) for r in y])
-
-    rows = series(traces, "k").select("k", F.posexplode(filtered("y")).alias("t", "c"))
+    each = _numbers(traces, "array<double>", lambda y: list(itertools.accumulate(y.tolist(), lambda c, v: v + gamma * c)))
+    rows = each.select("k", F.posexplode("r").alias("t", "c"))
     return rows.select("k", F.col("t").cast("bigint").alias("t"), F.nanvl("c", F.lit(None).cast("double")).alias("c"))
 
 

@@ -41,7 +41,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from somaflow.plans import kernels_catalogue
+
+    return _SQL | kernels_catalogue.oracle_sql()
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -567,8 +569,7 @@ def trace_noise(spark, sf):
 g AS (SELECT a.k, sum(a * b.v) / sum(a * a) AS g FROM a JOIN ac b ON a.k = b.k AND b.lag = a.lag + 1 GROUP BY a.k)
 SELECT k, round(0.96 * CASE WHEN g > 1 THEN 0.95 WHEN g < 0 THEN 0.15 ELSE g END, 5) AS g FROM g""")
 def ar1_coef(spark, sf):
-    t = event_traces(spark, sf)
-    return traces.ar1_coefficient(traces.autocovariance(t, 6), traces.trace_noise(t), 5, 0.96).select("k", r6(F.col("g"), 5).alias("g"))
+    return traces.ar1_coefficient(event_traces(spark, sf), 5, 0.96).select("k", r6(F.col("g"), 5).alias("g"))
 
 
 @query(f"WITH {TR} SELECT a.k, a.t, round(sum(power(0.7, a.t - b.t) * b.v) + 1e-9, 5) + 0.0 AS c FROM tr a JOIN tr b ON a.k = b.k AND b.t <= a.t GROUP BY 1, 2")

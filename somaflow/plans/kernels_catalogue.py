@@ -1,11 +1,15 @@
-"""Queries of operators that SQL can't express; their tests compare with closed forms.
+"""Queries that run the engine's own kernels.
 
+Where SQL can't find a result, it can often state what has to hold for it: such a
+query gives by how much the result misses its optimality conditions, and the SQL
+says nought.  Five queries have no SQL; their tests compare with closed forms.
 Iterative ones write their rounds below the folder named by ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +27,48 @@ def _save(spark: SparkSession):
     return motion.session_save(spark, new_folder(spark, "run"))
 
 
+def _missed(y: np.ndarray, c: np.ndarray, s: np.ndarray, bl: float, g: float, lam: float) -> dict:
+    """By how much a deconvolved trace misses the conditions of its optimum, each at its worst frame.
+
+    primal: c decays by g but for activity s, and neither is negative.  dual: no
+    activity would pay, by what the residual gains from it later less its price;
+    slack: where there is activity, it pays exactly.
+    """
+    n = len(y)
+    rise = np.append(c[:1], c[1:] - g * c[:-1])
+    price = lam * np.append(np.full(n - 1, 1 - g), 1.0)
+    gain = np.zeros(n)  # d objective / d rise at t, with the sign turned
+    ahead = 0.0
+    for t in range(n - 1, -1, -1):
+        ahead = (y[t] - bl - c[t] - price[t]) + g * ahead
+        gain[t] = ahead
+    scale = max(1.0, float(np.abs(y).max()))
+    primal = max(0.0, -rise.min(), -c.min(), np.abs(rise[1:] - s[1:]).max(initial=0))
+    return {"n": n, "primal": primal / scale, "dual": max(0.0, float(gain.max())) / scale, "slack": float(np.abs(gain * (rise > 1e-9 * scale)).max()) / scale}
+
+
 def oasis_constrained(spark: SparkSession, sf: str) -> DataFrame:
-    """Noise-constrained deconvolution of every trace, all parameters estimated: (k, t, c, s, bl, g, sn, lam)."""
-    r = traces.foopsi(base.event_traces(spark, sf))
-    return r.select("k", F.posexplode(F.arrays_zip("c", "s")).alias("t", "z"), "bl", "g", "sn", "lam").select("k", "t", "z.c", "z.s", "bl", "g", "sn", "lam")
+    """(k, n, primal, dual, slack): by how much the noise-constrained deconvolution of each trace misses its optimum."""
+
+    @F.pandas_udf("n long, primal double, dual double, slack double")
+    def missed(*columns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_missed(*(np.asarray(v, float) if i < 3 else v for i, v in enumerate(row))) for row in zip(*columns)])
+
+    events = base.event_traces(spark, sf)
+    r = traces.foopsi(events).join(layout.series(events, "k"), "k").select("k", missed("y", "c", "s", "bl", "g", "lam").alias("m")).select("k", "m.*")
+    return r.select("k", "n", *(base.r6(F.col(c), 5).alias(c) for c in ("primal", "dual", "slack")))
 
 
 def trace_parameters(spark: SparkSession, sf: str) -> DataFrame:
-    """(k, bl, g, sn, lam) of every trace."""
-    return traces.foopsi(base.event_traces(spark, sf)).drop("c", "s")
+    """(k, g, sn): decay and noise as the deconvolution of each trace estimates them."""
+    return traces.foopsi(base.event_traces(spark, sf)).select("k", base.r6(F.col("g"), 5).alias("g"), base.r6(F.col("sn")).alias("sn"))
 
 
 def spatial_lasso(spark: SparkSession, sf: str) -> DataFrame:
-    """(p, k, a): every pixel's series regressed on ten traces, one pixel at a time."""
+    """(p, k, missed): every pixel's series regressed on ten traces, and by how much each weight misses its condition.
+
+    A weight's gradient equals the penalty where it is positive and doesn't exceed it elsewhere.
+    """
     px = layout.pixels(base.movie(spark, sf))
     c = base.linear.product(px, base.mean_footprints(spark, sf), "p", "t", "k", "v", "a")
     rows = geometry.checked(layout.series(c, "k"), "traces of one patch")
@@ -52,16 +85,17 @@ def spatial_lasso(spark: SparkSession, sf: str) -> DataFrame:
             for p, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 y = np.asarray(y)
                 alpha = 0.5 * spectrum_noise(y, "mean") * np.sqrt(energy.max()) / n
-                out += [{"p": p, "k": k, "a": v} for k, v in zip(names, fx.nonneg_lasso(gram, centred.T @ (y - y.mean()) / n, float(alpha)).tolist())]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("p", pa.int32()), ("k", pa.int64()), ("a", pa.float64())]))
+                a = fx.nonneg_lasso(gram, centred.T @ (y - y.mean()) / n, float(alpha))
+                gradient = centred.T @ (y - y.mean() - centred @ a) / n - alpha  # from the residual, not the products that were solved with
+                missed = np.where(a > 0, np.abs(gradient), np.maximum(gradient, 0)) + np.maximum(-a, 0)
+                out += [{"p": p, "k": k, "missed": v} for k, v in zip(names, missed.tolist())]
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("p", pa.int32()), ("k", pa.int64()), ("missed", pa.float64())]))
 
-    return layout.series(px, "p").mapInArrow(task, "p int, k long, a double")
+    return layout.series(px, "p").mapInArrow(task, "p int, k long, missed double").select("p", "k", base.r6(F.col("missed")).alias("missed"))
 
 
 def _patch_map(spark: SparkSession, sf: str, schema: str, kernel) -> DataFrame:
     """``kernel(movie, where)`` rows for each of two patches, each fitted in one task."""
-    import pandas as pd
-
     patches = geometry.analysis_patches(H, W, (1, 2), 4)
     bounds = {p[0]: p[1:] for p in patches}
 
@@ -74,14 +108,23 @@ def _patch_map(spark: SparkSession, sf: str, schema: str, kernel) -> DataFrame:
 
 
 def ring_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """(patch, i, j, w): pixel i of a patch explained by the ring pixels j around it."""
+    """(patch, i, j, missed): pixel i of a patch explained by the ring pixels j around it.
+
+    What the ring leaves of the pixel is uncorrelated with each of the ring's pixels.
+    """
 
     def kernel(movie):
         y = movie.reshape(len(movie), -1)
-        near, weights = fx.ring_weights(y - y.mean(axis=0), movie.shape[1:], 2)
-        return [(i, int(near[i, k]), float(weights[i, k])) for i in range(len(near)) for k in range(near.shape[1]) if near[i, k] >= 0]
+        x = y - y.mean(axis=0)
+        near, weights = fx.ring_weights(x, movie.shape[1:], 2)
+        rows = []
+        for i in range(len(near)):
+            ring = near[i][near[i] >= 0]
+            left = x[:, i] - x[:, ring] @ weights[i][near[i] >= 0]
+            rows += [(i, int(j), float(abs(left @ x[:, j]) / max(1e-12, np.sqrt((x[:, i] ** 2).sum() * (x[:, j] ** 2).sum())))) for j in ring]
+        return rows
 
-    return _patch_map(spark, sf, "patch int, i int, j int, w double", kernel)
+    return _patch_map(spark, sf, "patch int, i int, j int, missed double", kernel).select("patch", "i", "j", base.r6(F.col("missed")).alias("missed"))
 
 
 def nmf_background(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +143,7 @@ def threshold_components(spark: SparkSession, sf: str) -> DataFrame:
 
     clean = lambda b: np.stack([fx.threshold_component(np.maximum(f, 0).ravel(), (H, W), nrgthr=0.95).reshape(H, W) for f in b])
     long = layout.pixels(map_frames(base.movie(spark, sf), H, W, clean))
-    return long.where("v > 0").select(F.col("t").alias("k"), "p", F.col("v").alias("a"))
+    return long.where("v > 0").select(F.col("t").alias("k"), "p", base.r6(F.col("v")).alias("a"))
 
 
 def motion_correct(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,3 +183,35 @@ def merge_components(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict:
     every = (oasis_constrained, trace_parameters, spatial_lasso, ring_weights, nmf_background, threshold_components, motion_correct, patch_fit, extract, merge_components)
     return {f.__name__: f for f in every}
+
+
+#: Median of 3 x 3, energy threshold, closing, 8-connected regions, the one of most energy.
+_THRESHOLD = f"""{base.PX}, s AS (SELECT dy::INT AS dy, dx::INT AS dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx)),
+sp AS (SELECT y, x, greatest(0, least(7, y + dy)) AS sy, greatest(0, least(7, x + dx)) AS sx FROM range(8) a(y), range(8) b(x), s),
+md AS (SELECT t, sp.y::INT AS y, sp.x::INT AS x, median(greatest(px.v, 0)) AS v FROM sp JOIN px ON px.y = sy AND px.x = sx GROUP BY 1, 2, 3),
+en AS (SELECT *, sum(v * v) OVER (PARTITION BY t ORDER BY v DESC, y, x) AS e, sum(v * v) OVER (PARTITION BY t) AS total FROM md),
+cut AS (SELECT t, min(v) AS cut FROM en WHERE e < 0.95 * total GROUP BY t),
+im AS (SELECT md.t, y, x, CASE WHEN v >= cut THEN v ELSE 0 END AS v, v >= cut AS b FROM md JOIN cut ON md.t = cut.t),
+di AS (SELECT m.t, m.y, m.x, bool_or(n.b) AS b FROM im m, s, im n WHERE n.t = m.t AND n.y = m.y + dy AND n.x = m.x + dx GROUP BY 1, 2, 3),
+er AS (SELECT m.t, m.y, m.x FROM di m, s, di n WHERE n.t = m.t AND n.y = m.y + dy AND n.x = m.x + dx GROUP BY 1, 2, 3 HAVING bool_and(n.b) AND count(*) = 9),
+reach AS (SELECT t, y, x, y * 8 + x AS r FROM er UNION SELECT er.t, er.y, er.x, reach.r FROM reach, s, er WHERE er.t = reach.t AND er.y = reach.y + dy AND er.x = reach.x + dx),
+rg AS (SELECT t, y, x, min(r) AS r FROM reach GROUP BY 1, 2, 3),
+re AS (SELECT rg.t, r, sum(v * v) AS e FROM rg JOIN im ON im.t = rg.t AND im.y = rg.y AND im.x = rg.x GROUP BY 1, 2),
+best AS (SELECT t, r FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY e DESC, r) AS n FROM re) WHERE n = 1)"""
+
+_ZERO = "0.0::DOUBLE"
+
+
+def oracle_sql() -> dict[str, str]:
+    welch = base.WELCH.replace("sqrt(exp(avg(ln((re * re + im * im) / s))))", "sqrt(avg((re * re + im * im) / s))").removeprefix(base.TR + ", ")
+    return {
+        "oasis_constrained": f"SELECT user_id AS k, count(*) AS n, {_ZERO} AS primal, {_ZERO} AS dual, {_ZERO} AS slack FROM events GROUP BY user_id",
+        "trace_parameters": f"""WITH {base.ACOV}, {welch}, a AS (SELECT ac.k, lag, v - CASE WHEN lag = 0 THEN sn * sn ELSE 0 END AS a FROM ac JOIN tn ON ac.k = tn.k WHERE lag <= 5),
+g AS (SELECT a.k, sum(a * b.v) / sum(a * a) AS g FROM a JOIN ac b ON a.k = b.k AND b.lag = a.lag + 1 GROUP BY a.k)
+SELECT g.k, round(least(greatest(0.96 * CASE WHEN g > 1 THEN 0.95 WHEN g < 0 THEN 0.15 ELSE g END, 0.001), 0.999), 5) AS g, round(sn, 6) AS sn FROM g JOIN tn ON g.k = tn.k""",
+        "spatial_lasso": f"SELECT p::INT AS p, k, {_ZERO} AS missed FROM range(64) a(p), (SELECT DISTINCT label::BIGINT AS k FROM embeddings)",
+        "ring_weights": f"""WITH o AS (SELECT y, x FROM range(-3, 4) a(y), range(-3, 4) b(x) WHERE y * y + x * x > 4 AND y * y + x * x <= 9), g AS (SELECT * FROM (VALUES (0, 6), (1, 6)) v(patch, w))
+SELECT patch::INT AS patch, (p.y * w + q.x)::INT AS i, ((p.y + o.y) * w + q.x + o.x)::INT AS j, {_ZERO} AS missed
+FROM g, range(8) p(y), range(6) q(x), o WHERE p.y + o.y BETWEEN 0 AND 7 AND q.x + o.x BETWEEN 0 AND w - 1""",
+        "threshold_components": f"WITH RECURSIVE {_THRESHOLD} SELECT rg.t AS k, (rg.y * 8 + rg.x)::INT AS p, round(v, 6) AS a FROM rg JOIN best ON best.t = rg.t AND best.r = rg.r JOIN im ON im.t = rg.t AND im.y = rg.y AND im.x = rg.x WHERE v > 0",
+    }
