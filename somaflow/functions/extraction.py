@@ -261,6 +261,14 @@ def extract_seed(filtered: np.ndarray, raw: np.ndarray, center: int, dims, centr
     return images.circular_constraint(np.maximum(ai, 0).reshape(dims)), ci
 
 
+def window_maxima(image: np.ndarray, size: int) -> np.ndarray:
+    """The largest value of the ``size`` rows and columns around each pixel, from ``size // 2`` before it on."""
+    h, w = image.shape
+    before = size // 2
+    padded = np.pad(image, ((before, size - 1 - before),) * 2, constant_values=-np.inf)
+    return np.max([padded[i : i + h, j : j + w] for i in range(size) for j in range(size)], axis=0)
+
+
 def seed_neurons(movie: np.ndarray, p):
     """(A images, C raw-deconvolved, centres) found greedily where correlation times peak-to-noise is largest.
 
@@ -288,9 +296,7 @@ def seed_neurons(movie: np.ndarray, p):
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]] = []
     while len(found) < limit:
         score[searched | (cn < p.min_corr) | (pnr < p.min_pnr)] = 0
-        padded = np.pad(score, reach)
-        top = np.max([padded[i : i + h, j : j + w] for i in range(2 * reach + 1) for j in range(2 * reach + 1)], axis=0)
-        seeds = np.argwhere((score == top) & (score >= floor) & (score > 0))
+        seeds = np.argwhere((score == window_maxima(score, 2 * reach)) & (score >= floor) & (score > 0))
         if not len(seeds):
             break
         for r, c in seeds[np.argsort(-score[tuple(seeds.T)], kind="stable")]:
@@ -334,6 +340,19 @@ def seed_neurons(movie: np.ndarray, p):
 # -- a patch from end to end
 
 
+def without_nan(movie: np.ndarray) -> np.ndarray:
+    """Every pixel's missing samples interpolated in time, flat beyond its ends; pixels without any sample are 0."""
+    flat = movie.reshape(len(movie), -1)
+    gaps = np.flatnonzero(np.isnan(flat).any(axis=0))
+    if not len(gaps):
+        return movie
+    out, t = flat.astype(float), np.arange(len(flat))
+    for px in gaps:
+        known = ~np.isnan(out[:, px])
+        out[:, px] = np.interp(t, t[known], out[known, px]) if known.any() else 0.0
+    return out.reshape(movie.shape)
+
+
 def fit_patch(movie: np.ndarray, p) -> dict:
     """Footprints, traces, residuals and background of one patch (frames, rows, columns).
 
@@ -341,6 +360,8 @@ def fit_patch(movie: np.ndarray, p) -> dict:
     round against its ring background, then the same at full size.
     """
     n, h, w = movie.shape
+    if p.preprocess_params.check_nan:
+        movie = without_nan(movie)
     y = movie.reshape(n, -1).astype(float)
     sn = spectrum_noise(y.T, p.preprocess_params.noise_method, *p.preprocess_params.noise_range)
     s, t = p.init_params.ssub, p.init_params.tsub

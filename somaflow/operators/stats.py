@@ -127,8 +127,9 @@ def neighbours(df: DataFrame, h: int, w: int, offsets=AROUND, value: str = "v")
     return out.where((F.col("y") >= 0) & (F.col("y") < h) & (F.col("x") >= 0) & (F.col("x") < w))
 
 
-def local_maxima(image: DataFrame, h: int, w: int, reach: int = 1) -> DataFrame:
-    """(y, x, v) of the pixels that are the largest within ``reach`` on each side."""
-    window = tuple((dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1))
+def local_maxima(image: DataFrame, h: int, w: int, size: int = 3) -> DataFrame:
+    """(y, x, v) of the pixels that are the largest of the ``size`` rows and columns around them, from ``size // 2`` before on."""
+    steps = range(-(size // 2), size - size // 2)
+    window = tuple((dy, dx) for dy in steps for dx in steps)
     top = neighbours(image, h, w, window).groupBy("y", "x").agg(F.max("v").alias("m"))
     return image.join(top, ["y", "x"]).where("v = m").select("y", "x", "v")

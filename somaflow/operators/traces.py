@@ -101,8 +101,8 @@ def deconvolve(traces: DataFrame, g: float, lam: float = 0.0, s_min: float = 0.0
 
 
 def foopsi(traces: DataFrame, **options) -> DataFrame:
-    """(k, c, s, bl, g, sn, lam): noise-constrained deconvolution with all parameters estimated."""
-    return _per_trace(traces, "c array<double>, s array<double>, bl double, g double, sn double, lam double", lambda y: oasis.constrained_foopsi(y, **options))
+    """(k, c, s, bl, g, g2, sn, lam, c1, decay): noise-constrained deconvolution with all parameters estimated."""
+    return _per_trace(traces, "c array<double>, s array<double>, bl double, g double, g2 double, sn double, lam double, c1 double, decay double", lambda y: oasis.constrained_foopsi(y, **options))
 
 
 def interpolated(traces: DataFrame) -> DataFrame:
@@ -116,6 +116,20 @@ def interpolated(traces: DataFrame) -> DataFrame:
     return t.select("k", "t", v.alias("v"))
 
 
+def as_of(points: DataFrame, steps: DataFrame) -> DataFrame:
+    """``points`` (k, at, ...) with ``row`` of the last of the ``steps`` (k, at, row) at or before them; null where there is none.
+
+    Bins of any widths are steps that begin at their edges.  Both sides are
+    sorted once by key and place; of steps at one place the largest row counts.
+    """
+    names = [c for c in points.columns if c not in ("k", "at")]
+    left = points.select("k", "at", F.lit(1).alias("_side"), F.struct(*names).alias("_point") if names else F.struct(F.lit(0)).alias("_point"), F.lit(None).cast(steps.schema["row"].dataType).alias("row"))
+    right = steps.groupBy("k", "at").agg(F.max("row").alias("row")).select("k", "at", F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_point"].dataType).alias("_point"), "row")
+    order = Window.partitionBy("k").orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right).withColumn("row", F.last("row", ignorenulls=True).over(order)).where("_side = 1")
+    return both.select("k", "at", *(F.col(f"_point.`{c}`") for c in names), "row")
+
+
 def correlations(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     """(i, j, r): Pearson correlation of the traces of each pair."""
     a = traces.select(F.col("k").alias("i"), "t", F.col("v").alias("vi"))

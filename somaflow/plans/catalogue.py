@@ -166,12 +166,26 @@ def seed_rank(spark, sf):
     return _seeds(spark, sf).where("score > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "y", "x")).cast("bigint"))
 
 
-@query(f"""WITH {PX}, im AS (SELECT y, x, round(avg(v), 9) AS v FROM px GROUP BY y, x),
-mx AS (SELECT a.y, a.x, max(b.v) AS m FROM im a, im b WHERE abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.y, a.x)
-SELECT im.y, im.x, round(v, 6) + 0.0 AS v FROM im JOIN mx ON im.y = mx.y AND im.x = mx.x WHERE v = m""")
-def local_maxima(spark, sf):
+def _maxima_sql(before: int, after: int) -> str:
+    return f"""WITH {PX}, im AS (SELECT y, x, round(avg(v), 9) AS v FROM px GROUP BY y, x),
+mx AS (SELECT a.y, a.x, max(b.v) AS m FROM im a, im b WHERE b.y - a.y BETWEEN -{before} AND {after} AND b.x - a.x BETWEEN -{before} AND {after} GROUP BY a.y, a.x)
+SELECT im.y, im.x, round(v, 6) + 0.0 AS v FROM im JOIN mx ON im.y = mx.y AND im.x = mx.x WHERE v = m"""
+
+
+def _maxima(spark, sf, size):
     mean = layout.with_place(layout.pixels(movie(spark, sf)).groupBy("p").agg(F.round(F.avg("v"), 9).alias("v")), W).select("y", "x", "v")
-    return stats.local_maxima(mean, H, W).select("y", "x", r6(F.col("v")).alias("v"))
+    return stats.local_maxima(mean, H, W, size).select("y", "x", r6(F.col("v")).alias("v"))
+
+
+@query(_maxima_sql(1, 1))
+def local_maxima(spark, sf):
+    return _maxima(spark, sf, 3)
+
+
+@query(_maxima_sql(2, 1))
+def local_maxima_even(spark, sf):
+    """A window of four has two places before a pixel and one after it."""
+    return _maxima(spark, sf, 4)
 
 
 @query(f"WITH {PX}, mx AS (SELECT max(t) + 1 AS n FROM px) SELECT t, round(sum(v), 6) + 0.0 AS total FROM px, mx WHERE t < 64 OR (t >= n // 2 - 32 AND t < n // 2 + 32) OR t >= n - 64 GROUP BY t")
@@ -345,6 +359,16 @@ def asof_tuning(spark, sf):
     return table(spark, sf, "events").select("event_id", (F.floor(angle / F.lit(2 * math.pi / 60) + 0.5) % 60).alias("bin"))
 
 
+@query("""SELECT event_id, last.event_id AS last_id, last.value AS last_value FROM (
+SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN {'event_id': event_id, 'value': value} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)""")
+def asof_event(spark, sf):
+    """Each event with its user's last purchase up to then."""
+    e = table(spark, sf, "events")
+    bought = e.where("event_type = 'purchase'").select(F.col("user_id").alias("k"), F.struct("ts", "event_id").alias("at"), F.struct("event_id", "value").alias("row"))
+    out = traces.as_of(e.select(F.col("user_id").alias("k"), F.struct("ts", "event_id").alias("at"), "event_id"), bought)
+    return out.select("event_id", F.col("row.event_id").alias("last_id"), F.col("row.value").alias("last_value"))
+
+
 # -- joins, sets and products
 
 

@@ -107,7 +107,7 @@ def test_nnls_conditions():
 
 def test_unsupported_order():
     with pytest.raises(NotImplementedError):
-        oasis.constrained_foopsi(np.ones(50), p=2)
+        oasis.constrained_foopsi(np.ones(50), p=3)
 
 
 def test_spectrum_noise_of_white_noise():
@@ -247,6 +247,89 @@ def test_resize_field_keeps_constants():
     assert np.allclose(registration.resize_field(np.full((3, 4), 2.5), (6, 8)), 2.5)
 
 
+# -- decay of second order, decimation, the wrapper
+
+
+def second_order(rng, n, g=(1.7, -0.712), sn=0.3, base=2.0):
+    s = (rng.random(n) < 0.03) * (1 + rng.random(n))
+    c = np.zeros(n)
+    for t in range(n):
+        c[t] = s[t] + (g[0] * c[t - 1] if t else 0) + (g[1] * c[t - 2] if t > 1 else 0)
+    return c + base + sn * rng.standard_normal(n), c, s
+
+
+def test_second_order_reaches_the_noise_and_finds_the_activity():
+    y, c, s = second_order(np.random.default_rng(3), 600)
+    r = oasis.constrained_foopsi(y, g=(1.7, -0.712), sn=0.3, p=2)
+    left = y - r["bl"] - r["c"]
+    assert np.isclose(left @ left / 600, 0.09, rtol=0.02) and r["lam"] > 0 and (r["s"] >= 0).all()
+    assert np.corrcoef(r["c"], c)[0, 1] > 0.97 and abs(r["bl"] - 2) < 0.3
+    # c follows its recursion from s
+    again = np.zeros(600)
+    for t in range(600):
+        again[t] = r["s"][t] + 1.7 * (again[t - 1] if t else 0) - 0.712 * (again[t - 2] if t > 1 else 0)
+    assert np.allclose(again, r["c"], atol=1e-6)
+    near = np.convolve(s > 0, np.ones(5), "same") > 0
+    assert r["s"][near].sum() > 0.8 * r["s"].sum()
+    kept = oasis.constrained_foopsi(y, g=(1.7, -0.712), sn=0.3, p=2, bl=2.0)
+    assert kept["bl"] == 2.0
+    own = oasis.constrained_foopsi(y, p=2, noise_method="logmexp", fudge=1.0)
+    assert 0 < own["decay"] < 1 and np.corrcoef(own["c"], c)[0, 1] > 0.8
+    for short in (0, 1, 2):
+        assert len(oasis.constrained_ar2(np.ones(short), (1.7, -0.712), 0.3)[0]) == short
+
+
+def test_decimation_ends_near_the_whole_trace():
+    rng = np.random.default_rng(4)
+    s = (rng.random(3000) < 0.02) * 2.0
+    c = np.zeros(3000)
+    for t in range(1, 3000):
+        c[t] = 0.95 * c[t - 1] + s[t]
+    y = c + 1 + 0.3 * rng.standard_normal(3000)
+    whole, quick = (oasis.constrained_oasis(y, 0.95, 0.3, decimate=d) for d in (1, 5))
+    assert np.corrcoef(whole[0], quick[0])[0, 1] > 0.99 and abs(whole[2] - quick[2]) < 0.1
+    left = y - quick[2] - quick[0]
+    assert np.isclose(left @ left / 3000, 0.09, rtol=0.05)
+
+
+def test_wrapper_of_options():
+    assert oasis.deconvolve_ca() == oasis.OPTIONS and oasis.deconvolve_ca(p=2)["p"] == 2
+    y = second_order(np.random.default_rng(5), 300, (0.9, 0.0))[0]
+    c, s, o, bl, c1 = oasis.deconvolve_ca(y, sn=0.3)
+    r = oasis.constrained_foopsi(y, sn=0.3, noise_method="logmexp", fudge=1.0, optimize_g=1)
+    assert np.allclose(c + c1 * r["decay"] ** np.arange(300), r["c"]) and bl == r["bl"] and o["g"] == [r["g"]] and o["sn"] == 0.3 and np.allclose(s, r["s"])
+    with pytest.raises(KeyError):
+        oasis.deconvolve_ca(y, unknown=1)
+
+
+def test_pools_can_be_read_and_set():
+    p = oasis.Pools(0.9)
+    for v in (3.0, 1.0, 5.0):
+        p.fit_next(v)
+    one = p.pool(0)
+    p.set_pool(0, (one[0] + 1, *one[1:]))
+    assert p.pool(0)[0] == one[0] + 1 and p.pool(0)[1:] == one[1:]
+
+
+def test_missing_samples_are_interpolated():
+    m = np.arange(24.0).reshape(6, 2, 2)
+    gaps = m.copy()
+    gaps[0, 0, 0] = gaps[3, 0, 1] = gaps[5, 1, 0] = np.nan
+    gaps[:, 1, 1] = np.nan
+    out = fx.without_nan(gaps)
+    assert out[0, 0, 0] == m[1, 0, 0] and out[3, 0, 1] == m[3, 0, 1] and out[5, 1, 0] == m[4, 1, 0] and (out[:, 1, 1] == 0).all() and fx.without_nan(m) is m
+
+
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_window_maxima(size):
+    x = np.random.default_rng(6).standard_normal((9, 7))
+    top = fx.window_maxima(x, size)
+    for y0 in range(9):
+        for x0 in range(7):
+            rows, cols = (slice(max(0, k - size // 2), k + size - size // 2) for k in (y0, x0))
+            assert top[y0, x0] == x[rows, cols].max()
+
+
 # -- extraction
 
 
