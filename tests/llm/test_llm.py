@@ -102,7 +102,7 @@ def test_mixing_takes_a_hot_source_and_nothing(spark, empty):
     assert mixed.count() == got.selectExpr("sum(_copies) AS n").first()["n"]
 
 
-def test_mixing_splits_rows_of_one_id(spark):
+def test_mixing_splits_rows_of_one_id(spark, monkeypatch):
     """Sources of one repeated id, of no id, of equal rows, and of rows apart: each comes near its target."""
     rows = [(7, f"w{i} " * 10, "en", "a", i) for i in range(200)] + [(None, f"w{i} " * 10, "en", "b", i) for i in range(200)]
     rows += [(9, "same " * 10, "en", "c", 5)] * 200 + [(None, None, None, None, None)] * 30 + [(i, "x " * 10, "en", "d", i) for i in range(100, 300)]
@@ -112,7 +112,8 @@ def test_mixing_splits_rows_of_one_id(spark):
     for c, v in names.items():
         clashing = clashing.withColumn(c, op1_mixing.F.lit(v))
     results = []
-    for part in (df, df.repartition(3), clashing):
+    for part, most in ((df, 100_000), (df.repartition(3), 1), (clashing, 100_000)):
+        monkeypatch.setattr(op1_mixing, "BROADCAST_KEYS", most)
         got = op1_mixing.mix(part, keep=["doc_id", "source", "text"]).collect()
         assert len(got) == len(rows)
         for s in "abcd":
@@ -450,6 +451,19 @@ def test_rows_of_one_id_are_candidates_of_their_own(spark, whole, monkeypatch):
     assert first(got) == first(want)  # the equal vectors, of ids 0 and 7
 
 
+def test_norms_whose_squares_leave_the_range_of_doubles(spark, monkeypatch):
+    monkeypatch.setattr(op6_neighbours, "WHOLE", 100)
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[5] *= 1e200
+    x[6:9] *= 1e-200
+    x[20] *= 1e-170
+    got = scores_of(spark, x)
+    for q in range(0, 400, 20):
+        assert len(got[q]) == 20 and [v for v, _ in got[q]][0] in np.argsort(-(x @ x[q]))[:2] and 5 in [v for v, _ in got[q]] or x[5] @ x[q] < 0
+
+
 def scores_of(spark, x):
     """nearest() of vectors numbered from 0, as {query: [(vec_id, score)]}."""
     got = collections.defaultdict(list)
@@ -833,3 +847,37 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert len(new) == len(old)
         before = out
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(new)
+
+
+def test_pipeline_with_hard_rows(docs, spark, tmp_path):
+    """Nulls in every column, odd and repeated rows, rows without ids, an extra column, clashing names; and an empty table."""
+    hard = docs.withColumnRenamed("words", "_copies").withColumn("_key", op1_mixing.F.lit("k")).withColumn("row", op1_mixing.F.lit(1))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/full/{name}.parquet")
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    hard.write.parquet(f"{tmp_path}/full/documents.parquet")
+    hard.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    before = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    counts = [before.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, before, f"{tmp_path}/full")
+        out.write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        counts.append(out.count())
+        if k < 4:
+            assert out.columns == hard.columns
+            assert set(map(repr, out.collect())) <= set(map(repr, before.collect()))
+        before = out
+    assert counts[1] >= counts[2] >= counts[3] > 0 and counts[4] == counts[5] > 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/full").count() == counts[5]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_run_leaves_only_its_last_files(spark, tmp_path):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    corpus_pipeline.run(spark, SF).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before}
+    assert left and not left & {"stage1", "stage2", "stage3", "texts", "simhash-rows", "benchmark", "mix-sizes"}
