@@ -5,6 +5,13 @@
 3. documents contaminated by the benchmark go,
 4. sources are mixed to their target weights (a document taken twice is two rows),
 5. the mix is encoded into token files, and their digests are the result.
+
+Any column may be null: a null text is empty (not toxic by its words, of
+fingerprint zero, of no benchmark words, of size 0, one end id), a null source is
+a source, and rows without an id are rows like others.  Of wordless documents
+one stays, as their fingerprints are equal; of equal rows one stays.  Further
+columns pass the first four stages, whatever their names.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
