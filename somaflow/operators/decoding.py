@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from somaflow.folders import new_folder
+
 
 def angle_class(angle: Column, classes: int = 60) -> Column:
     """Class 0 .. classes - 1 of an angle in [0, 2 pi)."""
@@ -16,12 +18,16 @@ def angle_class(angle: Column, classes: int = 60) -> Column:
 def decoded(rows: DataFrame, classes: int = 60, folds: int = 4, trees: int = 40, depth: int = 8, seed: int = 0) -> DataFrame:
     """(t, angle, decoded): each frame's angle as told by a model trained on the other folds.
 
-    ``rows`` is (t, angle, features ARRAY<DOUBLE>).
+    ``rows`` is (t, angle, features ARRAY<DOUBLE>).  What the folds share is
+    written once to the shared folder.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    data = rows.select("t", "angle", array_to_vector("features").alias("features"), angle_class(F.col("angle"), classes).alias("label"), F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(folds)).alias("fold")).persist()
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "decoding")
+    data = rows.select("t", "angle", array_to_vector("features").alias("features"), angle_class(F.col("angle"), classes).alias("label"), F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(folds)).alias("fold"))
+    data.write.parquet(folder)
+    data = spark.read.schema(data.schema).parquet(folder)
     out = None
     for k in range(folds):
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(data.where(F.col("fold") != k))
