@@ -230,12 +230,40 @@ def _ramp(n: int, overlap: int, first: bool, last: bool) -> np.ndarray:
     return out
 
 
+def shear(field: np.ndarray) -> float:
+    """Upper quartile of the largest steps between patches, of both shifts along both axes."""
+    return float(np.percentile([np.abs(np.diff(field[..., k], axis=a)).max(initial=0) for k in range(2) for a in range(2)], 75))
+
+
+def join_patches(image: np.ndarray, parts: list[np.ndarray], corners: list[tuple[int, int]], overlaps: tuple[int, int], gentle: bool) -> np.ndarray:
+    """One image of moved patches, which stand in reading order at their corners (y, x).
+
+    Gentle ones are blended over the overlaps, NaN left out, with ``image`` as
+    one more layer; others are pasted onto it, each without half its overlaps.
+    Pixels without any value take the median of the rest.
+    """
+    h, w = image.shape
+    oy, ox = overlaps
+    total, weight = image.astype(float).copy(), np.ones((h, w))
+    for part, (y, x) in zip(parts, corners):
+        below, right = y + part.shape[0], x + part.shape[1]
+        if gentle:
+            ramp = np.outer(_ramp(below - y, oy, y == 0, below == h), _ramp(right - x, ox, x == 0, right == w))
+            ok = np.isfinite(part)
+            total[y:below, x:right] += np.where(ok, part, 0) * ramp
+            weight[y:below, x:right] += ramp * ok
+        else:
+            ty, tx = (0 if y == 0 else oy // 2), (0 if x == 0 else ox // 2)
+            total[y + ty : below, x + tx : right] = part[ty:, tx:]
+    out = total / weight
+    bad = ~np.isfinite(out)
+    return np.where(bad, np.median(out[~bad]) if (~bad).any() else 0.0, out)
+
+
 def piecewise_correct(image: np.ndarray, target: Target) -> np.ndarray:
     """The image with every patch moved by its own shift; what comes into a patch from outside takes the mean of its rest.
 
-    Gentle fields (largest steps between patches under half a pixel at their
-    upper quartile) are blended over the overlaps, with the image itself as one
-    more layer; others are pasted, each patch without half its overlaps.
+    Fields with a shear under half a pixel are blended, others pasted.
     """
     params, patches, shifts = target.params, target.patches, target.shifts(image)
     if not shifts.any():
@@ -252,26 +280,11 @@ def piecewise_correct(image: np.ndarray, target: Target) -> np.ndarray:
         patches = motion_patches(h, w, (sy, sx), (oy, ox))
         rows, cols = -(-h // sy), -(-w // sx)
         field = np.stack([resize_field(field[..., k], (rows, cols)) for k in range(2)], axis=-1)
-    steps = [np.abs(np.diff(field[..., k], axis=a)).max(initial=0) for k in range(2) for a in range(2)]
-    gentle = np.percentile(steps, 75) < 0.5
-    total, weight = image.astype(float).copy(), np.ones((h, w))
-    pasted = image.astype(float).copy()
+    parts = []
     for n, (_, y0, y1, x0, x1) in enumerate(patches):
-        i, j = divmod(n, cols)
-        part = image[y0:y1, x0:x1]
-        if field[i, j].any():
-            part = translate(part, tuple(field[i, j]), border_nan=True)
-        if gentle:
-            ramp = np.outer(_ramp(y1 - y0, oy, i == 0, y1 == h), _ramp(x1 - x0, ox, j == 0, x1 == w))
-            ok = np.isfinite(part)
-            total[y0:y1, x0:x1] += np.where(ok, part, 0) * ramp
-            weight[y0:y1, x0:x1] += ramp * ok
-        else:
-            ty, tx = (0 if i == 0 else oy // 2), (0 if j == 0 else ox // 2)
-            pasted[y0 + ty : y1, x0 + tx : x1] = part[ty:, tx:]
-    out = total / weight if gentle else pasted
-    bad = ~np.isfinite(out)
-    return np.where(bad, np.median(out[~bad]) if (~bad).any() else 0.0, out)
+        part, shift = image[y0:y1, x0:x1], field[divmod(n, cols)]
+        parts.append(translate(part, tuple(shift), border_nan=True) if shift.any() else part)
+    return join_patches(image, parts, [(y0, x0) for _, y0, _, x0, _ in patches], (oy, ox), shear(field) < 0.5)
 
 
 def correct_frame(image: np.ndarray, target: Target) -> np.ndarray:

@@ -134,3 +134,28 @@ def merge_groups(edges: DataFrame, checkpoint=None) -> DataFrame:
         if now == total:
             return label
         total = now
+
+
+def max_shear(fields: DataFrame, h: int, w: int) -> DataFrame:
+    """(t, shear) of shift images (t, a, b): upper quartile of the largest steps between neighbours, of both images along both axes."""
+
+    def step(image: str, by: int, held):
+        at = F.filter(F.sequence(F.lit(0), F.lit(h * w - 1)), held)
+        return F.array_max(F.transform(at, lambda i: F.abs(F.get(F.col(image), i + by) - F.get(F.col(image), i))))
+
+    down, right = (lambda i: i < h * w - w), (lambda i: i % w < w - 1)
+    four = F.array_sort(F.array(*(step(c, by, held) for c in ("a", "b") for by, held in ((w, down), (1, right)))))
+    m = fields.select("t", four.alias("m"))
+    return m.select("t", (F.col("m")[2] + (F.col("m")[3] - F.col("m")[2]) * 0.25).alias("shear"))  # the quartile lies a quarter past the third
+
+
+def vector_field(shifts: DataFrame, h: int, w: int, strides: tuple[int, int], size: tuple[int, int]) -> DataFrame:
+    """``shifts`` (i, j, dy, dx, ...) of patches by row and column, as arrows: x, y, u, v, and xp, yp.
+
+    An arrow starts at its patch's middle, at most at the image's border; a
+    patch that didn't move has no arrow (u, v null) but a dot at xp, yp.
+    """
+    y, x = (F.least(s * F.col(c) + F.lit(d / 2), F.lit(float(n))) for c, s, d, n in zip(("i", "j"), strides, size, (h, w)))
+    moved = (F.col("dy") != 0) | (F.col("dx") != 0)
+    out = shifts.withColumns({"x": x, "y": y, "u": F.when(moved, F.col("dx")), "v": F.when(moved, F.col("dy"))})
+    return out.withColumns({"xp": F.when(F.col("u").isNull(), F.col("x")), "yp": F.when(F.col("u").isNull(), F.col("y"))})

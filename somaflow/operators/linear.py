@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,28 @@ def residual_traces(pixels: DataFrame, footprints: DataFrame, traces: DataFrame)
     shared = footprints.join(other, "p").groupBy("k", "kk").agg(F.sum(F.col("a") * F.col("aa")).alias("w"))
     model = shared.join(traces.select(F.col("k").alias("kk"), "t", F.col("v").alias("c")), "kk").groupBy("k", "t").agg(F.sum(F.col("w") * F.col("c")).alias("ca"))
     return data.join(model, ["k", "t"]).join(size, "k").select("k", "t", ((F.col("ya") - F.col("ca")) / F.col("nn")).alias("v"))
+
+
+def outer(over_time: DataFrame, image: DataFrame) -> DataFrame:
+    """(t, p, v): products of (t, f) with an image (p, b).
+
+    The image is one row, an array of as many weights as it has pixels, which
+    is sent to the tasks; frames stay where they are.
+    """
+    weights = image.groupBy().agg(F.sort_array(F.collect_list(F.struct("p", "b"))).alias("weights"))
+    both = over_time.join(F.broadcast(weights)).select("t", "f", F.explode("weights").alias("w"))
+    return both.select("t", F.col("w.p").alias("p"), (F.col("f") * F.col("w.b")).alias("v"))
+
+
+def strongest(footprints: DataFrame, share: float) -> DataFrame:
+    """(k, p, a): the largest weights of each footprint that hold less than ``share`` of its energy, and those equal to the least of them."""
+    each = Window.partitionBy("k")
+    energy = F.sum(F.col("a") * F.col("a"))
+    ordered = footprints.withColumn("_e", energy.over(each.orderBy(F.desc("a"), "p"))).withColumn("_all", energy.over(each))
+    cut = F.min(F.when(F.col("_e") < share * F.col("_all"), F.col("a"))).over(each)
+    return ordered.withColumn("_cut", cut).where("a >= _cut").select("k", "p", "a")
+
+
+def non_empty(rows: DataFrame, key: str, value: str, least: float = 0.0) -> DataFrame:
+    """(key, total) of the components whose sum is more than ``least``; join it to footprints and traces to drop the others."""
+    return rows.groupBy(key).agg(F.sum(value).alias("total")).where(F.col("total") > least)

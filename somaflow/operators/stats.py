@@ -5,10 +5,10 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from somaflow.operators.layout import by_strips, pixels, sampled, with_place
+from somaflow.operators.layout import by_strips, pixels, place, sampled, with_place
 
 #: Neighbours after a pixel in reading order; each pair of neighbours is met once.
 FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
@@ -133,3 +133,59 @@ def local_maxima(image: DataFrame, h: int, w: int, size: int = 3) -> DataFrame:
     window = tuple((dy, dx) for dy in steps for dx in steps)
     top = neighbours(image, h, w, window).groupBy("y", "x").agg(F.max("v").alias("m"))
     return image.join(top, ["y", "x"]).where("v = m").select("y", "x", "v")
+
+
+def ranked_seeds(mask: DataFrame) -> DataFrame:
+    """Pixels of a seed mask with a score, best first by ``rank``, ties in reading order.
+
+    One task ranks them: an image has at most one row per pixel.
+    """
+    return mask.where("score > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "y", "x")).cast("bigint"))
+
+
+def thresholded(frames: DataFrame, noise: DataFrame, factor: float) -> DataFrame:
+    """(t, p, v, kept): values under ``factor`` times their pixel's noise (p, sn) are zero and not kept."""
+    kept = F.col("v") >= factor * F.col("sn")
+    return pixels(frames).join(noise, "p").select("t", "p", F.when(kept, F.col("v")).otherwise(0.0).alias("v"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
+def seed_correlations(frames: DataFrame, seed: int, inside: float = 0.7, outside: float = 0.3) -> DataFrame:
+    """(p, part, r): each pixel's correlation with pixel ``seed``, and whether it is of the neuron, the background or between.
+
+    A constant pixel has no correlation (null), and is between.
+    """
+    long = frames.select(F.get("px", F.lit(seed)).cast("double").alias("s"), F.posexplode("px").alias("p", "v"))
+    v = F.col("v").cast("double")
+    r = long.groupBy("p").agg(F.try_divide(F.covar_pop(v, "s"), F.stddev_pop(v) * F.stddev_pop("s")).alias("r"))
+    part = F.when(F.col("r") > inside, "neuron").when(F.col("r") < outside, "background").otherwise("between")
+    return r.select("p", part.alias("part"), "r")
+
+
+def projection_image(footprints: DataFrame) -> DataFrame:
+    """(p, total): sum of the footprints (t, px), each scaled to [0, 1]; a constant one adds nothing."""
+    m = footprints.select(F.transform("px", lambda v: v.cast("double")).alias("px")).select("px", F.array_min("px").alias("lo"), F.array_max("px").alias("hi"))
+    scaled = F.transform("px", lambda v: F.when(F.col("hi") > F.col("lo"), (v - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
+    return m.select(F.posexplode(scaled).alias("p", "v")).groupBy("p").agg(F.sum("v").alias("total"))
+
+
+def brightest(frames: DataFrame, w: int) -> DataFrame:
+    """(t, y, x, v): the largest value of each frame and its first place in reading order."""
+    top = frames.select("t", "px", F.array_max("px").alias("v"))
+    y, x = place((F.array_position("px", F.col("v")) - 1).cast("int"), w)
+    return top.select("t", y.alias("y"), x.alias("x"), "v")
+
+
+def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(bin, n) of the bins that hold values: equal parts of [low, high], else of the values' own range; the last one is closed.
+
+    The range is a row of the same query, sent to the tasks.  Values outside of
+    a given range, null and NaN are left out; where all are equal the range is
+    one wide, with the value in its middle.
+    """
+    v = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ends = [F.min("v") if low is None else F.first(F.lit(float(low))), F.max("v") if high is None else F.first(F.lit(float(high)))]
+    span = v.groupBy().agg(*(e.alias(c) for e, c in zip(ends, ("a", "b"))))
+    flat = F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
+    span = span.select((F.col("a") - flat).alias("lo"), (F.col("b") + flat).alias("hi"))
+    held = v.join(F.broadcast(span), (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    return held.groupBy(F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -135,3 +135,18 @@ def correlations(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     a = traces.select(F.col("k").alias("i"), "t", F.col("v").alias("vi"))
     b = traces.select(F.col("k").alias("j"), "t", F.col("v").alias("vj"))
     return pairs.join(a, "i").join(b, ["j", "t"]).groupBy("i", "j").agg(F.corr("vi", "vj").alias("r"))
+
+
+def norms(traces: DataFrame) -> DataFrame:
+    """(k, norm): root of each trace's sum of squares, by which sweeps are said to have converged."""
+    return traces.groupBy("k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+
+
+def clipped(traces: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """``traces`` with values held within [low, high]; null stays null."""
+    v = F.col("v")
+    if low is not None:
+        v = F.when(v < low, F.lit(float(low))).otherwise(v)
+    if high is not None:
+        v = F.when(v > high, F.lit(float(high))).otherwise(v)
+    return traces.withColumn("v", v)

@@ -160,10 +160,7 @@ def seed_mask(spark, sf):
 
 @query(f"WITH {SEED} SELECT y, x, score::DOUBLE AS score, row_number() OVER (ORDER BY score DESC, y, x) AS rank FROM seed WHERE score > 0")
 def seed_rank(spark, sf):
-    from pyspark.sql import Window
-
-    # candidates of one image: at most one row per pixel
-    return _seeds(spark, sf).where("score > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "y", "x")).cast("bigint"))
+    return stats.ranked_seeds(_seeds(spark, sf))
 
 
 def _maxima_sql(before: int, after: int) -> str:
@@ -239,10 +236,7 @@ def dog_filter(spark, sf):
 @query(f"WITH {BAND} SELECT t, arg_max(y * 8 + x, v * 1e6 - (y * 8 + x) / 100.0) // 8 AS y, arg_max(y * 8 + x, v * 1e6 - (y * 8 + x) / 100.0) % 8 AS x, max(v) AS v FROM ft GROUP BY t")
 def max_fluo(spark, sf):
     ft = frame_ops.band_pass(movie(spark, sf), H, W, 2).select("t", F.transform("px", lambda v: F.round(v, 6) + F.lit(0.0)).alias("px"))
-    top = ft.select("t", "px", F.array_max("px").alias("v"))
-    at = (F.array_position("px", F.col("v")) - 1).cast("int")
-    y, x = layout.place(at, W)
-    return top.select("t", y.alias("y"), x.alias("x"), "v")
+    return stats.brightest(ft, W)
 
 
 @query(f"WITH {PX} SELECT t // 2 AS t, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(v), 6) + 0.0 AS v FROM px GROUP BY 1, 2, 3")
@@ -265,12 +259,8 @@ def upsample_nearest(spark, sf):
 SELECT t, round(quantile_cont(m, 0.75), 6) AS shear FROM g GROUP BY t""")
 def max_shear(spark, sf):
     """The shift images are each frame and its square."""
-    d = lambda px, step, keep: F.array_max(F.transform(F.filter(F.sequence(F.lit(0), F.lit(H * W - 1)), keep), lambda i: F.abs(F.get(px, i + step) - F.get(px, i))))
-    down, right = (lambda i: i < H * W - W), (lambda i: i % W < W - 1)
     m = movie(spark, sf).select("t", F.transform("px", lambda v: v.cast("double")).alias("a")).withColumn("b", F.transform("a", lambda v: v * v))
-    four = F.array_sort(F.array(d(F.col("a"), W, down), d(F.col("a"), 1, right), d(F.col("b"), W, down), d(F.col("b"), 1, right)))
-    s = m.select("t", four.alias("m"))  # the 0.75 quantile of four values lies a quarter past the third
-    return s.select("t", r6(F.col("m")[2] + (F.col("m")[3] - F.col("m")[2]) * 0.25).alias("shear"))
+    return geometry.max_shear(m, H, W).select("t", r6(F.col("shear")).alias("shear"))
 
 
 # -- patches, rings, nearest centres
@@ -400,13 +390,11 @@ def gram_sparse(spark, sf):
 @query(f"""WITH {PX}, f AS (SELECT t, round(avg(v), 9) AS f FROM px GROUP BY t), b AS (SELECT p, round(avg(v), 9) AS b FROM px GROUP BY p)
 SELECT t, p, round(f * b * 1000, 6) + 0.0 AS v FROM f, b""")
 def outer_fb(spark, sf):
-    """Background f b': the pixels' weights are one row, an array, that is broadcast to the frames."""
+    """Background f b'."""
     long = layout.pixels(movie(spark, sf))
     f = long.groupBy("t").agg(F.round(F.avg("v"), 9).alias("f"))
     b = long.groupBy("p").agg(F.round(F.avg("v"), 9).alias("b"))
-    weights = b.groupBy().agg(F.sort_array(F.collect_list(F.struct("p", "b"))).alias("b")).select(F.col("b.b").alias("weights"))  # as many as an image has pixels
-    both = f.join(F.broadcast(weights))
-    return both.select("t", F.posexplode(F.transform("weights", lambda w: r6(F.col("f") * w * 1000))).alias("p", "v"))
+    return linear.outer(f, b).select("t", "p", r6(F.col("v") * 1000).alias("v"))
 
 
 @query(f"""WITH {PX}, {MF}, c AS (SELECT t, k, greatest(sum(v * a), 0) AS c FROM px JOIN mf USING (p) GROUP BY t, k), nn AS (SELECT k, sum(a * a) AS nn FROM mf GROUP BY k),
@@ -464,7 +452,7 @@ def except_patches(spark, sf):
 @query("SELECT l_partkey AS k, sum(l_quantity) AS total FROM lineitem GROUP BY l_partkey HAVING sum(l_quantity) > 600")
 def drop_empty(spark, sf):
     """Components survive by their sum."""
-    return table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias("total")).where("total > 600")
+    return linear.non_empty(table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "k"), "k", "l_quantity", 600)
 
 
 # -- footprints
@@ -474,13 +462,7 @@ def drop_empty(spark, sf):
 c AS (SELECT k, min(a) FILTER (WHERE e < 0.9 * total) AS cut FROM q GROUP BY k)
 SELECT q.k, p, round(a, 6) AS a FROM q JOIN c ON q.k = c.k WHERE a >= cut""")
 def nrg_threshold(spark, sf):
-    from pyspark.sql import Window
-
-    f = footprints(spark, sf)
-    e = F.sum(F.col("a") * F.col("a"))
-    q = f.withColumn("e", e.over(Window.partitionBy("k").orderBy(F.desc("a"), "p"))).withColumn("total", e.over(Window.partitionBy("k")))
-    cut = F.min(F.when(F.col("e") < 0.9 * F.col("total"), F.col("a"))).over(Window.partitionBy("k"))
-    return q.withColumn("cut", cut).where("a >= cut").select("k", "p", r6(F.col("a")).alias("a"))
+    return linear.strongest(footprints(spark, sf), 0.9).select("k", "p", r6(F.col("a")).alias("a"))
 
 
 @query(f"""WITH {PX}, c AS (SELECT t, y, x, greatest(v, 0) AS v FROM px), s AS (SELECT dy, dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx)),
@@ -524,26 +506,20 @@ def pixel_candidates(spark, sf):
 @query(f"WITH {PX}, q AS (SELECT t, p, v, min(v) OVER (PARTITION BY t) AS lo, max(v) OVER (PARTITION BY t) AS hi FROM px) SELECT p, round(sum((v - lo) / (hi - lo)), 5) AS total FROM q GROUP BY p")
 def projection_image(spark, sf):
     """Each footprint scaled to [0, 1]; their sum is the projection."""
-    m = movie(spark, sf).select("t", F.transform("px", lambda v: v.cast("double")).alias("px"))
-    scaled = m.select("t", F.transform("px", lambda v: (v - F.array_min("px")) / (F.array_max("px") - F.array_min("px"))).alias("px"))
-    return layout.pixels(scaled).groupBy("p").agg(r6(F.sum("v"), 5).alias("total"))
+    return stats.projection_image(movie(spark, sf)).select("p", r6(F.col("total"), 5).alias("total"))
 
 
 @query(f"""WITH {PX}, {DFT}, sn AS (SELECT y, x, {NOISE['mean']} AS sn FROM psd GROUP BY y, x) SELECT px.p, count(*) FILTER (WHERE v >= 0.5 * round(sn, 6)) AS kept FROM px JOIN sn ON px.y = sn.y AND px.x = sn.x GROUP BY px.p""")
 def pixel_threshold(spark, sf):
     """Values under a multiple of the pixel's noise count as zero."""
-    long = layout.pixels(movie(spark, sf))
     sn = stats.noise_image(movie(spark, sf), "mean", None).select("p", F.round("sn", 6).alias("sn"))
-    return long.join(sn, "p").groupBy("p").agg(F.count(F.when(F.col("v") >= 0.5 * F.col("sn"), 1)).alias("kept"))
+    return stats.thresholded(movie(spark, sf), sn, 0.5).groupBy("p").agg(F.count_if("kept").alias("kept"))
 
 
 @query(f"""WITH {PX}, seed AS (SELECT t, v AS s FROM px WHERE p = 27), c AS (SELECT p, corr(v, s) AS r FROM px JOIN seed USING (t) GROUP BY p)
 SELECT p, CASE WHEN r > 0.7 THEN 'neuron' WHEN r < 0.3 THEN 'background' ELSE 'between' END AS part, round(r, 6) + 0.0 AS r FROM c""")
 def seed_correlation(spark, sf):
-    m = movie(spark, sf).select("t", "px", F.get("px", F.lit(27)).cast("double").alias("s"))
-    long = m.select("t", "s", F.posexplode("px").alias("p", "v"))
-    c = long.groupBy("p").agg(F.corr(F.col("v").cast("double"), "s").alias("r"))
-    return c.select("p", F.when(F.col("r") > 0.7, "neuron").when(F.col("r") < 0.3, "background").otherwise("between").alias("part"), r6(F.col("r")).alias("r"))
+    return stats.seed_correlations(movie(spark, sf), 27).select("p", "part", r6(F.col("r")).alias("r"))
 
 
 # -- traces
@@ -643,8 +619,10 @@ def trace_corr(spark, sf):
 @query(f"WITH {TR} SELECT k, round(sqrt(sum(v * v)), 5) AS norm, round(least(greatest(min(v), 1), 90), 6) AS lo, round(least(max(v), 90), 6) AS hi FROM tr GROUP BY k")
 def trace_norm(spark, sf):
     """Frobenius norm for convergence tests, and values clipped to a range."""
-    v = F.least(F.greatest("v", F.lit(1.0)), F.lit(90.0))
-    return event_traces(spark, sf).groupBy("k").agg(r6(F.sqrt(F.sum(F.col("v") * F.col("v"))), 5).alias("norm"), r6(F.min(v)).alias("lo"), r6(F.max(F.least("v", F.lit(90.0)))).alias("hi"))
+    t = event_traces(spark, sf)
+    held = traces.clipped(t, 1, 90).groupBy("k").agg(r6(F.min("v")).alias("lo"))
+    high = traces.clipped(t, high=90).groupBy("k").agg(r6(F.max("v")).alias("hi"))
+    return traces.norms(t).select("k", r6(F.col("norm"), 5).alias("norm")).join(held, "k").join(high, "k")
 
 
 # -- catalogues, bins
@@ -668,10 +646,7 @@ def video_ordinal(spark, sf):
 
 @query("""WITH b AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT least(floor((p_retailprice - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM part, b GROUP BY 1""")
 def histogram(spark, sf):
-    p = table(spark, sf, "part")
-    lo, hi = p.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()
-    bin_ = F.least(F.floor((F.col("p_retailprice") - lo) / F.lit((hi - lo) / 20)), F.lit(19)).cast("int")
-    return p.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return stats.histogram(table(spark, sf, "part"), "p_retailprice", 20)
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.15), 6) AS p15, round(quantile_cont(value, 0.2), 6) AS p20, round(quantile_cont(value, 0.75), 6) AS p75 FROM events GROUP BY event_type")
@@ -714,7 +689,5 @@ CASE WHEN event_id % 5 = 0 AND event_id % 7 < 4 THEN NULL ELSE event_id % 5 END
 def vector_field(spark, sf):
     """Patch midpoints with their shifts; a patch that didn't move has none.  Shifts are made from the event ids."""
     e, i = table(spark, sf, "events"), F.col("event_id")
-    mid = lambda n: F.least(3.0 * n + 2.5, F.lit(8.0))
-    u, v = i % 5, F.when(i % 7 < 4, 0).otherwise(1)
-    still = (u == 0) & (v == 0)
-    return e.select("event_id", mid(i % 3).alias("x"), mid(F.floor(i / 3) % 3).alias("y"), F.when(~still, u).alias("u"), F.when(~still, v).alias("v"))
+    shifts = e.select("event_id", (F.floor(i / 3) % 3).alias("i"), (i % 3).alias("j"), F.when(i % 7 < 4, 0).otherwise(1).alias("dy"), (i % 5).alias("dx"))
+    return geometry.vector_field(shifts, H, W, (3, 3), (5, 5)).select("event_id", "x", "y", "u", "v")

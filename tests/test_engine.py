@@ -336,3 +336,43 @@ def test_kernels_agree_with_the_graded_operators(spark):
     assert np.allclose([rest[k] for k in np.ndindex(40, 3)], fx.residual_traces(m.reshape(40, -1), a, c).ravel())
     unit = fx.normalised(a, c)[0]
     assert all(np.isclose(r["a"], unit[r["k"], r["p"]]) for r in linear.unit_footprints(foot).collect())
+
+
+def test_video_catalogue_reads_containers(spark, tmp_path):
+    from somaflow.sources import movies, videos
+
+    rng = np.random.default_rng(3)
+    for num, n in ((10, 7), (2, 300), (1, 5)):
+        movies.write_avi(f"{tmp_path}/msCam{num}.avi", rng.integers(0, 256, (n, 6, 9)))
+    got = videos.catalogue(spark, f"{tmp_path}/msCam*.avi", "m").orderBy("start").collect()
+    assert [(r["movie"], r["num"], r["duration"], r["h"], r["w"], r["start"], r["stop"]) for r in got] == [("m", 0, 5, 6, 9, 0, 5), ("m", 1, 300, 6, 9, 5, 305), ("m", 9, 7, 6, 9, 305, 312)]
+    assert videos.catalogue(spark, f"{tmp_path}/none*.avi").count() == 0
+
+
+def test_histogram_ranges(spark):
+    v = np.random.default_rng(4).normal(size=500)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+    count = lambda *a, d=df: {r["bin"]: r["n"] for r in stats.histogram(d, "v", *a).collect()}
+    want = lambda n: {k: c for k, c in enumerate(n.tolist()) if c}
+    assert count(9) == want(np.histogram(v, 9)[0])
+    assert count(8, -0.5, 1.5) == want(np.histogram(v, 8, (-0.5, 1.5))[0])
+    assert count(4, d=spark.createDataFrame([(3.0,)] * 5, "v double")) == want(np.histogram([3.0] * 5, 4)[0])
+    assert count(4, d=spark.createDataFrame([], "v double")) == {}
+
+
+def test_odd_values_in_statistics(spark):
+    m = spark.createDataFrame([(0, [1.0, 1.0, 1.0]), (1, [0.0, 2.0, 4.0])], "t long, px array<double>")
+    assert [r["total"] for r in stats.projection_image(m).orderBy("p").collect()] == [0.0, 0.5, 1.0]
+    parts = {r["p"]: r["part"] for r in stats.seed_correlations(m.selectExpr("t", "array(px[0], -px[1], -px[2], 5.0D) AS px"), 0).collect()}
+    assert parts == {0: "neuron", 1: "neuron", 2: "neuron", 3: "between"}
+    noise = spark.createDataFrame([(0, 0.0), (1, 1.5), (2, 9.0)], "p int, sn double")
+    assert [(r["v"], r["kept"]) for r in stats.thresholded(m, noise, 1.0).orderBy("t", "p").collect()] == [(1.0, True), (0.0, False), (0.0, False), (0.0, True), (2.0, True), (0.0, False)]
+    t = spark.createDataFrame([(1, 0, -2.0), (1, 1, 7.0), (1, 2, None)], "k long, t long, v double")
+    assert [r["v"] for r in traces.clipped(t, 0, 5).orderBy("t").collect()] == [0.0, 5.0, None]
+
+
+def test_arrows_and_dots_of_a_field(spark):
+    shifts = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, 2, 0.5, 0.0)], "i int, j int, dy double, dx double")
+    still, moved = geometry.vector_field(shifts, 10, 10, (4, 4), (6, 6)).orderBy("i").collect()
+    assert (still["u"], still["v"], still["xp"], still["yp"]) == (None, None, 3.0, 3.0)
+    assert (moved["x"], moved["y"], moved["u"], moved["v"], moved["xp"]) == (10.0, 7.0, 0.0, 0.5, None)

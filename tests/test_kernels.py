@@ -409,3 +409,22 @@ def test_seeds_and_sweeps_find_cells(simulated):
     assert len(a3) and c3.shape == (500, len(a3)) and fx.residual_traces(flat - back, a3, c3).shape == c3.shape
     n, cn = fx.normalised(a3, c3)
     assert np.allclose((n**2).sum(axis=1), 1) and np.allclose(cn @ n, c3 @ a3)
+
+
+def test_joined_patches():
+    from somaflow.functions import registration
+    from somaflow.operators.geometry import motion_patches
+
+    image = np.random.default_rng(8).random((20, 26))
+    patches = motion_patches(20, 26, (6, 7), (4, 4))
+    parts, corners = [image[a:b, c:d] for _, a, b, c, d in patches], [(a, c) for _, a, _, c, _ in patches]
+    for gentle in (True, False):
+        np.testing.assert_allclose(registration.join_patches(image, parts, corners, (4, 4), gentle), image)
+    holed = [p.copy() for p in parts]
+    holed[0][:2, :2] = np.nan
+    np.testing.assert_allclose(registration.join_patches(image, holed, corners, (4, 4), True), image)
+    moved = registration.join_patches(image, [p + 1 for p in parts], corners, (4, 4), False)
+    np.testing.assert_allclose(moved, image + 1)
+    field = np.zeros((2, 2, 2))
+    field[0, 0, 1] = 1.0
+    assert registration.shear(np.zeros((2, 2, 2))) == 0 and registration.shear(field) == 1.0
