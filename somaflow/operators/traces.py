@@ -137,9 +137,9 @@ def correlations(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "i").join(b, ["j", "t"]).groupBy("i", "j").agg(F.corr("vi", "vj").alias("r"))
 
 
-def norms(traces: DataFrame) -> DataFrame:
-    """(k, norm): root of each trace's sum of squares, by which sweeps are said to have converged."""
-    return traces.groupBy("k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+def norm(value: str = "v"):
+    """Aggregate: root of the sum of squares, by which sweeps are said to have converged."""
+    return F.sqrt(F.sum(F.col(value) * F.col(value)))
 
 
 def clipped(traces: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -619,10 +619,9 @@ def trace_corr(spark, sf):
 @query(f"WITH {TR} SELECT k, round(sqrt(sum(v * v)), 5) AS norm, round(least(greatest(min(v), 1), 90), 6) AS lo, round(least(max(v), 90), 6) AS hi FROM tr GROUP BY k")
 def trace_norm(spark, sf):
     """Frobenius norm for convergence tests, and values clipped to a range."""
-    t = event_traces(spark, sf)
-    held = traces.clipped(t, 1, 90).groupBy("k").agg(r6(F.min("v")).alias("lo"))
-    high = traces.clipped(t, high=90).groupBy("k").agg(r6(F.max("v")).alias("hi"))
-    return traces.norms(t).select("k", r6(F.col("norm"), 5).alias("norm")).join(held, "k").join(high, "k")
+    held = traces.clipped(event_traces(spark, sf).withColumn("raw", F.col("v")), 1, 90)
+    high = F.least(F.max("raw"), F.lit(90.0))
+    return held.groupBy("k").agg(r6(traces.norm("raw"), 5).alias("norm"), r6(F.min("v")).alias("lo"), r6(high).alias("hi"))
 
 
 # -- catalogues, bins
