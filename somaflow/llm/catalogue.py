@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from somaflow.llm import op10_toxicity, op12_clusters, op13_minhash, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc, op6_neighbours, op7_licenses, op8_repeats, op9_pii
+from somaflow.llm import op10_toxicity, op11_alignment, op12_clusters, op13_minhash, op1_mixing, op2_tokens, op3_decontamination, op4_simhash, op5_warc, op6_neighbours, op7_licenses, op8_repeats, op9_pii
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_repeats": op8_repeats.query,
         "op9_pii": op9_pii.query,
         "op10_toxicity": op10_toxicity.query,
+        "op11_alignment": op11_alignment.query,
         "op12_clusters": op12_clusters.query,
         "op13_minhash": op13_minhash.query,
         "pipeline": corpus_pipeline.run,

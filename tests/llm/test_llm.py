@@ -49,7 +49,7 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = catalogue.queries()[name](spark, SF)
     rel = con.execute(catalogue.oracle_sql()[name])
