@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from somaflow.functions import extraction as fx
 from somaflow.operators import geometry
+from somaflow.operators.background import compressed
 from somaflow.params import ExtractionParams
 
 COMPONENT = "patch int, px array<int>, a array<double>, c array<double>, s array<double>, yra array<double>"
@@ -134,25 +135,9 @@ def merge_components(components: DataFrame, params: ExtractionParams, save: Call
         turn += 1
 
 
-def compress_background(background: DataFrame, h: int, w: int, params: ExtractionParams) -> DataFrame:
-    """(component, b, f): all patches' backgrounds as ``nb`` parts.
-
-    What comes to one task is nb rows per patch, a bound of the patch grid and
-    not of the data's length.
-    """
-    rank, seed = params.temporal_params.nb, params.seed
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = np.zeros((len(pdf), h * w))
-        cover = np.zeros(h * w)
-        for p in pdf.drop_duplicates("patch")["px"]:
-            cover[p] += 1
-        for i, (p, v) in enumerate(zip(pdf["px"], pdf["b"])):
-            b[i, p] = v / cover[p]  # where patches overlap, each says its share
-        s, g = fx.compressed_background(b, np.stack(list(pdf["f"]), axis=1), rank, seed)
-        return pd.DataFrame({"component": range(len(s)), "b": list(s), "f": list(g.T)})
-
-    return background.groupBy().applyInPandas(run, "component int, b array<double>, f array<double>")
+def compress_background(background: DataFrame, h: int, w: int, params: ExtractionParams, save: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """(component, b, f): all patches' backgrounds as ``nb`` parts, each patch's rows in tasks of their own."""
+    return compressed(background, h * w, params.temporal_params.nb, params.seed, save=save)[0]
 
 
 def evaluate(frames: DataFrame, components: DataFrame, background: DataFrame, h: int, w: int, params: ExtractionParams) -> DataFrame:
@@ -221,7 +206,7 @@ def extract(frames: DataFrame, h: int, w: int, params: ExtractionParams, save: C
     fitted = save(fit_patches(frames, h, w, params), "fitted")
     components, background = assemble(fitted, h, w, params)
     components = merge_components(save(components, "assembled"), params, save)
-    background = save(compress_background(background, h, w, params), "background")
+    background = save(compress_background(background, h, w, params, save), "background")
     if final:
         components = save(evaluate(frames, components, background, h, w, params), "evaluated")
     return Result(components, background, h, w)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from somaflow.folders import new_folder
 from somaflow.functions import extraction as fx
-from somaflow.operators import extraction, geometry, layout, motion, traces
+from somaflow.operators import background, extraction, geometry, layout, motion, traces
 from somaflow.params import ExtractionParams, InitParams, PatchParams, TemporalParams
 from somaflow.plans import catalogue as base
 
@@ -137,6 +137,23 @@ def nmf_background(spark: SparkSession, sf: str) -> DataFrame:
     return _patch_map(spark, sf, "patch int, component int, px int, b double", kernel)
 
 
+def compressed_background(spark: SparkSession, sf: str) -> DataFrame:
+    """(part, i, v): one image (part b, by pixel) and its trace (part f, by frame) for the backgrounds of four patches that overlap.
+
+    A patch has two parts, one for frames of odd and one of even label: the mean
+    of its clipped frames, and the patch's mean in those frames.
+    """
+    e = base.table(spark, sf, "embeddings").select(F.col("vec_id").alias("t"), (F.col("label") % 2).alias("own"), F.posexplode("embedding").alias("p", "v"))
+    px = geometry.in_patches(e.withColumns({"y": (F.col("p") / W).cast("int"), "x": F.col("p") % W, "v": F.col("v").cast("double")}), geometry.analysis_patches(H, W, (2, 2), 2))
+    images = px.groupBy("patch", F.col("own").alias("g"), "p").agg(F.avg(F.greatest("v", F.lit(0.0))).alias("b"))
+    images = images.groupBy("patch", "g").agg(F.array_sort(F.collect_list(F.struct("p", "b"))).alias("z")).select("patch", "g", F.col("z.p").alias("px"), F.col("z.b").alias("b"))
+    levels = px.groupBy("patch", "own", "t").agg(F.avg("v").alias("m")).withColumn("g", F.explode(F.array(F.lit(0), F.lit(1))))
+    levels = levels.groupBy("patch", "g").agg(F.array_sort(F.collect_list(F.struct("t", F.when(F.col("g") == F.col("own"), F.col("m")).otherwise(0.0).alias("f")))).alias("z"))
+    parts, _ = background.compressed(images.join(levels.select("patch", "g", F.col("z.f").alias("f")), ["patch", "g"]), H * W, 1, rounds=2, save=_save(spark))
+    one = lambda c: parts.select(F.lit(c).alias("part"), F.posexplode(c).alias("i", "v"))
+    return one("b").unionByName(one("f")).select("part", "i", base.r6(F.col("v")).alias("v"))
+
+
 def threshold_components(spark: SparkSession, sf: str) -> DataFrame:
     """(k, p, a): footprints after median, energy threshold, closing and choice of the largest region."""
     from somaflow.operators.frames import map_frames
@@ -181,7 +198,7 @@ def merge_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (oasis_constrained, trace_parameters, spatial_lasso, ring_weights, nmf_background, threshold_components, motion_correct, patch_fit, extract, merge_components)
+    every = (oasis_constrained, trace_parameters, spatial_lasso, ring_weights, nmf_background, compressed_background, threshold_components, motion_correct, patch_fit, extract, merge_components)
     return {f.__name__: f for f in every}
 
 
@@ -202,6 +219,25 @@ best AS (SELECT t, r FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY
 _ZERO = "0.0::DOUBLE"
 
 
+def _background_sql(rounds: int = 2) -> str:
+    """One image and one trace, each in turn the least-squares fit to the other."""
+    text = f"""WITH {base.PX}, pt AS (SELECT * FROM (VALUES (0, 0, 4, 0, 4), (1, 0, 4, 3, 7), (2, 3, 7, 0, 4), (3, 3, 7, 3, 7)) v(patch, y0, y1, x0, x1)),
+inside AS (SELECT patch, px.t, p, v, label % 2 AS own FROM px JOIN embeddings ON vec_id = px.t JOIN pt ON y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1),
+cover AS (SELECT p, count(DISTINCT patch) AS n FROM inside GROUP BY p),
+b AS (SELECT patch * 2 + own AS i, inside.p, avg(greatest(v, 0)) / max(n) AS b FROM inside JOIN cover ON cover.p = inside.p GROUP BY 1, 2),
+f AS (SELECT patch * 2 + g AS i, t, CASE WHEN g = own THEN m ELSE 0 END AS f FROM (SELECT patch, own, t, avg(v) AS m FROM inside GROUP BY 1, 2, 3), range(2) r(g)),
+g0 AS (SELECT t, avg(f) AS g FROM f GROUP BY t)"""
+    for k in range(rounds):
+        text += f""",
+u{k} AS (SELECT t, g / greatest((SELECT sqrt(sum(g * g)) FROM g{k}), 1e-12) AS g FROM g{k}),
+m{k} AS (SELECT i, sum(g * f) AS m FROM u{k} JOIN f ON f.t = u{k}.t GROUP BY i),
+s{k} AS (SELECT p, greatest(sum(m * b) / ((SELECT sum(g * g) FROM u{k}) + 1e-9), 0) AS s FROM b JOIN m{k} ON m{k}.i = b.i GROUP BY p),
+p{k} AS (SELECT i, sum(b * s) AS v FROM b JOIN s{k} ON s{k}.p = b.p GROUP BY i),
+g{k + 1} AS (SELECT t, sum(f * v) / ((SELECT sum(s * s) FROM s{k}) + 1e-9) AS g FROM f JOIN p{k} ON p{k}.i = f.i GROUP BY t)"""
+    norm = f"(SELECT greatest(sqrt(sum(s * s)), 1e-12) FROM s{rounds - 1})"
+    return f"{text} SELECT 'b' AS part, p::INT AS i, round(s / {norm}, 6) + 0.0 AS v FROM s{rounds - 1} UNION ALL SELECT 'f', t::INT, round(g * {norm}, 6) + 0.0 FROM g{rounds}"
+
+
 def oracle_sql() -> dict[str, str]:
     welch = base.WELCH.replace("sqrt(exp(avg(ln((re * re + im * im) / s))))", "sqrt(avg((re * re + im * im) / s))").removeprefix(base.TR + ", ")
     return {
@@ -213,5 +249,6 @@ SELECT g.k, round(least(greatest(0.96 * CASE WHEN g > 1 THEN 0.95 WHEN g < 0 THE
         "ring_weights": f"""WITH o AS (SELECT y, x FROM range(-3, 4) a(y), range(-3, 4) b(x) WHERE y * y + x * x > 4 AND y * y + x * x <= 9), g AS (SELECT * FROM (VALUES (0, 6), (1, 6)) v(patch, w))
 SELECT patch::INT AS patch, (p.y * w + q.x)::INT AS i, ((p.y + o.y) * w + q.x + o.x)::INT AS j, {_ZERO} AS missed
 FROM g, range(8) p(y), range(6) q(x), o WHERE p.y + o.y BETWEEN 0 AND 7 AND q.x + o.x BETWEEN 0 AND w - 1""",
+        "compressed_background": _background_sql(),
         "threshold_components": f"WITH RECURSIVE {_THRESHOLD} SELECT rg.t AS k, (rg.y * 8 + rg.x)::INT AS p, round(v, 6) AS a FROM rg JOIN best ON best.t = rg.t AND best.r = rg.r JOIN im ON im.t = rg.t AND im.y = rg.y AND im.x = rg.x WHERE v > 0",
     }
