@@ -5,13 +5,18 @@ smallest value, and an empty range takes that of the first non-empty one in an
 order of its own that is the same for all documents (optimal densification).
 ROWS ranges make a band, and sets that agree in a band share a bucket.
 
-A bucket gives a star: its hub is a candidate for each other member.  Candidates
-are confirmed on full sets, texts of the members meeting their hub's, compared
-by the bytes of their words.  What is linked becomes one component.  Where a
-bucket still holds several components, its hub goes and others take over, four
-times as many each round, until no bucket holds two members that were neither
-compared nor connected.  So a bucket costs as many comparisons as it has members
-if they are near copies, and no pair of a bucket is left out.
+A bucket gives a star: its hub, the smallest member, is a candidate for each
+other member.  Candidates are confirmed on full sets, texts of the members
+meeting their hub's, compared by the bytes of their words.  What is linked
+becomes one component.  Where a bucket then still holds several components, its
+hub goes and the next member takes over, for STARS rounds; so each round has as
+many pairs as buckets have members.
+
+What no star has settled is a small rest of buckets whose members neither link
+nor fall apart, such as texts that share a passage and little else.  Their
+members meet in tiles, by components of buckets: two of different components
+whose sketches could be those of similar sets are confirmed in place, and only
+links leave the task.  So no pair of a bucket is left out, however large it is.
 
 Two sets with a Jaccard similarity s share no bucket with probability
 (1 - s^ROWS)^BANDS: below 5e-7 for s = 0.8.
@@ -28,17 +33,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from somaflow.llm.components import components
 from somaflow.llm.shared import written
-from somaflow.llm.textbytes import NOT_SPACE, Vocabulary, Words, chunks, mix
+from somaflow.llm.components import components
+from somaflow.llm.textbytes import _VALUE, NOT_SPACE, Vocabulary, Words, chunks, mix, powers
 
 #: Similarity that links: HUNDREDTHS of the union's size.
 HUNDREDTHS = 80
 ROWS = 6
 BANDS = 48
 BINS = ROWS * BANDS
-#: Hubs of a bucket grow by this factor from round to round.
-MORE_HUBS = 4
+#: Rounds of stars before what is left meets in tiles.
+STARS = 3
+#: Members of a tile's side, about, and bytes of their texts.
+TILE = 4096
+TILE_BYTES = 16 << 20
+#: Of two sets with so many shingles at least, sketches that agree in fewer of their bins can't be similar:
+#: at 0.8 the share is 0.8 with a deviation of under 0.03, five of which lie between.  Smaller sets are always confirmed.
+AGREE = 0.65
+AGREE_FROM = 64
 #: Members that meet their hub in one task, about.
 LEAVES = 256
 #: Texts are fetched by a broadcast of their keys (24 bytes each) up to so many.
@@ -70,20 +82,20 @@ def densified(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(set_of: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """(n, BANDS): the buckets of sets 0 to n - 1, none empty; hash i belongs to set ``set_of[i]``."""
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    values = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
-    cell = set_of * BINS + bins
-    order = np.lexsort((hashes, cell))
-    cell, least = cell[order], hashes[order]
+def sketches(set_of: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """(n, BINS): densified values of sets 0 to n - 1, none empty; hash i belongs to set ``set_of[i]``, both ascending."""
+    cell = set_of * BINS + ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
-    filled = np.zeros(n * BINS, bool)
-    values[cell[first]], filled[cell[first]] = least[first], True
-    dense = densified(values.reshape(n, BINS), filled.reshape(n, BINS)).reshape(n, BANDS, ROWS)
-    out = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD), (n, BANDS)).copy()
+    values, filled = np.zeros(n * BINS, np.uint64), np.zeros(n * BINS, bool)
+    values[cell[first]], filled[cell[first]] = hashes[first], True
+    return densified(values.reshape(n, BINS), filled.reshape(n, BINS))
+
+
+def bands(sketch: np.ndarray) -> np.ndarray:
+    """(n, BANDS): the bucket of each band."""
+    out = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD), (len(sketch), BANDS)).copy()
     for r in range(ROWS):
-        out = mix(out * _TURN + dense[:, :, r])
+        out = mix(out * _TURN + sketch.reshape(-1, BANDS, ROWS)[:, :, r])
     return out
 
 
@@ -107,34 +119,45 @@ def shingles(words: Words, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return text[at[new]], at[new], second[new]
 
 
-def _word_digests(words: Words, ids: np.ndarray, size: int) -> np.ndarray:
-    """(size, 2): 128 bits of each distinct word."""
-    model = np.zeros(size, np.int64)
-    model[ids[::-1]] = np.arange(len(ids))[::-1]
-    return np.frombuffer(b"".join(blake2b(words.word(k), digest_size=16).digest() for k in model.tolist()), "<u8").reshape(-1, 2)
+def _word_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word: by the powers of a base, and by those of its inverse with other values."""
+    up, down = powers(len(words.data) + 1)
+    sums = np.zeros(len(words.data) + 1, np.uint64)
+    np.cumsum(_VALUE[words.data] * down[: len(words.data)], out=sums[1:])
+    return words.hashes(), mix((sums[words.ends] - sums[words.starts]) * up[words.starts] + (words.ends - words.starts).astype(np.uint64) * _TURN)
+
 
+def sets_of(texts: list[bytes]) -> list[tuple[int, bytes | None, bytes | None, list[int] | None]]:
+    """(size of the set, its 128-bit digest, its sketch, its buckets) of each UTF-8 text.
 
-def sets_of(texts: list[bytes]) -> list[tuple[int, bytes | None, list[int] | None]]:
-    """(size of the set, its 128-bit digest, its buckets) of each UTF-8 text; sets too small to be near another one have no buckets."""
+    Shingles are told apart by 128 bits.  A sketch keeps a byte of each bin;
+    sets too small to be near another one have no sketch.
+    """
     words = Words(texts, NOT_SPACE)
-    vocabulary = Vocabulary(words)
-    ids = vocabulary.find(words)
-    text, first, second = shingles(words, ids, vocabulary.size)
-    digests = _word_digests(words, ids, vocabulary.size) if len(ids) else np.zeros((0, 2), np.uint64)
-    one, two = digests[ids[first]], np.where(second[:, None] < 0, np.uint64(0), digests[ids[second]])
-    both = mix(one * _ODD + mix(two + _TURN))
-    sizes = np.bincount(text, minlength=len(texts))
-    order = np.lexsort((both[:, 1], both[:, 0], text))
-    both, starts = both[order], np.concatenate(([0], np.cumsum(sizes)))
+    text, n_words = words.text_of(), np.diff(words.first)
+    pairs = np.flatnonzero(text[1:] == text[:-1])
+    lone = words.first[:-1][n_words == 1]
+    of = np.concatenate((text[pairs], np.flatnonzero(n_words == 1)))
+    low, high = (np.concatenate((mix(h[pairs] * _ODD + mix(h[pairs + 1] + _TURN)), mix(h[lone]))) for h in _word_hashes(words))
+    # by text, then hash
+    order = np.argsort(low)
+    order = order[np.argsort(of[order].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
+    of, low, high = of[order], low[order], high[order]
+    new = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (of[1:] != of[:-1]))) if len(of) else np.zeros(0, bool)
+    of, low, high = of[new], low[new], high[new]
+    sizes = np.bincount(of, minlength=len(texts))
+    starts, both = np.concatenate(([0], np.cumsum(sizes))), np.stack((low, high), axis=1)
     large = np.flatnonzero(sizes >= least_size())
     number = np.full(len(texts), -1)
     number[large] = np.arange(len(large))
-    mine = number[text] >= 0
-    bands = bands_of(number[text[mine]], both[mine, 0], len(large)).view(np.int64)
+    mine = number[of] >= 0
+    sketch = sketches(number[of[mine]], low[mine], len(large))
+    buckets, short = bands(sketch).view(np.int64), sketch.astype(np.uint8)
     out = []
     for i, n in enumerate(sizes.tolist()):
         digest = blake2b(both[starts[i] : starts[i + 1]].tobytes(), digest_size=16).digest() if n else None
-        out.append((n, digest, bands[number[i]].tolist() if number[i] >= 0 else None))
+        k = number[i]
+        out.append((n, digest, short[k].tobytes() if k >= 0 else None, buckets[k].tolist() if k >= 0 else None))
     return out
 
 
@@ -144,18 +167,18 @@ def least_size(hundredths: int = HUNDREDTHS) -> int:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n, digest, buckets) of every document; text_key is the text's MD5."""
+    """(doc_id, text_key, n, digest, sketch, buckets) of every document; text_key is the text's MD5."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in chunks(batch, 2):
-                n, digests, buckets = zip(*sets_of(texts))
+                n, digests, sketch, buckets = zip(*sets_of(texts))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "digest", "buckets"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "digest", "sketch", "buckets"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    return rows.mapInArrow(task, "doc_id long, text_key binary, n long, digest binary, buckets array<long>")
+    return rows.mapInArrow(task, "doc_id long, text_key binary, n long, digest binary, sketch binary, buckets array<long>")
 
 
 def similar_leaves(hub: bytes, n_hub: int, leaves: list[bytes], sizes: list[int], hundredths: int = HUNDREDTHS) -> np.ndarray:
@@ -234,46 +257,143 @@ def links(docs: DataFrame, nodes: DataFrame, hundredths: int = HUNDREDTHS) -> Da
     filed = nodes.where("buckets is not null").select("id", "n", F.explode("buckets").alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("bucket").alias("k"))
     alive = written(filed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "id", "n", F.col("id").alias("root")), "minhash-buckets")
-    tested = found = None
-    texts, hubs_each = None, 1
-    while not alive.isEmpty():
-        # the hubs of a bucket: the smallest members of as many sub-groups
-        group = F.pmod(F.xxhash64("id", F.lit(hubs_each)), F.lit(hubs_each)).cast("int")
-        hubs = alive.groupBy("bucket", group.alias("g")).agg(F.min(F.struct("id", "n", "root")).alias("hub"))
-        hubs = written(hubs.select(F.col("bucket").alias("k"), F.col("hub.id").alias("b"), F.col("hub.n").alias("m"), F.col("hub.root").alias("r")), "minhash-hubs")
+    none = spark.createDataFrame([], "a long, b long")
+    found, tested, fetched = none, none, _Texts(docs, nodes)
+    for _ in range(STARS):
+        if alive.isEmpty():
+            return found
+        hubs = alive.groupBy("bucket").agg(F.min(F.struct("id", "n", "root")).alias("hub"))
+        hubs = hubs.select(F.col("bucket").alias("k"), F.col("hub.id").alias("b"), F.col("hub.n").alias("m"), F.col("hub.root").alias("r"))
         near = F.expr(f"100 * least(n, m) >= {hundredths} * greatest(n, m)")  # else the union is too large
-        # a pair of two hubs is met from one side
-        twice = hubs.select(F.col("k").alias("bucket"), F.col("b").alias("id"), F.lit(True).alias("is_hub"))
-        members = alive.join(twice, ["bucket", "id"], "left") if hubs_each > 1 else alive.withColumn("is_hub", F.lit(None).cast("boolean"))
-        pairs = members.join(hubs, F.col("bucket") == F.col("k")).where((F.col("id") != F.col("b")) & (F.col("root") != F.col("r")) & near)
-        pairs = pairs.where(F.col("is_hub").isNull() | (F.col("id") > F.col("b"))).select(F.col("id").alias("a"), "b").distinct()
-        if tested is not None:
-            both = tested.unionByName(tested.select(F.col("a").alias("b"), F.col("b").alias("a")))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
+        met = written(alive.join(hubs, F.col("bucket") == F.col("k")).where("id <> b").select("bucket", "id", "n", "root", "b", (near & (F.col("root") != F.col("r"))).alias("asks")), "minhash-stars")
+        pairs = met.where("asks").select(F.col("id").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "minhash-pairs")
+        rest = met.select("bucket", "id", "n", "root")
         if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
+            tested = tested.unionByName(pairs)
             asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            if texts is None:
-                texts = written(_texts(docs, nodes.join(asked, "id", "left_semi")), "minhash-texts")
-            else:  # later rounds may ask for more
-                more = written(nodes.join(asked.join(texts, "id", "left_anti"), "id", "left_semi").select("id", "n", "doc_id", "text_key"), "minhash-more")
-                if not more.isEmpty():
-                    texts = texts.unionByName(written(_texts(docs, more), "minhash-texts"))
-            new = written(confirmed(pairs, texts, hundredths), "minhash-links")
-            found = new if found is None else found.unionByName(new)
-        # hubs have met all members that they weren't connected with, and go
-        rest = alive.join(hubs.select(F.col("k").alias("bucket"), F.col("b").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "n")
-        if found is not None:
-            roots = components(found).select(F.col("a").alias("node"), F.col("b").alias("root"))
-            rest = rest.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
-        else:
-            rest = rest.withColumn("root", F.col("id"))
-        rest = written(rest, "minhash-rest")
-        several = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("bucket").alias("k"))
-        alive = written(rest.join(several, F.col("bucket") == F.col("k"), "left_semi"), "minhash-buckets")
-        hubs_each *= MORE_HUBS
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
+            found = found.unionByName(written(confirmed(pairs, fetched.of(asked), hundredths), "minhash-links"))
+            rest = _rooted(rest, found)
+        alive = _unsettled(rest)
+    if alive.isEmpty():
+        return found
+    return found.unionByName(written(_rest_links(alive, nodes, fetched, hundredths), "minhash-links"))
+
+
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (bucket, id, n, root) with the roots that the links ``found`` give."""
+    roots = components(found).select(F.col("a").alias("node"), F.col("b").alias("to"))
+    return rows.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("to", "id").alias("root"))
+
+
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, id, n, root) of buckets that hold several roots."""
+    rows = written(rows, "minhash-rest")
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("bucket").alias("k"))
+    return written(rows.join(several, F.col("bucket") == F.col("k"), "left_semi"), "minhash-buckets")
+
+
+def _rest_links(alive: DataFrame, nodes: DataFrame, fetched: _Texts, hundredths: int) -> DataFrame:
+    """(a, b): links among the members of buckets (bucket, id, n, root), all that connect different roots.
+
+    Members of buckets that share members meet: they are dealt into parts of
+    bounded size, and each two parts into a tile.  A tile holds one part and
+    lets the other one pass; its links shrink to a spanning forest.
+    """
+    spark = alive.sparkSession
+    star = alive.groupBy("bucket").agg(F.min("id").alias("b")).select(F.col("bucket").alias("k"), "b")
+    together = components(alive.join(star, F.col("bucket") == F.col("k")).select(F.col("id").alias("a"), "b"))
+    members = alive.groupBy("id").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    label = together.select(F.col("a").alias("node"), F.col("b").alias("of"))
+    members = members.join(label, F.col("id") == F.col("node"), "left").select("id", "n", "root", F.coalesce("of", "id").alias("group"))
+    texts = fetched.of(members.select("id")).select(F.col("id").alias("i"), "text")
+    members = members.join(nodes.select(F.col("id").alias("j"), "sketch"), F.col("id") == F.col("j")).join(texts, F.col("id") == F.col("i"))
+    members = written(members.select("group", "id", "n", "root", "sketch", "text"), "minhash-tiles")
+    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("text")) / TILE_BYTES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = members.join(sizes.select(F.col("group").alias("g"), "parts"), F.col("group") == F.col("g")).withColumn("part", part)
+    # part p is held in tiles (p, q) for q >= p, and passes in those (q, p) for q <= p
+    held = dealt.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1))).select("group", F.col("part").alias("p"), F.col("other").alias("q"), F.lit(0).alias("side"), "id", "n", "root", "sketch", "text")
+    passing = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), "part"))).select("group", F.col("other").alias("p"), F.col("part").alias("q"), F.lit(1).alias("side"), "id", "n", "root", "sketch", "text")
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    met = held.unionByName(passing).repartition(count, "group", "p", "q").sortWithinPartitions("group", "p", "q", "side", "id")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tile = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in (4, 5, 6, 7)), batch.column(8).cast(pa.binary()).to_pylist()))
+            for k, side, row in zip(keys, batch.column(3).to_pylist(), rows):
+                if k != key:
+                    if tile is not None:
+                        yield tile.links()
+                    key, tile = k, Tile(hundredths)
+                (tile.meet if side else tile.hold)(*row)
+        if tile is not None:
+            yield tile.links()
+
+    return met.mapInArrow(task, "a long, b long")
+
+
+class Tile:
+    """Sets that are held, and those that meet them one after the other."""
+
+    def __init__(self, hundredths: int):
+        self.hundredths = hundredths
+        self.rows: list[tuple[int, int, int, bytes]] = []
+        self.sketches: list[bytes] = []
+        self.table = None
+        #: Roots of components, merged as links are found.
+        self.to: dict[int, int] = {}
+        self.made: list[tuple[int, int]] = []
+
+    def hold(self, id: int, n: int, root: int, sketch: bytes, text: bytes) -> None:
+        self.rows.append((id, n, root, text))
+        self.sketches.append(sketch)
+
+    def _root(self, x: int) -> int:
+        while (up := self.to.get(x, x)) != x:
+            self.to[x] = self.to.get(up, up)
+            x = up
+        return x
+
+    def meet(self, id: int, n: int, root: int, sketch: bytes, text: bytes) -> None:
+        if self.table is None:
+            self.table = np.frombuffer(b"".join(self.sketches), np.uint8).reshape(-1, BINS)
+            self.ids, self.sizes, self.roots = (np.array([r[k] for r in self.rows], np.int64) for k in range(3))
+        mine = self._root(root)
+        near = 100 * np.minimum(self.sizes, n) >= self.hundredths * np.maximum(self.sizes, n)
+        some = np.flatnonzero(near & (self.ids != id) & (self.roots != mine))
+        agree = (self.table[some] == np.frombuffer(sketch, np.uint8)).mean(axis=1)
+        some = some[(agree >= AGREE) | (np.minimum(self.sizes[some], n) < AGREE_FROM)]
+        some = some[[self._root(r) != mine for r in self.roots[some].tolist()]]
+        if not len(some):
+            return
+        linked = some[similar_leaves(text, n, [self.rows[k][3] for k in some.tolist()], self.sizes[some].tolist(), self.hundredths)]
+        for k in linked.tolist():
+            a, b = self._root(self.rows[k][2]), self._root(root)
+            if a != b:
+                self.to[max(a, b)] = min(a, b)
+                self.made.append((id, self.rows[k][0]))
+
+    def links(self) -> pa.RecordBatch:
+        a, b = zip(*self.made) if self.made else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+class _Texts:
+    """Texts of nodes, each fetched from the documents once."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
+        self.docs, self.nodes = docs, nodes
+        self.held = docs.sparkSession.createDataFrame([], "id long, n long, text string")
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, n, text) of at least the nodes ``ids`` (id)."""
+        more = written(self.nodes.join(ids.join(self.held, "id", "left_anti"), "id", "left_semi").select("id", "n", "doc_id", "text_key"), "minhash-more")
+        if not more.isEmpty():
+            self.held = self.held.unionByName(written(_texts(self.docs, more), "minhash-texts"))
+        return self.held
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -300,8 +420,8 @@ def near_groups(docs: DataFrame, hundredths: int = HUNDREDTHS) -> DataFrame:
     # equal sets are one node, which the row of smallest id and text key stands for
     stands = F.min(F.struct("doc_id", "text_key")).alias("row")
     least = F.min("doc_id").alias("smallest")
-    nodes = held.groupBy("digest").agg(stands, least, F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    nodes = nodes.select(F.monotonically_increasing_id().alias("id"), "digest", "smallest", "n", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), "buckets")
+    nodes = held.groupBy("digest").agg(stands, least, F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("id"), "digest", "smallest", "n", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), "sketch", "buckets")
     nodes = written(nodes, "minhash-nodes")
     roots = components(links(docs, nodes, hundredths)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     known = nodes.join(roots, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"), "smallest")

@@ -242,8 +242,10 @@ def test_minhash_finds_near_copies_of_all_sizes(spark, seed, monkeypatch):
     assert grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == grouped_by_hand(rows)
 
 
-def test_minhash_takes_every_pair_of_a_bucket(spark):
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_minhash_takes_every_pair_of_a_bucket(spark, tile, monkeypatch):
     """Many texts of one template, most of them just too far from each other, among them pairs that link: no star of one hub finds those."""
+    monkeypatch.setattr(op13_minhash, "TILE", tile)
     rng = random.Random(7)
     template = [f"t{i}" for i in range(100)]
     rows = []
@@ -268,6 +270,21 @@ def test_minhash_hot_group_and_nothing(spark):
     assert sorted(map(repr, map(tuple, op13_minhash.near_groups(blank).collect()))) == sorted(map(repr, [(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 0, None)]))
 
 
+def test_sketches_of_similar_sets_agree():
+    """Sets of similarity 0.8 and at least AGREE_FROM shingles agree in AGREE of their bins, with room."""
+    rng = np.random.default_rng(5)
+    least = 1.0
+    for n in (64, 80, 150, 288, 1000):
+        for _ in range(200):
+            sets = []
+            common, other = rng.integers(0, 1 << 63, -(-8 * n // 9)), rng.integers(0, 1 << 63, 2 * (n // 9))
+            for own in (other[::2], other[1::2]):
+                sets.append(np.sort(np.concatenate((common, own)).astype(np.uint64) * np.uint64(2)))
+            x, y = op13_minhash.sketches(np.repeat([0, 1], list(map(len, sets))), np.concatenate(sets), 2).astype(np.uint8)
+            least = min(least, (x == y).mean())
+    assert least > op13_minhash.AGREE + 0.03
+
+
 def test_densification_keeps_similarity():
     """Bins of sparse sets agree as often as their sets do."""
     rng = np.random.default_rng(3)
