@@ -17,6 +17,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from somaflow.folders import new_folder
-from somaflow.functions import oasis
+from somaflow.functions import activity, oasis
 from somaflow.functions.oasis import Pools
 
 #: Frames that a neuron's state reaches back, and those that wait for a missing one.
@@ -99,22 +100,83 @@ class OnlineDeconvolution(StatefulProcessor):
         pass
 
 
-def deconvolve_stream(frames: DataFrame, g: float, lam: float = 0.0, s_min: float = 0.0, b: float = 0.0, horizon: int = HORIZON, patience: int = PATIENCE) -> DataFrame:
+_SECOND = StructType(
+    [
+        StructField("t", LongType()),
+        StructField("late", LongType()),
+        StructField("before", ArrayType(DoubleType())),
+        StructField("y", ArrayType(DoubleType())),
+        StructField("c", ArrayType(DoubleType())),
+        StructField("wait_t", ArrayType(LongType())),
+        StructField("wait_v", ArrayType(DoubleType())),
+    ]
+)
+
+
+class OnlineSecondOrder(StatefulProcessor):
+    """Holds a neuron's frames that aren't settled, their values of c, the two before them, and the frames that wait."""
+
+    def __init__(self, g: tuple[float, float], lam: float = 0.0, b: float = 0.0, horizon: int = HORIZON, patience: int = PATIENCE):
+        self.options, self.patience = (g, lam, b, horizon), patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("frames", _SECOND)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        online, late, waiting = activity.Online(*self.options), 0, {}
+        if self.state.exists():
+            online.t, late, before, y, c, wt, wv = self.state.get()
+            online.before, online.y, online.c = tuple(before), list(y), np.array(c)
+            waiting = dict(zip(wt, wv))
+        due = online.t + len(online.y)
+        for pdf in rows:
+            for t, v in zip(pdf["t"].tolist(), pdf["v"].tolist()):
+                if t < due or t in waiting:
+                    late += 1
+                else:
+                    waiting[t] = v
+        frames: list[float] = []
+        while due in waiting or len(waiting) > self.patience:
+            # a lost frame counts as what the decay over the ones before it leaves
+            if due not in waiting:
+                online.fit(frames)
+                frames, last = [], [online.before[1], online.before[0], *online.c[-2:].tolist()]
+                waiting[due] = online.b + online.g[0] * last[-1] + online.g[1] * last[-2]
+            frames.append(waiting.pop(due))
+            due += 1
+        first = online.fit(frames)
+        at = first - online.t
+        out = [(int(key[0]), first + i, c, s, late) for i, (c, s) in enumerate(zip(online.c[at:].tolist(), online.s[at:].tolist()))]
+        online.settle()
+        self.state.update((online.t, late, list(online.before), online.y, online.c.tolist(), list(waiting), list(waiting.values())))
+        yield pd.DataFrame(out, columns=["k", "t", "c", "s", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def deconvolve_stream(frames: DataFrame, g: float | tuple[float, float], lam: float = 0.0, s_min: float = 0.0, b: float = 0.0, horizon: int = HORIZON, patience: int = PATIENCE) -> DataFrame:
     """(k, t, c, s, late) of a stream (k, t, v); needs the RocksDB state store.
 
+    Two values of ``g`` are a decay of second order, which has no ``s_min``.
     The state runner doesn't see packages sent by ``addPyFile``, so that the
     code it needs travels with the processor.
     """
-    for module in (sys.modules[__name__], oasis):
+    for module in (sys.modules[__name__], oasis, activity):
         cloudpickle.register_pickle_by_value(module)
-    processor = OnlineDeconvolution(g, lam, s_min, b, horizon, patience)
+    if isinstance(g, tuple):
+        if s_min:
+            raise NotImplementedError("s_min with decay of second order")
+        processor: StatefulProcessor = OnlineSecondOrder(g, lam, b, horizon, patience)
+    else:
+        processor = OnlineDeconvolution(g, lam, s_min, b, horizon, patience)
     return frames.groupBy("k").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Update", timeMode="None")
 
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def run_to_end(traces: DataFrame, g: float, lam: float = 0.0, s_min: float = 0.0, b: float = 0.0, files: int = 4) -> DataFrame:
+def run_to_end(traces: DataFrame, g: float | tuple[float, float], lam: float = 0.0, s_min: float = 0.0, b: float = 0.0, files: int = 4) -> DataFrame:
     """(k, t, c, s, late) of traces (k, t, v) that are written as ``files`` files and streamed until all are read.
 
     Every batch's rows are kept with the batch's number below the folder of
