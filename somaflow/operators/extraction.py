@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from somaflow.functions import extraction as fx
-from somaflow.operators import geometry
+from somaflow.operators import geometry, graph
 from somaflow.operators.background import compressed
+from somaflow.operators.refine import evaluate
 from somaflow.params import ExtractionParams
 
+#: Components whose traces meet in one task.
+BLOCK = 256
 COMPONENT = "patch int, px array<int>, a array<double>, c array<double>, s array<double>, yra array<double>"
 
 
@@ -96,31 +99,53 @@ def assemble(fitted: DataFrame, h: int, w: int, params: ExtractionParams) -> tup
     return named.join(near, "k", "left_semi").drop("cy", "cx"), fitted.where("kind = 1").select("patch", "px", F.col("a").alias("b"), F.col("c").alias("f"))
 
 
-def merge_components(components: DataFrame, params: ExtractionParams, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """Components that overlap and move together become one, until none do."""
+def correlated_overlaps(components: DataFrame) -> DataFrame:
+    """(i, j, r), i < j: correlation of the traces of components that share pixels.
+
+    Traces meet as blocks: an edge takes its two ids to the first one's block of
+    BLOCK components, and a trace goes once to each block that asks for it.
+    """
+    edges = geometry.overlap_graph(Result(components, components, 0, 0).footprints()).select("i", "j")
+    edges = edges.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(max(1, -(-components.count() // BLOCK)))).cast("int"))
+    asks = edges.select("block", F.col("i").alias("k")).unionByName(edges.select("block", F.col("j").alias("k"))).distinct()
+    held = asks.join(components.select("k", "c"), "k").select(F.col("block").alias("at"), "k", "c")
+
+    def run(pairs: pd.DataFrame, traces: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs):
+            return pd.DataFrame([], columns=["i", "j", "r"])
+        c = np.stack(list(traces["c"])).astype(float)
+        c = c - c.mean(axis=1, keepdims=True)
+        size = np.sqrt((c**2).sum(axis=1))
+        c /= np.where(size > 0, size, 1)[:, None]
+        place = dict(zip(traces["k"], range(len(c))))
+        i, j = (np.array([place[k] for k in pairs[x]]) for x in ("i", "j"))
+        return pd.DataFrame({"i": pairs["i"], "j": pairs["j"], "r": np.einsum("ij,ij->i", c[i], c[j])})
+
+    return edges.groupBy("block").cogroup(held.groupBy("at")).applyInPandas(run, "i long, j long, r double")
+
+
+def merge_plan(components: DataFrame, params: ExtractionParams, save: Callable[[DataFrame, str], DataFrame], name: str = "merge") -> tuple[DataFrame, DataFrame]:
+    """((k, root), (root, place, total)): the groups that one round merges, and their order by summed correlation."""
     bound = params.merge_params.thr / 2 if params.merge_params.compat else params.merge_params.thr
+    pairs = save(correlated_overlaps(components), f"{name}-pairs")
+    groups = save(graph.connected(pairs.where(F.col("r") > bound), save, f"{name}-groups"), f"{name}-members")
+    return groups, graph.in_order(groups, pairs)
+
+
+def merge_components(components: DataFrame, params: ExtractionParams, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Components that overlap and move together become one, until none do.
+
+    A merged component has the id of its group's smallest member; groups are
+    taken in the order of ``merge_plan``, which numbers them for whoever lists them.
+    """
     turn = 0
     while True:
-        r = Result(components, components, 0, 0)
-        edges = geometry.overlap_graph(r.footprints()).select("i", "j")
-        traces = components.select("k", "c")
-        pairs = edges.join(traces.select(F.col("k").alias("i"), F.col("c").alias("ci")), "i").join(traces.select(F.col("k").alias("j"), F.col("c").alias("cj")), "j")
-
-        @F.pandas_udf("double")
-        def correlation(a: pd.Series, b: pd.Series) -> pd.Series:
-            out = []
-            for x, y in zip(a, b):
-                x, y = x - np.mean(x), y - np.mean(y)
-                size = np.sqrt((x @ x) * (y @ y))
-                out.append(float(x @ y / size) if size else 0.0)
-            return pd.Series(out)
-
-        linked = save(pairs.where(correlation("ci", "cj") > bound).select("i", "j"), f"merge-links-{turn}")
-        if linked.isEmpty():
+        groups, _ = merge_plan(components, params, save, f"merge-{turn}")
+        if groups.isEmpty():
             return components
-        groups = save(geometry.merge_groups(linked, lambda df: save(df, f"merge-labels-{turn}-{np.random.default_rng().integers(1 << 62)}")), f"merge-groups-{turn}")
 
         def fuse(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("k")
             px = np.unique(np.concatenate(list(pdf["px"])))
             a = np.zeros((len(pdf), len(px)))
             for i, (p, v) in enumerate(zip(pdf["px"], pdf["a"])):
@@ -140,67 +165,6 @@ def compress_background(background: DataFrame, h: int, w: int, params: Extractio
     return compressed(background, h * w, params.temporal_params.nb, params.seed, save=save)[0]
 
 
-def evaluate(frames: DataFrame, components: DataFrame, background: DataFrame, h: int, w: int, params: ExtractionParams) -> DataFrame:
-    """Components updated once more at full size: traces, footprints, traces, unit length.
-
-    Every patch updates its own components; the others that reach into it are
-    subtracted as they are, and so is the background.  The background is nb rows
-    of image and trace, which go to every patch's task.
-    """
-    patches = geometry.analysis_patches(h, w, params.patch_params.nb_patch, params.patch_params.overlaps)
-    bounds = {p[0]: p[1:] for p in patches}
-    parts = geometry.checked(background.select("b", "f"), "background components", 1000)
-    b, f = (np.array([r[c] for r in parts]) for c in ("b", "f"))
-    touched = components.withColumn("at", F.explode(F.array(*(F.struct(*(F.lit(int(v)).alias(c) for v, c in zip(p, ("n", "y0", "y1", "x0", "x1")))) for p in patches))))
-    inside = F.exists("px", lambda p: (F.floor(p / w) >= F.col("at.y0")) & (F.floor(p / w) < F.col("at.y1")) & (p % w >= F.col("at.x0")) & (p % w < F.col("at.x1")))
-    touched = touched.where(inside).select(F.col("at.n").alias("here"), "k", "patch", "px", "a", "c", "s", "yra")
-
-    def run(key: tuple, movie: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        names = ["k", "patch", "px", "a", "c", "s", "yra"]
-        if not len(movie) or not len(found):
-            return pd.DataFrame([], columns=names)
-        y0, y1, x0, x1 = bounds[int(key[0])]
-        where = (np.arange(y0, y1)[:, None] * w + np.arange(x0, x1)).ravel()
-        y = np.stack([np.frombuffer(r, "<f4") for r in movie.sort_values("t")["px"]]).astype(float)
-        y = y - f.T @ b[:, where] if len(b) else y
-        place = {p: i for i, p in enumerate(where.tolist())}
-        own, a, c = [], [], []
-        for k, patch, px, weight, trace in zip(found["k"], found["patch"], found["px"], found["a"], found["c"]):
-            row = np.zeros(len(where))
-            for p, v in zip(px, weight):
-                if p in place:
-                    row[place[p]] = v
-            if patch == key[0]:
-                own.append(k)
-                a.append(row)
-                c.append(np.asarray(trace))
-            else:
-                y = y - np.outer(trace, row)
-        if not own:
-            return pd.DataFrame([], columns=names)
-        sn = fx.spectrum_noise(y.T, params.preprocess_params.noise_method)
-        a, c = np.array(a), np.array(c).T
-        ids = np.array(own)
-        # components that an update empties are told by their footprints' sums
-        a, c, _ = fx.update_temporal(y, a, c, params.temporal_params)
-        if not len(a):
-            return pd.DataFrame([], columns=names)
-        shape = a.copy()
-        a, c = fx.update_spatial(y, a, c, sn, (y1 - y0, x1 - x0), params.spatial_params)
-        a, c, s = fx.update_temporal(y, a, c, params.temporal_params)
-        if not len(a):
-            return pd.DataFrame([], columns=names)
-        a, c, s = fx.normalised(a, c, s)
-        # an updated footprint keeps the id of the old one that it shares most with
-        like = (a @ shape.T / np.maximum(np.linalg.norm(shape, axis=1), 1e-12)).argmax(axis=1)
-        rest = fx.residual_traces(y, a, c)
-        rows = [(int(ids[like[i]]), int(key[0]), where[a[i] > 0].astype(np.int32), a[i][a[i] > 0], c[:, i], s[:, i], rest[:, i]) for i in range(len(a))]
-        return pd.DataFrame(rows, columns=names).drop_duplicates("k")
-
-    movies = patch_movies(frames, w, patches).groupBy("patch")
-    return movies.cogroup(touched.groupBy("here")).applyInPandas(run, f"k long, {COMPONENT}")
-
-
 def extract(frames: DataFrame, h: int, w: int, params: ExtractionParams, save: Callable[[DataFrame, str], DataFrame], final: bool = True) -> Result:
     """The whole extraction: patches, assembly, merging, background, and the final update unless ``final`` is off."""
     fitted = save(fit_patches(frames, h, w, params), "fitted")
@@ -208,5 +172,5 @@ def extract(frames: DataFrame, h: int, w: int, params: ExtractionParams, save: C
     components = merge_components(save(components, "assembled"), params, save)
     background = save(compress_background(background, h, w, params, save), "background")
     if final:
-        components = save(evaluate(frames, components, background, h, w, params), "evaluated")
+        components = save(evaluate(frames, components, background, h, w, params, save), "evaluated")
     return Result(components, background, h, w)
