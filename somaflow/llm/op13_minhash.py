@@ -9,7 +9,7 @@ A bucket gives a star: its hub, the smallest member, is a candidate for each
 other member.  Candidates are confirmed on full sets, texts of the members
 meeting their hub's, compared by the bytes of their words.  What is linked
 becomes one component.  Where a bucket then still holds several components, its
-hub goes and the next member takes over, for STARS rounds; so each round has as
+hub goes and the next member takes over, for STARS rounds in all; so each round has as
 many pairs as buckets have members.
 
 What no star has settled is a small rest of buckets whose members neither link
@@ -43,13 +43,13 @@ ROWS = 6
 BANDS = 48
 BINS = ROWS * BANDS
 #: Rounds of stars before what is left meets in tiles.
-STARS = 3
+STARS = 2
 #: Members of a tile's side, about, and bytes of their texts.
-TILE = 4096
-TILE_BYTES = 16 << 20
+TILE = 512
+TILE_BYTES = 2 << 20
 #: Of two sets with so many shingles at least, sketches that agree in fewer of their bins can't be similar:
-#: at 0.8 the share is 0.8 with a deviation of under 0.03, five of which lie between.  Smaller sets are always confirmed.
-AGREE = 0.65
+#: at 0.8 the share is 0.8 with a deviation of 0.024, five of which lie between.  Smaller sets are always confirmed.
+AGREE = 0.68
 AGREE_FROM = 64
 #: Members that meet their hub in one task, about.
 LEAVES = 256
@@ -297,8 +297,8 @@ def _rest_links(alive: DataFrame, nodes: DataFrame, fetched: _Texts, hundredths:
     """(a, b): links among the members of buckets (bucket, id, n, root), all that connect different roots.
 
     Members of buckets that share members meet: they are dealt into parts of
-    bounded size, and each two parts into a tile.  A tile holds one part and
-    lets the other one pass; its links shrink to a spanning forest.
+    bounded size, and each two parts into a tile, whose links shrink to a
+    spanning forest.
     """
     spark = alive.sparkSession
     star = alive.groupBy("bucket").agg(F.min("id").alias("b")).select(F.col("bucket").alias("k"), "b")
@@ -312,23 +312,24 @@ def _rest_links(alive: DataFrame, nodes: DataFrame, fetched: _Texts, hundredths:
     sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("text")) / TILE_BYTES)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = members.join(sizes.select(F.col("group").alias("g"), "parts"), F.col("group") == F.col("g")).withColumn("part", part)
-    # part p is held in tiles (p, q) for q >= p, and passes in those (q, p) for q <= p
-    held = dealt.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1))).select("group", F.col("part").alias("p"), F.col("other").alias("q"), F.lit(0).alias("side"), "id", "n", "root", "sketch", "text")
-    passing = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), "part"))).select("group", F.col("other").alias("p"), F.col("part").alias("q"), F.lit(1).alias("side"), "id", "n", "root", "sketch", "text")
+    # part p meets part q in tile (p, q), p at most q; tiles (p, p) get it once
+    columns = ["id", "n", "root", "sketch", "text"]
+    one = dealt.withColumn("q", F.explode(F.sequence("part", F.col("parts") - 1))).select("group", F.col("part").alias("p"), "q", F.lit(0).alias("side"), *columns)
+    two = dealt.where("part > 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).select("group", "p", F.col("part").alias("q"), F.lit(1).alias("side"), *columns)
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    met = held.unionByName(passing).repartition(count, "group", "p", "q").sortWithinPartitions("group", "p", "q", "side", "id")
+    met = one.unionByName(two).repartition(count, "group", "p", "q").sortWithinPartitions("group", "p", "q", "side", "id")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tile = None, None
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-            rows = list(zip(*(batch.column(c).to_pylist() for c in (4, 5, 6, 7)), batch.column(8).cast(pa.binary()).to_pylist()))
-            for k, side, row in zip(keys, batch.column(3).to_pylist(), rows):
+            rows = zip(*(batch.column(c).to_pylist() for c in range(3, 8)), batch.column(8).cast(pa.binary()).to_pylist())
+            for k, row in zip(keys, rows):
                 if k != key:
                     if tile is not None:
                         yield tile.links()
                     key, tile = k, Tile(hundredths)
-                (tile.meet if side else tile.hold)(*row)
+                tile.rows.append(row)
         if tile is not None:
             yield tile.links()
 
@@ -336,48 +337,48 @@ def _rest_links(alive: DataFrame, nodes: DataFrame, fetched: _Texts, hundredths:
 
 
 class Tile:
-    """Sets that are held, and those that meet them one after the other."""
+    """Sets of one part that meet each other, or those of another part: rows (side, id, n, root, sketch, text)."""
 
     def __init__(self, hundredths: int):
         self.hundredths = hundredths
-        self.rows: list[tuple[int, int, int, bytes]] = []
-        self.sketches: list[bytes] = []
-        self.table = None
-        #: Roots of components, merged as links are found.
-        self.to: dict[int, int] = {}
-        self.made: list[tuple[int, int]] = []
-
-    def hold(self, id: int, n: int, root: int, sketch: bytes, text: bytes) -> None:
-        self.rows.append((id, n, root, text))
-        self.sketches.append(sketch)
-
-    def _root(self, x: int) -> int:
-        while (up := self.to.get(x, x)) != x:
-            self.to[x] = self.to.get(up, up)
-            x = up
-        return x
-
-    def meet(self, id: int, n: int, root: int, sketch: bytes, text: bytes) -> None:
-        if self.table is None:
-            self.table = np.frombuffer(b"".join(self.sketches), np.uint8).reshape(-1, BINS)
-            self.ids, self.sizes, self.roots = (np.array([r[k] for r in self.rows], np.int64) for k in range(3))
-        mine = self._root(root)
-        near = 100 * np.minimum(self.sizes, n) >= self.hundredths * np.maximum(self.sizes, n)
-        some = np.flatnonzero(near & (self.ids != id) & (self.roots != mine))
-        agree = (self.table[some] == np.frombuffer(sketch, np.uint8)).mean(axis=1)
-        some = some[(agree >= AGREE) | (np.minimum(self.sizes[some], n) < AGREE_FROM)]
-        some = some[[self._root(r) != mine for r in self.roots[some].tolist()]]
-        if not len(some):
-            return
-        linked = some[similar_leaves(text, n, [self.rows[k][3] for k in some.tolist()], self.sizes[some].tolist(), self.hundredths)]
-        for k in linked.tolist():
-            a, b = self._root(self.rows[k][2]), self._root(root)
-            if a != b:
-                self.to[max(a, b)] = min(a, b)
-                self.made.append((id, self.rows[k][0]))
+        self.rows: list[tuple[int, int, int, int, bytes, bytes]] = []
 
     def links(self) -> pa.RecordBatch:
-        a, b = zip(*self.made) if self.made else ((), ())
+        side, ids, sizes, roots = (np.array([r[k] for r in self.rows], np.int64) for k in range(4))
+        table = np.frombuffer(b"".join(r[4] for r in self.rows), np.uint8).reshape(-1, BINS)
+        # all words of the tile get numbers, by their bytes; a set is a sorted array of shingles' numbers
+        words = Words([r[5] for r in self.rows], NOT_SPACE)
+        vocabulary = Vocabulary(words)
+        names = vocabulary.find(words)
+        text, first, second = shingles(words, names, vocabulary.size)
+        codes = names[first] * (vocabulary.size + 1) + np.where(second < 0, vocabulary.size, names[second])
+        starts = np.searchsorted(text, np.arange(len(self.rows) + 1))
+        label = {r: k for k, r in enumerate(dict.fromkeys(roots.tolist()))}
+        up = list(range(len(label)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        made = []
+        others = np.flatnonzero(side == 0)
+        for i in np.flatnonzero(side == side.max()).tolist():
+            near = (100 * np.minimum(sizes[others], sizes[i]) >= self.hundredths * np.maximum(sizes[others], sizes[i])) & (roots[others] != roots[i])
+            some = others[near if side[i] else near & (others < i)]
+            some = some[((table[some] == table[i]).mean(axis=1) >= AGREE) | (np.minimum(sizes[some], sizes[i]) < AGREE_FROM)]
+            mine = codes[starts[i] : starts[i + 1]]
+            for k in some.tolist():
+                a, b = top(label[int(roots[i])]), top(label[int(roots[k])])
+                if a == b:
+                    continue
+                other = codes[starts[k] : starts[k + 1]]
+                common = int((mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other).sum())
+                if 100 * common >= self.hundredths * (len(mine) + len(other) - common):
+                    up[max(a, b)] = min(a, b)
+                    made.append((int(ids[i]), int(ids[k])))
+        a, b = zip(*made) if made else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 

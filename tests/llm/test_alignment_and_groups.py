@@ -242,7 +242,7 @@ def test_minhash_finds_near_copies_of_all_sizes(spark, seed, monkeypatch):
     assert grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == grouped_by_hand(rows)
 
 
-@pytest.mark.parametrize("tile", [4096, 16])
+@pytest.mark.parametrize("tile", [512, 16])
 def test_minhash_takes_every_pair_of_a_bucket(spark, tile, monkeypatch):
     """Many texts of one template, most of them just too far from each other, among them pairs that link: no star of one hub finds those."""
     monkeypatch.setattr(op13_minhash, "TILE", tile)
