@@ -56,6 +56,8 @@ LEAVES = 256
 #: Texts are fetched by a broadcast of their keys (24 bytes each) up to so many.
 BROADCAST_KEYS = 200_000
 BATCH_BYTES = 1 << 20
+#: Text whose sets are held at once; numpy takes about a hundred times as much.
+SKETCH_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -171,7 +173,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in chunks(batch, 2):
+            for a, b, texts in chunks(batch, 2, SKETCH_BYTES):
                 n, digests, sketch, buckets = zip(*sets_of(texts))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "digest", "sketch", "buckets"])
