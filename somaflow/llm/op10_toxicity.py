@@ -297,7 +297,8 @@ def fitting(rows: Iterable[tuple[bytes, int]], most: int) -> tuple[list[bytes],
 
 def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model fitted on a bounded sample: of each class the ``class_rows`` labelled ids that
-    hash lowest, those whose whole texts fit in ``sample_bytes`` (see ``fitting``); held-out ids never."""
+    hash lowest, those whose whole texts fit in ``sample_bytes`` (see ``fitting``); held-out ids never.
+    Of the rows of one id, the text with the smallest digest is used."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.md5(_text_id(F.col("doc_id"))), F.col("doc_id")]
     chosen = [marks.where(F.col("toxic") == c).orderBy(*order).limit(class_rows) for c in (0, 1)]
@@ -312,8 +313,11 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, sample
         m = train(texts, np.array(marked, float), share)
         yield pa.RecordBatch.from_pylist([{"weight": m.weight.astype("<f4").tobytes(), "bias": m.bias, "slope": m.slope, "off": m.offset}])
 
-    # at most 2 class_rows ids, and so few rows that one task trains on them, away from the driver
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).repartition(1).sortWithinPartitions(*order, "text")
+    # rows of one id count once, by the smallest digest of a text: one task trains on at most 2 class_rows rows, away from the driver
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    met = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_d"))
+    each = met.groupBy("_d").agg(F.min(F.struct(F.md5("text").alias("digest"), "text")).alias("row"), F.max("toxic").alias("toxic"))
+    sample = each.select(F.col("_d").alias("doc_id"), F.col("row.text").alias("text"), "toxic").repartition(1).sortWithinPartitions(*order)
     row = sample.select(F.col("text").cast("string").alias("text"), "toxic").mapInArrow(task, "weight binary, bias double, slope double, off double").first()
     if row is None:
         return train([], np.zeros(0))

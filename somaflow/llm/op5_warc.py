@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -58,18 +59,19 @@ def decided(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     copies = light.groupBy("equal").agg(F.count("*").alias("n"), top).where("n > 1 AND top.page_id IS NOT NULL").select(F.col("equal").alias("e"), "top")
     copies = written(copies, "warc-copies")
     again = light.select("row", "equal").join(copies, F.col("equal") == F.col("e")).where(F.col("row") != -F.col("top.row"))
-    again = written(again.select(F.col("row").alias("_row"), F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")), "warc-revisits")
+    again = written(again.select(F.col("row").alias("_row"), F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url"), (-F.col("top.row")).alias("refers_row")), "warc-revisits")
     few = again.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(again) if few else again, F.col("row") == F.col("_row"), "left")
     revisit = F.col("_row").isNotNull()
     return joined.select(
-        "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to", "refers_url",
+        "row", "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "payload_bytes", "digest",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"), "refers_to", "refers_url", "refers_row",
     )
 
 
-def _record_id(page_id, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
+def _record_id(number, digest: str) -> str:
+    """The id of a record by the number of its row, or of an archive by that of its task and place; rows may share page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{number}/{digest}')}>"
 
 
 def _record(kind: str, fields: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -84,20 +86,23 @@ def record(row: dict, date: str = DATE) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
     digest = "sha1:" + base64.b32encode(bytes.fromhex(row["digest"])).decode()
     fields = [
-        ("WARC-Record-ID", _record_id(page, row["digest"])), ("WARC-Date", date), ("WARC-Target-URI", row["url"]), ("WARC-Payload-Digest", digest),
+        ("WARC-Record-ID", _record_id(row["row"], row["digest"])), ("WARC-Date", date), ("WARC-Target-URI", row["url"]), ("WARC-Payload-Digest", digest),
         ("X-Page-Id", page), ("X-Payload-Length", str(row["payload_bytes"])), ("Content-Type", "application/http; msgtype=response"),
     ]
     if row["record_type"] == "response":
         return _record("response", fields, http + (row["html"] or "").encode())
     target = str(row["refers_to"])
     fields += [
-        ("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(target, row["digest"])), ("WARC-Refers-To-Target-URI", row["refers_url"]), ("X-Refers-To-Page-Id", target),
+        ("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(row["refers_row"], row["digest"])), ("WARC-Refers-To-Target-URI", row["refers_url"]), ("X-Refers-To-Page-Id", target),
     ]
     return _record("revisit", fields, http)
 
 
 def dictionary(records: list[bytes]):
-    """A dictionary built from records taken evenly over the archive, or None if they hold too little."""
+    """A dictionary built from records taken evenly over the archive, or None if they hold too little.
+
+    Of a record at most a quarter of SAMPLE_BYTES trains; the records themselves are written whole.
+    """
     import zstandard
 
     total = sum(map(len, records))
@@ -164,10 +169,10 @@ def write_pages(rows: DataFrame, folder: str) -> DataFrame:
     def task(batches):
         from pyspark import TaskContext
 
-        held, size, part = [], 0, TaskContext.get().partitionId()
+        held, size, part, archives = [], 0, TaskContext.get().partitionId(), itertools.count()
 
         def close():
-            info = _record("warcinfo", [("WARC-Record-ID", _record_id(part, "info")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC file version 1.1\r\n")
+            info = _record("warcinfo", [("WARC-Record-ID", _record_id(f"{part}/{next(archives)}", "info")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC file version 1.1\r\n")
             system, draft, final = commit_file(folder, f"pages-{part:06d}", ".warc.zst")
             with system.open_output_stream(draft, compression=None) as sink:
                 write_archive(sink, [info, *held])

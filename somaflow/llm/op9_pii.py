@@ -19,7 +19,9 @@ import bisect
 import functools
 import hashlib
 import itertools
+import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +47,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = {
-    "email_text": re.compile(r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._-]{1,40} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{2,40} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}\b"),
     "phone_local": re.compile(r"(?<![\w+(.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])"),
     "national": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "ipv6": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     "number": re.compile(r"(?<![\w.-])[0-9]{9,19}(?![\w-])"),
-    "secret": re.compile(r"(?<![\w/+=.-])(?=[\w/+=.-]*[0-9])(?=[0-9_/+=.-]*[A-Za-z])[\w/+=.-]{16,200}(?![\w/+=-])", re.ASCII),
+    "secret": re.compile(r"(?<![\w/+=.-])(?=[\w/+=.-]*[0-9])(?=[0-9_/+=.-]*[A-Za-z])[\w/+=.-]{16,}(?![\w/+=-])", re.ASCII),
 }
+#: The sign, domain and ending of an address in words; what stands before the sign is looked for from there.
+_AT_DOT = re.compile(r" ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{2,}+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}\b")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
 #: Words near a span that speak for or against each kind; context is compared by whole words.
 _FOR = frozenset(
     "mail email inbox contact write reach phone call tel fax mobile cell dial ring text sms ssn social security tax id iban bank account wire transfer pay card visa payment charge paid "
@@ -166,12 +170,26 @@ def features(text: str, kind: str, start: int, end: int, near: int = NEAR) -> li
     ]
 
 
+def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
+    """Addresses in words: two characters and more before the sign, the first a letter or digit that no word, stop or hyphen is joined to."""
+    done = 0
+    for m in _AT_DOT.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _NAME:
+            start -= 1
+        if not (start and (text[start - 1] == "_" or text[start - 1].isalnum())):
+            while start < m.start() and text[start] in "._-":
+                start += 1
+            if m.start() - start > 1:
+                yield "email_text", start, m.end()
+        done = m.end()
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans of the looser generators; they may overlap each other and base spans."""
-    out = []
-    digit = any(d in text for d in "0123456789")
-    for kind, pattern in _LOOSE.items():
-        if digit if kind != "email_text" else ("at" in text and "dot" in text):
+    """Spans of the looser generators; they may overlap each other and base spans.  No span has a longest length."""
+    out = list(_addresses(text)) if "at" in text and "dot" in text else []
+    if any(d in text for d in "0123456789"):
+        for kind, pattern in _LOOSE.items():
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
     return out
 
@@ -195,7 +213,7 @@ def _snippets(rng: np.random.Generator, n: int):
         return next(f"DE{c:02d}{body}" for c in range(2, 99) if _mod97(f"DE{c:02d}{body}"))
 
     def key():
-        return pick([some("0123456789abcdef", pick([32, 40, 64])), some(mixed, size(20, 60)), "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + some(mixed, 36), "sk-" + some(mixed, 40), some(mixed + "+/", 43) + "="])
+        return pick([some("0123456789abcdef", pick([32, 40, 64])), some(mixed, size(20, 60)), "AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + some(mixed, 36), "sk-" + some(mixed, 40), some(mixed + "+/", 43) + "=", "eyJ" + ".".join(some(mixed + "-_", size(*pick([(15, 40), (40, 120), (120, 900)]))) for _ in range(3))])
 
     yes = {
         "email_text": lambda: f"{name()} {pick(['at', '(at)', '[at]'])} {name()} {pick(['dot', '(dot)', '[dot]'])} {pick(['com', 'org', 'net'])}",
@@ -258,6 +276,15 @@ def model(seed: int = 11, rows: int = 10_000, precision: float = PRECISION) -> d
     return out
 
 
+def fitted(spark: SparkSession) -> dict[str, Boosted]:
+    """The forest, grown by one task away from the driver; what comes back are its trees."""
+
+    def task(_) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"trees": pa.array([pickle.dumps(model())], pa.binary())})
+
+    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(task, "trees binary").first()["trees"])
+
+
 def _nearest(spans: list[tuple[str, int, int]], start: int, end: int) -> int:
     """Code points from a candidate to the next base span, at most NEAR; ``spans`` by start."""
     i = bisect.bisect_left(spans, start, key=lambda z: z[1])
@@ -315,7 +342,7 @@ def detected(docs: DataFrame) -> DataFrame:
     null text is an empty one, without spans; a looser span inside a base span,
     or inside another looser one, is not listed; an empty table gives no rows.
     """
-    trees = model()
+    trees = fitted(docs.sparkSession)
     kinds = {"long": pa.int64(), "string": pa.string()}
 
     def task(batches):

@@ -375,6 +375,28 @@ def test_warc(spark):
     assert op5_warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_record_ids_are_distinct(spark, monkeypatch):
+    """Equal rows, small and large, and several archives of one task: every record has an id of its own, and a revisit names another record's."""
+    monkeypatch.setattr(op5_warc, "ARCHIVE_BYTES", 4000)
+    rows = [(7, "u", "p" * 1500)] * 4 + [(8, "v", "small")] * 3 + [(None, None, None)] * 2 + [(i, "w", f"{i} " * 300) for i in range(20, 40)] + [(9, "u", "long " * 30_000)] * 2
+    folder = op5_warc.new_folder(spark, "warc-ids")
+    manifest = op5_warc.write_pages(op5_warc.decided(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), folder)
+    ids, kinds, named = [], collections.Counter(), []
+    for r in manifest.collect():
+        system, path = op5_warc.filesystem(folder)[0], r["file"]
+        with system.open_input_stream(path, compression=None) as source:
+            for fields, _ in map(op5_warc.parse, op5_warc.read_archive(source)):
+                ids.append(fields["WARC-Record-ID"])
+                kinds[fields["WARC-Type"]] += 1
+                if fields["WARC-Type"] == "revisit":
+                    named.append((fields["WARC-Record-ID"], fields["WARC-Refers-To"], fields["X-Page-Id"]))
+                elif fields["WARC-Type"] == "response":
+                    named.append((fields["WARC-Record-ID"], None, fields.get("X-Page-Id")))
+    assert len(ids) == len(set(ids)) == len(rows) + manifest.count() and kinds["warcinfo"] > 2
+    responses = {i: page for i, to, page in named if to is None}
+    assert kinds["revisit"] == 4 and all(to in responses and to != i and responses[to] == page for i, to, page in named if to)
+
+
 def test_archive_frames():
     import io
     import struct
@@ -391,6 +413,15 @@ def test_archive_frames():
         list(op5_warc.read_archive(io.BytesIO(data + b"\x28\xb5\x2f\xfd")))
 
 
+def test_toxicity_takes_a_repeated_id_once(spark):
+    """Many rows of one labelled id reach the task that trains as one row."""
+    docs = spark.range(60_000).selectExpr("5L AS doc_id", "concat('word ', id) AS text").unionByName(spark.createDataFrame([(i, f"text {i} vile{i % 3}" if i % 2 else f"text {i} nice") for i in range(6, 60)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5, 60)], "doc_id long, toxic int")
+    once = docs.where("doc_id > 5").unionByName(spark.createDataFrame([(5, min((f"word {i}" for i in range(60_000)), key=lambda t: hashlib.md5(t.encode()).hexdigest()))], "doc_id long, text string"))
+    many, one = op10_toxicity.fit(docs, labels), op10_toxicity.fit(once, labels)
+    assert np.array_equal(many.weight, one.weight) and (many.bias, many.slope, many.offset) == (one.bias, one.slope, one.offset)
+
+
 # -- 6 neighbours
 
 
@@ -737,9 +768,10 @@ def test_added_spans_equal_every_candidate_judged_alone(docs):
     for t, line, n in zip(texts, got["spans"], got["n_spans"]):
         base = base_spans(t)
         held = []
-        for kind, pattern in op9_pii._LOOSE.items():
+        address = re.compile(r"(?<![\w.-])[._-]*([A-Za-z0-9][A-Za-z0-9._-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{2,} ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,10}\b)")
+        for kind, pattern in [("email_text", address), *op9_pii._LOOSE.items()]:
             for m in pattern.finditer(t):
-                a, b = m.span()
+                a, b = m.span(1) if kind == "email_text" else m.span()
                 if any(x <= a and b <= y for _, x, y in base):
                     continue
                 near = min([op9_pii.NEAR, *(max(0, a - y, x - b) for _, x, y in base)])
@@ -752,6 +784,25 @@ def test_added_spans_equal_every_candidate_judged_alone(docs):
         assert all(t[a:b] not in redacted or t.count(t[a:b]) > 1 for _, a, b in want)
 
 
+def test_secrets_and_addresses_of_any_length():
+    rng = random.Random(17)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    trees = op9_pii.model()
+    for size in (103, 201, 202, 500, 1000, 5000):
+        key = "eyJ" + "".join(rng.choice(letters) for _ in range(size - 4)) + "7"
+        text = f'we set token = "{key}" there'
+        assert ("secret", text.index(key), text.index(key) + size) in op9_pii.candidates(text)
+        assert f"secret:{text.index(key)}:{text.index(key) + size}" in op9_pii.found([text], trees)["spans"][0]
+        name = "a" + "b.c-" * (size // 4) + "d"
+        text = f"contact {name} (at) {'x' * size} dot org now"
+        assert op9_pii.candidates(text) == [("email_text", 8, len(text) - 4)]
+    # long runs cost their length, not its square
+    start = __import__("time").process_time()
+    for run in ("a-" * 200_000, "1" * 400_000, "ab_" * 100_000 + " at ", "x1/" * 100_000 + "!", "a at " * 50_000 + "dot", "--" * 100_000 + "1"):
+        op9_pii.candidates(run)
+    assert __import__("time").process_time() - start < 5
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(7)
     x = rng.random((2000, 4))
