@@ -30,8 +30,10 @@ from somaflow.llm.shared import commit_file, filesystem, new_folder, written
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 #: A chunk ends after about so much text, or so many distinct segments.
-CHUNK_CHARS = 32 << 20
-CHUNK_SEGMENTS = 1 << 20
+CHUNK_CHARS = 8 << 20
+CHUNK_SEGMENTS = 1 << 18
+#: Segments whose links are held at once.
+AT_ONCE = 1 << 15
 #: Characters of segments that are tokenised in one call.
 LINE = 1 << 12
 #: Id pairs with their counts (17 bytes each) are broadcast up to so many; beyond that they are joined.
@@ -65,15 +67,15 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         byte_of = _byte_of()
         vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) for t, i in vocabulary.items()}
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(byte_of[c] for c in t)
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode())
 
-        self.sizes_a, self.sizes_b = np.zeros(max(self.bytes_a) + 1, np.int64), np.array(list(map(len, self.bytes_b)))
-        for i, raw in self.bytes_a.items():
-            self.sizes_a[i] = len(raw)
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
         self.kind = np.dtype("<u2" if max(len(self.sizes_a), len(self.sizes_b)) <= 1 << 16 else "<u4")
 
     def encode(self, lines: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -84,7 +86,7 @@ class Tokenizers:
     def has_bytes(self, a: list[int], b: list[int], text: str) -> bool:
         """Whether both tokenisations have the text's bytes."""
         raw = text.encode()
-        return b"".join(self.bytes_a.get(i, b"") for i in a) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+        return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
 
 
 @cache
@@ -145,9 +147,11 @@ class Segments:
         out = list(map(self.plain.get, pieces))
         if None not in out:
             return out
-        new = {p for p, at in zip(pieces, out) if at is None}
+        new = dict.fromkeys(p for p, at in zip(pieces, out) if at is None)
         if all(map(self._ends_well, new)):
-            return [self._place(p, self.plain) for p in pieces]
+            for p in new:
+                self._place(p, self.plain)
+            return list(map(self.plain.__getitem__, pieces))
         # runs of white space start a segment, and stay with the last one at the end
         segments: list[list[str]] = []
         well = False
@@ -470,21 +474,28 @@ def alignments(docs: DataFrame, a: str | None = None, b: str | None = None) -> D
     else:
         scores = _joined_scores(found, pairs, kind)
 
+    def score(links: Links) -> list[np.ndarray]:
+        """(n_best, count_sum) of each segment."""
+        codes, counts, best = table.value
+        at = np.minimum(np.searchsorted(codes, links.codes()), len(codes) - 1)
+        known = codes[at] == links.codes()  # those that only documents without tokens have are in no table
+        return [links.sums(known & best[at]), links.sums(np.where(known, counts[at], 0))]
+
     def make(held: pa.Table, documents) -> Iterator[pa.RecordBatch]:
-        parts = held.column("links").to_pylist()
-        valid = np.array([x is not None for x in parts], bool)
-        links = Links.unpacked([x or b"" for x in parts], kind)
-        numbers = [links.sums(links.state != 2), links.sums(links.state != 1), links.sums(links.state == 0), np.diff(links.ends, prepend=0)]
-        if table is not None:
-            codes, counts, best = table.value
-            at = np.searchsorted(codes, links.codes())
-            at = np.minimum(at, max(0, len(codes) - 1))
-            # pairs that only documents without tokens have are in no table
-            known = codes[at] == links.codes() if len(codes) else np.zeros(len(at), bool)
-            numbers += [links.sums(known & best[at]) if len(codes) else links.sums(known), links.sums(np.where(known, counts[at], 0)) if len(codes) else links.sums(known)]
-        else:
-            numbers += [np.asarray(held.column(c).fill_null(0)) for c in ("n_best", "count_sum")]
-        numbers, groups = np.stack(numbers, axis=1).astype(np.int64), links.groups()
+        numbers, groups, valid = [np.zeros((0, len(COUNTS)), np.int64)], [], []
+        for start in range(0, len(held), AT_ONCE):
+            part = held.slice(start, AT_ONCE)
+            packed = part.column("links").to_pylist()
+            valid += [x is not None for x in packed]
+            links = Links.unpacked([x or b"" for x in packed], kind)
+            mine = [links.sums(links.state != 2), links.sums(links.state != 1), links.sums(links.state == 0), np.diff(links.ends, prepend=0)]
+            if table is None:
+                mine += [np.asarray(part.column(c).fill_null(0)) for c in ("n_best", "count_sum")]
+            else:
+                mine += score(links) if len(table.value[0]) else [np.zeros(len(packed))] * 2
+            numbers.append(np.stack(mine, axis=1).astype(np.int64))
+            groups += links.groups()
+        numbers, valid = np.concatenate(numbers), np.array(valid, bool)
         for ids, places in documents:
             sums, digests = np.zeros((len(places), len(COUNTS)), np.int64), [""] * len(places)
             for i, p in enumerate(places):
