@@ -7,10 +7,10 @@ ROWS ranges make a band, and sets that agree in a band share a bucket.
 
 A bucket gives a star: its hub, the smallest member, is a candidate for each
 other member.  Candidates are confirmed on full sets, texts of the members
-meeting their hub's, compared by the bytes of their words.  What is linked
-becomes one component.  Where a bucket then still holds several components, its
-hub goes and the next member takes over, for STARS rounds in all; so each round has as
-many pairs as buckets have members.
+meeting their hub's, compared by the bytes of their words.  Where a bucket then
+still holds members that aren't linked to one hub, its own hub goes and the next
+member takes over, for STARS rounds in all; so each round has as many pairs as
+buckets have members.
 
 What no star has settled is a small rest of buckets whose members neither link
 nor fall apart, such as texts that share a passage and little else.  Their
@@ -46,7 +46,7 @@ BINS = ROWS * BANDS
 STARS = 2
 #: Members of a tile's side, about, and bytes of their texts.
 TILE = 512
-TILE_BYTES = 2 << 20
+TILE_BYTES = 1 << 19
 #: Of two sets with so many shingles at least, sketches that agree in fewer of their bins can't be similar:
 #: at 0.8 the share is 0.8 with a deviation of 0.024, five of which lie between.  Smaller sets are always confirmed.
 AGREE = 0.68
@@ -55,9 +55,9 @@ AGREE_FROM = 64
 LEAVES = 256
 #: Texts are fetched by a broadcast of their keys (24 bytes each) up to so many.
 BROADCAST_KEYS = 200_000
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 #: Text whose sets are held at once; numpy takes about a hundred times as much.
-SKETCH_BYTES = 1 << 19
+SKETCH_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -283,9 +283,13 @@ def links(docs: DataFrame, nodes: DataFrame, hundredths: int = HUNDREDTHS) -> Da
 
 
 def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` (bucket, id, n, root) with the roots that the links ``found`` give."""
-    roots = components(found).select(F.col("a").alias("node"), F.col("b").alias("to"))
-    return rows.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("to", "id").alias("root"))
+    """``rows`` (bucket, id, n, root) with the smallest hub that each is linked to as root.
+
+    Equal roots are connected; which unequal ones are, too, is left to the end:
+    they meet once more than they need.
+    """
+    roots = found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
+    return rows.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.least("id", F.coalesce("to", "id")).alias("root"))
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
