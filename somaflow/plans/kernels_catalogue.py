@@ -8,6 +8,8 @@ Iterative ones write their rounds below the folder named by ``spark.checkpoint.d
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from somaflow.folders import new_folder
 from somaflow.functions import extraction as fx
-from somaflow.operators import background, extraction, geometry, layout, motion, traces
-from somaflow.params import ExtractionParams, InitParams, PatchParams, TemporalParams
+from somaflow.operators import background, extraction, geometry, layout, motion, ring, traces
+from somaflow.params import ExtractionParams, InitParams, MergeParams, PatchParams, SpatialParams, TemporalParams
 from somaflow.plans import catalogue as base
 
 H, W = base.H, base.W
@@ -168,6 +170,59 @@ def ring_weights(spark: SparkSession, sf: str) -> DataFrame:
     return _patch_map(spark, sf, "patch int, i int, j int, missed double", kernel).select("patch", "i", "j", base.r6(F.col("missed")).alias("missed"))
 
 
+def ring_image(spark: SparkSession, sf: str) -> DataFrame:
+    """(p, q, missed): pixel p of the whole image explained by the ring pixels q around it.
+
+    What the ring leaves of p is uncorrelated with each q, which has one solution.
+    """
+    movie = base.movie(spark, sf)
+    weights = ring.ring_weights(movie, H, W, 2).select("p", F.explode(F.arrays_zip("near", "weights")).alias("z")).select("p", F.col("z.near").alias("j"), F.col("z.weights").alias("w"))
+    px = layout.pixels(movie).select("t", "p", F.col("v").cast("double").alias("v"))
+    centred = px.join(px.groupBy("p").agg(F.avg("v").alias("m")), "p").select("t", "p", (F.col("v") - F.col("m")).alias("v"))
+    half = base.linear.gram(centred, "t", "p", "v")
+    cov = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    size = cov.where("i = j").select("i", "v")
+    told = weights.join(weights.select("p", F.col("j").alias("q")), "p").join(cov.select(F.col("i").alias("j"), F.col("j").alias("q"), "v"), ["j", "q"]).groupBy("p", "q").agg(F.sum(F.col("w") * F.col("v")).alias("told"))
+    both = told.join(cov.select(F.col("i").alias("p"), F.col("j").alias("q"), "v"), ["p", "q"]).join(size.select(F.col("i").alias("p"), F.col("v").alias("vp")), "p").join(size.select(F.col("i").alias("q"), F.col("v").alias("vq")), "q")
+    return both.select(F.col("p").cast("int").alias("p"), F.col("q").cast("int").alias("q"), base.r6(F.abs(F.col("v") - F.col("told")) / F.sqrt(F.col("vp") * F.col("vq"))).alias("missed"))
+
+
+def _labelled_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Footprints of each label with the movie's product as traces."""
+    f = base.mean_footprints(spark, sf)
+    c = layout.series(base.linear.product(layout.pixels(base.movie(spark, sf)), f, "p", "t", "k", "v", "a"), "k")
+    sparse = f.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "a"))).alias("z"))
+    return sparse.join(c, "k").select("k", F.lit(0).alias("patch"), F.col("z.p").alias("px"), F.col("z.a").alias("a"), F.col("y").alias("c"), F.col("y").alias("s"), F.col("y").alias("yra"))
+
+
+#: Correlation from which the row's components are merged.
+MERGED = 0.1
+
+
+def merge_order(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, root, place, total): the groups that a round of merging makes, in the order of their summed correlation."""
+    params = replace(_SMALL, merge_params=MergeParams(thr=MERGED, compat=False))
+    groups, order = extraction.merge_plan(_labelled_components(spark, sf), params, _save(spark))
+    return groups.join(order, "root").select("k", "root", "place", base.r6(F.col("total"), 5).alias("total"))
+
+
+def evaluated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, unit): the components that the final update keeps, all of them, and the length of their footprints.
+
+    A frame of the movie is its label's mean footprint, and frames go by label, so that each component is active once.
+    """
+    e = base.table(spark, sf, "embeddings").select((F.col("label").cast("bigint") * (1 << 40) + F.col("vec_id")).alias("t"), F.col("label").cast("bigint").alias("k"), F.lit(5.0).alias("v"))
+    parts = _labelled_components(spark, sf).select("k", "patch", "px", "a")
+    image = F.transform(F.sequence(F.lit(0), F.lit(H * W - 1)), lambda p: F.coalesce(F.try_element_at(F.map_from_arrays("px", "a"), p), F.lit(0.0)))
+    frames = e.join(parts.select("k", image.alias("image")), "k").select("t", F.transform("image", lambda x: x * F.col("v")).alias("px"))
+    traces_ = parts.select("k").crossJoin(e.select("t", F.col("k").alias("own"), "v")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("t", F.when(F.col("k") == F.col("own"), F.col("v")).otherwise(0.0).alias("c")))).alias("z"))
+    both = parts.join(traces_.select("k", F.col("z.c").alias("c")), "k").select("*", F.col("c").alias("s"), F.col("c").alias("yra"))
+    none = spark.createDataFrame([], "component int, b array<double>, f array<double>")
+    params = replace(_SMALL, spatial_params=SpatialParams(thr_method="max", maxthr=0.0, extract_cc=False))
+    found = extraction.evaluate(frames, both, none, H, W, params, _save(spark))
+    return found.select("k", base.r6(F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x))).alias("unit"))
+
+
 def nmf_background(spark: SparkSession, sf: str) -> DataFrame:
     """(patch, component, px, b): low-rank background of each patch."""
 
@@ -231,15 +286,11 @@ def extract(spark: SparkSession, sf: str) -> DataFrame:
 
 def merge_components(spark: SparkSession, sf: str) -> DataFrame:
     """(k, px, a): footprints with mean traces, merged within each label's patch."""
-    f = base.mean_footprints(spark, sf)
-    c = layout.series(base.linear.product(layout.pixels(base.movie(spark, sf)), f, "p", "t", "k", "v", "a"), "k")
-    sparse = f.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "a"))).alias("z"))
-    parts = sparse.join(c, "k").select("k", F.lit(0).alias("patch"), F.transform("z", lambda e: e["p"]).alias("px"), F.transform("z", lambda e: e["a"]).alias("a"), F.col("y").alias("c"), F.col("y").alias("s"), F.col("y").alias("yra"))
-    return extraction.merge_components(parts, _SMALL, _save(spark)).select("k", "px", "a")
+    return extraction.merge_components(_labelled_components(spark, sf), _SMALL, _save(spark)).select("k", "px", "a")
 
 
 def queries() -> dict:
-    every = (oasis_constrained, oasis_stream_second_order, trace_parameters, spatial_lasso, ring_weights, nmf_background, compressed_background, threshold_components, motion_correct, patch_fit, extract, merge_components)
+    every = (oasis_constrained, oasis_stream_second_order, trace_parameters, spatial_lasso, ring_weights, ring_image, merge_order, evaluated_ids, nmf_background, compressed_background, threshold_components, motion_correct, patch_fit, extract, merge_components)
     return {f.__name__: f for f in every}
 
 
@@ -295,5 +346,13 @@ SELECT (y * 8 + x)::INT AS p, k, round(0.5 * sn * sqrt(e) / n.n, 6) + 0.0 AS alp
 SELECT patch::INT AS patch, (p.y * w + q.x)::INT AS i, ((p.y + o.y) * w + q.x + o.x)::INT AS j, {_ZERO} AS missed
 FROM g, range(8) p(y), range(6) q(x), o WHERE p.y + o.y BETWEEN 0 AND 7 AND q.x + o.x BETWEEN 0 AND w - 1""",
         "compressed_background": _background_sql(),
+        "ring_image": f"""WITH o AS (SELECT y, x FROM range(-3, 4) a(y), range(-3, 4) b(x) WHERE y * y + x * x > 4 AND y * y + x * x <= 9)
+SELECT (p.y * 8 + q.x)::INT AS p, ((p.y + o.y) * 8 + q.x + o.x)::INT AS q, {_ZERO} AS missed FROM range(8) p(y), range(8) q(x), o WHERE p.y + o.y BETWEEN 0 AND 7 AND q.x + o.x BETWEEN 0 AND 7""",
+        "merge_order": f"""WITH RECURSIVE {base.PX}, {base.MF}, ct AS (SELECT t, k, sum(v * a) AS c FROM px JOIN mf ON mf.p = px.p GROUP BY t, k),
+ov AS (SELECT DISTINCT a.k AS i, b.k AS j FROM mf a JOIN mf b ON a.p = b.p AND a.k < b.k), r AS (SELECT i, j, corr(a.c, b.c) AS r FROM ov JOIN ct a ON a.k = i JOIN ct b ON b.k = j AND b.t = a.t GROUP BY i, j),
+l AS (SELECT i, j FROM r WHERE r > {MERGED} UNION ALL SELECT j, i FROM r WHERE r > {MERGED}), reach AS (SELECT i AS k, i AS root FROM l UNION SELECT l.j, reach.root FROM reach JOIN l ON l.i = reach.k),
+g AS (SELECT k, min(root) AS root FROM reach GROUP BY k), tot AS (SELECT a.root, sum(r) AS total FROM r JOIN g a ON a.k = i JOIN g b ON b.k = j AND a.root = b.root GROUP BY a.root)
+SELECT k, g.root, place::INT AS place, round(total, 5) + 0.0 AS total FROM g JOIN (SELECT *, row_number() OVER (ORDER BY total DESC, root) AS place FROM tot) tot ON tot.root = g.root""",
+        "evaluated_ids": f"WITH {base.MF} SELECT DISTINCT k, 1.0::DOUBLE AS unit FROM mf",
         "threshold_components": f"WITH RECURSIVE {_THRESHOLD} SELECT rg.t AS k, (rg.y * 8 + rg.x)::INT AS p, round(v, 6) AS a FROM rg JOIN best ON best.t = rg.t AND best.r = rg.r JOIN im ON im.t = rg.t AND im.y = rg.y AND im.x = rg.x WHERE v > 0",
     }
