@@ -45,16 +45,25 @@ def series(long: DataFrame, key: str) -> DataFrame:
     return long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("s")).select(key, F.transform("s", lambda e: e["v"]).alias("y"))
 
 
+#: Pixels of a strip at most, and values that a task holds: the longer a movie, the narrower its strips.
 STRIP = 1024
+STRIP_VALUES = 1 << 24
 
 
-def by_strips(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], schema: str, strip: int = STRIP) -> DataFrame:
+def strip_width(n: int) -> int:
+    """Pixels of a strip for a movie of ``n`` frames; one, where even its frames exceed STRIP_VALUES."""
+    return max(1, min(STRIP, STRIP_VALUES // max(1, n)))
+
+
+def by_strips(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], schema: str, strip: int | None = None) -> DataFrame:
     """The corner turn in blocks: ``kernel`` of the movie (frames, pixels) of each strip of pixels.
 
     Each Arrow batch of frames is cut into one block per strip, so that what is
     shuffled is blocks and not values; a task then holds frames x ``strip``
-    values.  ``kernel`` returns one row of columns after p for each pixel.
+    values, which are STRIP_VALUES at most if it is left out (one count asks
+    for the frames).  ``kernel`` returns one row of columns after p for each pixel.
     """
+    strip = strip or strip_width(frames.count())
     kind = "<f8" if "double" in frames.schema["px"].dataType.simpleString() else "<f4"
 
     def cut(batches):

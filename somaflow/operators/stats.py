@@ -18,7 +18,7 @@ AROUND = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 def template(frames: DataFrame) -> DataFrame:
     """Median of each pixel over the frames, NaN left out: (p, template); pixels without a value have no row.
 
-    Frames are those of a block or of the movie's start, so that a strip of them fits a task.
+    Exact for a movie of any length: strips get narrower as it gets longer.
     """
 
     def median(movie: np.ndarray) -> np.ndarray:
