@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 FRAMES = "t long, px array<float>"
@@ -72,22 +72,30 @@ class _NumpyReader(DataSourceReader):
         yield from _batches(part.first, iter(movie[part.first : part.stop]))
 
 
-def avi_index(path: str) -> tuple[int, int, int, list[tuple[int, int]]]:
+def avi_index(path: str, growing: bool = False) -> tuple[int, int, int, list[tuple[int, int]]]:
     """(rows, columns, bits per pixel, (offset, size) of each frame) of an uncompressed AVI.
 
+    Of a file that is still ``growing``, the frames that are there as a whole.
     Raises ValueError for anything that isn't a RIFF file of raw 8- or 24-bit frames.
     """
     frames: list[tuple[int, int]] = []
     h = w = bits = 0
     with open(path, "rb") as f:
+        there = f.seek(0, 2)
+        f.seek(0)
+        if growing and there < 12:
+            return 0, 0, 0, []
         if f.read(4) != b"RIFF":
             raise ValueError(f"{path} is no AVI")
         end = struct.unpack("<I", f.read(4))[0] + 8
+        end = there if growing else end
         f.seek(12)
         stack = [end]
         while f.tell() + 8 <= end:
             tag, size = struct.unpack("<4sI", f.read(8))
             at = f.tell()
+            if growing and at + size > there and tag != b"LIST":
+                break
             if tag == b"LIST":
                 f.read(4)
                 stack.append(at + size)
@@ -131,18 +139,90 @@ class RawAvi(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _AviReader(self.options["path"])
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _AviStream(self.options["path"])
+
+
+def _in_order(pattern: str) -> list[str]:
+    import glob
+    import re
+
+    return sorted(glob.glob(pattern), key=lambda p: (int((re.findall(r"\d+", p) or ["0"])[-1]), p))
+
+
+def _decoded(part: _Range, growing: bool) -> Iterator[pa.RecordBatch]:
+    h, w, bits, frames = avi_index(part.path, growing)
+    depth = bits // 8
+    row = (depth * w + 3) // 4 * 4
+
+    def images():
+        with open(part.path, "rb") as f:
+            for at, size in frames[part.first : part.stop]:
+                f.seek(at)
+                yield np.frombuffer(f.read(size), np.uint8)[: h * row].reshape(h, row)[::-1, : depth * w : depth]
+
+    yield from _batches(part.start + part.first, images())
+
+
+class _AviStream(DataSourceStreamReader):
+    """A folder that grows: offsets are (file, frame), with the frames of all files before.
+
+    Files are taken in order, and a file only when the one before is whole; of
+    the last one, frames are taken as they come.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+        self.whole: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:
+        return {"file": "", "frame": 0, "start": 0}
+
+    def _frames(self, path: str) -> tuple[int, bool]:
+        """(frames there, whether the file is whole)."""
+        if path not in self.whole:
+            with open(path, "rb") as f:
+                head, there = f.read(8), f.seek(0, 2)
+            n = len(avi_index(path, growing=True)[3])
+            if len(head) < 8 or there < struct.unpack("<I", head[4:])[0] + 8:
+                return n, False
+            self.whole[path] = n
+        return self.whole[path], True
+
+    def latestOffset(self) -> dict:
+        out, start = self.initialOffset(), 0
+        for p in _in_order(self.path):
+            n, whole = self._frames(p)
+            out = {"file": p, "frame": n, "start": start}
+            start += n
+            if not whole:
+                break
+        return out
+
+    def partitions(self, start: dict, end: dict) -> list[_Range]:
+        files, at, out = _in_order(self.path), end["start"], []
+        if not end["file"]:
+            return out
+        for p in reversed(files[: files.index(end["file"]) + 1]):
+            n = end["frame"] if p == end["file"] else self._frames(p)[0]
+            at = end["start"] if p == end["file"] else at - n
+            first = start["frame"] if p == start["file"] else 0
+            out += [_Range(p, a, min(a + CHUNK, n), at) for a in range(first, n, CHUNK)]
+            if p == start["file"]:
+                break
+        return out
+
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        return _decoded(part, True)
+
 
 class _AviReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self):
-        import glob
-        import re
-
-        files = sorted(glob.glob(self.path), key=lambda p: (int((re.findall(r"\d+", p) or ["0"])[-1]), p))
         out, start = [], 0
-        for p in files:
+        for p in _in_order(self.path):
             n = len(avi_index(p)[3])
             out += [_Range(p, a, min(a + CHUNK, n), start) for a in range(0, n, CHUNK)]
             start += n
@@ -151,17 +231,13 @@ class _AviReader(DataSourceReader):
         return out
 
     def read(self, part: _Range):
-        h, w, bits, frames = avi_index(part.path)
-        depth = bits // 8
-        row = (depth * w + 3) // 4 * 4
+        return _decoded(part, False)
 
-        def decoded():
-            with open(part.path, "rb") as f:
-                for at, size in frames[part.first : part.stop]:
-                    f.seek(at)
-                    yield np.frombuffer(f.read(size), np.uint8)[: h * row].reshape(h, row)[::-1, : depth * w : depth]
 
-        yield from _batches(part.start + part.first, decoded())
+def stream_movie(spark: SparkSession, pattern: str) -> DataFrame:
+    """The frames (t, px) of the raw AVI files that a pattern names, as a stream that goes on with every new frame and file."""
+    spark.dataSource.register(RawAvi)
+    return spark.readStream.format("rawavi").option("path", pattern).load()
 
 
 def load_movie(spark: SparkSession, path: str) -> DataFrame:
