@@ -37,12 +37,12 @@ from somaflow.llm.shared import written
 TABLES = 16
 #: Choices that are measured.
 TABLE_STEPS = (2, 4, 8, 16)
-PROBE_STEPS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
+PROBE_STEPS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
 #: Best axes of each half that pairs are made of.
 AXES = 24
 #: Share of the true neighbours that a choice has to find, and of the rows that it may meet.
 RECALL = 0.99
-MEET = 1 / 3
+MEET = 0.75
 #: Queries and rows that are measured with, at most.
 ASKED = 64
 MET = 2048
@@ -186,7 +186,7 @@ def choose(low: float, high: float, asks: np.ndarray, near: list[np.ndarray], so
     for each table, a query once for each of its probes there.
     """
     best, least = None, np.inf
-    dim, lift = asks.shape[1], low < 0.999 * high
+    dim, lift = asks.shape[1], bool(low < 0.999 * high)
     of = np.repeat(np.arange(len(asks)), list(map(len, near)))
     for axes in (1, 2):
         h = CrossPolytope(dim, high, lift, axes)
