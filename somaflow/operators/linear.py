@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pixels of an image that is sent to every task.
+IMAGE_PIXELS = 1 << 21
+
 
 def product(left: DataFrame, right: DataFrame, inner: str, row: str, column: str, a: str, b: str) -> DataFrame:
     """(row, column, v): sum over ``inner`` of a * b; zero entries may be left out of either side."""
@@ -39,8 +42,11 @@ def outer(over_time: DataFrame, image: DataFrame) -> DataFrame:
     """(t, p, v): products of (t, f) with an image (p, b).
 
     The image is one row, an array of as many weights as it has pixels, which
-    is sent to the tasks; frames stay where they are.
+    is sent to the tasks; frames stay where they are.  An image of more than
+    IMAGE_PIXELS (16 bytes each) is an error that says so.
     """
+    if image.limit(IMAGE_PIXELS + 1).count() > IMAGE_PIXELS:
+        raise ValueError(f"an image of more than {IMAGE_PIXELS} pixels; split it by patch")
     weights = image.groupBy().agg(F.sort_array(F.collect_list(F.struct("p", "b"))).alias("weights"))
     both = over_time.join(F.broadcast(weights)).select("t", "f", F.explode("weights").alias("w"))
     return both.select("t", F.col("w.p").alias("p"), (F.col("f") * F.col("w.b")).alias("v"))

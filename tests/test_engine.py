@@ -91,6 +91,16 @@ def test_nearest_center_checks_its_size(spark):
         geometry.checked(big, "centres", 3)
 
 
+def test_outer_checks_its_image(spark, monkeypatch):
+    from somaflow.operators import linear
+
+    image, over_time = spark.range(5).selectExpr("id AS p", "2.0D AS b"), spark.range(3).selectExpr("id AS t", "double(id) AS f")
+    assert linear.outer(over_time, image).count() == 15
+    monkeypatch.setattr(linear, "IMAGE_PIXELS", 4)
+    with pytest.raises(ValueError):
+        linear.outer(over_time, image)
+
+
 def test_frame_sample_ranges():
     assert layout.frame_sample(100) == [(0, 100)]
     assert sum(b - a for a, b in layout.frame_sample(10_000)) == 3072
