@@ -73,10 +73,20 @@ def _dense(parts: pd.DataFrame, where: np.ndarray, column: str = "a") -> np.ndar
     return out
 
 
-def added(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value): the sum of the arrays of each key, place by place; a key has few."""
+def added(rows: DataFrame, key: str, value: str, *only: str) -> DataFrame:
+    """(key, value, only): the sum of the arrays of each key, place by place; a key has few.  ``only`` are columns of which a key has one value at most."""
     every = F.collect_list(value)
-    return rows.groupBy(key).agg(F.aggregate(F.slice(every, 2, F.greatest(F.size(every) - 1, F.lit(0))), F.element_at(every, 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b)).alias(value))
+    total = F.aggregate(F.slice(every, 2, F.greatest(F.size(every) - 1, F.lit(0))), F.element_at(every, 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    return rows.groupBy(key).agg(total.alias(value), *(F.first(c, ignorenulls=True).alias(c) for c in only))
+
+
+def bound_once(value, use):
+    """Column ``use(v)`` of a ``value`` that is computed once for a row; as a column of its own it would move into the lambdas, to be computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _norm(column: str):
+    return F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x))
 
 
 def projections(movies: DataFrame, parts: DataFrame, background, h: int, w: int) -> DataFrame:
@@ -134,8 +144,11 @@ def update_traces(movies: DataFrame, components: DataFrame, background, h: int,
     for turn in range(p.ITER):
         start = state.select("k", F.col("c").alias("old"))
         for colour in number:
-            step = save(state.where(F.col("colour") == colour).select("k", "c", "rest").mapInPandas(fit, "k long, new array<double>, act array<double>, step array<double>"), f"{name}-step-{turn}-{colour}")
-            met = state.join(step, "k", "left").join(moved(step, "step"), "k", "left")
+            step = state.where(F.col("colour") == colour).select("k", "c", "rest").mapInPandas(fit, "k long, new array<double>, act array<double>, step array<double>")
+            # a step goes along all edges of its component, its own loop among them, which also brings the new trace
+            along = weight.join(step.withColumnRenamed("k", "i"), "i").withColumn("own", F.col("i") == F.col("j"))
+            along = along.select(F.col("j").alias("k"), F.transform("step", lambda x: x * F.col("weight")).alias("d"), *(F.when(F.col("own"), F.col(c)).alias(c) for c in ("new", "act")))
+            met = state.join(added(along, "k", "d", "new", "act"), "k", "left")
             rest = F.coalesce(minus(F.col("rest"), F.col("d")), F.col("rest"))
             state = save(met.select("k", "colour", F.coalesce("new", "c").alias("c"), F.coalesce("act", "s").alias("s"), rest.alias("rest")), f"{name}-state-{turn}-{colour}")
         square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
@@ -173,10 +186,9 @@ def update_footprints(movies: DataFrame, components: DataFrame, background, h: i
                     rows.append((k, (y + y0) * w + x + x0, np.ones(len(y))))
             yield pd.DataFrame(rows, columns=["k", "px", "a"])
 
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
-    scaled = components.withColumn("norm", norm).where("norm > 0")
-    scale = F.col("norm") if p.normalize else F.lit(1.0)
-    traces = scaled.select("k", F.transform("c", lambda x: x / scale).alias("c"))
+    scaled = components.where(_norm("c") > 0)
+    scale = _norm("c") if p.normalize else F.lit(1.0)
+    traces = scaled.select("k", bound_once(scale, lambda n: F.transform("c", lambda x: x / n)).alias("c"))
     parts = pieces(scaled.select("k", "px", "a").mapInPandas(reach, "k long, px array<int>, a array<double>"), w).join(traces, "k")
 
     def run(key: tuple, movie: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -219,6 +231,6 @@ def evaluate(frames: DataFrame, components: DataFrame, background: DataFrame, h:
     found = update_traces(movies, components, back, h, w, params, save, "update-1")
     found = update_footprints(movies, found, back, h, w, params, save, "update-2")
     found = update_traces(movies, found, back, h, w, params, save, "update-3")
-    norm = F.sqrt(F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x))
-    by = lambda c: F.transform(c, lambda x: x * F.col("norm")).alias(c)
-    return found.withColumn("norm", norm).where("norm > 0").select("k", "patch", "px", F.transform("a", lambda x: x / F.col("norm")).alias("a"), by("c"), by("s"), by("yra"))
+    norm = _norm("a")
+    by = lambda c: bound_once(norm, lambda n: F.transform(c, lambda x: x * n)).alias(c)
+    return found.where(norm > 0).select("k", "patch", "px", bound_once(norm, lambda n: F.transform("a", lambda x: x / n)).alias("a"), by("c"), by("s"), by("yra"))

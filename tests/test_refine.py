@@ -1,7 +1,10 @@
 """The update of all components over cells, and the graph steps under it, against the same steps on whole matrices."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from somaflow.functions import extraction as fx
 from somaflow.operators import extraction, graph, refine
@@ -135,3 +138,12 @@ def test_groups_go_by_summed_correlation(spark, save):
     assert got == [(2, 1), (0, 2)]
     totals = {x["root"]: x["total"] for x in order.collect()}
     assert np.isclose(totals[0], r(0, 1)) and np.isclose(totals[2], r(2, 3) + r(2, 4) + r(3, 4))
+
+
+def test_a_norm_is_not_computed_for_each_element(spark):
+    from somaflow.operators import refine
+
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda x: x.cast("double")).alias("c"))
+    start = time.perf_counter()
+    got = long.select(refine.bound_once(refine._norm("c"), lambda n: F.transform("c", lambda x: x / n)).alias("c")).first()["c"]
+    assert time.perf_counter() - start < 20 and np.isclose(np.linalg.norm(got), 1)
