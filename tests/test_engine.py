@@ -386,3 +386,34 @@ def test_arrows_and_dots_of_a_field(spark):
     still, moved = geometry.vector_field(shifts, 10, 10, (4, 4), (6, 6)).orderBy("i").collect()
     assert (still["u"], still["v"], still["xp"], still["yp"]) == (None, None, 3.0, 3.0)
     assert (moved["x"], moved["y"], moved["u"], moved["v"], moved["xp"]) == (10.0, 7.0, 0.0, 0.5, None)
+
+
+@pytest.mark.parametrize("tile", [7, 8192])
+def test_overlaps_by_tiles_equal_the_join_on_pixels(spark, monkeypatch, save, tile):
+    """Blocks that are smaller than a patch, footprints in two patches, infinite and absent weights, names that are null."""
+    from somaflow.operators import graph
+
+    monkeypatch.setattr(geometry, "TILE", tile)
+    monkeypatch.setattr(geometry, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    data = [(k, k % 3, int(p), float(rng.random())) for k in range(60) for p in rng.choice(40, 6, replace=False)]
+    data += [(k, 1, int(p), 0.5) for k in (0, 3, 6, 9) for p in (3, 4)] + [(7, 1, 1, float("inf")), (10, 1, 2, float("nan")), (None, 1, 3, 1.0), (11, None, 3, 1.0), (13, 1, 3, 0.25), (13, 1, 3, 0.25)]
+    f = spark.createDataFrame(data, "k long, patch int, p int, a double")
+    want = {(r["i"], r["j"]): r["overlap"] for r in geometry._pixel_join(f, ["p", "patch"]).collect()}
+    got = geometry.overlap_graph(f, "patch").collect()
+    assert len(got) == len(want) and all(np.isclose(r["overlap"], want[r["i"], r["j"]], equal_nan=True) for r in got)
+    strong = {p for p, v in want.items() if not round(v, 6) <= 0.7}
+    assert {r["k"] for r in geometry.overlapping(f, "patch", 0.7).collect()} == {k for p in strong for k in p}
+    root = {k: k for p in strong for k in p}
+    while any(root[i] != root[j] for i, j in strong):
+        for i, j in strong:
+            root[i] = root[j] = min(root[i], root[j])
+    links = geometry.overlap_links(f, "patch", 0.7)
+    assert {(r["i"], r["j"]) for r in links.collect()} and {r["k"]: r["root"] for r in graph.connected(links, save).collect()} == root
+
+
+def test_no_pair_of_a_patch_is_shuffled(spark):
+    """Only footprints are: what an aggregate of pairs would sort isn't there."""
+    f = spark.createDataFrame([(1, 0, 1, 1.0), (2, 0, 1, 1.0)], "k long, patch int, p int, a double")
+    plan = geometry.overlap_links(f, "patch", 0.4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and geometry.overlap_links(f, "patch", 0.4).count() == 1
