@@ -14,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somaflow.folders import new_folder
 from somaflow.operators import frames as frame_ops
-from somaflow.operators import geometry, layout, linear, stats, traces
+from somaflow.operators import geometry, graph, layout, linear, stats, traces
 
 H = W = 8
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,8 +331,9 @@ s AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e),
 r(k, root) AS (SELECT a, a FROM s UNION SELECT s.a, r.root FROM r JOIN s ON s.b = r.k)
 SELECT k, min(root) AS root FROM r GROUP BY k""")
 def merge_groups(spark, sf):
-    edges = geometry.overlap_graph(footprints(spark, sf), "patch").where(F.round("overlap", 6) > 0.4)
-    return geometry.merge_groups(edges, lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df)
+    from somaflow.operators.motion import session_save
+
+    return graph.connected(geometry.overlap_links(footprints(spark, sf), "patch", 0.4), session_save(spark, new_folder(spark, "groups")))
 
 
 @query("""WITH o AS (SELECT y, x FROM range(-3, 4) a(y), range(-3, 4) b(x) WHERE y * y + x * x > 4 AND y * y + x * x <= 9)
