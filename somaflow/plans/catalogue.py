@@ -373,8 +373,7 @@ def semi_keep(spark, sf):
 
 @query(f"WITH {OV} SELECT vec_id AS k FROM embeddings WHERE vec_id NOT IN (SELECT i FROM ov WHERE overlap > 0.4 UNION SELECT j FROM ov WHERE overlap > 0.4)")
 def anti_merged(spark, sf):
-    edges = geometry.overlap_graph(footprints(spark, sf), "patch").where(F.round("overlap", 6) > 0.4)
-    merged = edges.select(F.explode(F.array("i", "j")).alias("k"))
+    merged = geometry.overlapping(footprints(spark, sf), "patch", 0.4)
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("k")).join(merged, "k", "left_anti")
 
 
