@@ -437,7 +437,7 @@ def _overlapping(spark, sf, least):
 SELECT k, count(*) AS n, round(sum(a), 6) AS total FROM s GROUP BY k""")
 def union_components(spark, sf):
     """Components that overlap no other one by much, and those that do under new names: every one is on one side."""
-    f, merged = footprints(spark, sf).select("k", "p", "a"), _overlapping(spark, sf, 0.4)
+    f, merged = footprints(spark, sf).select("k", "p", "a"), geometry.overlapping(footprints(spark, sf), "patch", 0.4)
     new = f.join(merged, "k", "left_semi").select((F.col("k") + 1000000).alias("k"), "p", (F.col("a") * 2).alias("a"))
     return f.join(merged, "k", "left_anti").unionByName(new).groupBy("k").agg(F.count("*").alias("n"), r6(F.sum("a")).alias("total"))
 
