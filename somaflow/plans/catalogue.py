@@ -428,11 +428,6 @@ def ring_b0(spark, sf):
 _MERGED = f"{OV}, mg AS (SELECT i AS k FROM ov WHERE overlap > 0.4 UNION SELECT j FROM ov WHERE overlap > 0.4)"
 
 
-def _overlapping(spark, sf, least):
-    edges = geometry.overlap_graph(footprints(spark, sf), "patch").where(F.round("overlap", 6) > least)
-    return edges.select(F.explode(F.array("i", "j")).alias("k")).distinct()
-
-
 @query(f"""WITH {_MERGED}, s AS (SELECT k, p, a FROM fp WHERE k NOT IN (SELECT k FROM mg) UNION ALL SELECT k + 1000000, p, a * 2 FROM fp WHERE k IN (SELECT k FROM mg))
 SELECT k, count(*) AS n, round(sum(a), 6) AS total FROM s GROUP BY k""")
 def union_components(spark, sf):
@@ -446,7 +441,7 @@ def union_components(spark, sf):
 def except_patches(spark, sf):
     """Patches with overlapping components none of which overlap by much."""
     f = footprints(spark, sf)
-    within = lambda least: f.join(_overlapping(spark, sf, least), "k", "left_semi").select("patch")
+    within = lambda least: f.join(geometry.overlapping(f, "patch", least), "k", "left_semi").select("patch")
     return within(0).subtract(within(0.4))
 
 
