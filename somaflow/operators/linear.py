@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Pixels of an image that is sent to every task.
 IMAGE_PIXELS = 1 << 21
+#: Products that one task adds up; where all results are fewer, they are added up before they are shuffled.
+TASK_PRODUCTS = 1 << 20
 
 
 def product(left: DataFrame, right: DataFrame, inner: str, row: str, column: str, a: str, b: str) -> DataFrame:
@@ -15,11 +17,21 @@ def product(left: DataFrame, right: DataFrame, inner: str, row: str, column: str
 
 
 def gram(rows: DataFrame, inner: str, key: str, value: str) -> DataFrame:
-    """(i, j, v) with i <= j: products of the sparse rows of ``key`` with each other, summed first by (inner, key)."""
-    once = rows.groupBy(inner, key).agg(F.sum(value).alias("v"))
+    """(i, j, v) with i <= j: products of the sparse rows of ``key`` with each other, summed first by (inner, key).
+
+    Tasks grow in number with the products, not in size; one aggregate asks for
+    the rows and about how many keys and inner values there are.
+    """
+    n, keys, inners = rows.agg(F.count("*"), F.approx_count_distinct(key), F.approx_count_distinct(inner)).first()
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-n * (n // max(1, inners) + 2) // (2 * TASK_PRODUCTS)))
+    once = rows.repartition(parts, inner).groupBy(inner, key).agg(F.sum(value).alias("v"))
     a = once.select(inner, F.col(key).alias("i"), F.col("v").alias("vi"))
     b = once.select(inner, F.col(key).alias("j"), F.col("v").alias("vj"))
-    return a.join(b, inner).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("v"))
+    products = a.join(b, inner).where("i <= j").select("i", "j", (F.col("vi") * F.col("vj")).alias("v"))
+    if keys * (keys + 1) // 2 > TASK_PRODUCTS:
+        products = products.repartition(parts, "i", "j")
+    return products.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def unit_footprints(footprints: DataFrame) -> DataFrame:

@@ -417,3 +417,17 @@ def test_no_pair_of_a_patch_is_shuffled(spark):
     f = spark.createDataFrame([(1, 0, 1, 1.0), (2, 0, 1, 1.0)], "k long, patch int, p int, a double")
     plan = geometry.overlap_links(f, "patch", 0.4)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and geometry.overlap_links(f, "patch", 0.4).count() == 1
+
+
+def test_products_of_sparse_rows_get_more_tasks_and_not_larger_ones(spark, monkeypatch):
+    from somaflow.operators import linear
+
+    monkeypatch.setattr(linear, "TASK_PRODUCTS", 16)
+    rng = np.random.default_rng(2)
+    dense = rng.integers(0, 3, (40, 30)).astype(float)
+    rows = spark.createDataFrame([(int(o), int(k), float(dense[o, k])) for o, k in zip(*np.nonzero(dense))], "o long, k long, v double")
+    out = linear.gram(rows, "o", "k", "v")
+    assert "hashpartitioning(i" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = dense.T @ dense
+    assert {(r["i"], r["j"]): r["v"] for r in out.collect()} == {(i, j): want[i, j] for i in range(30) for j in range(i, 30) if want[i, j]}
