@@ -55,7 +55,7 @@ class Movie:
 def motion_correct(movie: Movie, parameters: Parameters, folder: str) -> Movie:
     """The corrected movie; its versions are written below ``folder``, which all executors share."""
     save = motion.session_save(movie.frames.sparkSession, folder)
-    return replace(movie, frames=motion.motion_correct(movie.frames, movie.h, movie.w, parameters.motion_correction, save))
+    return replace(movie, frames=motion.motion_correct(movie.frames, movie.h, movie.w, parameters.motion_correction, save, motion.RUN_VALUES, f"{folder}/motion-runs"))
 
 
 def correlation_info(movie: Movie, filter_sigma: int | None = None) -> DataFrame:

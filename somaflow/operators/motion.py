@@ -2,13 +2,19 @@
 
 A frame's correction depends on the frame and the template alone, so a block of
 frames is one map without a shuffle.  Blocks depend on each other through the
-template, and are a loop on the driver; every block is written as a new version
-of the movie before the next one reads its template.
+template, one after the other.  The movie is laid out by runs of blocks first,
+so that each is read by itself.  Runs are a loop on the driver; every run is
+written as a new version of the movie before the next one reads its template.
+Blocks so small that a round of jobs takes longer than their correction share a
+run, which one task corrects block by block; a larger one is a run of its own,
+whose frames are spread over tasks.
 """
 
 from __future__ import annotations
 
 import functools
+import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from somaflow.folders import new_folder
 from somaflow.functions import images, registration
 from somaflow.operators import geometry, stats
 from somaflow.operators.frames import BLOCK, block_of
-from somaflow.operators.layout import in_range
+from somaflow.operators.layout import in_range, strip_width
+
+#: Values of the blocks that share a run at most, where runs may have more than one block.
+RUN_VALUES = 1 << 22
+#: Values of a block that its own run gives to a task.
+TASK_VALUES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -88,15 +100,51 @@ def corrected(frames: DataFrame, template: np.ndarray, params: MotionParams) ->
     def kernel(block):
         if not ready:
             ready.append(registration.Target(template, params))
-        out = np.stack([registration.correct_frame(f, ready[0]) for f in block]).reshape(len(block), -1)
-        return [pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], out.ravel())]
+        return [_lists(registration.correct_block(block, ready[0]))]
 
     return _mapped(frames, h, w, "t long, px array<double>", kernel)
 
 
-def template_image(frames: DataFrame, h: int, w: int) -> np.ndarray:
-    """The median image; one value per pixel reaches the driver."""
-    pixels = stats.template(frames).select("p", "template").limit((1 << 22) + 1).toArrow()
+def _lists(block: np.ndarray) -> pa.ListArray:
+    size = block[0].size
+    return pa.ListArray.from_arrays(np.arange(len(block) + 1, dtype=np.int32) * size, block.ravel())
+
+
+def corrected_run(frames: DataFrame, template: np.ndarray, params: MotionParams) -> DataFrame:
+    """(t, px): small blocks corrected one after the other by one task, each against the template that the one before it leaves."""
+    h, w = template.shape
+
+    def blocks(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The batches' frames, which stand in order of t, cut where a block ends."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            t, px = np.asarray(batch.column(0)), block_of(batch.column(1), h, w)
+            number = t // params.block_size
+            for part, more in zip(np.split(t, at := np.flatnonzero(np.diff(number)) + 1), np.split(px, at)):
+                if held and len(part) and held[-1][0][-1] // params.block_size != part[0] // params.block_size:
+                    yield tuple(map(np.concatenate, zip(*held)))
+                    held = []
+                if len(part):
+                    held.append((part, more))
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    def task(batches):
+        now = template
+        for t, px in blocks(batches):
+            out = registration.correct_block(px, registration.Target(now, params))
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", RuntimeWarning)  # pixels that are NaN throughout
+                middle = np.nanmedian(out.reshape(len(out), -1), axis=0).reshape(h, w)
+            now = np.where(np.isnan(middle), 0.0, middle)
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), _lists(out)], ["t", "px"])
+
+    return frames.select("t", "px").coalesce(1).sortWithinPartitions("t").mapInArrow(task, "t long, px array<double>")
+
+
+def template_image(frames: DataFrame, h: int, w: int, most: int | None = None) -> np.ndarray:
+    """The median image of frames, ``most`` of them if that is known; one value per pixel reaches the driver."""
+    pixels = stats.template(frames, most and strip_width(most)).select("p", "template").limit((1 << 22) + 1).toArrow()
     if len(pixels) > 1 << 22:
         raise ValueError("more pixels than one image may have here")
     out = np.zeros(h * w)
@@ -112,24 +160,44 @@ def _together(blocks: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, blocks)
 
 
-def motion_correct(frames: DataFrame, h: int, w: int, params: MotionParams, save) -> DataFrame:
+def by_runs(frames: DataFrame, length: int, tasks: int, folder: str) -> DataFrame:
+    """(t, px, run): the frames from 0 on in folders of ``length`` frames each, of ``tasks`` files at most."""
+    run = F.floor(F.col("t") / length).cast("long")
+    laid = frames.where("t >= 0").select("t", "px", run.alias("run"))
+    spread = laid.repartition("run") if tasks == 1 else laid.repartition("run", F.col("t") % tasks)
+    spread.write.mode("overwrite").partitionBy("run").parquet(folder)
+    return frames.sparkSession.read.schema(laid.schema).parquet(folder)
+
+
+def motion_correct(frames: DataFrame, h: int, w: int, params: MotionParams, save, run_values: int = 0, folder: str | None = None) -> DataFrame:
     """The corrected movie (t, px).
 
     ``save(df, name)`` writes a table that outlives its executors and returns
-    it read back; each block of each round is written once, and is all that the
-    same block of the next round reads.
+    it read back; each run of each round is written once, and is all that the
+    same run of the next round reads.  Each block is a run, unless several have
+    no more than ``run_values`` values together; results are the same.  The
+    movie laid out by runs goes to ``folder``, a new one if it is left out.
+    Blocks without any frame leave the template as it is.
     """
-    stop = frames.agg(F.max("t")).first()[0]
-    if stop is None:
+    if frames.agg(F.max("t")).first()[0] is None or not params.nb_round:
         return frames.select("t", F.col("px").cast("array<double>").alias("px"))
-    template = template_image(in_range(frames, 0, params.template_frames), h, w)
-    starts = range(0, stop + 1, params.block_size)
-    blocks = [in_range(frames, start, start + params.block_size) for start in starts]
+    spark, size = frames.sparkSession, params.block_size * h * w
+    length = params.block_size * max(1, run_values // size)
+    alone = length == params.block_size
+    tasks = max(1, min(size // TASK_VALUES, spark.sparkContext.defaultParallelism)) if alone else 1
+    laid = by_runs(frames, length, tasks, folder or new_folder(spark, "motion"))
+    # the last frame of each run tells its last block
+    last = {r["run"]: r["t"] for r in laid.groupBy("run").agg(F.max("t").alias("t")).collect()}
+    opening = laid.where(F.col("run") * length < params.template_frames)
+    template = template_image(in_range(opening, 0, params.template_frames), h, w, params.template_frames)
+    runs = {n: laid.where(F.col("run") == n).select("t", "px") for n in sorted(last)}
     for turn in range(params.nb_round):
-        for n, start in enumerate(starts):
-            blocks[n] = save(corrected(blocks[n], template, params), f"motion-{turn}-{start}")
-            template = template_image(blocks[n], h, w)
-    return _together(blocks) if params.nb_round else frames
+        for n in runs:
+            made = corrected(runs[n], template, params) if alone else corrected_run(runs[n], template, params)
+            runs[n] = save(made, f"motion-{turn}-{n * length}")
+            end = last[n] // params.block_size * params.block_size
+            template = template_image(in_range(runs[n], end, end + params.block_size), h, w, params.block_size)
+    return _together(list(runs.values()))
 
 
 def shift_demo(image: np.ndarray, box: int, shift: tuple[int, int], params: MotionParams) -> tuple[np.ndarray, np.ndarray]:

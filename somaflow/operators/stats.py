@@ -15,10 +15,10 @@ FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
 AROUND = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 
 
-def template(frames: DataFrame) -> DataFrame:
+def template(frames: DataFrame, strip: int | None = None) -> DataFrame:
     """Median of each pixel over the frames, NaN left out: (p, template); pixels without a value have no row.
 
-    Exact for a movie of any length: strips get narrower as it gets longer.
+    Exact for a movie of any length: strips get narrower as it gets longer, unless their width is given.
     """
 
     def median(movie: np.ndarray) -> np.ndarray:
@@ -26,7 +26,7 @@ def template(frames: DataFrame) -> DataFrame:
             warnings.simplefilter("ignore", RuntimeWarning)  # pixels that are NaN throughout
             return np.nanmedian(movie, axis=0)
 
-    return by_strips(frames, median, "p int, template double").where(~F.isnan("template"))
+    return by_strips(frames, median, "p int, template double", strip).where(~F.isnan("template"))
 
 
 def finite(frames: DataFrame) -> DataFrame:

@@ -262,7 +262,7 @@ def threshold_components(spark: SparkSession, sf: str) -> DataFrame:
 def motion_correct(spark: SparkSession, sf: str) -> DataFrame:
     """(t, px): the movie corrected in blocks against a template that follows it."""
     params = motion.MotionParams(strides=(4, 4), overlaps=(2, 2), max_deviation_rigid=1, max_shifts=(1, 1), nb_round=1, filter_size=2, filter_size_patch=1, block_size=500)
-    return motion.motion_correct(base.movie(spark, sf), H, W, params, _save(spark))
+    return motion.motion_correct(base.movie(spark, sf), H, W, params, _save(spark), motion.RUN_VALUES)
 
 
 _SMALL = ExtractionParams(
