@@ -82,23 +82,31 @@ def oasis_stream_second_order(spark: SparkSession, sf: str) -> DataFrame:
     isn't negative (below), would not pay anywhere (gain), and pays exactly
     where there is some (slack).
     """
-    from somaflow.streaming.oasis_stream import run_to_end
+    from somaflow.streaming.oasis_stream import SHARE, run_to_end
 
     events = base.event_traces(spark, sf)
     out = run_to_end(events.withColumn("v", F.col("v") - 50), SECOND_ORDER, PRICE)
     both = out.join(events.select("k", "t", F.col("v").alias("y")), ["k", "t"])
 
     def conditions(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        c, y, (g1, g2) = pdf["c"].to_numpy(), pdf["y"].to_numpy() - 50, SECOND_ORDER
-        s = c - g1 * np.append(0, c[:-1]) - g2 * np.append([0, 0], c[:-2])[: len(c)]
-        gain, one, two = np.zeros(len(c)), 0.0, 0.0
-        for t in range(len(c) - 1, -1, -1):
-            one, two = y[t] - c[t] - PRICE * (1 - g1 - g2) + g1 * one + g2 * two, one
-            gain[t] = one
-        return pd.DataFrame({"k": pdf["k"], "t": pdf["t"], "below": np.maximum(-s, 0), "gain": np.maximum(gain, 0), "slack": np.abs(gain) * (s > 1e-6)})
-
-    made = both.groupBy("k").applyInPandas(conditions, "k long, t long, below double, gain double, slack double")
+        """Of the neurons of a group, each from its own first and last frame on."""
+        pdf, (g1, g2) = pdf.sort_values(["k", "t"]), SECOND_ORDER
+        k, c = pdf["k"].to_numpy(), pdf["c"].to_numpy()
+        ends = np.append(k[1:] != k[:-1], True)
+        starts = np.append(0, np.flatnonzero(ends)[:-1] + 1)
+        age = np.arange(len(k)) - np.repeat(starts, np.diff(np.append(starts, len(k))))
+        s = c - g1 * np.where(age > 0, np.roll(c, 1), 0) - g2 * np.where(age > 1, np.roll(c, 2), 0)
+        gain, one, two = [], 0.0, 0.0
+        left = pdf["y"].to_numpy() - 50 - c - PRICE * (1 - g1 - g2)
+        for r, end in zip(left[::-1].tolist(), ends[::-1].tolist()):
+            if end:
+                one = two = 0.0
+            one, two = r + g1 * one + g2 * two, one
+            gain.append(one)
+        up = np.array(gain[::-1])
+        return pd.DataFrame({"k": k, "t": pdf["t"], "below": np.maximum(-s, 0), "gain": np.maximum(up, 0), "slack": np.abs(up) * (s > 1e-6)})
+
+    made = both.groupBy(F.floor(F.col("k") / SHARE)).applyInPandas(conditions, "k long, t long, below double, gain double, slack double")
     return made.select("k", "t", *(base.r6(F.col(c), 5).alias(c) for c in ("below", "gain", "slack")))
 
 
