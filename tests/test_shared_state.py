@@ -37,7 +37,7 @@ def test_neurons_together_are_as_alone(make, monkeypatch):
     rng = np.random.default_rng(8)
     frames = pd.DataFrame([(k, t, rng.gamma(1, 2)) for k in (-2, 0, 5, 63) for t in range(100 + k) if (k, t) != (5, 44)], columns=["k", "t", "v"])  # one never comes
     frames = frames.iloc[np.argsort(frames["t"] + rng.integers(0, 8, len(frames)), kind="stable")]
-    frames = pd.concat([frames, frames.iloc[:3]])  # three come twice
+    frames = pd.concat([frames.iloc[:200], frames.iloc[:3], frames.iloc[200:]])  # three come twice
     batches = [[part.iloc[:60], part.iloc[60:]] for part in (frames.iloc[a : a + 110] for a in range(0, len(frames), 110))]
     got = fed(Together(make()), batches, (0,)).reset_index(drop=True)
     for k in (-2, 0, 5, 63):
