@@ -63,3 +63,16 @@ def test_neighbouring_neurons_share_a_row_of_the_state_store(spark, tmp_path):
         whole = activity.Online((1.2, -0.3), 0.2)
         whole.fit(y[k].tolist())
         assert np.allclose([seen[k, t] for t in range(40)], whole.c, atol=1e-6)
+
+
+def test_files_of_a_trace_are_streamed_in_their_order(spark, tmp_path, monkeypatch):
+    """The one that ends last was taken last, so that early frames of long traces counted as lost."""
+    y = np.random.default_rng(10).gamma(1, 2, 600)
+    monkeypatch.setattr(oasis_stream, "new_folder", lambda *_: f"file://{tmp_path}/stream")
+    traces = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate(y)], "k long, t long, v double").repartition(5)
+    got = oasis_stream.run_to_end(traces, (1.2, -0.3), 0.2, files=6).orderBy("t").toPandas()
+    first = spark.read.parquet(f"file://{tmp_path}/stream/out").where("epoch = 0").toPandas()
+    assert sorted(first["t"]) == list(range(len(first))) and 200 < len(first) < 400
+    whole = activity.Online((1.2, -0.3), 0.2)
+    whole.fit(y.tolist())
+    assert np.allclose(got["c"], whole.c, atol=1e-6) and got["t"].tolist() == list(range(600))
