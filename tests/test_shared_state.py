@@ -66,7 +66,7 @@ def test_neighbouring_neurons_share_a_row_of_the_state_store(spark, tmp_path):
 
 
 def test_files_of_a_trace_are_streamed_in_their_order(spark, tmp_path, monkeypatch):
-    """The one that ends last was taken last, so that early frames of long traces counted as lost."""
+    """The one that ends last was taken last, so that early frames of long traces could count as lost."""
     y = np.random.default_rng(10).gamma(1, 2, 600)
     monkeypatch.setattr(oasis_stream, "new_folder", lambda *_: f"file://{tmp_path}/stream")
     traces = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate(y)], "k long, t long, v double").repartition(5)
