@@ -419,6 +419,52 @@ def test_no_pair_of_a_patch_is_shuffled(spark):
     assert "FlatMapGroupsInArrow" in plan and geometry.overlap_links(f, "patch", 0.4).count() == 1
 
 
+def _shuffled(spark) -> int:
+    """Bytes that this session's stages have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+
+def test_footprints_are_stored_once_whatever_number_of_blocks_they_meet(spark, monkeypatch):
+    """A patch as one block, then as ten of about four footprints: what is shuffled doesn't grow with the tiles."""
+    rng = np.random.default_rng(8)
+    f = spark.createDataFrame([(k, 0, p, float(rng.random())) for k in range(40) for p in range(300)], "k long, patch int, p int, a double").cache()
+    f.count()
+    made, got = [], []
+    for tile in (40, 4):
+        monkeypatch.setattr(geometry, "TILE", tile)
+        before = _shuffled(spark)
+        got.append({(r["i"], r["j"]): r["overlap"] for r in geometry.overlap_graph(f, "patch").collect()})
+        made.append(_shuffled(spark) - before)
+    f.unpersist()
+    assert made[0] > 0 and made[1] < 1.5 * made[0], made
+    assert len(got[0]) == 40 * 39 // 2 and got[0].keys() == got[1].keys() and all(np.isclose(v, got[1][p]) for p, v in got[0].items())
+
+
+def test_wide_footprints_get_more_blocks(spark, monkeypatch):
+    """A block's weights are bounded as its footprints are; pairs stay whole, of footprints of several patches too."""
+    monkeypatch.setattr(geometry, "WEIGHTS", 40)
+    data = [(k, g, p, 1.0 + k) for k in range(30) for g in ("a", "b") if k % 5 == 0 or g == "a" for p in range(k, k + 12)]
+    f = spark.createDataFrame(data, "k long, patch string, p int, a double")
+    assert geometry._laid(f, "patch").where("g = 'a'").count() > 3
+    want = {(r["i"], r["j"]): r["overlap"] for r in geometry._pixel_join(f, ["p", "patch"]).collect()}
+    assert want and {(r["i"], r["j"]): r["overlap"] for r in geometry.overlap_graph(f, "patch", 6).collect()} == want
+
+
+def test_overlaps_are_rounded_as_spark_rounds(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    half = (rng.integers(0, 10**7, 500) + 0.5) / 1e6
+    v = np.concatenate(([0.0, -0.0, 4e-7, -4e-7, 5e-7, 1.0000005, 1.0000015, 1e15, 1.7e308, 5e-324, np.inf, -np.inf, np.nan], half, np.nextafter(half, 9), np.nextafter(half, -1), -half, 10 ** rng.uniform(-9, 12, 500)))
+    want = spark.createDataFrame([(n, float(x)) for n, x in enumerate(v)], "n long, v double").select("n", (F.round("v", 6) + F.lit(0.0)).alias("v")).orderBy("n").collect()
+    got = geometry.rounded(v, 6)
+    assert np.array_equal(got, [r["v"] for r in want], equal_nan=True) and not np.signbit(got[1]) and not np.signbit(got[3])
+
+
 def test_products_of_sparse_rows_get_more_tasks_and_not_larger_ones(spark, monkeypatch):
     from somaflow.operators import linear
 
