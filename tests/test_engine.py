@@ -454,6 +454,18 @@ def test_wide_footprints_get_more_blocks(spark, monkeypatch):
     assert want and {(r["i"], r["j"]): r["overlap"] for r in geometry.overlap_graph(f, "patch", 6).collect()} == want
 
 
+def test_odd_patches_and_weights_meet_as_in_the_join_on_pixels(spark, monkeypatch):
+    """Patches named NaN, weights and pixels that are null, weights of nought and below; a table without rows."""
+    monkeypatch.setattr(geometry, "TILE", 4)
+    nan = float("nan")
+    data = [(k, (nan, 1.0)[k % 2], p, 0.5 + k) for k in range(12) for p in (k % 3, 5)]
+    data += [(1, 1.0, 9, None), (3, 1.0, 9, 1.0), (5, 1.0, 9, 0.0), (7, 1.0, 9, -1.0), (1, 1.0, None, 2.0), (3, 1.0, None, 2.0)]
+    for rows in (data, []):
+        f = spark.createDataFrame(rows, "k long, patch double, p int, a double")
+        want = {(r["i"], r["j"]): r["overlap"] for r in geometry._pixel_join(f, ["p", "patch"]).collect()}
+        assert {(r["i"], r["j"]): r["overlap"] for r in geometry.overlap_graph(f, "patch").collect()} == want and bool(want) == bool(rows)
+
+
 def test_overlaps_are_rounded_as_spark_rounds(spark):
     from pyspark.sql import functions as F
 
